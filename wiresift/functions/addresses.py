@@ -100,10 +100,12 @@ def service_tags(df: DataFrame, transport: str = "transport", src: str = "src_ip
     up = F.upper(F.col(transport))
     j = (df.join(side("d"), (up == F.col("_d_transport")) & (F.col(dport) == F.col("_d_port")), "left")
          .join(side("s"), (up == F.col("_s_transport")) & (F.col(sport) == F.col("_s_port")), "left"))
-    internal = is_private_or_loopback(F.col(src)) & is_private_or_loopback(F.col(dst))
     to_service, from_service = F.col("_d_tag").isNotNull(), F.col("_s_tag").isNotNull()
-    gvcp = (to_service & (F.col("_d_tag") == "GVCP") & F.col(discovery) & is_private(F.col(src))
-            & (F.col(dst) == "255.255.255.255"))
+    j = j.withColumns({
+        "_internal": is_private_or_loopback(F.col(src)) & is_private_or_loopback(F.col(dst)),
+        "_gvcp": F.coalesce((F.col("_d_tag") == "GVCP") & F.col(discovery) & is_private(F.col(src))
+                            & (F.col(dst) == "255.255.255.255"), F.lit(False))})
+    internal, gvcp = F.col("_internal"), F.col("_gvcp")
     backend = internal & F.col("_d_backend")
     reply = from_service & F.col(established)
     dynamic = F.col(sport) >= FIRST_DYNAMIC_PORT
@@ -135,7 +137,7 @@ def service_tags(df: DataFrame, transport: str = "transport", src: str = "src_ip
         .when(from_service, "Service source port observed without established reverse-flow evidence")
         .when(dynamic, "Dynamic source port is not independently suspicious")
         .otherwise("No registered service pattern"),
-    }).drop(*[f"_{p}_{c}" for p in "ds" for c in reg.columns])
+    }).drop("_internal", "_gvcp", *[f"_{p}_{c}" for p in "ds" for c in reg.columns])
 
 
 def gvcp_discovery_flag(protocol, src, dst, dst_port, mf, offset, payload, payload_len) -> Column:
