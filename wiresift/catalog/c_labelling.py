@@ -275,8 +275,8 @@ def _q05(spark, d):
     return la.check_rules(r)
 
 
-@query("u03_coverage", "WITH " + fx.PACKETS_CTE + """, s AS (SELECT DISTINCT src_ip AS capture FROM packets), p AS (SELECT DISTINCT dst_ip AS capture FROM packets WHERE k % 3 > 0)
+@query("u03_coverage", "WITH " + fx.PACKETS_CTE + """, s AS (SELECT DISTINCT src_ip AS capture FROM packets WHERE user_id % 40 < 35), p AS (SELECT DISTINCT dst_ip AS capture FROM packets WHERE k % 40 > 3)
 SELECT capture, 'missing' AS state FROM (SELECT * FROM s EXCEPT SELECT * FROM p) UNION ALL SELECT capture, 'extra' FROM (SELECT * FROM p EXCEPT SELECT * FROM s)""")
 def _u03(spark, d):
     p = fx.packets(spark, d)
-    return la.coverage(p.select(F.col("src_ip").alias("capture")).distinct(), p.where("k % 3 > 0").select(F.col("dst_ip").alias("capture")).distinct())
+    return la.coverage(p.where("user_id % 40 < 35").select(F.col("src_ip").alias("capture")).distinct(), p.where("k % 40 > 3").select(F.col("dst_ip").alias("capture")).distinct())
