@@ -170,3 +170,15 @@ def median_of(df: DataFrame, value: str) -> DataFrame:
     hit = placed.join(F.broadcast(total), F.lit(True))
     return hit.agg(((F.max(F.when((first <= lo) & (last >= lo), F.col("_v")))
                      + F.max(F.when((first <= hi) & (last >= hi), F.col("_v")))) / 2).alias("_median"))
+
+
+def grouped_median(df: DataFrame, groups: Sequence[str], value: str, name: str) -> DataFrame:
+    """The exact median of `value` per group, from distinct values with counts (no group is held whole)."""
+    counts = df.groupBy(*groups, value).agg(F.count(F.lit(1)).alias("_n"))
+    cum = prefix_sums(counts, groups, value, {"_upto": F.col("_n")})
+    total = counts.groupBy(*groups).agg(F.sum("_n").alias("_total"))
+    j = cum.join(total, list(groups))
+    first, last = F.col("_upto") - F.col("_n"), F.col("_upto") - 1
+    lo, hi = F.floor((F.col("_total") - 1) / 2), F.floor(F.col("_total") / 2)
+    at = lambda r: F.max(F.when((first <= r) & (last >= r), F.col(value)))
+    return j.groupBy(*groups).agg(((at(lo) + at(hi)) / 2).alias(name))
