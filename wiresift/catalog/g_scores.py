@@ -233,7 +233,8 @@ SELECT budget, round(threshold, 6) AS threshold, count(CASE WHEN fires AND NOT a
  round(count(CASE WHEN run >= 3 AND attack THEN 1 END) / count(CASE WHEN attack THEN 1 END)::DOUBLE, 9) AS persist_recall FROM ru GROUP BY 1, 2""")
 def _m11(spark, d):
     from wiresift.operators.calibrate import calibration_table
-    return rnd(calibration_table(scores(spark, d).where("family = 'Flood'"), BUD), "threshold", "fpr", "recall", "persist_recall", digits=6).select(
+    t = rnd(calibration_table(scores(spark, d).where("family = 'Flood'"), BUD), "threshold", digits=6)
+    return rnd(t, "fpr", "recall", "persist_recall").select(
         "budget", "threshold", "false_alarms", "fpr", "recall", "persist_false_alarms", "persist_recall")
 
 

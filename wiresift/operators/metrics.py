@@ -26,8 +26,8 @@ def quantiles(df: DataFrame, groups: Sequence[str], value: str, points: dict[str
     at = (F.col("_n") - 1) * F.col("q")
     lo, hi = F.floor(at).cast("bigint"), F.ceil(at).cast("bigint")
     ends = {"higher": [hi], "lower": [lo], "linear": [lo, hi]}[method]
-    want = want.select(*keys, "q", (at - F.floor(at)).alias("_w"), F.explode(F.array_distinct(F.array(*ends))).alias("_rank"))
-    got = order_statistic(keyed, keys, value, want, "_rank")
+    want = want.select(*keys, "q", (at - F.floor(at)).alias("_w"), F.explode(F.array_distinct(F.array(*ends))).alias("_at_rank"))
+    got = order_statistic(keyed, keys, value, want, "_at_rank")
     low, high = F.min(value), F.max(value)
     mixed = low if method == "lower" else high if method == "higher" else low + (high - low) * F.max("_w")
     return got.groupBy(*keys, "q").agg(mixed.alias("quantile")).select(*groups, "q", "quantile")

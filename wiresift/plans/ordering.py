@@ -107,10 +107,11 @@ def value_bucket(value: Column, per_fold: int = 256) -> Column:
     below one, so scores that crowd either end of [0, 1] still spread out. Java's log is semi-monotonic, so a
     larger value never gets a smaller bucket, and a recomputed task always agrees with the first attempt.
     """
-    fold = lambda x: F.floor(F.log(x) * per_fold).cast("bigint")
+    largest = 1e308  # infinities share the outermost bucket, NaN sorts after everything
+    fold = lambda x: F.floor(F.log(F.least(x, F.lit(largest))) * per_fold).cast("bigint")
     low, high, top = 746 * per_fold, 747 * per_fold, 800 * per_fold
     return (
-        F.when(value.isNull() | (value == 0), F.lit(0).cast("bigint"))
+        F.when(value.isNull() | (value == 0), F.lit(0).cast("bigint")).when(F.isnan(value), F.lit(2000 * per_fold).cast("bigint"))
         .when(value < 0, -(fold(-value) + F.lit(low)))
         .when(value <= 0.5, fold(value) + F.lit(low))
         .when(value < 1, F.lit(high) - fold(1 - value))
