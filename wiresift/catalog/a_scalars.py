@@ -37,13 +37,13 @@ def _p02(spark, d):
                                                       sc.protocol_name(F.col("protocol"))).alias("flow_key"))
 
 
-@query("p03_normalize_ip")
+@query("p03_normalize_ip", P + """SELECT frame_no, CASE k % 7 WHEN 0 THEN '2001:db8::' || CASE WHEN k = 0 THEN '' ELSE printf('%x', k) END WHEN 2 THEN '' ELSE src_ip END AS ip FROM packets""")
 def _p03(spark, d):
     text = (F.when(F.col("k") % 7 == 0, F.concat(F.lit("2001:0DB8:0:0::"), F.hex("k")))
             .when(F.col("k") % 7 == 1, F.concat(F.lit("  "), F.col("src_ip"), F.lit(" ")))
             .when(F.col("k") % 7 == 2, F.lit(None)).otherwise(F.col("src_ip")))
     return fx.packets(spark, d).select("frame_no", text.alias("raw")).select(
-        "frame_no", "raw", addr.normalize_ip(F.col("raw")).alias("ip"))
+        "frame_no", addr.normalize_ip(F.col("raw")).alias("ip"))
 
 
 @query("p04_flow_epoch", """

@@ -1,9 +1,6 @@
 """Address text, address scopes and the service registry."""
 from __future__ import annotations
 
-import ipaddress
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,21 +49,29 @@ SERVICES = [
 FIRST_DYNAMIC_PORT = 49152
 
 
-@F.pandas_udf("string")
-def _canonical_v6(ip: pd.Series) -> pd.Series:
-    def text(x):
-        try:
-            return str(ipaddress.ip_address(x))
-        except ValueError:
-            return x
-    return ip.map(text, na_action="ignore")
+def _canonical_v6(text: Column) -> Column:
+    """Canonical IPv6 text: lower case, no leading zeros, the first longest run of zero groups as `::`; invalid text as is."""
+    low = F.lower(text)
+    gap = low.contains("::")
+    groups = lambda t: F.filter(F.split(t, ":"), lambda g: g != "")
+    left, right = groups(F.substring_index(low, "::", 1)), groups(F.substring_index(low, "::", -1))
+    missing = 8 - F.size(left) - F.size(right)
+    full = F.when(gap, F.concat(left, F.array_repeat(F.lit("0"), F.greatest(missing, F.lit(0))), right)).otherwise(F.split(low, ":"))
+    shape = low.rlike("^[0-9a-f:]+$") & ~low.contains(":::") & (F.size(F.split(low, "::")) <= 2) & ~low.rlike("(^:[^:]|[^:]:$)") & (~gap | (missing >= 1))
+    valid = shape & (F.size(full) == 8) & F.forall(full, lambda g: g.rlike("^[0-9a-f]{1,4}$"))
+    plain = F.array_join(F.transform(full, lambda g: F.regexp_replace(g, "^0{1,3}(?=.)", "")), ":")
+    # One pattern per run length, longest first; the lazy prefix takes the leftmost run.
+    runs = [(f"(^|:)0(:0){{{n - 1}}}(:|$)", f"^(.*?)(?:^|:)0(?::0){{{n - 1}}}(?::|$)(.*)$") for n in range(8, 1, -1)]
+    short = F.coalesce(*[F.when(plain.rlike(test), F.regexp_replace(plain, whole, "$1::$2")) for test, whole in runs], plain)
+    # An IPv4 tail keeps its dotted form.
+    mapped = low.rlike(r"^(0{0,4}:){0,5}:?(0{0,4}:)*ffff:\d+\.\d+\.\d+\.\d+$")
+    return F.when(mapped, F.concat(F.lit("::ffff:"), F.substring_index(low, ":", -1))).when(valid, short).otherwise(text)
 
 
 def normalize_ip(ip: Column) -> Column:
-    """Canonical address text; unparsable text stays, null becomes ''. Only rows with a colon reach Python."""
+    """Canonical address text; unparsable text stays, null becomes ''. Only text with a colon pays for the IPv6 rules."""
     clean = F.trim(F.coalesce(ip, F.lit("")))
-    v6 = clean.contains(":")
-    return F.when(v6, _canonical_v6(F.when(v6, clean))).otherwise(clean)
+    return F.when(clean.contains(":"), _canonical_v6(clean)).otherwise(clean)
 
 
 def is_private(ip: Column) -> Column:

@@ -183,3 +183,20 @@ def grouped_median(df: DataFrame, groups: Sequence[str], value: str, name: str)
     lo, hi = F.floor((F.col("_total") - 1) / 2), F.floor(F.col("_total") / 2)
     at = lambda r: F.max(F.when((first <= r) & (last >= r), F.col(value)))
     return j.groupBy(*groups).agg(((at(lo) + at(hi)) / 2).alias(name))
+
+
+def smallest(df: DataFrame, value: str, tie: str, n: int, width: int) -> DataFrame:
+    """The `n` rows with the smallest integer `value` (ties by `tie`), for any `n`.
+
+    Values are counted per bucket of `width`; whole buckets below the cut are kept by a filter, and only the bucket
+    that holds the n-th row is ranked. `value` should be spread (a hash), so that a bucket stays small.
+    """
+    bucket = F.floor(F.col(value) / F.lit(width)).cast("bigint")
+    per = df.groupBy(bucket.alias("_b")).agg(F.count(F.lit(1)).alias("_n"))
+    upto = F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0))
+    cut = per.select("_b", (upto - F.col("_n")).alias("_before")).where(F.col("_before") < n).agg(
+        F.max("_b").alias("_cut"), F.max("_before").alias("_kept"))
+    laid = df.withColumn("_b", bucket).join(F.broadcast(cut), F.lit(True)).where(F.col("_b") <= F.col("_cut"))
+    rank = F.row_number().over(Window.partitionBy("_b").orderBy(value, tie))
+    edge = laid.where(F.col("_b") == F.col("_cut")).withColumn("_rank", rank).where(F.col("_rank") + F.col("_kept") <= n).drop("_rank")
+    return laid.where(F.col("_b") < F.col("_cut")).unionByName(edge).drop("_b", "_cut", "_kept")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wiresift.operators.metrics import budget_threshold
-from wiresift.plans.ordering import dense_id
+from wiresift.plans.ordering import dense_id, smallest
 from wiresift.sources.tables import VersionedTable
 
 
@@ -67,8 +67,9 @@ def adaptive_threshold(table: VersionedTable, baseline: float, budget: float, sp
         seen = old.agg(F.coalesce(F.max("seen"), F.lit(0)).alias("_s")).join(F.broadcast(new.agg(F.count(F.lit(1)).alias("_n"))), F.lit(True)).select((F.col("_s") + F.col("_n")).alias("seen"))
         pool = old.select("event_id", "score", "hash", F.col("spanning").alias("_old_span"), F.col("recent").alias("_old_recent")).unionByName(
             new.withColumns({"_old_span": F.lit(True), "_old_recent": F.lit(True)}))
-        spanning = pool.where("_old_span").orderBy("hash", "event_id").limit(span).select("event_id", F.lit(True).alias("spanning"))
-        newest = pool.where("_old_recent").orderBy(F.col("event_id").desc()).limit(recent).select("event_id", F.lit(True).alias("recent"))
+        spanning = smallest(pool.where("_old_span"), "hash", "event_id", span, 1 << 44).select("event_id", F.lit(True).alias("spanning"))
+        aged = pool.where("_old_recent").withColumn("_age", -F.col("event_id"))
+        newest = smallest(aged, "_age", "event_id", recent, 1 << 10).select("event_id", F.lit(True).alias("recent"))
         kept = pool.select("event_id", "score", "hash").join(spanning, "event_id", "left").join(newest, "event_id", "left").fillna(False, ["spanning", "recent"]).where("spanning OR recent")
         # A row in both samples counts twice, as the union of the two samples does.
         sample = kept.select(F.lit("live").alias("family"), "score", F.explode(F.array_compact(F.array(F.when(F.col("spanning"), 1), F.when(F.col("recent"), 1)))).alias("_c"))
