@@ -69,9 +69,12 @@ def _p05(spark, d):
     return ft.drop_bad_epochs(p, "t")
 
 
-DIRTY_SPARK = (F.when(F.col("frame_no") % 11 == 0, F.lit(float("nan"))).when(F.col("frame_no") % 11 == 1, F.lit(float("inf")))
-               .when(F.col("frame_no") % 11 == 2, F.lit(float("-inf"))).when(F.col("frame_no") % 11 == 3, F.lit(None))
-               .otherwise(F.col("value") - 20))
+def _dirty():
+    return (F.when(F.col("frame_no") % 11 == 0, F.lit(float("nan"))).when(F.col("frame_no") % 11 == 1, F.lit(float("inf")))
+            .when(F.col("frame_no") % 11 == 2, F.lit(float("-inf"))).when(F.col("frame_no") % 11 == 3, F.lit(None))
+            .otherwise(F.col("value") - 20))
+
+
 DIRTY_SQL = ("CASE frame_no % 11 WHEN 0 THEN 'nan'::DOUBLE WHEN 1 THEN 'inf'::DOUBLE WHEN 2 THEN '-inf'::DOUBLE "
              "WHEN 3 THEN NULL ELSE value - 20 END")
 CLEAN_SQL = "CASE WHEN x IS NULL OR isnan(x) OR isinf(x) THEN 0.0::DOUBLE ELSE x END"
@@ -80,16 +83,17 @@ CLEAN_SQL = "CASE WHEN x IS NULL OR isnan(x) OR isinf(x) THEN 0.0::DOUBLE ELSE x
 @query("p06_clean_rate", P + f", r AS (SELECT frame_no, {DIRTY_SQL} AS x FROM packets) "
        f"SELECT frame_no, round({CLEAN_SQL}, 6) AS rate FROM r")
 def _p06(spark, d):
-    return fx.packets(spark, d).select("frame_no", F.round(sc.clean_rate(DIRTY_SPARK), 6).alias("rate"))
+    return fx.packets(spark, d).select("frame_no", F.round(sc.clean_rate(_dirty()), 6).alias("rate"))
 
 
 @query("p07_signed_log", P + f", r AS (SELECT frame_no, {DIRTY_SQL} AS x FROM packets), c AS (SELECT frame_no, {CLEAN_SQL} AS x FROM r) "
        "SELECT frame_no, round(sign(x) * ln(1 + abs(x)), 6) + 0.0 AS logged FROM c")
 def _p07(spark, d):
-    return fx.packets(spark, d).select("frame_no", (F.round(sc.signed_log(DIRTY_SPARK), 6) + 0.0).alias("logged"))
+    return fx.packets(spark, d).select("frame_no", (F.round(sc.signed_log(_dirty()), 6) + 0.0).alias("logged"))
 
 
-HEX_SPARK = F.hex(F.encode(F.col("text"), "UTF-8"))
+def _text_hex():
+    return F.hex(F.encode(F.col("text"), "UTF-8"))
 
 
 @query("p08_payload_prefix", """
@@ -97,7 +101,7 @@ SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN 0 ELSE CAST(octet_length(encode(tex
   CASE WHEN doc_id % 9 = 0 THEN '' ELSE substr(hex(encode(text)), 1, 256) END AS prefix_hex FROM documents""")
 def _p08(spark, d):
     hx = F.when(F.col("doc_id") % 9 == 0, F.lit("")).when(
-        F.col("doc_id") % 9 == 1, F.regexp_replace(HEX_SPARK, "(..)(?=.)", "$1:")).otherwise(HEX_SPARK)
+        F.col("doc_id") % 9 == 1, F.regexp_replace(_text_hex(), "(..)(?=.)", "$1:")).otherwise(_text_hex())
     return fx.table(spark, d, "documents").select(
         "doc_id", sc.payload_len(hx).alias("payload_len"), F.hex(sc.payload_prefix(hx)).alias("prefix_hex"))
 

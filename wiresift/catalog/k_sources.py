@@ -98,7 +98,7 @@ def _s08(spark, d):
 def _s09(spark, d):
     root = scratch(spark, "windows")
     p = fx.packets(spark, d)
-    edges = te.host_graph_edges(p).drop("bare_syn_count", "first_frame")
+    edges = te.host_graph_edges(p).drop("bare_syn_count")
     alerts = ru.suspicious_flags(ru.RuleInput(p)).select("window_index", "type", "flag_combination")
     tb.export_window_records(te.window_telemetry(p), edges, alerts, root, "Benign")
     back = spark.read.json(root)

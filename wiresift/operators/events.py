@@ -8,6 +8,7 @@ from wiresift.functions.addresses import gvcp_discovery_flag, routine_dns_flag
 from wiresift.functions.scalars import clean_rate, fragment_flag, is_reversed
 from wiresift.operators.features import orient_record
 from wiresift.plans.ordering import ROWS_PER_CHUNK, dense_id, keyed_scan
+from wiresift.plans.sizes import HOSTS, broadcast_if_small
 from wiresift.session import pinned
 from wiresift.sources.schemas import AGGREGATES, EVENT_COLUMNS, RECORD_STATISTICS
 
@@ -147,6 +148,8 @@ def node_index(events: DataFrame) -> DataFrame:
 
 
 def attach_node_ids(events: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Source and destination node ids. The host table is broadcast when its counted size allows."""
+    nodes = broadcast_if_small(nodes.select("ip", "node_id"), HOSTS)
     side = lambda s: nodes.select(F.col("ip").alias(f"{s}_ip"), F.col("node_id").alias(f"{s}_node_id"))
     return events.join(side("src"), "src_ip", "left").join(side("dst"), "dst_ip", "left")
 

@@ -128,24 +128,24 @@ def prior_fuse(scored: DataFrame, proximity: DataFrame, alpha: float) -> DataFra
     return _ranked(j.withColumn("fused", fused), [F.round("fused", 12).desc()]).select("forecast", "host", "fused", "rank")
 
 
-def new_contacts(events: DataFrame, forecasts: DataFrame, horizon_s: float = HORIZON_S, most: int = 6, position: str = "position", us: str = "t_us", sender: str = "sender", receiver: str = "receiver") -> DataFrame:
+def new_contacts(events: DataFrame, forecasts: DataFrame, horizon_s: float = HORIZON_S, most: int = 6, position: str = "position", us: str = "t_us", sender: str = "sender", receiver: str = "receiver",
+                 rows_per_chunk: int = ROWS_PER_CHUNK) -> DataFrame:
     """The attacker's contacts within the horizon after each forecast: first delay per host, `order` among the hosts it had never contacted.
 
     `order` counts the first `most` new hosts (the truth the rankings are judged on); other contacts have none.
+
+    A contact answers the forecasts made between the pair's previous contact and itself, so each (forecast, host) comes
+    from exactly one event. The forecast times of an attacker ride along as one sorted array.
     """
-    # A (sender, receiver) pair is reduced to its first contact; repeat contacts matter only for membership in the horizon.
     width = int(horizon_s * 1e6)
-    slot = lambda c: F.floor(c / F.lit(width))
-    first = events.groupBy(sender, receiver).agg(F.min(us).alias("_first"))
-    f = forecasts.select("forecast", F.col(sender), F.col(us).alias("_t0"), F.explode(F.array(slot(F.col(us)), slot(F.col(us)) + 1)).alias("_slot"))
-    e = events.select(sender, receiver, us, slot(F.col(us)).alias("_slot"))
-    hit = e.join(f, [sender, "_slot"]).where((F.col(us) > F.col("_t0")) & (F.col(us) <= F.col("_t0") + width))
-    after = hit.groupBy("forecast", "_t0", sender, receiver).agg(F.min(us).alias("_next"))
-    j = after.join(first, [sender, receiver]).withColumn("is_new", F.col("_first") > F.col("_t0"))
-    w = Window.partitionBy("forecast", "is_new").orderBy("_next", receiver)
+    asked = forecasts.groupBy(sender).agg(F.array_sort(F.collect_list(F.struct(F.col(us).alias("t0"), "forecast"))).alias("_asked"))
+    e = keyed_scan(events.select(position, us, sender, receiver), [sender, receiver], position, lags={"_before": F.col(us)}, rows_per_chunk=rows_per_chunk)
+    t = F.col(us)
+    mine = F.filter("_asked", lambda f: (f["t0"] < t) & (f["t0"] >= t - width) & (F.col("_before").isNull() | (f["t0"] >= F.col("_before"))))
+    j = e.join(_small(asked), sender).select(F.col(receiver).alias("host"), us, F.col("_before").isNull().alias("is_new"), F.inline(mine))
+    w = Window.partitionBy("forecast", "is_new").orderBy(us, "host")
     j = j.withColumn("_n", F.row_number().over(w))
-    return j.select("forecast", F.col(receiver).alias("host"), ((F.col("_next") - F.col("_t0")) / F.lit(1e6)).alias("delay_s"), "is_new",
-                    F.when(F.col("is_new") & (F.col("_n") <= most), F.col("_n")).alias("order"))
+    return j.select("forecast", "host", ((t - F.col("t0")) / F.lit(1e6)).alias("delay_s"), "is_new", F.when(F.col("is_new") & (F.col("_n") <= most), F.col("_n")).alias("order"))
 
 
 def first_ranks(rankings: DataFrame, truth: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wiresift.functions.addresses import normalize_ip
+from wiresift.plans.sizes import SCHEDULE_PAIRS, broadcast_if_small
 from wiresift.sources.schemas import LABEL_COLUMNS, RULES
 
 OFFSET_HOURS = -4  # schedule clock = UTC - 4 h
@@ -62,7 +63,7 @@ def _pairs(rules: DataFrame) -> DataFrame:
 def label_by_schedule(df: DataFrame, rules: DataFrame, us: str = "us", src: str = "src_ip", dst: str = "dst_ip",
                       sport: str = "src_port", dport: str = "dst_port", proto: str = "protocol") -> DataFrame:
     """Add the five label columns. The first matching rule in list order wins; two names on one row is an error."""
-    pairs = _pairs(rules)
+    pairs = broadcast_if_small(_pairs(rules), SCHEDULE_PAIRS)  # a shuffle on address pairs would put a flood in one task
     has = lambda arr, v: (F.size(arr) == 0) | F.coalesce(F.array_contains(arr, v.cast("int")), F.lit(False))
     fits = lambda r: (F.col(us).between(r["start_us"], r["end_us"]) & has(r["protocols"], F.col(proto))
                       & has(r["service_ports"], F.when(r["heading"] == "forward", F.col(dport)).otherwise(F.col(sport))))
@@ -133,11 +134,11 @@ def offset_detection(flows: DataFrame, rules: DataFrame, configured_minutes: int
         "name", "p.*").distinct()
     minute = F.floor(F.col("us") / 60_000_000).cast("bigint")
     pre = flows.groupBy("src_ip", "dst_ip", minute.alias("minute")).agg(F.count(F.lit(1)).alias("n"))
-    hist = pre.join(pairs, (F.col("src_ip") == F.col("_s")) & (F.col("dst_ip") == F.col("_d"))).groupBy("name", "minute").agg(F.sum("n").alias("n"))
+    hist = pre.join(broadcast_if_small(pairs, SCHEDULE_PAIRS), (F.col("src_ip") == F.col("_s")) & (F.col("dst_ip") == F.col("_d"))).groupBy("name", "minute").agg(F.sum("n").alias("n"))
     moved = hist.select("name", "n", "minute", F.explode(F.expr("transform(sequence(-48, 48), i -> i * 15)")).alias("offset_minutes"))
     local = (F.col("minute") + F.col("offset_minutes")) * 60_000_000
     spans = u.select(F.col("name").alias("_name"), "start_us", "end_us")
-    held = moved.join(spans, (F.col("name") == F.col("_name")) & local.between(F.col("start_us"), F.col("end_us")), "left_semi")
+    held = moved.join(broadcast_if_small(spans, SCHEDULE_PAIRS), (F.col("name") == F.col("_name")) & local.between(F.col("start_us"), F.col("end_us")), "left_semi")
     every = flows.sparkSession.range(-48, 49).select((F.col("id") * 15).cast("int").alias("offset_minutes"))
     scores = every.join(held.groupBy("offset_minutes").agg(F.sum("n").alias("aligned")), "offset_minutes", "left").fillna(0)
     pick = scores.agg(F.max_by("offset_minutes", F.struct(
