@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from wiresift.functions.addresses import gvcp_discovery_flag, routine_dns_flag
 from wiresift.functions.scalars import clean_rate, fragment_flag, is_reversed
 from wiresift.operators.features import orient_record
-from wiresift.plans.ordering import ROWS_PER_CHUNK, dense_id, keyed_scan
+from wiresift.plans.ordering import ROWS_PER_CHUNK, dense_id, keyed_scan, per_key
 from wiresift.plans.sizes import HOSTS, broadcast_if_small
 from wiresift.session import pinned
 from wiresift.sources.schemas import AGGREGATES, EVENT_COLUMNS, RECORD_STATISTICS
@@ -165,8 +165,9 @@ def port_access(events: DataFrame, rows_per_chunk: int = ROWS_PER_CHUNK) -> Data
     rev = F.col("reversed") == 1
     port = F.when(rev, F.col("src_port")).otherwise(F.col("dst_port")).try_cast("double")
     e = events.withColumns({"_client": F.when(rev, F.col("dst_node_id")).otherwise(F.col("src_node_id")), "_port": F.coalesce(port, F.lit(-1.0))})
-    e = keyed_scan(e, ["_client"], "event_id", lags={"_last_port": F.col("_port")}, rows_per_chunk=rows_per_chunk)
-    e = keyed_scan(e, ["_client", "_port"], "event_id", lags={"_seen": F.lit(1)}, rows_per_chunk=rows_per_chunk)
+    e = per_key(e, ["_client"], rows_per_chunk, lambda x, cut: keyed_scan(
+        keyed_scan(x, ["_client"], "event_id", lags={"_last_port": F.col("_port")}, rows_per_chunk=cut),
+        ["_client", "_port"], "event_id", lags={"_seen": F.lit(1)}, rows_per_chunk=cut))
     return e.withColumns({"port_delta": F.coalesce(F.col("_port") - F.col("_last_port"), F.lit(0.0)),
                           "dst_port_new": F.col("_seen").isNull().cast("double")}).drop("_client", "_port", "_last_port", "_seen")
 
@@ -177,7 +178,7 @@ def build_event_stream(flows: DataFrame, mapped: DataFrame, k: int = K) -> tuple
     ev = pinned(events_from_flows(flows, first_k_packet_aggregates(mapped, k)))  # read four times below
     ev = order_events(drop_represented_twins(drop_bad_epochs(ev)))
     nodes = pinned(node_index(ev))
-    ev = attach_node_ids(ev, nodes)
+    ev = pinned(attach_node_ids(ev, nodes))  # each scan below first counts its keys
     ev = time_since_last_seen(time_since_last_seen(ev, "src_node_id", "dt_src"), "dst_node_id", "dt_dst")
     return port_access(ev).select(*EVENT_COLUMNS), nodes
 

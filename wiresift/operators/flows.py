@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wiresift.functions.scalars import half_away
-from wiresift.plans.ordering import ROWS_PER_CHUNK, keyed_scan
+from wiresift.plans.ordering import ROWS_PER_CHUNK, keyed_scan, per_key
+from wiresift.session import pinned
 from wiresift.sources.schemas import FLOW_STATISTICS
 
 IDLE_US = 5_000_000
@@ -30,16 +31,17 @@ def flow_statistics(packets: DataFrame, key: str = "flow_uid", idle_us: int = ID
     chunked scans, everything else is one hash aggregate with map-side combine: a flow of any length is fine.
     `IAT Tot` is the sum of the gaps.
     """
-    p = _sided(packets)
-    p = keyed_scan(p, [key], "frame_no", lags={"_prev": F.col("us")}, rows_per_chunk=rows_per_chunk)
-    p = keyed_scan(p, [key, "side"], "frame_no", lags={"_prev_side": F.col("us")}, rows_per_chunk=rows_per_chunk)
-    raw = F.col("us") - F.col("_prev")
-    p = p.withColumns({
-        "_gap": F.greatest(raw, F.lit(0)).cast("double"), "_side_gap": F.greatest(F.col("us") - F.col("_prev_side"), F.lit(0)).cast("double"),
-        "_break": F.coalesce((raw >= idle_us).cast("int"), F.lit(0)), "_idle": F.when(raw >= idle_us, raw.cast("double")),
-        "_len": F.col("length").cast("double"), "_hdr": F.col("header_len").cast("double")})
-    spans = keyed_scan(p.select(key, "frame_no", "us", "_break"), [key], "frame_no", sums={"_island": F.col("_break")}, rows_per_chunk=rows_per_chunk)
-    spans = spans.groupBy(key, "_island").agg((F.max_by("us", "frame_no") - F.min_by("us", "frame_no")).cast("double").alias("_active"))
+    def chain(p: DataFrame, cut) -> DataFrame:
+        p = keyed_scan(p, [key], "frame_no", lags={"_prev": F.col("us")}, rows_per_chunk=cut)
+        p = keyed_scan(p, [key, "side"], "frame_no", lags={"_prev_side": F.col("us")}, rows_per_chunk=cut)
+        raw = F.col("us") - F.col("_prev")
+        p = p.withColumns({
+            "_gap": F.greatest(raw, F.lit(0)).cast("double"), "_side_gap": F.greatest(F.col("us") - F.col("_prev_side"), F.lit(0)).cast("double"),
+            "_break": F.coalesce((raw >= idle_us).cast("int"), F.lit(0)), "_idle": F.when(raw >= idle_us, raw.cast("double")),
+            "_len": F.col("length").cast("double"), "_hdr": F.col("header_len").cast("double")})
+        return keyed_scan(p, [key], "frame_no", sums={"_island": F.col("_break")}, rows_per_chunk=cut)
+    p = per_key(_sided(packets), [key], rows_per_chunk, chain)
+    spans = p.groupBy(key, "_island").agg((F.max_by("us", "frame_no") - F.min_by("us", "frame_no")).cast("double").alias("_active"))
     active = F.when(F.col("_active") > 0, F.col("_active"))
     spans = spans.groupBy(key).agg(F.avg(active).alias("_a_mean"), F.stddev_samp(active).alias("_a_sd"), F.max(active).alias("_a_max"), F.min(active).alias("_a_min"))
 
@@ -96,25 +98,29 @@ def tcp_progress(packets: DataFrame, key: str = "flow_key", rows_per_chunk: int
     The state machine only moves forward, so it reduces to running facts: a bare SYN was seen, the connection was
     established (a SYN-ACK, or a pure ACK after a SYN), how many FINs followed, whether a RST was seen.
     """
+    return per_key(_sided(packets), [key], rows_per_chunk, lambda p, cut: _progress(p, key, cut))
+
+
+def _progress(p: DataFrame, key: str, cut) -> DataFrame:
     on = lambda f: F.col(f"tcp_flag_{f}") == 1
     tcp = F.col("protocol") == 6
-    p = _sided(packets).withColumns({
+    p = p.withColumns({
         "_syn": (tcp & on("syn") & ~on("ack")).cast("int"), "_synack": (tcp & on("syn") & on("ack")).cast("int"),
         "_pure": (tcp & on("ack") & ~on("syn") & ~on("fin") & ~on("rst")).cast("int"),
         "_fin": (tcp & on("fin")).cast("int"), "_rst": (tcp & on("rst")).cast("int")})
     p = keyed_scan(p, [key], "frame_no", maxes={"_syn_seen": F.col("_syn"), "_synack_seen": F.col("_synack"), "_rst_seen": F.col("_rst")},
-                   lags={"_prev": F.col("us")}, rows_per_chunk=rows_per_chunk)
+                   lags={"_prev": F.col("us")}, rows_per_chunk=cut)
     p = p.withColumn("_est", F.greatest(F.col("_synack"), F.col("_pure") * F.coalesce("_syn_seen", F.lit(0))))
-    p = keyed_scan(p, [key], "frame_no", maxes={"_est_seen": F.col("_est")}, rows_per_chunk=rows_per_chunk)
+    p = keyed_scan(p, [key], "frame_no", maxes={"_est_seen": F.col("_est")}, rows_per_chunk=cut)
     p = p.withColumn("_open_fin", F.col("_fin") * F.greatest(F.col("_est"), F.coalesce("_est_seen", F.lit(0))))
-    p = keyed_scan(p, [key], "frame_no", sums={"_fins": F.col("_open_fin")}, rows_per_chunk=rows_per_chunk)
+    p = keyed_scan(p, [key], "frame_no", sums={"_fins": F.col("_open_fin")}, rows_per_chunk=cut)
     return p.withColumn("fins_before", F.col("_fins") - F.col("_open_fin"))
 
 
 def flow_state(packets: DataFrame, key: str = "flow_key", rows_per_chunk: int = ROWS_PER_CHUNK) -> DataFrame:
     """Per flow: final state, per-direction volumes and gaps. Forward is the first packet's orientation."""
-    p = tcp_progress(packets, key, rows_per_chunk)
-    p = keyed_scan(p, [key, "side"], "frame_no", lags={"_prev_side": F.col("us")}, rows_per_chunk=rows_per_chunk)
+    p = per_key(_sided(packets), [key], rows_per_chunk, lambda x, cut: keyed_scan(
+        _progress(x, key, cut), [key, "side"], "frame_no", lags={"_prev_side": F.col("us")}, rows_per_chunk=cut))
     gap = (F.col("us") - F.col("_prev_side")).cast("double")
     p = p.withColumn("_gap", F.when(gap >= 0, gap))
     aggs = [F.min_by("side", "frame_no").alias("_first_side"), F.min_by("protocol", "frame_no").alias("protocol"),
@@ -144,9 +150,9 @@ def flow_state(packets: DataFrame, key: str = "flow_key", rows_per_chunk: int =
 
 def corroborated_replies(packets: DataFrame, key: str = "flow_key", rows_per_chunk: int = ROWS_PER_CHUNK) -> DataFrame:
     """Per packet: is it a reply its flow's own history corroborates (UDP after a request, TCP inside an established flow)?"""
-    p = tcp_progress(packets, key, rows_per_chunk)
     first = F.struct((-F.col("frame_no")).alias("order"), F.col("side").alias("side"))
-    p = keyed_scan(p, [key], "frame_no", maxes={"_first": first}, rows_per_chunk=rows_per_chunk)
+    p = per_key(_sided(packets), [key], rows_per_chunk, lambda x, cut: keyed_scan(
+        _progress(x, key, cut), [key], "frame_no", maxes={"_first": first}, rows_per_chunk=cut))
     reply = F.col("_first").isNotNull() & (F.col("side") != F.col("_first.side"))
     live = ((F.coalesce("_synack_seen", F.lit(0)) == 1) & (F.coalesce("_rst_seen", F.lit(0)) == 0) & (F.col("fins_before") < 2))
     return p.withColumn("corroborated", F.coalesce(reply & ((F.col("protocol") == 17) | live), F.lit(False)))
@@ -170,9 +176,12 @@ def segment_packets(packets: DataFrame, timeout_us: int = TIMEOUT_US, rows_per_c
     p = _sided(v4)
     lo, hi = F.concat_ws(":", "src_ip", "src_port"), F.concat_ws(":", "dst_ip", "dst_port")
     p = p.withColumn("segment_key", F.concat_ws("|", F.least(lo, hi), F.greatest(lo, hi), F.col("protocol").cast("string")))
-    p = keyed_scan(p, ["segment_key"], "frame_no", lags={"_prev": F.col("us")}, rows_per_chunk=rows_per_chunk)
-    fresh = F.coalesce((F.col("us") - F.col("_prev") > timeout_us).cast("int"), F.lit(0))
-    p = keyed_scan(p.withColumn("_fresh", fresh), ["segment_key"], "frame_no", sums={"session": F.col("_fresh")}, rows_per_chunk=rows_per_chunk)
+
+    def sessions(x: DataFrame, cut) -> DataFrame:
+        x = keyed_scan(x, ["segment_key"], "frame_no", lags={"_prev": F.col("us")}, rows_per_chunk=cut)
+        fresh = F.coalesce((F.col("us") - F.col("_prev") > timeout_us).cast("int"), F.lit(0))
+        return keyed_scan(x.withColumn("_fresh", fresh), ["segment_key"], "frame_no", sums={"session": F.col("_fresh")}, rows_per_chunk=cut)
+    p = per_key(p, ["segment_key"], rows_per_chunk, sessions)
     slim = p.select("segment_key", "session", "frame_no", "us", F.when(F.col("protocol") == 6, F.col("tcp_flag_fin")).otherwise(0).cast("int").alias("fin"),
                     "side", "length", "src_ip", "dst_ip", "src_port", "dst_port", "protocol")
     laid = slim.repartition("segment_key", "session").sortWithinPartitions("segment_key", "session", "frame_no")
@@ -226,9 +235,12 @@ def segment_flows(packets: DataFrame, timeout_us: int = TIMEOUT_US, forget_us: i
         F.count(F.lit(1)).alias("packets"), F.sum("length").alias("bytes"), F.min_by("us", "frame_no").alias("start_us"), F.max("us").alias("end_us"),
         F.min("frame_no").alias("first_frame"), F.max(F.when(F.col("opens") == 0, F.col("fin")).otherwise(0)).alias("closed_by_fin"),
         F.min_by(F.struct("src_ip", "src_port", "dst_ip", "dst_port", "protocol"), "frame_no").alias("ends"))
-    g = keyed_scan(g, ["segment_key"], "first_frame", lags={"_fin_before": F.col("closed_by_fin"), "_start_before": F.col("start_us")}, rows_per_chunk=rows_per_chunk)
-    fresh = (F.col("_fin_before") == 1) | (F.col("start_us") - F.col("_start_before") - timeout_us > forget_us)
-    g = keyed_scan(g.withColumn("_fresh", F.coalesce(fresh.cast("int"), F.lit(0))), ["segment_key"], "first_frame", sums={"_chain": F.col("_fresh")}, rows_per_chunk=rows_per_chunk)
+
+    def chains(x: DataFrame, cut) -> DataFrame:
+        x = keyed_scan(x, ["segment_key"], "first_frame", lags={"_fin_before": F.col("closed_by_fin"), "_start_before": F.col("start_us")}, rows_per_chunk=cut)
+        fresh = (F.col("_fin_before") == 1) | (F.col("start_us") - F.col("_start_before") - timeout_us > forget_us)
+        return keyed_scan(x.withColumn("_fresh", F.coalesce(fresh.cast("int"), F.lit(0))), ["segment_key"], "first_frame", sums={"_chain": F.col("_fresh")}, rows_per_chunk=cut)
+    g = per_key(pinned(g), ["segment_key"], rows_per_chunk, chains)  # one row per segment, read twice below
     lead = g.groupBy("segment_key", "_chain").agg(F.min_by("ends", "first_frame").alias("o"))
     return g.where("packets > 1").join(lead, ["segment_key", "_chain"]).select(
         "segment_key", "session", "segment", "packets", "bytes", "start_us", "end_us", "first_frame", "closed_by_fin", "o.*")

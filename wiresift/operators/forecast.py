@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wiresift.operators.metrics import quantiles
-from wiresift.plans.ordering import ROWS_PER_CHUNK, dense_id, grouped_median, keyed_scan
+from wiresift.plans.ordering import ROWS_PER_CHUNK, dense_id, grouped_median, keyed_scan, per_key
 
 HORIZON_S = 3600.0
 MAX_FORECASTS = 20_000
@@ -25,8 +25,8 @@ def next_occurrence(predictions: DataFrame, links: DataFrame, horizon_s: float =
         predictions.select(*link, t, F.lit(1).alias("_kind"), F.col("prediction").cast("bigint").alias("prediction")))
     both = dense_id(both, [*link, t, "_kind", "prediction"], "_pos")
     seen = F.when(F.col("_kind") == 0, F.col(t))
-    s = keyed_scan(both, link, "_pos", lasts={"_last": seen}, rows_per_chunk=rows_per_chunk)
-    s = keyed_scan(s, link, "_pos", lasts={"_next": seen}, reverse=True, rows_per_chunk=rows_per_chunk).where("_kind = 1")
+    s = per_key(both, link, rows_per_chunk, lambda x, cut: keyed_scan(
+        keyed_scan(x, link, "_pos", lasts={"_last": seen}, rows_per_chunk=cut), link, "_pos", lasts={"_next": seen}, reverse=True, rows_per_chunk=cut)).where("_kind = 1")
     delay = (F.col("_next") - F.col(t)) / F.lit(1e6)
     return s.select("prediction", *link, t, F.when(delay <= horizon_s, delay).alias("delay_s"), F.col("_last").isNotNull().alias("repeat"))
 
@@ -97,8 +97,8 @@ def proximity_ranking(events: DataFrame, forecasts: DataFrame, hosts: DataFrame,
     hosts: host, ip_number, first_position.  The rank limit is applied before the shuffle, so only `cap` rows per
     forecast and task move; the forecast list is the broadcast side and its size is checked.
     """
-    e = keyed_scan(events.select(position, sender, receiver), [sender], position, lags={"_r1": F.col(receiver)}, rows_per_chunk=rows_per_chunk)
-    e = keyed_scan(e, [sender], position, lags={"_r2": F.col("_r1")}, rows_per_chunk=rows_per_chunk)
+    e = per_key(events.select(position, sender, receiver), [sender], rows_per_chunk, lambda x, cut: keyed_scan(
+        keyed_scan(x, [sender], position, lags={"_r1": F.col(receiver)}, rows_per_chunk=cut), [sender], position, lags={"_r2": F.col("_r1")}, rows_per_chunk=cut))
     targets = e.join(forecasts.select("forecast", position), position).select(
         "forecast", position, F.col(sender).alias("_attacker"), F.explode(F.filter(F.array(receiver, "_r1", "_r2"), lambda x: x.isNotNull())).alias("_target"))
     known = targets.join(hosts.select(F.col("host").alias("_target"), F.col("ip_number").alias("_ip")), "_target").where("_ip IS NOT NULL")

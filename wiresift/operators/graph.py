@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wiresift.plans.ordering import ROWS_PER_CHUNK, dense_id, grouped_median, keyed_scan
+from wiresift.plans.ordering import ROWS_PER_CHUNK, dense_id, grouped_median, keyed_scan, per_key
+from wiresift.session import pinned
 
 SIZE = 20
 
@@ -127,12 +128,14 @@ def link_state(messages: DataFrame, position: str = "position", us: str = "us",
                kinds: tuple[str, ...] = ("event", "summary", "record"), ttl_s: float = 3600.0, rows_per_chunk: int = ROWS_PER_CHUNK) -> DataFrame:
     """Per message: gap since the link's last one, whether the link restarted (gap above `ttl_s`), counts by kind since then."""
     key = [sender, receiver]
-    m = keyed_scan(messages, key, position, lags={"_last": F.col(us)}, rows_per_chunk=rows_per_chunk)
     gap = (F.col(us) - F.col("_last")) / F.lit(1e6)
-    m = m.withColumns({"gap_s": gap, "restarted": gap.isNull() | (gap > ttl_s)})
-    m = keyed_scan(m, key, position, sums={"_life": F.col("restarted").cast("int")}, rows_per_chunk=rows_per_chunk)
-    m = keyed_scan(m, [*key, "_life"], position, sums={f"{k}_count": (F.col(kind) == k).cast("int") for k in kinds}, rows_per_chunk=rows_per_chunk)
-    return m.drop("_last", "_life")
+
+    def chain(m: DataFrame, cut) -> DataFrame:
+        m = keyed_scan(m, key, position, lags={"_last": F.col(us)}, rows_per_chunk=cut)
+        m = m.withColumns({"gap_s": gap, "restarted": gap.isNull() | (gap > ttl_s)})
+        m = keyed_scan(m, key, position, sums={"_life": F.col("restarted").cast("int")}, rows_per_chunk=cut)
+        return keyed_scan(m, [*key, "_life"], position, sums={f"{k}_count": (F.col(kind) == k).cast("int") for k in kinds}, rows_per_chunk=cut)
+    return per_key(messages, key, rows_per_chunk, chain).drop("_last", "_life")
 
 
 def campaigns(events: DataFrame, attack: Column, host: str = "host", position: str = "position", quiet: int = 20, rows_per_chunk: int = ROWS_PER_CHUNK) -> DataFrame:
@@ -140,14 +143,16 @@ def campaigns(events: DataFrame, attack: Column, host: str = "host", position: s
 
     Ids are dense in (host, opening position) order.
     """
-    e = events.withColumn("_attack", attack)
-    e = keyed_scan(e, [host], position, sums={"_calm": (~F.col("_attack")).cast("int")}, rows_per_chunk=rows_per_chunk)
-    a = keyed_scan(e.where("_attack"), [host], position, lags={"_calm_before": F.col("_calm")}, rows_per_chunk=rows_per_chunk)
     opens = F.coalesce((F.col("_calm") - F.col("_calm_before") >= quiet).cast("int"), F.lit(1))
-    a = keyed_scan(a.withColumn("_opens", opens), [host], position, sums={"_nth": F.col("_opens")}, rows_per_chunk=rows_per_chunk)
+
+    def chain(e: DataFrame, cut) -> DataFrame:
+        e = keyed_scan(e, [host], position, sums={"_calm": (~F.col("_attack")).cast("int")}, rows_per_chunk=cut)
+        a = keyed_scan(e.where("_attack"), [host], position, lags={"_calm_before": F.col("_calm")}, rows_per_chunk=cut)
+        return keyed_scan(a.withColumn("_opens", opens), [host], position, sums={"_nth": F.col("_opens")}, rows_per_chunk=cut)
+    a = pinned(per_key(events.select(host, position, attack.alias("_attack")), [host], rows_per_chunk, chain))  # attack rows only
     ids = dense_id(a.where("_opens = 1").select(host, "_nth"), [host, "_nth"], "campaign")
     named = a.select(host, "_nth", F.col(position)).join(ids, [host, "_nth"]).select(position, "campaign")
-    return e.join(named, position, "left").fillna({"campaign": -1}).drop("_attack", "_calm")
+    return events.join(named, position, "left").fillna({"campaign": -1})
 
 
 def campaign_coverage(events: DataFrame, points: DataFrame, split: str = "split") -> DataFrame:
@@ -205,8 +210,10 @@ def lead_ceilings(events: DataFrame, families: list[str], host: str = "host", po
 
 def time_to_new_peer(events: DataFrame, host: str = "sender", peer: str = "receiver", position: str = "position", us: str = "us", rows_per_chunk: int = ROWS_PER_CHUNK) -> DataFrame:
     """Per event: seconds until its host first contacts a peer it has never contacted, null when it never does."""
-    e = keyed_scan(events, [host, peer], position, lags={"_met": F.lit(1)}, rows_per_chunk=rows_per_chunk)
-    e = keyed_scan(e, [host], position, lasts={"_next": F.when(F.col("_met").isNull(), F.col(us))}, reverse=True, rows_per_chunk=rows_per_chunk)
+    def chain(e: DataFrame, cut) -> DataFrame:
+        e = keyed_scan(e, [host, peer], position, lags={"_met": F.lit(1)}, rows_per_chunk=cut)
+        return keyed_scan(e, [host], position, lasts={"_next": F.when(F.col("_met").isNull(), F.col(us))}, reverse=True, rows_per_chunk=cut)
+    e = per_key(events, [host], rows_per_chunk, chain)
     return e.withColumn("wait_s", (F.col("_next") - F.col(us)) / F.lit(1e6)).drop("_met", "_next")
 
 

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from wiresift.functions.addresses import blockable, service_tags
 from wiresift.functions.scalars import is_ipv4, severity
-from wiresift.plans.ordering import ROWS_PER_CHUNK, dense_id, keyed_scan
+from wiresift.plans.ordering import ROWS_PER_CHUNK, dense_id, keyed_scan, per_key
+from wiresift.session import pinned
 
 PERSIST, GAP_S = 3, 120.0
 
@@ -25,9 +26,11 @@ def persist_runs(scores: DataFrame, keys: Sequence[str], position: str = "positi
     """
     keys = list(keys)
     fires = F.col("score") >= F.col("threshold") if fires is None else fires
-    s = scores.withColumn("_fires", fires)
-    s = keyed_scan(s, keys, position, sums={"island": (~F.col("_fires")).cast("int")}, rows_per_chunk=rows_per_chunk)
-    s = keyed_scan(s, [*keys, "island"], position, sums={"run": F.col("_fires").cast("int")}, rows_per_chunk=rows_per_chunk)
+
+    def chain(s: DataFrame, cut) -> DataFrame:
+        s = keyed_scan(s, keys, position, sums={"island": (~F.col("_fires")).cast("int")}, rows_per_chunk=cut)
+        return keyed_scan(s, [*keys, "island"], position, sums={"run": F.col("_fires").cast("int")}, rows_per_chunk=cut)
+    s = per_key(scores.withColumn("_fires", fires), keys, rows_per_chunk, chain)
     return s.withColumns({"run": F.when(F.col("_fires"), F.col("run")).otherwise(0)}).withColumn("alert", F.col("run") >= n).drop("_fires")
 
 
@@ -39,9 +42,12 @@ def incidents_from_alerts(alerts: DataFrame, keys: Sequence[str], gap_s: float =
     opening order over all keys; each carries its opening score.
     """
     keys = list(keys)
-    a = keyed_scan(alerts, keys, position, lags={"_before": F.col(t)}, rows_per_chunk=rows_per_chunk)
     opens = F.col("_before").isNull() | (F.col(t) > F.col("_before") + int(gap_s * 1e6))
-    a = keyed_scan(a.withColumn("opens", opens), keys, position, sums={"nth": F.col("opens").cast("int")}, rows_per_chunk=rows_per_chunk).drop("_before")
+
+    def chain(a: DataFrame, cut) -> DataFrame:
+        a = keyed_scan(a, keys, position, lags={"_before": F.col(t)}, rows_per_chunk=cut)
+        return keyed_scan(a.withColumn("opens", opens), keys, position, sums={"nth": F.col("opens").cast("int")}, rows_per_chunk=cut)
+    a = per_key(pinned(alerts), keys, rows_per_chunk, chain).drop("_before")  # alerts are few and read more than once
     inc = a.groupBy(*keys, "nth").agg(F.min(position).alias("opened_position"), F.min_by(t, position).alias("opened_us"), F.max(t).alias("last_alert_us"),
                                       F.min_by("score", position).alias("opening_score"), F.count(F.lit(1)).alias("alerts"))
     return a, dense_id(inc, ["opened_position", *keys], "incident", start=1)
@@ -50,7 +56,7 @@ def incidents_from_alerts(alerts: DataFrame, keys: Sequence[str], gap_s: float =
 def incident_evidence(scored: DataFrame, keys: Sequence[str], gap_s: float = GAP_S, n: int = PERSIST, position: str = "position", rows_per_chunk: int = ROWS_PER_CHUNK) -> DataFrame:
     """Every row linked to an incident: the rows of a qualifying run, including those before its n-th crossing."""
     keys = list(keys)
-    runs = persist_runs(scored, keys, position, n=n, rows_per_chunk=rows_per_chunk).where("run > 0")
+    runs = pinned(persist_runs(scored, keys, position, n=n, rows_per_chunk=rows_per_chunk).where("run > 0"))
     alerts, inc = incidents_from_alerts(runs.where("alert"), keys, gap_s, position, rows_per_chunk=rows_per_chunk)
     ids = inc.select(*keys, "nth", "incident", "opened_us")
     linked = alerts.select(*keys, "island", position, "run", "nth")
@@ -75,14 +81,17 @@ def link_incidents(scored: DataFrame, direction: int, served: float, tight: floa
     """
     link, gap = list(link), int(gap_s * 1e6)
     v = F.col(value) * direction
-    s = keyed_scan(scored, link, position, sums={"_reset": (v < served).cast("int")}, rows_per_chunk=rows_per_chunk)
-    c = keyed_scan(s.where(v >= served), link, position, lags={"_t": F.col(t), "_r": F.col("_reset")}, rows_per_chunk=rows_per_chunk)
     fresh = F.col("_t").isNull() | (F.col("_r") != F.col("_reset")) | (F.col(t) > F.col("_t") + gap)
-    c = keyed_scan(c.withColumn("_fresh", fresh.cast("int")), link, position, sums={"_island": F.col("_fresh")}, rows_per_chunk=rows_per_chunk)
-    c = keyed_scan(c, [*link, "_island"], position, sums={"run": F.lit(1)}, rows_per_chunk=rows_per_chunk)
-    hot = keyed_scan(c.where("run >= 3"), link, position, lags={"_seen": F.col(t)}, rows_per_chunk=rows_per_chunk)
     new = F.col("_seen").isNull() | (F.col(t) > F.col("_seen") + gap)
-    hot = keyed_scan(hot.withColumn("_new", new.cast("int")), link, position, sums={"nth": F.col("_new")}, rows_per_chunk=rows_per_chunk)
+
+    def chain(s: DataFrame, cut) -> DataFrame:
+        s = keyed_scan(s, link, position, sums={"_reset": (v < served).cast("int")}, rows_per_chunk=cut)
+        c = keyed_scan(s.where(v >= served), link, position, lags={"_t": F.col(t), "_r": F.col("_reset")}, rows_per_chunk=cut)
+        c = keyed_scan(c.withColumn("_fresh", fresh.cast("int")), link, position, sums={"_island": F.col("_fresh")}, rows_per_chunk=cut)
+        c = keyed_scan(c, [*link, "_island"], position, sums={"run": F.lit(1)}, rows_per_chunk=cut)
+        seen = keyed_scan(c.where("run >= 3"), link, position, lags={"_seen": F.col(t)}, rows_per_chunk=cut)
+        return keyed_scan(seen.withColumn("_new", new.cast("int")), link, position, sums={"nth": F.col("_new")}, rows_per_chunk=cut)
+    hot = per_key(scored, link, rows_per_chunk, chain)
     # A run of three or more brings its first two crossings along.
     hot = hot.withColumn("_brings", F.when(F.col("run") == 3, 3).otherwise(1))
     inc = hot.groupBy(*link, "nth").agg(
@@ -98,9 +107,12 @@ def alert_groups(flags: DataFrame, gap_s: float = GAP_S, link: Sequence[str] = (
                  rows_per_chunk: int = ROWS_PER_CHUNK) -> DataFrame:
     """Stored flags as bursts per link; HIGH if any flag is, `incident` if any flag belonged to one."""
     link = list(link)
-    f = keyed_scan(flags, link, position, lags={"_t": F.col(t)}, rows_per_chunk=rows_per_chunk)
     new = F.col("_t").isNull() | (F.col(t) > F.col("_t") + int(gap_s * 1e6))
-    f = keyed_scan(f.withColumn("_new", new.cast("int")), link, position, sums={"burst": F.col("_new")}, rows_per_chunk=rows_per_chunk)
+
+    def chain(f: DataFrame, cut) -> DataFrame:
+        f = keyed_scan(f, link, position, lags={"_t": F.col(t)}, rows_per_chunk=cut)
+        return keyed_scan(f.withColumn("_new", new.cast("int")), link, position, sums={"burst": F.col("_new")}, rows_per_chunk=cut)
+    f = per_key(flags, link, rows_per_chunk, chain)
     return f.groupBy(*link, "burst").agg(
         F.min(t).alias("opened_us"), F.max(t).alias("last_seen_us"), F.min_by("value", position).alias("opening_value"), F.count(F.lit(1)).alias("events"),
         F.when(F.max((F.col("severity") == "HIGH").cast("int")) == 1, "HIGH").otherwise(F.min_by("severity", position)).alias("severity"),

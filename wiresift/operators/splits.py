@@ -5,7 +5,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wiresift.operators.labelling import utc_rules
-from wiresift.plans.ordering import ROWS_PER_CHUNK, keyed_scan
+from wiresift.plans.ordering import ROWS_PER_CHUNK, keyed_scan, per_key
+from wiresift.session import pinned
 
 TRAIN, VAL, TEST, GAP = 0, 1, 2, -1
 BENIGN = "Benign"
@@ -85,7 +86,7 @@ def stratified_split(events: DataFrame, windows: DataFrame, position: str, us: s
     gap_us = int(gap_s * 1e6)
     e = in_segments(events, segments(events, windows, us), us)
     fam = keyed_scan(e.where(F.col(label) != BENIGN), ["segment", label], position, sums={"_rank": F.lit(1)}, rows_per_chunk=rows_per_chunk)
-    fam = fam.withColumn("_rank", F.col("_rank") - 1)
+    fam = pinned(fam.withColumn("_rank", F.col("_rank") - 1))  # attack rows only; their groups are counted three times below
     n = fam.groupBy("segment", label).agg(F.count(F.lit(1)).alias("_n"))
     first = F.least(F.greatest(F.lit(1), F.rint(F.col("_n") * train).cast("bigint")), F.col("_n") - 2)
     second = F.least(F.greatest(F.col("_first") + 1, F.rint(F.col("_n") * (train + val)).cast("bigint")), F.col("_n") - 1)
@@ -109,9 +110,12 @@ def stratified_split(events: DataFrame, windows: DataFrame, position: str, us: s
 def band_hours(events: DataFrame, position: str, us: str = "us", split: str = "split", code: int = TEST, rows_per_chunk: int = ROWS_PER_CHUNK) -> DataFrame:
     """Hours covered by one split: the summed span of its unbroken runs in stream order."""
     e = events.select(position, us, split)
-    e = keyed_scan(e, [], position, lags={"_before": F.col(split)}, rows_per_chunk=rows_per_chunk)
     turn = F.coalesce((F.col(split) != F.col("_before")).cast("int"), F.lit(1))
-    e = keyed_scan(e.withColumn("_turn", turn), [], position, sums={"_run": F.col("_turn")}, rows_per_chunk=rows_per_chunk)
+
+    def chain(x: DataFrame, cut) -> DataFrame:
+        x = keyed_scan(x, [], position, lags={"_before": F.col(split)}, rows_per_chunk=cut)
+        return keyed_scan(x.withColumn("_turn", turn), [], position, sums={"_run": F.col("_turn")}, rows_per_chunk=cut)
+    e = per_key(e, [], rows_per_chunk, chain)
     runs = e.where(F.col(split) == code).groupBy("_run").agg((F.max(us) - F.min(us)).alias("_span"))
     return runs.agg((F.coalesce(F.sum("_span"), F.lit(0)) / F.lit(3.6e9)).alias("hours"))
 

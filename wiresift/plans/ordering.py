@@ -1,13 +1,14 @@
 """Ordered computations that stay distributed when one key holds most of the rows.
 
 `dense_id` numbers a whole table in a global order without a one-task window. `keyed_scan` evaluates
-lag / running-sum / last-value expressions per key over a dense position. Each key is cut into chunks of
-consecutive positions, every (key, chunk) is an independent window of at most `rows_per_chunk` rows, and one
-summary row per (key, chunk) carries the state across the cuts. The result equals the plain per-key window.
+lag / running-sum / last-value expressions per key over a dense position; `per_key` runs a chain of them. Keys of
+ordinary size use plain windows and share one shuffle. A larger key is cut into chunks of consecutive positions, every
+(key, chunk) is an independent window of at most `rows_per_chunk` rows, and one summary row per (key, chunk) carries
+the state across the cuts. The result equals the plain per-key window.
 """
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from wiresift.session import pinned
 
 ROWS_PER_CHUNK = 1_000_000
+MAX_LISTED = 10_000
 
 
 def dense_id(df: DataFrame, order: Sequence[str | Column], name: str, start: int = 0) -> DataFrame:
@@ -41,6 +43,33 @@ def dense_id(df: DataFrame, order: Sequence[str | Column], name: str, start: int
     )
 
 
+class Chunks(int):
+    """A chunk size that has been decided on: the rows at hand belong to keys too large for one task."""
+
+
+def per_key(df: DataFrame, keys: Sequence[str], rows_per_chunk: int | Chunks | None, chain: Callable[[DataFrame, Chunks | None], DataFrame]) -> DataFrame:
+    """Run a chain of keyed scans, cutting only the keys that need it.
+
+    Rows are counted per key once. Keys of at most `rows_per_chunk` rows go through `chain` with plain windows: the whole
+    chain shares one shuffle, as every window in it is clustered by `keys`. The rows of larger keys are written out and go
+    through the same chain in chunks. `chain(rows, cut)` hands `cut` to its scans as their `rows_per_chunk`; inside
+    another chain the decision already taken is kept.
+    """
+    if rows_per_chunk is None or isinstance(rows_per_chunk, Chunks):
+        return chain(df, rows_per_chunk)
+    keys = list(keys)
+    if not keys:
+        return chain(df, Chunks(rows_per_chunk) if df.count() > rows_per_chunk else None)
+    large = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > rows_per_chunk).select(*keys)
+    # At most one key in `rows_per_chunk` rows can be large; a short list stays on the driver, a long one is written.
+    found = large.limit(MAX_LISTED + 1).collect()
+    if not found:
+        return chain(df, None)
+    hot = F.broadcast(df.sparkSession.createDataFrame(found, large.schema)) if len(found) <= MAX_LISTED else pinned(large)
+    cold = chain(df.join(hot, keys, "left_anti"), None)
+    return cold.unionByName(chain(pinned(df.join(hot, keys, "left_semi")), Chunks(rows_per_chunk)))
+
+
 def keyed_scan(
     df: DataFrame,
     keys: Sequence[str],
@@ -51,7 +80,7 @@ def keyed_scan(
     lasts: Mapping[str, Column] | None = None,
     maxes: Mapping[str, Column] | None = None,
     reverse: bool = False,
-    rows_per_chunk: int = ROWS_PER_CHUNK,
+    rows_per_chunk: int | Chunks | None = ROWS_PER_CHUNK,
 ) -> DataFrame:
     """Per-key scans over an integer `position` that is unique within a key.
 
@@ -63,17 +92,36 @@ def keyed_scan(
     """
     lags, sums, lasts, maxes = dict(lags or {}), dict(sums or {}), dict(lasts or {}), dict(maxes or {})
     step = F.col(position) if not reverse else -F.col(position)
-    base = df.withColumn("_chunk", F.floor(step / F.lit(rows_per_chunk)).cast("bigint"))
-    base = base.withColumns({f"_in_{k}": v for d in (lags, sums, lasts, maxes) for k, v in d.items()})
-    w = Window.partitionBy(*keys, "_chunk").orderBy(step)
+
+    def scan(rows: DataFrame, cut: Chunks | None) -> DataFrame:
+        if cut is None:
+            return _plain_scan(rows, keys, step, lags, sums, lasts, maxes)
+        return _chunked_scan(pinned(rows), keys, step, lags, sums, lasts, maxes, int(cut))
+    return per_key(df, keys, rows_per_chunk, scan)
+
+
+def _local(w, lags, sums, lasts, maxes) -> dict[str, Column]:
     until = w.rowsBetween(Window.unboundedPreceding, -1)
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    return ({k: F.lag(v).over(w) for k, v in lags.items()} | {k: F.sum(v).over(upto) for k, v in sums.items()}
+            | {k: F.last(v, ignorenulls=True).over(until) for k, v in lasts.items()} | {k: F.max(v).over(until) for k, v in maxes.items()})
+
 
-    local = {"_first": F.lag(F.lit(1)).over(w).isNull()} if lags else {}
-    local |= {f"_loc_{k}": F.lag(f"_in_{k}").over(w) for k in lags}
-    local |= {f"_loc_{k}": F.sum(f"_in_{k}").over(upto) for k in sums}
-    local |= {f"_loc_{k}": F.last(f"_in_{k}", ignorenulls=True).over(until) for k in lasts}
-    local |= {f"_loc_{k}": F.max(f"_in_{k}").over(until) for k in maxes}
+def _plain_scan(df, keys, step, lags, sums, lasts, maxes) -> DataFrame:
+    w = Window.partitionBy(*keys).orderBy(step)
+    out = _local(w, lags, sums, lasts, maxes)
+    return df.select(*[c for c in df.columns if c not in out], *[c.alias(n) for n, c in out.items()])
+
+
+def _chunked_scan(df, keys, step, lags, sums, lasts, maxes, size: int) -> DataFrame:
+    """Each (key, chunk) of `size` positions on its own, then the state of earlier chunks from a summary table."""
+    base = df.withColumn("_chunk", F.floor(step / F.lit(size)).cast("bigint"))
+    base = base.withColumns({f"_in_{k}": v for d in (lags, sums, lasts, maxes) for k, v in d.items()})
+    w = Window.partitionBy(*keys, "_chunk").orderBy(step)
+    inside = lambda d: {f"_loc_{k}": F.col(f"_in_{k}") for k in d}
+    local = _local(w, inside(lags), inside(sums), inside(lasts), inside(maxes))
+    if lags:
+        local["_first"] = F.lag(F.lit(1)).over(w).isNull()
     scanned = base.select("*", *[c.alias(n) for n, c in local.items()])
 
     summary = base.groupBy(*keys, "_chunk").agg(
@@ -96,8 +144,7 @@ def keyed_scan(
     out |= {k: F.col(f"_loc_{k}") + F.coalesce(F.col(f"_car_{k}"), F.lit(0)) for k in sums}
     out |= {k: F.coalesce(F.col(f"_loc_{k}"), F.col(f"_car_{k}")) for k in lasts}
     out |= {k: F.greatest(F.col(f"_loc_{k}"), F.col(f"_car_{k}")) for k in maxes}
-    kept = [c for c in df.columns if c not in out]
-    return joined.select(*kept, *[c.alias(n) for n, c in out.items()])
+    return joined.select(*[c for c in df.columns if c not in out], *[c.alias(n) for n, c in out.items()])
 
 
 def value_bucket(value: Column, per_fold: int = 256) -> Column:
