@@ -7,7 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from wiresift.operators.features import sample_rows
-from wiresift.operators.mapping import dyadic_cover
+from wiresift.operators.mapping import RADIX, radix_cover
 from wiresift.operators.metrics import auroc, average_precision, quantiles
 from wiresift.plans import ordering as od
 
@@ -103,12 +103,12 @@ def test_medians(spark):
     assert od.median_of(df, "v").first()[0] == pdf.v.median()
 
 
-def test_dyadic_cover_is_exact(spark):
+def test_window_cover_is_exact(spark):
     r = random.Random(3)
     spans = [(i, a, a + r.randrange(0, 5000)) for i, a in enumerate(r.randrange(0, 10**6) for _ in range(60))] + [(99, 5, 5), (100, 0, 1)]
-    nodes = dyadic_cover(spark.createDataFrame(spans, "i bigint, a bigint, b bigint"), "a", "b").collect()
+    nodes = radix_cover(spark.createDataFrame(spans, "i bigint, a bigint, b bigint"), "a", "b").collect()
     for i, a, b in spans:
-        cells = sorted(x for n in nodes if n.i == i for x in range(n.node << n.level, (n.node + 1) << n.level))
+        cells = sorted(x for n in nodes if n.i == i for x in range(n.node * RADIX ** n.level, (n.node + 1) * RADIX ** n.level))
         assert cells == list(range(a, b + 1))
 
 

@@ -112,7 +112,7 @@ FAMS = ["Flood", "Bot", "Web"]
 
 
 @query("w23_lead_ceilings", P + """
-, s AS (SELECT *, CASE WHEN position % 10 < 6 THEN 0 WHEN position % 10 = 6 THEN 1 ELSE 2 END AS split FROM e WHERE label = 'Benign' OR score > 60)
+, s AS (SELECT *, CASE WHEN position % 10 < 6 THEN 0 WHEN position % 10 = 6 THEN 1 ELSE 2 END AS split FROM e)
 , f AS (SELECT s.*, fam, s.label = fam AS attack FROM s CROSS JOIN (VALUES ('Flood'), ('Bot'), ('Web')) v(fam))
 , n AS (SELECT *, min(CASE WHEN attack THEN us END) OVER (PARTITION BY fam, sender ORDER BY position ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS nxt FROM f)
 , l AS (SELECT fam, (nxt - us) / 1000000.0::DOUBLE AS lead_s FROM n WHERE NOT attack AND nxt IS NOT NULL)
@@ -126,7 +126,7 @@ SELECT ha.fam AS family, attack_events, attacking_hosts, first_attacks_in_train,
        + " FROM ha LEFT JOIN la USING (fam)")
 def _w23(spark, d):
     slot = F.col("position") % 10
-    e = stream(spark, d).where("label = 'Benign' OR score > 60").withColumn("split", F.when(slot < 6, 0).when(slot == 6, 1).otherwise(2))
+    e = stream(spark, d).withColumn("split", F.when(slot < 6, 0).when(slot == 6, 1).otherwise(2))
     r = gr.lead_ceilings(e, FAMS, host="sender")
     return r.withColumns({c: F.round(c, 7) for c in r.columns if c.endswith("_s") and c != "event_lead_n_over_60s"})
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from wiresift.catalog.registry import query
 from wiresift.operators import forecast as fo
 from wiresift.operators import graph as gr
+from wiresift.session import pinned
 from wiresift.sources import fixtures as fx
 
 EVERY, WINDOW, HISTORY, HORIZON = 250, 300, 1000, 20.0
@@ -26,7 +27,7 @@ def stream(spark, d):
 
 
 def points(spark, d):
-    return fo.forecast_points(stream(spark, d), EVERY)
+    return pinned(fo.forecast_points(stream(spark, d), EVERY))
 
 
 NEXT = P + f""", pr AS (SELECT position AS prediction, sender % 40 AS s, receiver % 10 AS r, t_us, label FROM e WHERE role > 0), lk AS (SELECT sender % 40 AS s, receiver % 10 AS r, t_us FROM e)
@@ -131,7 +132,7 @@ ALL = RANKS + ", lst AS (SELECT 'recent' AS method, forecast, host, rank FROM re
 
 def rankings(spark, d):
     named = [l.select(F.lit(n).alias("method"), "forecast", "host", "rank") for n, l in zip(("recent", "popular", "near"), lists(spark, d))]
-    return reduce(DataFrame.unionByName, named)
+    return pinned(reduce(DataFrame.unionByName, named))
 
 
 @query("m15_hit_report", ALL + """

@@ -75,11 +75,11 @@ def normalize_ip(ip: Column) -> Column:
 
 
 def is_private(ip: Column) -> Column:
-    return F.coalesce((is_ipv4(ip) & ip.rlike(PRIVATE)) | ip.rlike(UNIQUE_LOCAL_V6), F.lit(False))
+    return F.coalesce((ip.rlike(PRIVATE) & is_ipv4(ip)) | ip.rlike(UNIQUE_LOCAL_V6), F.lit(False))
 
 
 def is_private_or_loopback(ip: Column) -> Column:
-    return is_private(ip) | F.coalesce((is_ipv4(ip) & ip.rlike(LOOPBACK)) | (ip == "::1"), F.lit(False))
+    return is_private(ip) | F.coalesce((ip.rlike(LOOPBACK) & is_ipv4(ip)) | (ip == "::1"), F.lit(False))
 
 
 def ip_scope(ip: Column) -> Column:
@@ -93,7 +93,8 @@ def blockable(ip: Column) -> Column:
 
 
 def service_registry(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(SERVICES, "transport string, port int, tag string, service string, backend boolean")
+    rows = ", ".join(f"('{t}', {p}, '{tag}', '{name}', {str(backend).lower()})" for t, p, tag, name, backend in SERVICES)
+    return spark.sql(f"SELECT * FROM VALUES {rows} AS registry(transport, port, tag, service, backend)")
 
 
 def service_tags(df: DataFrame, transport: str = "transport", src: str = "src_ip", dst: str = "dst_ip",

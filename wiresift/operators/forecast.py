@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from wiresift.operators.metrics import quantiles
 from wiresift.plans.ordering import ROWS_PER_CHUNK, dense_id, grouped_median, keyed_scan, per_key
+from wiresift.session import pinned
 
 HORIZON_S = 3600.0
 MAX_FORECASTS = 20_000
@@ -157,7 +158,8 @@ def first_ranks(rankings: DataFrame, truth: DataFrame) -> DataFrame:
 
 def hit_report(rankings: DataFrame, truth: DataFrame, sizes: Sequence[int] = (1, 3, 5, 10, 20), recall_at: Sequence[int] = (5, 10, 20), precision_at: Sequence[int] = (3, 10)) -> DataFrame:
     """hit@N and MRR of the next new host, recall@N over all new hosts, precision@N over the horizon's contacts, per method."""
-    r = first_ranks(rankings, truth)
+    rankings, truth = pinned(rankings), pinned(truth)  # short lists per forecast, each read several times
+    r = pinned(first_ranks(rankings, truth))
     first = r.where("`order` = 1").groupBy("method").agg(
         F.count(F.lit(1)).alias("forecasts"), *[F.avg(F.coalesce((F.col("rank") < n).cast("double"), F.lit(0.0))).alias(f"hit_{n}") for n in sizes],
         F.avg(F.coalesce(1.0 / (F.col("rank") + 1), F.lit(0.0))).alias("mrr"))

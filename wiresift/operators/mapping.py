@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from wiresift.functions.scalars import flow_epoch
 from wiresift.plans.ordering import ROWS_PER_CHUNK, dense_id, keyed_scan
+from wiresift.session import pinned
 
-TOP_LEVEL = 40  # dyadic levels of the containment index: nodes up to 2^40 us, about twelve days
+RADIX, TOP_LEVEL = 8, 13  # levels of the containment index: nodes up to 8^13 us, about six days
 
 
 def build_edges(flows: DataFrame) -> DataFrame:
@@ -21,27 +22,25 @@ def build_edges(flows: DataFrame) -> DataFrame:
     return e.na.drop(subset=["timestamp", "src_ip", "dst_ip", "src_port", "dst_port", "protocol"])
 
 
-def dyadic_cover(df: DataFrame, start: str, end: str) -> DataFrame:
-    """Explode each row into the canonical dyadic nodes (`level`, `node`) whose union is exactly [start, end].
+def radix_cover(df: DataFrame, start: str, end: str) -> DataFrame:
+    """Explode each row into the fewest nodes (`level`, `node`) whose union is exactly [start, end].
 
-    At level l the whole nodes inside the interval are [a, b). The level above covers all of them but an odd first and
-    an odd last one; where the level above holds none, every node of this level is taken.
+    A node of level l is RADIX^l wide and aligned. The whole nodes inside the interval are [a, b) at each level; the level
+    above takes all of them but a few at either end, and where it holds none, every one stays at this level.
     """
+    edge = f"pow({RADIX}D, l)"
+    up = f"pow({RADIX}D, l + 1)"
     expr = f"""
-    flatten(transform(sequence(0, {TOP_LEVEL}), l -> transform(
-      filter(
-        array(
-          named_struct('level', l, 'a', ceil({start} / pow(2D, l)), 'b', floor(({end} + 1) / pow(2D, l)),
-                       'p', ceil({start} / pow(2D, l + 1)), 'q', floor(({end} + 1) / pow(2D, l + 1)))),
-        x -> x.a < x.b),
-      x -> CASE
-        WHEN x.level = {TOP_LEVEL} OR x.p >= x.q THEN transform(sequence(x.a, x.b - 1), n -> named_struct('level', x.level, 'node', n))
-        ELSE filter(array(
-          IF(x.a % 2 = 1, named_struct('level', x.level, 'node', x.a), NULL),
-          IF(x.b % 2 = 1, named_struct('level', x.level, 'node', x.b - 1), NULL)), n -> n IS NOT NULL)
-      END)))"""
-    return df.withColumn("_nodes", F.flatten(F.expr(expr))).select(
-        *df.columns, F.inline("_nodes"))
+    transform(sequence(0, {TOP_LEVEL}), l -> named_struct(
+      'l', l, 'a', CAST(ceil({start} / {edge}) AS BIGINT), 'b', CAST(floor(({end} + 1) / {edge}) AS BIGINT),
+      'p', CAST(ceil({start} / {up}) AS BIGINT) * {RADIX}, 'q', CAST(floor(({end} + 1) / {up}) AS BIGINT) * {RADIX}))"""
+    nodes = """
+    flatten(transform(_spans, x -> transform(
+      CASE WHEN x.a >= x.b THEN array()
+           WHEN x.l = %d OR x.p >= x.q THEN sequence(x.a, x.b - 1)
+           ELSE concat(IF(x.a < x.p, sequence(x.a, x.p - 1), array()), IF(x.q < x.b, sequence(x.q, x.b - 1), array())) END,
+      n -> named_struct('level', x.l, 'node', n))))""" % TOP_LEVEL
+    return df.withColumn("_spans", F.expr(expr)).select(*df.columns, F.inline(F.expr(nodes)))
 
 
 def map_packets_to_flows(packets: DataFrame, flows: DataFrame, slack_us: int = 1_000_000, rows_per_chunk: int = ROWS_PER_CHUNK) -> DataFrame:
@@ -50,7 +49,7 @@ def map_packets_to_flows(packets: DataFrame, flows: DataFrame, slack_us: int = 1
     packets: frame_no, flow_key, us.  flows: flow_uid, flow_key, start_us, end_us (before slack).  Every packet is kept.
 
     One sorted pass finds the latest window begun by each packet, however many packets or windows share a key. Only
-    packets already past that window's end go to a second step, where windows become dyadic nodes (one best window per
+    packets already past that window's end go to a second step, where windows become aligned nodes (one best window per
     node) and each packet looks up its ancestors: equi-joins on unique keys, so no packet meets all windows of its key.
     """
     f = flows.select("flow_key", "flow_uid", "start_us", (F.col("end_us") + slack_us).alias("end_us"))
@@ -61,11 +60,12 @@ def map_packets_to_flows(packets: DataFrame, flows: DataFrame, slack_us: int = 1
     window = F.when(F.col("kind") == 0, F.struct(F.col("us").alias("start_us"), "end_us", "flow_uid"))
     found = keyed_scan(both, ["flow_key"], "_pos", lasts={"latest": window}, rows_per_chunk=rows_per_chunk).where("kind = 1").select(
         "frame_no", "flow_key", "us", F.col("latest.flow_uid").alias("uid"), F.col("latest.end_us").alias("until"))
-    past = found.where(F.col("uid").isNotNull() & (F.col("us") > F.col("until")))
-    nodes = dyadic_cover(f.join(past.select("flow_key").distinct(), "flow_key", "left_semi"), "start_us", "end_us")
-    best = nodes.groupBy("flow_key", "level", "node").agg(F.max(F.struct("start_us", "end_us", "flow_uid")).alias("w"))
-    up = past.select("frame_no", "flow_key", F.expr(
-        f"inline(transform(sequence(0, {TOP_LEVEL}), l -> named_struct('level', l, 'node', floor(us / pow(2D, l)))))"))
+    past = pinned(found.where(F.col("uid").isNotNull() & (F.col("us") > F.col("until"))))  # few packets, read twice
+    nodes = radix_cover(f.join(past.select("flow_key").distinct(), "flow_key", "left_semi"), "start_us", "end_us")
+    best = pinned(nodes.groupBy("flow_key", "level", "node").agg(F.max(F.struct("start_us", "end_us", "flow_uid")).alias("w")))
+    levels = sorted(r[0] for r in best.select("level").distinct().collect()) or [0]  # at most TOP_LEVEL + 1 numbers
+    node = lambda l: F.floor(F.col("us") / F.pow(F.lit(float(RADIX)), l)).cast("bigint")
+    up = past.select("frame_no", "flow_key", F.inline(F.array(*[F.struct(F.lit(l).alias("level"), node(F.lit(l)).alias("node")) for l in levels])))
     inner = up.join(best, ["flow_key", "level", "node"]).groupBy("frame_no").agg(F.max("w").alias("w")).select(
         "frame_no", F.col("w.flow_uid").alias("inner_uid"))
     return found.join(inner, "frame_no", "left").select(

@@ -1,14 +1,12 @@
 """Tumbling-window telemetry, host graphs and host windows."""
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wiresift.functions.scalars import (fragment_flag, half_away, illegal_flags, payload_bucket, protocol_name,
                                         tcp_flag_class)
-from wiresift.plans.ordering import ROWS_PER_CHUNK, keyed_scan
+from wiresift.plans.ordering import ROWS_PER_CHUNK, keyed_scan, per_key
 
 US = 1_000_000
 BUCKETS = ["0_64", "65_512", "513_1024", "1025_1500", "1501_plus"]
@@ -58,7 +56,8 @@ def window_retransmissions(p: DataFrame, rows_per_chunk: int = ROWS_PER_CHUNK) -
     data = (F.col("protocol") == 6) & ((F.col("payload_len") > 0) | (F.col("tcp_flag_syn") == 1) | (F.col("tcp_flag_fin") == 1))
     q = p.where(data).select(*key, "frame_no", "us")
     first = F.struct((-F.col("frame_no")).alias("order"), F.col("us").alias("us"))
-    s = keyed_scan(q, key, "frame_no", maxes={"first": first}, rows_per_chunk=rows_per_chunk)
+    # Large groups are looked for per source and window: counting the full keys would cost as much as the scan.
+    s = per_key(q, ["window_index", "src_ip"], rows_per_chunk, lambda x, cut: keyed_scan(x, key, "frame_no", maxes={"first": first}, rows_per_chunk=cut))
     again = F.col("us") - F.col("first.us") > 2000
     return s.groupBy("window_index").agg(_count(again).alias("tcp_retransmissions_count"))
 
