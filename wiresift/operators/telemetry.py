@@ -97,8 +97,9 @@ def window_telemetry(packets: DataFrame, seconds: int = 10, rows_per_chunk: int
         F.countDistinct(port("src_port")).alias("unique_source_ports"),
         F.countDistinct(port("dst_port")).alias("unique_destination_ports"))
     # A capture has few windows against its packets: the grid is one sequence between two scalars.
-    grid = p.agg(F.max("window_index").alias("hi"), F.min(F.col("window_start_us") - F.col("window_index") * (seconds * US)).alias("t0")).select(
-        F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("hi"))).alias("window_index"), "t0")
+    last = F.floor((F.col("_t1") - F.col("t0")) / F.lit(seconds * US)).cast("bigint")
+    grid = packets.agg(F.min("us").alias("t0"), F.max("us").alias("_t1")).select(
+        F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("window_index"), "t0")
     w = (grid.join(base, "window_index", "left").join(distinct, "window_index", "left")
          .join(window_gaps(p, rows_per_chunk), "window_index", "left")
          .join(window_retransmissions(p, rows_per_chunk), "window_index", "left"))
