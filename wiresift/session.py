@@ -1,6 +1,7 @@
 """Session defaults shared by tests, bench and jobs."""
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,12 +25,14 @@ def local_session(app: str = "wiresift", cores: str = "8", partitions: int = 8)
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder the cluster names, or a scratch folder where it names none."""
+    """The shared checkpoint folder the cluster names in spark.checkpoint.dir. Only a session that runs in one local JVM gets a scratch folder; on a cluster an unset folder is an error."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     named = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="wiresift-ckpt-"))
     return sc.getCheckpointDir()
 
