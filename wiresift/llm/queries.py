@@ -2,8 +2,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from wiresift.llm import neardup
+from wiresift.llm import neardup, passages
 from wiresift.llm.common import read
 
 QUERIES, ORACLES = {}, {}
@@ -21,3 +22,9 @@ def query(name: str, sql: str | None = None):
 @query("op7_minhash_near_dedup")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(read(spark, sf_dir, "documents"))
+
+
+@query("op6_debruijn_substring_dedup")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = passages.remove_repeats(read(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
