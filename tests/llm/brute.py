@@ -57,3 +57,17 @@ def repeats(rows, width=50, words_mode=True):
         raw = " ".join(kept).encode() if words_mode else bytes(kept)
         out[i] = (len(s), sum(gone), spans, hashlib.sha256(raw).hexdigest())
     return out
+
+
+def base_counts(text):
+    t = text or ""
+    w = words(t)
+    lines = [x for x in t.split("\n") if words(x)]
+    seen, where = {}, set()
+    for j in range(len(w) - 4):
+        seen.setdefault(tuple(w[j:j + 5]), []).append(j)
+    for at in seen.values():
+        if len(at) > 1:
+            where.update(x for j in at for x in range(j, j + 5))
+    n = len(w)
+    return n, sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), len(where), n < 10 or 100 * len(where) > 20 * n

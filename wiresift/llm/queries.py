@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wiresift.llm import neardup, passages
+from wiresift.llm import neardup, passages, quality
 from wiresift.llm.common import read
 
 QUERIES, ORACLES = {}, {}
@@ -28,3 +28,9 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = passages.remove_repeats(read(spark, sf_dir, "documents"))
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@query("op3_boosted_quality_rules")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return quality.judge(docs, quality.fit_on(docs, read(spark, sf_dir, "labels")))
