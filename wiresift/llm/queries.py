@@ -4,12 +4,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wiresift.llm import neardup, passages, quality
+from wiresift.llm import neardup, packing, passages, quality
 from wiresift.llm.common import read
 
 QUERIES, ORACLES = {}, {}
 
 
+def word_bpe() -> str:
+    import public_tokenizers
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 def query(name: str, sql: str | None = None):
     def register(fn):
         QUERIES[name] = fn
@@ -34,3 +39,8 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return quality.judge(docs, quality.fit_on(docs, read(spark, sf_dir, "labels")))
+
+
+@query("op8_cutting_stock_packing")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read(spark, sf_dir, "documents"), word_bpe()).drop("ids")
