@@ -7,9 +7,11 @@ sets decide. Three things keep the lists short without losing a link:
 * Of a sketch only the rarest retained values open a list. Two sets with a Jaccard similarity of `SIMILAR` share at least `needed(n)` retained
   values (but for one chance in 10**10), so their rarest `kept - needed + 1` values must have one in common; values of a passage that a third
   of all documents hold are the commonest and stay outside.
-* A list of up to `SMALL` classes compares all of them. A longer one compares all of it with its first few classes, takes what is linked as
-  settled, and goes on with the next, twice as many each time, until all that remains is one component. No pair is left out that could join two.
-* A pair that meets in several lists is compared once.
+* A list of up to `SMALL` classes compares all of them; a longer one first compares all with its smallest class, and copies of one text are then
+  one component. Where a long list still holds several components, its classes are compared in packs of about `PACK`: packs and blocks meet by
+  the longest list of the block's classes, one task row multiplies two packs of full sets, and only one link for each class and component leaves
+  it. So no group is ever gathered in a task, and pairs that fail are never written.
+* A pair that meets in several lists is compared once, in packs once or twice.
 """
 from __future__ import annotations
 
@@ -24,7 +26,7 @@ from wiresift.llm import scan
 from wiresift.llm.common import components, release, stored
 
 WORDS, SKETCH, SIMILAR, MISS = 5, 64, 75, 1e-10
-SMALL, HUBS = 6, 2
+SMALL, PACK = 6, 64
 #: The estimate on a union sketch may fall this far below the threshold (six standard deviations) before a pair is given up.
 FLOOR = SIMILAR / 100 - 6 * (SIMILAR / 100 * (1 - SIMILAR / 100) / SKETCH) ** 0.5
 
@@ -147,49 +149,83 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
-def _pairs(lists: DataFrame, done: int, hubs: int, small: int) -> DataFrame:
-    """Pairs to compare in this round: all of a small list, else its next hubs with everything after them; only across components."""
-    ranked = lists.select("value", "node", "label", "pos", "size")
-    left = ranked.where((F.col("size") - F.lit(done) <= small) | (F.col("pos") <= done + hubs))
-    right = ranked.select("value", F.col("node").alias("other"), F.col("label").alias("other_label"), F.col("pos").alias("other_pos"))
-    met = left.join(right, "value").where("pos < other_pos and label <> other_label")
-    return met.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+def _first_pairs(lists: DataFrame) -> DataFrame:
+    """All pairs of the small lists, and the smallest class of each longer list with all others of it."""
+    small = lists.where(F.col("size") <= SMALL).select("value", "node")
+    met = small.join(small.withColumnRenamed("node", "other"), "value").where("node < other")
+    long = lists.where(F.col("size") > SMALL).select("least", "node").where("node > least")
+    return met.select(F.col("node").alias("a"), F.col("other").alias("b")).union(long).distinct()
+
+
+def _likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Pairs whose union sketch puts them near the threshold or above."""
+    sketch = nodes.select("node", "sketch")
+    seen = pairs.join(sketch.select(F.col("node").alias("a"), F.col("sketch").alias("s")), "a").join(sketch.select(F.col("node").alias("b"), F.col("sketch").alias("t")), "b")
+    # the retained values are least as unsigned numbers: flip the top bit around sorting
+    flip = lambda x: F.transform(x, lambda y: y.bitwiseXOR(F.lit(-(1 << 63))))
+    union = flip(F.slice(F.array_sort(flip(F.array_union("s", "t"))), 1, SKETCH))
+    return seen.where(F.size(F.array_intersect(F.array_intersect("s", "t"), union)) >= F.lit(FLOOR) * F.size(union)).select("a", "b")
+
+
+def _across(batches):
+    """Links between two packs of full sets: for each class of the first, one in each other component of the second."""
+    for batch in batches:
+        a, b = [], []
+        for left, right in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            sets = [np.frombuffer(x["whole"], np.uint8).reshape(-1, 6) for x in (*left, *right)]
+            sizes = np.array([len(x) for x in sets])
+            raw = np.zeros((int(sizes.sum()), 8), np.uint8)
+            raw[:, :6] = np.concatenate(sets)
+            _, value, count = np.unique(raw.view(np.uint64).ravel(), return_inverse=True, return_counts=True)
+            owner = np.repeat(np.arange(len(sets)), sizes)
+            shared = count[value] > 1
+            owner, value = owner[shared], np.cumsum(count > 1)[value[shared]] - 1
+            order = np.argsort(value, kind="stable")
+            owner, value, k = owner[order], value[order], len(left)
+            both = np.zeros((k, len(right)), np.float32)
+            for low in range(0, int(value[-1]) + 1 if len(value) else 0, 8192):
+                i, j = np.searchsorted(value, [low, low + 8192])
+                held = np.zeros((len(sets), 8192), np.float32)
+                held[owner[i:j], value[i:j] - low] = 1
+                both += held[:k] @ held[k:].T
+            union = sizes[:k, None] + sizes[None, k:] - both
+            labels, others = np.array([x["label"] for x in left]), np.array([x["label"] for x in right])
+            x, y = np.nonzero((100 * both >= SIMILAR * union) & (labels[:, None] != others[None, :]))
+            _, once = np.unique(np.stack([x, others[y]], 1), axis=0, return_index=True) if len(x) else (None, np.zeros(0, np.int64))
+            a += [left[i]["node"] for i in x[once]]
+            b += [right[i]["node"] for i in y[once]]
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
+def _packed(rows: DataFrame, sets: DataFrame, labels: DataFrame, out: str) -> DataFrame:
+    """(home, out) with `rows` (home, node) of a home dealt by hash into packs of about `PACK`."""
+    parts = rows.groupBy("home").agg(F.ceil(F.count(F.lit(1)) / PACK).alias("parts"))
+    dealt = rows.join(parts, "home").select("home", "node", F.pmod(F.xxhash64("node"), "parts").alias("part"))
+    full = dealt.join(sets, "node").join(labels, "node", "left").select("home", "part", F.struct("node", F.coalesce("label", "node").alias("label"), "whole").alias("x"))
+    return full.groupBy("home", "part").agg(F.collect_list("x").alias(out)).drop("part")
 
 
 def _link(slim: DataFrame, nodes: DataFrame, lists: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, label) of all nodes with a link."""
     spark = slim.sparkSession
-    sizes = lists.groupBy("value").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    # places in a list by bucket, so that a list of any length is ranked by many tasks
-    open_lists = lists.join(sizes, "value").withColumn("part", F.when(F.col("size") > 512, F.pmod(F.xxhash64("node"), F.floor(F.col("size") / 256))).otherwise(0))
-    counts = open_lists.groupBy("value", "part").agg(F.count(F.lit(1)).alias("m"))
-    starts = counts.select("value", "part", F.coalesce(F.sum("m").over(Window.partitionBy("value").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))
-    placed = open_lists.withColumn("i", F.row_number().over(Window.partitionBy("value", "part").orderBy("node"))).join(starts, ["value", "part"])
-    placed = stored(placed.select("value", "node", (F.col("i") + F.col("start")).alias("pos"), "size"), "places")
-    first = placed.select("node").distinct()
-    texts = slim.join(first.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi")
+    sizes = lists.groupBy("value").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("least")).where("size > 1")
+    lists = stored(lists.join(sizes, "value"), "members")
+    texts = slim.join(lists.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")
     sets = stored(texts.mapInArrow(_full_sets, "node long, whole binary"), "sets")
     release(spark)
-    all_edges, before, done, hubs = stored(edges, "links"), 0, 0, HUBS
-    labels = components(all_edges)
-    while True:
-        now = placed.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        if done:
-            # a list is settled when what remains of it is one component
-            rest = now.where(F.col("pos") > done).groupBy("value").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l < h").select("value")
-            now = now.where((F.col("pos") > done) & (F.col("size") - before > SMALL)).join(rest, "value", "left_semi")
-        pairs = stored(_pairs(now, done, hubs, SMALL), "pairs")
-        if not pairs.limit(1).count():
-            return labels
-        sketch = nodes.select("node", "sketch")
-        seen = pairs.join(sketch.select(F.col("node").alias("a"), F.col("sketch").alias("s")), "a").join(sketch.select(F.col("node").alias("b"), F.col("sketch").alias("t")), "b")
-        # signed order would not be the retained order: flip the top bit before sorting
-        flip = lambda x: F.transform(x, lambda y: y.bitwiseXOR(F.lit(-(1 << 63))))
-        union = flip(F.slice(F.array_sort(flip(F.array_union("s", "t"))), 1, SKETCH))
-        likely = seen.where(F.size(F.array_intersect(F.array_intersect("s", "t"), union)) >= F.lit(FLOOR) * F.size(union)).select("a", "b")
-        full = likely.join(sets.select(F.col("node").alias("a"), F.col("whole").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("whole").alias("y")), "b")
-        links = full.select("a", "b", "x", "y").mapInArrow(_confirm, "a long, b long").distinct()
-        all_edges = stored(all_edges.union(links), "links")
-        labels = components(all_edges)
-        release(spark)
-        before, done, hubs = done, done + hubs, hubs * 2
+    likely = _likely(_first_pairs(lists), nodes)
+    full = likely.join(sets.select(F.col("node").alias("a"), F.col("whole").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("whole").alias("y")), "b")
+    links = full.select("a", "b", "x", "y").mapInArrow(_confirm, "a long, b long")
+    labels = components(edges.union(links))
+    release(spark)
+    # long lists with several components
+    seen = lists.where(F.col("size") > SMALL).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    split = seen.groupBy("value").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("value")
+    seen = stored(seen.join(split, "value", "left_semi").select("value", "node", "size"), "open")
+    home = seen.groupBy("node").agg(F.max(F.struct("size", "value")).alias("x")).select("node", F.col("x.value").alias("home"))
+    homed = stored(seen.select("value", "node").join(home, "node"), "homes")
+    homes = homed.select("value", F.col("home").alias("at")).distinct()
+    asked = homed.join(homes, "value").where("at >= home").select(F.col("at").alias("home"), "node").distinct()
+    met = _packed(asked, sets, labels, "left").join(_packed(homed.select("home", "node").distinct(), sets, labels, "right"), "home")
+    more = met.select("left", "right").mapInArrow(_across, "a long, b long")
+    return components(labels.where("node <> label").select(F.col("node").alias("a"), F.col("label").alias("b")).union(more))
