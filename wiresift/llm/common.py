@@ -41,12 +41,12 @@ def with_rank(df: DataFrame, group: Column, order: list[Column], spread: Column,
     kind = df.select(spread.alias("x")).schema["x"].dataType.simpleString()
     buckets = max(1, -(-df.count() // per_bucket))
     place = F.floor(spread * F.lit(buckets)).cast("long") if kind == "double" else F.floor((F.shiftrightunsigned(spread, 11) / F.lit(float(1 << 53))) * F.lit(buckets)).cast("long")
-    keyed = df.withColumns({"_g": group, "_b": F.greatest(F.lit(0), F.least(F.lit(buckets - 1), place))})
-    before = Window.partitionBy("_g").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    counts = keyed.groupBy("_g", "_b").agg(F.count(F.lit(1)).alias("_n"))
-    starts = counts.select("_g", "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    inside = keyed.withColumn("_i", F.row_number().over(Window.partitionBy("_g", "_b").orderBy(*order)))
-    return (inside.join(starts, ["_g", "_b"]).withColumn(out, (F.col("_start") + F.col("_i") - 1).cast("long")).drop("_g", "_b", "_i", "_start"))
+    keyed = df.withColumns({"__wr_g": group, "__wr_b": F.greatest(F.lit(0), F.least(F.lit(buckets - 1), place))})
+    before = Window.partitionBy("__wr_g").orderBy("__wr_b").rowsBetween(Window.unboundedPreceding, -1)
+    counts = keyed.groupBy("__wr_g", "__wr_b").agg(F.count(F.lit(1)).alias("__wr_n"))
+    starts = counts.select("__wr_g", "__wr_b", F.coalesce(F.sum("__wr_n").over(before), F.lit(0)).alias("__wr_start"))
+    inside = keyed.withColumn("__wr_i", F.row_number().over(Window.partitionBy("__wr_g", "__wr_b").orderBy(*order)))
+    return (inside.join(starts, ["__wr_g", "__wr_b"]).withColumn(out, (F.col("__wr_start") + F.col("__wr_i") - 1).cast("long")).drop("__wr_g", "__wr_b", "__wr_i", "__wr_start"))
 
 
 def components(edges: DataFrame, name: str = "labels") -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wiresift.llm import neardup, packing, passages, quality
+from wiresift.llm import neardup, packing, passages, quality, sharding
 from wiresift.llm.common import read
 
 QUERIES, ORACLES = {}, {}
@@ -44,3 +44,12 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_cutting_stock_packing")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), word_bpe()).drop("ids")
+
+
+#: Rows of 8 shards by proportional interleaving. The order of 64-bit hashes has no SQL twin, so the query is tested against a plain Python version.
+@query("op1_proportional_interleaving")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
+    docs = read(spark, sf_dir, "documents").select("doc_id", "source", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
+    dealt = sharding.interleave(docs, 8, key=[F.col(c) for c in ("doc_id", "text_crc32", "size")])
+    return dealt.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "source")
