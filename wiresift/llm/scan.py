@@ -79,7 +79,7 @@ def joined(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole, offsets - offsets[0]
 
 
-def text_batches(column: pa.Array, limit: int = 8 << 20):
+def text_batches(column: pa.Array, limit: int = 1 << 20):
     """Row ranges of a column whose texts come to about `limit` bytes each (a longer text stands alone), with their bytes and offsets."""
     whole, offsets = joined(column)
     i, n = 0, len(offsets) - 1
