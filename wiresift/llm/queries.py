@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wiresift.llm import neardup, packing, passages, quality, sharding
+from wiresift.llm import neardup, packing, passages, quality, sharding, vptree
 from wiresift.llm.common import read
 
 QUERIES, ORACLES = {}, {}
@@ -53,3 +53,8 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "source", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
     dealt = sharding.interleave(docs, 8, key=[F.col(c) for c in ("doc_id", "text_crc32", "size")])
     return dealt.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "source")
+
+
+@query("op9_vantage_point_search")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vptree.nearest(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
