@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wiresift.llm import neardup, packing, passages, quality, sharding, vptree
+from wiresift.llm import neardup, packing, passages, quality, sharding, vptree, warc
 from wiresift.llm.common import read
 
 QUERIES, ORACLES = {}, {}
@@ -58,3 +58,10 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_vantage_point_search")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vptree.nearest(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+#: SHA-1 in base 32 has no SQL twin; tests compare with a plain Python version.
+@query("op5_warc_capture_index")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = warc.archive_and_index(read(spark, sf_dir, "pages"))
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "timestamp", "range_id", "range_pos")
