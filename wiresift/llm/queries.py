@@ -4,8 +4,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wiresift.llm import neardup, packing, passages, quality, sharding, suffixes, vptree, warc
-from wiresift.llm.common import read
+from wiresift.llm import lattice, neardup, packing, passages, quality, separators, sharding, suffixes, vptree, warc
+from wiresift.llm.common import read, stored
 
 QUERIES, ORACLES = {}, {}
 
@@ -15,6 +15,11 @@ def word_bpe() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def piece_bpe() -> str:
+    import public_tokenizers
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
 def query(name: str, sql: str | None = None):
     def register(fn):
         QUERIES[name] = fn
@@ -71,3 +76,17 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = suffixes.remove_repeats(read(spark, sf_dir, "documents"))
     return cut.select("doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op2_separator_scan")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return separators.token_counts(read(spark, sf_dir, "documents"), piece_bpe())
+
+
+@query("op10_piece_lattice")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every distinct word of all documents with its occurrences and ids, and the word that they decode to."""
+    vocabulary = lattice.Vocabulary(piece_bpe())
+    words = stored(lattice.distinct_words(read(spark, sf_dir, "documents")), "words")
+    short, long = (lattice.decode(x, vocabulary, ["word", "occurrences", "ids"]) for x in lattice.encode_words(words, vocabulary))
+    return short.union(long).withColumnRenamed("text", "decoded")
