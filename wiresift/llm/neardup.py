@@ -8,10 +8,10 @@ sets decide. Three things keep the lists short without losing a link:
   values (but for one chance in 10**10), so their rarest `kept - needed + 1` values must have one in common; values of a passage that a third
   of all documents hold are the commonest and stay outside.
 * A list of up to `SMALL` classes compares all of them; a longer one first compares all with its smallest class, and copies of one text are then
-  one component. Where a long list still holds several components, its classes are compared in packs of about `PACK`: packs and blocks meet by
-  the longest list of the block's classes, one task row multiplies two packs of full sets, and only one link for each class and component leaves
-  it. So no group is ever gathered in a task, and pairs that fail are never written.
-* A pair that meets in several lists is compared once, in packs once or twice.
+  one component. Where a long list still holds several components, its classes are compared in packs of about `PACK` with the same longest list:
+  two packs meet if their longest lists are those of classes that share any list, one task row multiplies their full sets, and only one link for
+  each class and component leaves it. So no group is ever gathered in a task, and pairs that fail are never written.
+* A pair that meets in several lists is compared once.
 """
 from __future__ import annotations
 
@@ -128,8 +128,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of `docs` (doc_id, text; other columns are not read).
 
     component_id is the smallest doc_id reachable over links of similarity `SIMILAR` or more between 5-word shingle sets; kept is whether that is
-    the row's own. A null or empty text, or one without a word, has no shingle and is linked with nothing. Rows that share a doc_id are one
-    document with several texts. Rows without a doc_id follow the class of their text and are kept only where it has no doc_id at all. An empty
+    the row's own. A null or empty text, or one without a word, has no shingle and is linked with nothing. A doc_id should name
+    one text; where rows with different texts share one and it is the smallest of each of their classes, these classes are one. Rows without a doc_id follow the class of their text and are kept only where it has no doc_id at all. An empty
     table gives an empty result; the order of rows and copies of rows change nothing.
     """
     spark = docs.sparkSession
@@ -141,8 +141,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     nodes = stored(made.select("row", "n", "sketch").join(classes.select("row", "node"), "row").drop("row"), "nodes")
     lists = stored(_lists(nodes), "lists")
     release(spark)
-    several = made.where("n > 0 and doc_id is not null").join(classes, ["c1", "c2"]).groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b").select("a", "b")
-    labels = _link(slim, nodes, lists, several)
+    labels = _link(slim, nodes, lists)
     named = classes.join(labels, "node", "left").select("c1", "c2", F.coalesce("label", "node").alias("component"))
     out = made.drop("sketch", "row").join(named, ["c1", "c2"], "left")
     component = F.when(F.col("n") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
@@ -197,15 +196,15 @@ def _across(batches):
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
-def _packed(rows: DataFrame, sets: DataFrame, labels: DataFrame, out: str) -> DataFrame:
-    """(home, out) with `rows` (home, node) of a home dealt by hash into packs of about `PACK`."""
-    parts = rows.groupBy("home").agg(F.ceil(F.count(F.lit(1)) / PACK).alias("parts"))
-    dealt = rows.join(parts, "home").select("home", "node", F.pmod(F.xxhash64("node"), "parts").alias("part"))
+def _packed(home: DataFrame, sets: DataFrame, labels: DataFrame) -> DataFrame:
+    """(home, part, x): the nodes of each home dealt by hash into packs of about `PACK`, with their labels and full sets."""
+    parts = home.groupBy("home").agg(F.ceil(F.count(F.lit(1)) / PACK).alias("parts"))
+    dealt = home.join(parts, "home").select("home", "node", F.pmod(F.xxhash64("node"), "parts").alias("part"))
     full = dealt.join(sets, "node").join(labels, "node", "left").select("home", "part", F.struct("node", F.coalesce("label", "node").alias("label"), "whole").alias("x"))
-    return full.groupBy("home", "part").agg(F.collect_list("x").alias(out)).drop("part")
+    return full.groupBy("home", "part").agg(F.collect_list("x").alias("x"))
 
 
-def _link(slim: DataFrame, nodes: DataFrame, lists: DataFrame, edges: DataFrame) -> DataFrame:
+def _link(slim: DataFrame, nodes: DataFrame, lists: DataFrame) -> DataFrame:
     """(node, label) of all nodes with a link."""
     spark = slim.sparkSession
     sizes = lists.groupBy("value").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("least")).where("size > 1")
@@ -216,16 +215,17 @@ def _link(slim: DataFrame, nodes: DataFrame, lists: DataFrame, edges: DataFrame)
     likely = _likely(_first_pairs(lists), nodes)
     full = likely.join(sets.select(F.col("node").alias("a"), F.col("whole").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("whole").alias("y")), "b")
     links = full.select("a", "b", "x", "y").mapInArrow(_confirm, "a long, b long")
-    labels = components(edges.union(links))
+    labels = components(links)
     release(spark)
     # long lists with several components
     seen = lists.where(F.col("size") > SMALL).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     split = seen.groupBy("value").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("value")
     seen = stored(seen.join(split, "value", "left_semi").select("value", "node", "size"), "open")
     home = seen.groupBy("node").agg(F.max(F.struct("size", "value")).alias("x")).select("node", F.col("x.value").alias("home"))
-    homed = stored(seen.select("value", "node").join(home, "node"), "homes")
-    homes = homed.select("value", F.col("home").alias("at")).distinct()
-    asked = homed.join(homes, "value").where("at >= home").select(F.col("at").alias("home"), "node").distinct()
-    met = _packed(asked, sets, labels, "left").join(_packed(homed.select("home", "node").distinct(), sets, labels, "right"), "home")
+    homes = stored(seen.select("value", "node").join(home, "node").select("value", "home").distinct(), "homes")
+    near = homes.join(homes.withColumnRenamed("home", "other"), "value").where("home <= other").select("home", "other").distinct()
+    packs = stored(_packed(home, sets, labels), "packs")
+    met = near.join(packs.withColumnRenamed("x", "left"), "home").join(packs.select(F.col("home").alias("other"), F.col("x").alias("right"), F.col("part").alias("other_part")), "other")
+    met = met.where("home < other or part <= other_part")
     more = met.select("left", "right").mapInArrow(_across, "a long, b long")
     return components(labels.where("node <> label").select(F.col("node").alias("a"), F.col("label").alias("b")).union(more))
