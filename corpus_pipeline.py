@@ -4,21 +4,44 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wiresift.llm import neardup
+from wiresift.llm import neardup, packing, passages, quality
 from wiresift.llm.common import read, stored
+from wiresift.llm.queries import word_bpe
+
+
+def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and the trees, which are fitted on the labelled ones among them."""
+    return quality.kept_rows(docs, quality.fit_on(docs, read(spark, sf_dir, "labels")))
 
 
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays, the one with the smallest doc_id; rows without a doc_id stay."""
     gone = neardup.near_duplicates(docs).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+
+
+def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the passages that an earlier document holds too; a text that lost words is its other words joined by one space."""
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    cut = passages.remove_repeats(docs, carry=rest, as_is=True).withColumnRenamed("kept_text", "text")
+    if "n_chars" in rest:
+        cut = cut.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return cut.select(docs.columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents and their places in training sequences."""
+    return packing.pack(docs, word_bpe()).drop("ids")
 
 
 #: Steps in order; each takes what the one before kept.
 STAGES = [
+    ("quality_rules", good_documents),
     ("near_dedup", distinct_documents),
+    ("substring_dedup", without_repeats),
+    ("packing", packed),
 ]
-ORACLE_SQL = None  # link components and learned rules have no SQL form; tests compare with brute force
+ORACLE_SQL = None  # learned rules and link components have no SQL form; tests compare with a plain Python version
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

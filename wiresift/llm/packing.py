@@ -120,25 +120,26 @@ def patterns(sizes: np.ndarray, counts: np.ndarray, room: int, gap: float = GAP)
     m, total = len(sizes), int(counts.sum())
     share = counts / total
     columns = np.diag((room // sizes).astype(float))
-    inverse, x = np.linalg.inv(columns), share / (room // sizes)
+    inverse, x = np.diag(1.0 / (room // sizes)), share / (room // sizes)
     calm, bound, weight = np.zeros(m), 0.0, 0.8
-    for turn in range(TURNS):
-        prices = np.ones(m) @ inverse
+    for _ in range(TURNS):
+        prices = inverse.sum(0)
         # price at a point between the best dual found so far and this one: fewer, better columns
         mixed = np.maximum(weight * calm + (1 - weight) * prices, 0)
         value, pattern = knapsack(sizes, mixed, room)
-        low = float(share @ mixed) / max(value, 1e-12)  # mixed / value is dual feasible
+        low = float((share * mixed).sum()) / max(value, 1e-12)  # mixed / value is dual feasible
         if low > bound:
             bound, calm = low, mixed / max(value, 1e-12)
         if x.sum() <= bound * (1 + gap):
             break
-        if prices @ pattern <= 1 + 1e-9:
+        held = np.flatnonzero(pattern)
+        if (prices[held] * pattern[held]).sum() <= 1 + 1e-9:
             weight = 0.0 if weight < 0.05 else weight / 2
             if weight == 0.0 and value <= 1 + 1e-9:
                 break
             continue
         weight = min(0.8, weight + 0.1)
-        move = inverse @ pattern
+        move = (inverse[:, held] * pattern[held]).sum(1)
         up = move > 1e-10
         ratio = np.full(m, np.inf)
         ratio[up] = x[up] / move[up]
@@ -150,9 +151,6 @@ def patterns(sizes: np.ndarray, counts: np.ndarray, room: int, gap: float = GAP)
         row = inverse[out] / move[out]
         inverse -= np.outer(move, row)
         inverse[out] = row
-        if turn % 200 == 199:
-            inverse = np.linalg.inv(columns)
-            x = np.maximum(inverse @ share, 0)
     left, made = counts.copy(), []
     for p in np.argsort(-x, kind="stable"):
         a = columns[:, p].astype(np.int64)

@@ -126,36 +126,41 @@ def _removed(n: int, doc_id, tag: int, entries, later) -> np.ndarray:
     return np.cumsum(gone[:-1]) > 0
 
 
-def _cut(batches):
-    for batch in batches:
-        ids, texts, tags, entries, later = (batch.column(i).to_pylist() for i in range(5))
-        n_words, n_removed, kept, spans = [], [], [], []
-        for doc_id, text, tag, own, late in zip(ids, texts, tags, entries, later):
-            words = (text or "").encode().split()
-            gone = _removed(len(words), doc_id, tag, own, late) if own or late else np.zeros(0, bool)
-            n_words.append(len(words))
-            n_removed.append(int(gone.sum()))
-            edges = np.flatnonzero(np.diff(np.r_[False, gone, False])) if n_removed[-1] else np.zeros(0, np.int64)
-            spans.append([{"start": int(a), "end": int(b)} for a, b in zip(edges[::2], edges[1::2])])
-            if len(edges):
-                words = [w for a, b in zip(np.r_[0, edges[1::2]], np.r_[edges[::2], len(words)]) for w in words[a:b]]
-            kept.append(b" ".join(words).decode())
-        yield pa.RecordBatch.from_arrays([
-            batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()),
-            pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.string()),
-        ], names=["doc_id", "n_words", "n_removed", "removed", "kept_text"])
-
-
-def remove_repeats(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_words, n_removed, removed, kept_text) for every row of `docs` (doc_id, text; other columns are not read).
+def _cut(carry: list[str], as_is: bool):
+    def cut(batches):
+        for batch in batches:
+            ids, texts, tags, entries, later = (batch.column(i).to_pylist() for i in range(5))
+            n_words, n_removed, kept, spans = [], [], [], []
+            for doc_id, text, tag, own, late in zip(ids, texts, tags, entries, later):
+                words = (text or "").encode().split()
+                gone = _removed(len(words), doc_id, tag, own, late) if own or late else np.zeros(0, bool)
+                n_words.append(len(words))
+                n_removed.append(int(gone.sum()))
+                edges = np.flatnonzero(np.diff(np.r_[False, gone, False])) if n_removed[-1] else np.zeros(0, np.int64)
+                spans.append([{"start": int(a), "end": int(b)} for a, b in zip(edges[::2], edges[1::2])])
+                if len(edges):
+                    words = [w for a, b in zip(np.r_[0, edges[1::2]], np.r_[edges[::2], len(words)]) for w in words[a:b]]
+                kept.append(text if as_is and not len(edges) else b" ".join(words).decode())
+            yield pa.RecordBatch.from_arrays([
+                batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()),
+                pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.string()), *batch.columns[5:],
+            ], names=["doc_id", "n_words", "n_removed", "removed", "kept_text", *carry])
+    return cut
+
+
+def remove_repeats(docs: DataFrame, carry: list[str] | None = None, as_is: bool = False) -> DataFrame:
+    """(doc_id, n_words, n_removed, removed, kept_text, *carry) for every row of `docs` (doc_id, text; of other columns only `carry` are read).
 
     A word goes if a window of `WINDOW` words around it also starts in a document with a smaller doc_id, judged on the input. `removed` lists word
-    ranges, `kept_text` the other words joined by one space. A null text has no words; texts shorter than a window stay whole. Rows that share a
+    ranges, `kept_text` the other words joined by one space
+    (with `as_is`, texts that lose nothing keep their own layout). A null text has no words; texts shorter than a window stay whole. Rows that share a
     doc_id never remove from each other; rows without a doc_id neither lose words nor cost others any. Empty tables give empty results.
     """
     spark = docs.sparkSession
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").bitwiseAND(F.lit((1 << 23) - 1)).alias("tag"))
-    edges = texts.where("doc_id is not null").mapInArrow(_edges, "edge long, doc_id long, place long, prev long, next long")
+    names = [f"carried_{i}" for i in range(len(carry or []))]
+    more = [F.col(f"`{c}`").alias(n) for c, n in zip(carry or [], names)]
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").bitwiseAND(F.lit((1 << 23) - 1)).alias("tag"), *more)
+    edges = texts.select("doc_id", "text", "tag").where("doc_id is not null").mapInArrow(_edges, "edge long, doc_id long, place long, prev long, next long")
     repeated = edges.groupBy("edge").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), *(f(c).alias(f"{f.__name__}_{c}") for c in ("prev", "next") for f in (F.min, F.max))).where("first < last")
     repeated = stored(repeated, "edges")
     release(spark)
@@ -165,8 +170,11 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     found = edges.select("edge", "doc_id", "place").join(repeated.select("edge", "first").join(joined, "edge", "left"), "edge")
     by_doc = stored(found.groupBy("doc_id").agg(F.collect_list(F.struct("place", "first", "joined")).alias("entries")), "occurrences")
     release(spark)
-    held = texts.join(by_doc, "doc_id", "left")
+    held = texts.join(by_doc, "doc_id", "left").select("doc_id", "text", "tag", "entries", *names)
     windows = held.mapInArrow(_windows, "f1 long, f2 int, doc_id long, place long")
     common = windows.groupBy("f1", "f2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
     later = windows.join(common, ["f1", "f2"]).where("doc_id > first").groupBy("doc_id").agg(F.collect_list("place").alias("later"))
-    return held.join(later, "doc_id", "left").mapInArrow(_cut, "doc_id long, n_words long, n_removed long, removed array<struct<start:long,end:long>>, kept_text string")
+    full = held.join(later, "doc_id", "left").select("doc_id", "text", "tag", "entries", "later", *names)
+    types = "".join(f", {n} {full.schema[n].dataType.simpleString()}" for n in names)
+    cut = full.mapInArrow(_cut(names, as_is), f"doc_id long, n_words long, n_removed long, removed array<struct<start:long,end:long>>, kept_text string{types}")
+    return cut.select("doc_id", "n_words", "n_removed", "removed", "kept_text", *(F.col(n).alias(c) for c, n in zip(carry or [], names)))
