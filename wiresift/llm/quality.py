@@ -15,7 +15,7 @@ from wiresift.llm import scan
 
 #: At most so many labelled rows fit the trees.
 FIT_ROWS = 20_000
-TREES, DEPTH, RATE, BINS, LEAST, RIDGE = 60, 4, 0.2, 64, 20, 1.0
+TREES, DEPTH, RATE, BINS, LEAST, RIDGE = 60, 4, 0.2, 64, 5, 1.0
 #: Documents whose score (the probability of good quality) is below this are rejected.
 CUT = 0.5
 SYMBOLS = np.frombuffer(b"#*$%&|<>", np.uint8)
