@@ -1,0 +1,493 @@
+"""Each operator against a plain Python version, on the smallest tables and on hand-made edge cases."""
+import base64
+import hashlib
+import random
+import re
+import sys
+import zlib
+from collections import Counter, defaultdict
+from pathlib import Path
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+sys.path.insert(0, str(Path(__file__).parent))
+import brute  # noqa: E402
+
+from wiresift.llm import lattice, neardup, packing, passages, quality, queries, scan, separators, sharding, suffixes, vptree, warc  # noqa: E402
+
+SMALL = "/root/testdata/sf0.001"
+COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def some_text(r, n):
+    return " ".join(r.choice(["the", "of", "Éau", "x" * 30, "and,", "a|b", "ünd", "zz9", "Q!"]) + str(r.randrange(40)) for _ in range(n))
+
+
+def odd_rows():
+    """Nulls, empty and long texts, ties, copies of rows, near copies, passages that cross documents."""
+    r = random.Random(5)
+    passage, base = some_text(r, 70), some_text(r, 200)
+    near = base.split()
+    near[100] = "changed"
+    texts = [None, "", " \t\n", "one", "four little words here", base, base, " ".join(near), base.upper(), passage, "before " + passage + "\nafter", some_text(r, 30) + passage, passage + passage,
+             "ab " * 300, "x" * 4000, "é" * 300 + "　" + "é" * 300, "a" * 49, "a" * 50, some_text(r, 9000), "l one\nl one\n\nl one two", "<|endoftext|> # $ ▁ ▁▁b  c", "\x1f\x85 z"]
+    rows = [(i, t, "en", [None, "s", "t", ""][i % 4], 1) for i, t in enumerate(texts)]
+    return rows + [rows[5], rows[9], (None, base, None, None, None), (None, None, None, "s", None), (2**40, passage, "en", "s", 3), (-3, base, "en", "s", 3)]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    extra = {c: F.lit(c) for c in ("tag", "entries", "node", "value", "size", "rank", "_g", "shard", "slot", "label", "row", "part", "anchor", "edge", "length", "word")}
+    return spark.createDataFrame(odd_rows(), COLUMNS).repartition(3).withColumns(extra)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], COLUMNS)
+
+
+def documents(spark):
+    return [(r.doc_id, r.text) for r in spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").collect()]
+
+
+# ---------------------------------------------------------------- scan
+
+
+def test_words_and_windows():
+    texts = ["a b", "", "  c\x0bd\x1fe ", "é　f g", "h"]
+    raw = [t.encode() for t in texts]
+    data, offsets = np.frombuffer(b"".join(raw), np.uint8), np.r_[0, np.cumsum([len(x) for x in raw])]
+    words = scan.Words(data, offsets)
+    got = [[bytes(data[words.start[k]:words.end[k]]).decode() for k in range(words.at[i], words.at[i + 1])] for i in range(len(texts))]
+    assert got == [brute.words(t) for t in texts]
+    assert list(scan.within(np.array([0, 3, 3, 4, 9]), 9, 3)) == [True, False, False, False, True, True, True]
+    v = np.random.default_rng(0).integers(0, 6, 200)
+    assert list(scan.sliding_argmin(v, 7)) == [i + int(np.argmin(v[i:i + 7])) for i in range(194)]
+    p = scan.rolling(np.array([5, 6, 7, 5, 6, 7, 8], np.uint64), 3)
+    assert p[0] == p[3] and len(set(p.tolist())) == 4
+
+
+# ---------------------------------------------------------------- 1
+
+
+def check_shards(rows, n):
+    by = defaultdict(list)
+    for r in rows:
+        by[r.shard].append(r.slot)
+    assert all(sorted(s) == list(range(len(s))) for s in by.values())
+    counts = [len(by[k]) for k in range(n)]
+    assert max(counts) - min(counts) <= 1
+    mix = Counter((r.source, r.shard) for r in rows)
+    for s in {r.source for r in rows}:
+        held = [mix[s, k] for k in range(n)]
+        assert max(held) - min(held) <= 2
+
+
+def test_op1(spark, odd, empty):
+    rows = queries.op1(spark, SMALL).collect()
+    texts = dict(documents(spark))
+    check_shards(rows, 8)
+    assert sorted((r.doc_id, r.size, r.text_crc32) for r in rows) == sorted((i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t in texts.items())
+    dealt = sharding.interleave(odd, 4)
+    assert set(dealt.columns) == set(odd.columns) and dealt.count() == odd.count()
+    check_shards(dealt.collect(), 4)
+    assert sharding.interleave(empty, 4).count() == 0
+    skewed = spark.range(6000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("s"), F.col("id") % 7)).alias("source"))
+    check_shards(sharding.interleave(skewed, 8).collect(), 8)
+
+
+# ---------------------------------------------------------------- 2
+
+
+def test_op2(spark, odd, empty, tmp_path):
+    import sentencepiece
+    m = sentencepiece.SentencePieceProcessor(model_file=queries.piece_bpe())
+    path = f"file://{tmp_path}/flat"
+    separators.write_flat(odd, queries.piece_bpe(), path, per_file=7)
+    want = sorted(len(m.encode(t or "")) for _, t, *_ in odd_rows())
+    for block in (1, 5, 1000, 1 << 20):
+        got = separators.scan_flat(spark, path, block).collect()
+        assert sorted(r.n_tokens for r in got) == want
+        by = defaultdict(list)
+        for r in got:
+            by[r.file].append((r.document, r.start, r.n_tokens))
+        for ds in by.values():
+            at = 0
+            for k, (document, start, n) in enumerate(sorted(ds)):
+                assert (document, start) == (k, at)
+                at += n + 1
+    assert separators.token_counts(empty, queries.piece_bpe()).count() == 0
+
+
+def test_op2_open_end(spark, tmp_path):
+    (tmp_path / "part-0").write_bytes(np.array([5, 6, 2, 2, 7], "<u2").tobytes())
+    (tmp_path / "part-1").write_bytes(b"")
+    got = sorted((r.file, r.document, r.start, r.n_tokens) for r in separators.scan_flat(spark, f"file://{tmp_path}", 2).collect())
+    assert got == [("part-0", 0, 0, 2), ("part-0", 1, 3, 0), ("part-0", 2, 4, 1)]
+
+
+# ---------------------------------------------------------------- 3
+
+
+def test_op3(spark, odd, empty):
+    rows = queries.op3(spark, SMALL).collect()
+    texts = dict(documents(spark))
+    assert {r.doc_id: tuple(r)[1:7] for r in rows} == {i: brute.base_counts(t) for i, t in texts.items()}
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{SMALL}/labels.parquet").collect()}
+    judged = [(labels[r.doc_id], r.kept, r.base_failed) for r in rows if r.doc_id in labels]
+    assert sum(q == 1 and not k for q, k, f in judged if not f) == 0
+    trees = quality.fit(np.zeros((0, 12)), np.zeros(0), [0] * 12)
+    got = quality.judge(odd, trees).collect()
+    assert Counter(tuple(r)[:7] for r in got) == Counter((i, *brute.base_counts(t)) for i, t, *_ in odd_rows())
+    assert quality.kept_rows(odd, trees).count() == sum(r.kept for r in got)
+    assert quality.judge(empty, trees).count() == 0
+    nothing = quality.fit_on(empty, spark.createDataFrame([], "doc_id long, quality int"))
+    assert nothing.score(np.zeros((2, 12))).min() > 0.5
+
+
+def test_op3_held_out(spark):
+    d = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    trees = quality.fit_on(docs, labels.where("doc_id % 2 = 0"))
+    rows = quality.judge(docs, trees).join(labels.where("doc_id % 2 = 1"), "doc_id").where("not base_failed").collect()
+    assert len(rows) > 100 and sum((r.quality == 1) != r.kept for r in rows) <= 0.02 * len(rows)
+
+
+def test_trees_are_monotonic():
+    g = np.random.default_rng(1)
+    x = g.normal(size=(3000, 2))
+    y = (g.random(3000) < 1 / (1 + np.exp(-np.sin(3 * x[:, 0]) * 3 + x[:, 1]))).astype(float)
+    trees = quality.fit(x, y, [-1, 0], 20)
+    line = np.stack([np.linspace(-3, 3, 400), np.zeros(400)], 1)
+    assert (np.diff(trees.score(line)) <= 1e-12).all()
+    free = quality.fit(x, y, [0, 0], 20)
+    assert (np.diff(free.score(line)) > 0.01).any()
+
+
+# ---------------------------------------------------------------- 4 and 6
+
+
+def without(rows):
+    """Distinct ids only: what the contract speaks of."""
+    seen = {}
+    for i, t, *_ in rows:
+        if i is not None:
+            seen.setdefault(i, t)
+    return sorted(seen.items())
+
+
+def test_op4(spark, odd, empty):
+    want = brute.repeats(documents(spark), 50, False)
+    assert {r.doc_id: tuple(r)[1:] for r in queries.op4(spark, SMALL).collect()} == want
+    want = brute.repeats(without(odd_rows()), 50, False)
+    for hot in (suffixes.HOT, 1):
+        rows = suffixes.remove_repeats(odd, hot).collect()
+        assert len(rows) == len(odd_rows())
+        for r in rows:
+            if r.doc_id is None:
+                assert r.n_removed == 0
+            else:
+                assert (r.n_bytes, r.n_removed, len(r.removed), hashlib.sha256(r.kept).hexdigest()) == want[r.doc_id]
+    assert suffixes.remove_repeats(empty).count() == 0
+
+
+def test_suffix_array():
+    g = np.random.default_rng(2)
+    for alphabet, n in ((2, 300), (4, 2000), (1, 150)):
+        data = g.integers(97, 97 + alphabet, n).astype(np.uint8)
+        starts = np.arange(n - 50)
+        sa, levels = suffixes.suffix_array(data, starts)
+        raw = data.tobytes()
+        keys = [raw[i:i + 50] for i in sa]
+        assert sorted(sa.tolist()) == starts.tolist() and keys == sorted(keys)
+        lcp = suffixes.common_prefixes(sa, levels, data)
+        for k in range(1, len(sa)):
+            want = next((j for j in range(50) if keys[k][j] != keys[k - 1][j]), 50)
+            assert lcp[k] == want
+
+
+def test_merge_sorted():
+    a, b = (np.array([1, 3, 3, 9], np.uint64), np.array([0, 1, 2, 3])), (np.array([0, 3, 9, 9], np.uint64), np.array([4, 5, 6, 7]))
+    k, v = suffixes.merge_sorted(a, b)
+    assert k.tolist() == [0, 1, 3, 3, 3, 9, 9, 9] and sorted(v.tolist()) == list(range(8))
+
+
+def test_op6(spark, odd, empty):
+    want = {k: (v[0], v[1], v[3]) for k, v in brute.repeats(documents(spark)).items()}
+    assert {r.doc_id: tuple(r)[1:] for r in queries.op6(spark, SMALL).collect()} == want
+    want = brute.repeats(without(odd_rows()))
+    rows = passages.remove_repeats(odd, carry=["source", "tag"]).collect()
+    assert len(rows) == len(odd_rows()) and rows[0].tag == "tag"
+    for r in rows:
+        if r.doc_id is None:
+            assert r.n_removed == 0
+        else:
+            assert (r.n_words, r.n_removed, len(r.removed), hashlib.sha256(r.kept_text.encode()).hexdigest()) == want[r.doc_id]
+    assert passages.remove_repeats(empty).count() == 0
+
+
+def test_op4_op6_random(spark):
+    """Few different words, so that strings repeat in every way: within a document, overlapping, at its ends."""
+    r = random.Random(11)
+    rows, parts = [], [" ".join(r.choice("ab") for _ in range(r.randrange(20, 130))) for _ in range(12)]
+    for i in range(60):
+        rows.append((i, " ".join(r.choice(parts)[r.randrange(6) * 2:] for _ in range(r.randrange(1, 5)))))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    want = brute.repeats(rows, 50, False)
+    assert {x.doc_id: (x.n_bytes, x.n_removed, len(x.removed), hashlib.sha256(x.kept).hexdigest()) for x in suffixes.remove_repeats(df, 20).collect()} == want
+    want = brute.repeats(rows)
+    assert {x.doc_id: (x.n_words, x.n_removed, len(x.removed), hashlib.sha256(x.kept_text.encode()).hexdigest()) for x in passages.remove_repeats(df).collect()} == want
+
+
+# ---------------------------------------------------------------- 5
+
+
+def test_op5(spark):
+    pages = [(r.page_id, r.url, r.html) for r in spark.read.parquet(f"{SMALL}/pages.parquet").collect()]
+    check_index(queries.op5(spark, SMALL).collect(), pages)
+
+
+def check_index(rows, pages):
+    top = {}
+    for i, _, h in pages:
+        if i is not None:
+            top[h or ""] = max(i, top.get(h or "", i))
+    want = []
+    for i, _, h in pages:
+        raw = (h or "").encode()
+        again = i is not None and top[h or ""] != i
+        want.append((i, len(raw), base64.b32encode(hashlib.sha1(raw).digest()).decode(), "revisit" if again else "response", top[h or ""] if again else None))
+    key = lambda x: str(x)
+    assert sorted((tuple(r[c] for c in ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")) for r in rows), key=key) == sorted(want, key=key)
+    order = [(r.url_key, r.timestamp, -1 if r.page_id is None else r.page_id) for r in sorted(rows, key=lambda r: (r.range_id, r.range_pos))]
+    assert order == sorted(order)
+
+
+def test_op5_odd(spark, tmp_path):
+    pages = [(1, "http://www.A.com/x?q=1", "<p>é\r\n\r\nWARC/1.1\r\n</p>"), (2, "https://a.com:8080/%41 b\r\nX: y", None), (3, None, ""), (4, "", "same"), (5, "u", "same"), (5, "u", "same"), (None, "http://é.de/", "same"),
+             (None, None, None), (7, "http://b.a.com", "x" * 200_000), (-1, "http://a.com", "\n")]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("digest", F.lit(1)).repartition(3)
+    out = warc.archive_and_index(df, f"file://{tmp_path}/w").collect()
+    check_index(out, pages)
+    assert sorted(str(r.url) for r in out) == sorted(str(u) for _, u, _ in pages)
+    assert warc.archive_and_index(df.limit(0)).count() == 0
+    with pytest.raises(Exception, match="differs from its digest"):
+        import gzip
+        f = next(Path(f"{tmp_path}/w").glob("*.gz"))
+        (tmp_path / "bad").mkdir()
+        all_ = b"".join(gzip.decompress(x.read_bytes()) for x in Path(f"{tmp_path}/w").glob("*.gz"))
+        (tmp_path / "bad" / f.name).write_bytes(gzip.compress(all_.replace(b"x" * 100, b"y" * 100)))
+        warc.read_archives(spark, f"file://{tmp_path}/bad").count()
+
+
+def test_loser_tree():
+    r = random.Random(3)
+    for k in (0, 1, 2, 3, 7, 16):
+        runs = [sorted(r.randrange(50) for _ in range(r.randrange(9))) for _ in range(k)]
+        assert list(warc.merge_runs(runs, lambda x: x)) == sorted(x for run in runs for x in run)
+
+
+def test_url_key():
+    assert warc.url_key("http://WWW.Example.com:80/Path?Q#f") == "com,example)/path?q"
+    assert warc.url_key("https://u:p@a.b.org:81") == "org,b,a:81)/" and warc.url_key(None) == ")"
+
+
+# ---------------------------------------------------------------- 7
+
+
+def test_op7(spark, odd, empty):
+    want = brute.near(documents(spark))
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in queries.op7(spark, SMALL).collect()} == want
+    rows = neardup.near_duplicates(odd).collect()
+    assert len(rows) == len(odd_rows())
+    want = brute.near(without(odd_rows()))
+    for r in rows:
+        if r.doc_id is not None:
+            assert (r.n_shingles, r.component_id) == want[r.doc_id] and r.kept == (r.doc_id == r.component_id)
+    assert neardup.near_duplicates(empty).count() == 0
+
+
+def test_op7_long_lists(spark):
+    """Near copies of one text with 0 to 12 changed words: many pairs just above and below the threshold, in lists far longer than SMALL."""
+    r = random.Random(8)
+    base, rows = [f"w{i}" for i in range(150)], []
+    for i in range(260):
+        words = list(base)
+        for j in r.sample(range(150), r.randrange(13)):
+            words[j] = f"n{i}x{j}" if r.random() < 0.6 else f"c{j % 5}"
+        rows.append((i, " ".join(words)))
+    rows += [(1000 + i, " ".join(base[:60] + [f"k{i}y{j}" for j in range(60)])) for i in range(40)]
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute.near(rows)
+
+
+def test_needed():
+    assert neardup.needed(1) == 1 and neardup.needed(40) == 30 and 20 < neardup.needed(1000) < 48
+
+
+# ---------------------------------------------------------------- 8
+
+
+def check_pack(rows, docs, length=4096):
+    from tokenizers import Tokenizer
+    t = Tokenizer.from_file(queries.word_bpe())
+    seq, docs_ = defaultdict(list), defaultdict(list)
+    for r in rows:
+        seq[r.sequence_id].append(r)
+        docs_[r.doc_id].append(r)
+    assert sorted(seq) == list(range(len(seq)))
+    for v in seq.values():
+        at = 0
+        for r in sorted(v, key=lambda x: x.offset):
+            assert r.offset == at and r.length > 0
+            at += r.length
+        assert at <= length and all(r.sequence_tokens == at and r.padded_tokens == (at if at & (at - 1) == 0 else length) for r in v)
+    want = Counter()
+    for i, text in docs:
+        ids = np.array([*t.encode(text or "", add_special_tokens=False).ids, 2], "<u4")
+        for s in range(0, len(ids), length):
+            want[(i, s, len(ids[s:s + length]), zlib.crc32(ids[s:s + length].tobytes()), len(ids))] += 1
+    assert Counter((r.doc_id, r.start, r.length, r.ids_crc32, r.doc_tokens) for r in rows) == want
+    return seq
+
+
+def test_op8(spark, odd, empty):
+    seq = check_pack(queries.op8(spark, SMALL).collect(), documents(spark))
+    tokens = sum(v[0].sequence_tokens for v in seq.values())
+    assert len(seq) * 4096 <= 1.03 * tokens + 4096
+    out = packing.pack(odd, queries.word_bpe(), 256).collect()
+    check_pack(out, [(i, t) for i, t, *_ in odd_rows()], 256)
+    assert all(zlib.crc32(r.ids) == r.ids_crc32 for r in out)
+    assert packing.pack(empty, queries.word_bpe()).count() == 0
+
+
+def test_patterns():
+    g = np.random.default_rng(4)
+    for n, high in ((1, 5), (8, 400), (40, 3000), (64, 1)):
+        sizes, counts = np.arange(1, n + 1), g.integers(1, high + 1, n)
+        made = packing.patterns(sizes, counts, 64)
+        assert (sum(a * k for a, k in made) == counts).all() and all((a * sizes).sum() <= 64 for a, _ in made)
+        best = -(-int((sizes * counts).sum()) // 64)
+        assert n > 40 or sum(k for _, k in made) <= 1.01 * best + n
+    value, held = packing.knapsack(np.array([3, 5, 7]), np.array([3.0, 5.1, 7.5]), 16)
+    assert abs(value - 16.5) < 1e-9 and (held * [3, 5, 7]).sum() <= 16
+
+
+# ---------------------------------------------------------------- 9
+
+
+def brute_nearest(rows, every, k):
+    ok = [(i, np.array(v, float)) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v) and any(v)]
+    out = []
+    for i, v in ok:
+        if i % every == 0:
+            scored = sorted((-((v * w).sum() / (np.sqrt((v * v).sum()) * np.sqrt((w * w).sum()))), j) for j, w in ok if j != i and len(w) == len(v))
+            out += [(i, n + 1, j, -s) for n, (s, j) in enumerate(scored[:k])]
+    return sorted(out)
+
+
+def test_op9(spark):
+    rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{SMALL}/embeddings.parquet").collect()]
+    got, want = sorted(map(tuple, queries.op9(spark, SMALL).collect())), brute_nearest(rows, 50, 5)
+    assert [x[:3] for x in got] == [x[:3] for x in want] and np.allclose([x[3] for x in got], [x[3] for x in want], rtol=0, atol=1e-12)
+
+
+def test_op9_odd(spark):
+    g = np.random.default_rng(6)
+    one = g.normal(size=4).tolist()
+    rows = [(i, one) for i in range(300)] + [(300 + i, g.normal(size=4).tolist()) for i in range(700)]
+    rows += [(2000, None), (2001, [0.0] * 4), (2002, [1.0, None, 0.0, 0.0]), (2003, [float("nan")] * 4), (2004, [float("inf"), 1.0, 1.0, 1.0]), (2050, [1.0, 2.0]), (2051, [2.0, 1.0]), (None, one), (50, one), (3000, [])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("part", F.lit(1)).withColumn("dim", F.lit("x"))
+    want = brute_nearest([x for k, x in enumerate(rows) if x not in rows[:k]], 50, 5)
+    got = sorted(map(tuple, vptree.nearest(df, F.col("vec_id") % 50 == 0).collect()))
+    assert [x[:3] for x in got] == [x[:3] for x in want] and np.allclose([x[3] for x in got], [x[3] for x in want], rtol=0, atol=1e-12)
+    assert vptree.nearest(df.limit(0), F.lit(True)).count() == 0
+
+
+def test_op9_relaxed():
+    g = np.random.default_rng(7)
+    unit = g.normal(size=(4000, 8))
+    unit /= np.linalg.norm(unit, axis=1)[:, None]
+    tree, asked, none = vptree.Tree(unit), unit[:60] + 0.01, np.full(60, -1)
+    exact = [set(np.argsort(np.linalg.norm(unit - q, axis=1))[:5].tolist()) for q in asked]
+    recall = []
+    for factor in (1.0, 1.5, 6.0):
+        recall.append(np.mean([len(e & set(f.tolist())) / 5 for e, f in zip(exact, tree.search(asked, 5, factor, none))]))
+    assert recall[0] == 1.0 and recall[1] >= 0.9 and recall[2] <= recall[1]
+
+
+# ---------------------------------------------------------------- 10
+
+
+def as_unigram(model):
+    """The model file with its type set to unigram: the library's own Viterbi over the same pieces."""
+    raw = bytearray(Path(model).read_bytes())
+
+    def fields(lo, hi):
+        while lo < hi:
+            key = n = shift = 0
+            while True:
+                c = raw[lo]
+                lo += 1
+                key |= (c & 127) << shift
+                shift += 7
+                if c < 128:
+                    break
+            if key & 7 == 0:
+                start = lo
+                while raw[lo] > 127:
+                    lo += 1
+                lo += 1
+            else:
+                shift = 0
+                n = {1: 8, 5: 4}.get(key & 7)
+                if n is None:
+                    n = 0
+                    while True:
+                        c = raw[lo]
+                        lo += 1
+                        n |= (c & 127) << shift
+                        shift += 7
+                        if c < 128:
+                            break
+                start, lo = lo, lo + n
+            yield key >> 3, start, lo
+    a, b = next((a, b) for f, a, b in fields(0, len(raw)) if f == 2)
+    raw[next(x for f, x, _ in fields(a, b) if f == 3)] = 1
+    return bytes(raw)
+
+
+def test_op10(spark):
+    import sentencepiece
+    rows = queries.op10(spark, SMALL).collect()
+    seen = Counter()
+    for _, t in documents(spark):
+        if t:
+            seen.update(re.findall("▁*[^▁]+|▁+", ("▁" + t).replace(" ", "▁")))
+    assert {r.word: r.occurrences for r in rows} == dict(seen) and all(r.decoded == re.sub("^ ", "", r.word.replace("▁", " ")) for r in rows)
+    m = sentencepiece.SentencePieceProcessor(model_proto=as_unigram(queries.piece_bpe()))
+    for r in rows:
+        if re.fullmatch("▁[^▁ ]+", r.word):  # runs of marks have scores that the library's 32-bit sums can't tell apart; its lattice search (n best) is exact
+            assert list(r.ids) == m.nbest_encode_as_ids(r.word[1:], 2)[0], r.word
+
+
+def test_op10_documents(spark, odd, empty):
+    vocabulary = lattice.Vocabulary(queries.piece_bpe())
+    encoded = lattice.encode(odd, vocabulary).collect()
+    assert len(encoded) == len(odd_rows())
+    df = spark.createDataFrame([(k, list(r.ids)) for k, r in enumerate(encoded)], "k long, ids array<int>")
+    back = {r.k: r.text for r in lattice.decode(df, vocabulary, ["k"]).collect()}
+    # the mark itself is the vocabulary's space
+    assert Counter((r.doc_id, back[k]) for k, r in enumerate(encoded)) == Counter((i, (t or "").replace("▁", " ")) for i, t, *_ in odd_rows())
+    assert lattice.encode(empty, vocabulary).count() == 0
+
+
+def test_op10_long_words_agree(spark):
+    r = random.Random(9)
+    vocabulary = lattice.Vocabulary(queries.piece_bpe())
+    words = spark.createDataFrame([("▁" + "".join(r.choice("abenst漢é") for _ in range(n)), 1) for n in (1, 5, 60, 199, 200, 900)], "word string, occurrences long")
+    short, long = lattice.encode_words(words, vocabulary)
+    plain = {x.word: list(x.ids) for x in words.mapInArrow(lattice._plain_viterbi(vocabulary), "word string, occurrences long, ids array<int>").collect()}
+    assert {x.word: list(x.ids) for x in short.union(long).collect()} == plain and long.count() == 2

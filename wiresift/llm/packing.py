@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -19,49 +20,102 @@ from pyspark.sql import functions as F
 from wiresift.llm.common import stored, with_rank
 
 LENGTH, UNIT, END, GAP, TURNS = 4096, 8, 2, 1e-3, 4000
-#: Words whose ids a worker remembers; it forgets them all when it has so many.
-KNOWN = 400_000
+#: Words, and parts of words, whose ids a worker remembers; it forgets them all when it has so many.
+KNOWN, PARTS = 1_000_000, 600_000
+#: How the tokenizer splits a normalised word (fixed value of its file), and words whose normal form is left to the tokenizer itself.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+UNSURE = r"[^\u0021-\u007e\u00a1-\u012f\u0131-\u024f]|<\|"
 
 
 class WordEncoder:
     """Token ids of texts by the words between ASCII white space, each encoded once.
 
-    Right for tokenizers that drop white space and never join tokens across it, as the one used here does.
+    Right for tokenizers that drop white space and never join tokens across it. Where the tokenizer lower-cases and splits words by `SPLIT`, plain
+    Latin words are split here first, so that a part is encoded once for all words that hold it; other words go to the tokenizer whole.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import json
+
+        import regex
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
+        spec = json.loads(self.tokenizer.to_str())
+        kinds = [x["type"] for x in (spec["normalizer"] or {}).get("normalizers", [])]
+        first = ((spec["pre_tokenizer"] or {}).get("pretokenizers") or [{}])[0]
+        known = kinds == ["NFC", "Replace", "Lowercase"] and first.get("pattern") == {"Regex": SPLIT}
+        suffix = spec["model"].get("end_of_word_suffix")
+        known = known and bool(suffix)
+        self.split, self.unsure = regex.compile(SPLIT + r"|\n").findall if known else None, regex.compile(UNSURE).search
+        if known:  # which ids end a part
+            vocabulary = self.tokenizer.get_vocab()
+            self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.ends[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
+        self.parts = {"\n": b""}
         self.forget()
 
     def forget(self):
         self.known, self.ids, self.bounds = {}, np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _encode_parts(self, parts: list[str]) -> list[bytes]:
+        """Ids of parts, many in one text: the ids that end a part tell them apart."""
+        out = []
+        for k in range(0, len(parts), 1000):
+            some = parts[k:k + 1000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.uint32)
+            cut = np.flatnonzero(self.ends[ids]) + 1
+            if len(cut) != len(some) or cut[-1] != len(ids):
+                out += self._encode(some)
+                continue
+            raw, bounds = ids.tobytes(), [0, *(4 * cut).tolist()]
+            out += [raw[i:j] for i, j in zip(bounds, bounds[1:])]
+        return out
+
+    def _add(self, words: list[bytes], lengths: np.ndarray, ids: bytes):
+        self.known.update(zip(words, range(len(self.known), len(self.known) + len(words))))
+        self.bounds = np.r_[self.bounds, self.bounds[-1] + np.cumsum(lengths)]
+        self.ids = np.r_[self.ids, np.frombuffer(ids, np.uint32)]
+
     def learn(self, words: list[bytes]):
-        for k in range(0, len(words), 50_000):
-            part = words[k:k + 50_000]
-            ids = [x.ids for x in self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)]
-            self.known.update(zip(part, range(len(self.known), len(self.known) + len(part))))
-            lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-            self.bounds = np.r_[self.bounds, self.bounds[-1] + np.cumsum(lengths)]
-            self.ids = np.r_[self.ids, np.fromiter((i for x in ids for i in x), np.uint32, int(lengths.sum()))]
-
-    def prepare(self, text: bytes):
-        """Know all words of a text (or of several, joined by white space)."""
-        words = set(text.split())
+        if self.split is None:
+            whole, plain = words, []
+        else:
+            text = b"\n".join(words).decode()
+            odd = {w for w in words if self.unsure(w.decode())} if self.unsure(text.replace("\n", "!")) else ()
+            whole, plain = list(odd), [w for w in words if w not in odd] if odd else words
+        for k in range(0, len(plain), 50_000):
+            part = plain[k:k + 50_000]
+            found = self.split(b"\n".join(part).decode().lower() + "\n")
+            if len(self.parts) > PARTS:
+                self.parts = {"\n": b""}
+            new = list(set(found).difference(self.parts))
+            self.parts.update(zip(new, self._encode_parts(new)))
+            ids = list(map(self.parts.__getitem__, found))
+            ends = np.flatnonzero(np.fromiter(map("\n".__eq__, found), bool, len(found)))
+            total = np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))[ends] // 4
+            self._add(part, np.diff(np.r_[0, total]), b"".join(ids))
+        if whole:
+            ids = self._encode([w.decode() for w in whole])
+            self._add(whole, np.array([len(x) // 4 for x in ids]), b"".join(ids))
+
+    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
+        split = [t.split() for t in texts]
+        words = set().union(*split)
         new = words.difference(self.known)
         if new and len(self.known) + len(new) > KNOWN:
             self.forget()
             new = words
-        self.learn(sorted(new))
-
-    def encode(self, text: bytes) -> np.ndarray:
-        words = text.split()
-        at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
-        start, n = self.bounds[at], self.bounds[at + 1] - self.bounds[at]
-        total = int(n.sum())
-        return self.ids[np.repeat(start - (np.cumsum(n) - n), n) + np.arange(total)]
+        self.learn(list(new))
+        out = []
+        for words in split:
+            at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+            start, n = self.bounds[at], self.bounds[at + 1] - self.bounds[at]
+            out.append(self.ids[np.repeat(start - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))])
+        return out
 
 
 def pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH) -> DataFrame:
@@ -78,10 +132,9 @@ def pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH) -> DataFrame:
                     group.append(texts[i].as_py() or b"")
                     size += len(group[-1])
                     i += 1
-                encoder.prepare(b" ".join(group))
                 out = {k: [] for k in ("row", "start", "length", "crc", "total", "ids")}
-                for k, text in enumerate(group):
-                    ids = np.r_[encoder.encode(text), np.uint32(END)].astype("<u4")
+                for k, ids in enumerate(encoder.encode(group)):
+                    ids = np.r_[ids, np.uint32(END)].astype("<u4")
                     for s in range(0, len(ids), length):
                         raw = ids[s:s + length].tobytes()
                         for name, x in zip(out, (i - len(group) + k, s, len(raw) // 4, zlib.crc32(raw), len(ids), raw)):

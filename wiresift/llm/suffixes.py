@@ -47,14 +47,26 @@ def _anchors(data: np.ndarray, offsets: np.ndarray):
     return at[first], grams[at[first]], text, starts[first], count
 
 
-def _dealt(prints: np.ndarray, bits: int) -> np.ndarray:
-    return (prints >> scan.U(64 - bits)).astype(np.int64) if bits else np.zeros(len(prints), np.int64)
+def _keys(prints: np.ndarray, bits: int) -> np.ndarray:
+    """The leading `bits`, which are the range, and the next 40: a chance match of two only costs a comparison of contexts."""
+    return prints >> scan.U(max(0, 24 - bits))
 
 
-def _runs(bits: int):
+def _five(keys: np.ndarray) -> bytes:
+    return keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+
+
+def _from_five(raw: bytes, high: int) -> np.ndarray:
+    out = np.zeros((len(raw) // 5, 8), np.uint8)
+    out[:, :5] = np.frombuffer(raw, np.uint8).reshape(-1, 5)
+    return out.view("<u8").ravel() | scan.U(high << 40)
+
+
+def _runs(bits: int, shard_type: str):
     """Sorted runs: for each range the anchors of some texts, once for each shard that holds one, with the number of those texts (up to 255)."""
     def emit(parts):
         prints, shard, text = (np.concatenate(x) for x in zip(*parts))
+        prints = _keys(prints, bits)
         order = np.lexsort((text, shard, prints))
         prints, shard, text = prints[order], shard[order], text[order]
         new_text = np.ones(len(prints), bool)
@@ -63,13 +75,14 @@ def _runs(bits: int):
         new[1:] = (prints[1:] != prints[:-1]) | (shard[1:] != shard[:-1])
         at = np.flatnonzero(new)
         holders = np.minimum(np.add.reduceat(new_text.astype(np.int64), at), 255).astype(np.uint8)
-        prints, shard = prints[at], shard[at].astype(np.int32)
-        ranges = _dealt(prints, bits)
+        prints, shard = prints[at], shard[at].astype(shard_type)
+        ranges = (prints >> scan.U(40)).astype(np.int64)
         cut = np.flatnonzero(np.r_[True, ranges[1:] != ranges[:-1]])
         bounds = np.r_[cut, len(prints)]
         return pa.RecordBatch.from_arrays([
             pa.array(ranges[cut]),
-            *(pa.array([x[a:b].tobytes() for a, b in zip(bounds, bounds[1:])], pa.binary()) for x in (prints, shard, holders)),
+            pa.array([_five(prints[a:b]) for a, b in zip(bounds, bounds[1:])], pa.binary()),
+            *(pa.array([x[a:b].tobytes() for a, b in zip(bounds, bounds[1:])], pa.binary()) for x in (shard, holders)),
         ], names=["range", "prints", "shards", "holders"])
 
     def run(batches):
@@ -100,13 +113,13 @@ def merge_sorted(a: tuple, b: tuple) -> tuple:
     return tuple(out)
 
 
-def _repeated(most: int):
+def _repeated(most: int, shard_type: str):
     """Merge the runs of each range; write the fingerprints of more than one text for each shard that holds them."""
     def run(batches):
         runs = {}
         for batch in batches:
             for r, prints, shards, holders in zip(*(c.to_pylist() for c in batch.columns)):
-                runs.setdefault(r, []).append((np.frombuffer(prints, np.uint64), np.frombuffer(shards, np.int32), np.frombuffer(holders, np.uint8)))
+                runs.setdefault(r, []).append((_from_five(prints, r), np.frombuffer(shards, shard_type), np.frombuffer(holders, np.uint8)))
         for r in sorted(runs):
             level = runs.pop(r)
             while len(level) > 1:
@@ -117,7 +130,7 @@ def _repeated(most: int):
             keep = count > 1
             prints, shards, hot = prints[keep], shards[keep], count[keep] > most
             order = np.lexsort((prints, shards))
-            prints, shards, hot = prints[order], shards[order], hot[order]
+            prints, shards, hot = prints[order], shards[order].astype(np.int32), hot[order]
             cut = np.flatnonzero(np.r_[True, shards[1:] != shards[:-1]]) if len(shards) else np.zeros(0, np.int64)
             bounds = np.r_[cut, len(shards)]
             yield pa.RecordBatch.from_arrays([
@@ -126,7 +139,7 @@ def _repeated(most: int):
     return run
 
 
-def _contexts(texts: pa.Table, found: pa.Table) -> pa.Table:
+def _contexts(texts: pa.Table, found: pa.Table, bits: int) -> pa.Table:
     """Contexts of the repeated anchors of one shard, and the windows of its hot ones, as rows (anchor, second, doc_id, place, windows, context)."""
     import pyarrow.compute as pc
     known = [np.frombuffer(x, np.uint64) for x in found["prints"].to_pylist() if x is not None]
@@ -141,8 +154,9 @@ def _contexts(texts: pa.Table, found: pa.Table) -> pa.Table:
     for i, j, data, offsets in scan.text_batches(texts["text"]):
         ids, tags = texts["doc_id"].slice(i, j - i).to_numpy(), texts["tag"].slice(i, j - i).to_numpy()
         _, prints, text, first, count = _anchors(data, offsets)
-        slot = np.minimum(np.searchsorted(known, prints), len(known) - 1)
-        keep = known[slot] == prints
+        keys = _keys(prints, bits)
+        slot = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+        keep = known[slot] == keys
         if copies:
             keep &= ~np.array([(a, b) in copies for a, b in zip(ids.tolist(), tags.tolist())], bool)[text]
         prints, text, first, count, slot = (x[keep] for x in (prints, text, first, count, slot))
@@ -271,9 +285,10 @@ def _later(anchor, ids, windows, data, bounds) -> tuple[np.ndarray, np.ndarray,
 
 def _judged(batches):
     """Suffix arrays over the contexts of a partition, in blocks that keep an anchor together."""
-    table = pa.Table.from_batches(list(batches))
-    if not table.num_rows:
+    batches = list(batches)
+    if not sum(b.num_rows for b in batches):
         return
+    table = pa.Table.from_batches(batches)
     anchor, ids, place, windows = (table[c].to_numpy() for c in ("anchor", "doc_id", "place", "windows"))
     data, bounds = scan.joined(table["context"])
     blocks = max(1, len(data) // BLOCK)
@@ -334,14 +349,15 @@ def remove_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
     # copies of a whole text
     sums = own.where(F.octet_length("text") >= WINDOW).select("doc_id", "tag", F.unhex(F.sha2("text", 256)).alias("sum"))
     copies = stored(sums.join(sums.groupBy("sum").agg(F.min("doc_id").alias("first")), "sum").where("doc_id > first").select("doc_id", "tag").distinct(), "copies")
-    runs = own.select(shard, "text").mapInArrow(_runs(max(0, (shards - 1).bit_length())), "range long, prints binary, shards binary, holders binary")
-    found = runs.repartition("range").mapInArrow(_repeated(hot), "shard int, prints binary, hot binary")
+    bits, shard_type = (shards - 1).bit_length(), "<u2" if shards <= 1 << 16 else "<i4"
+    runs = own.select(shard, "text").mapInArrow(_runs(bits, shard_type), "range long, prints binary, shards binary, holders binary")
+    found = runs.repartition("range").mapInArrow(_repeated(hot, shard_type), "shard int, prints binary, hot binary")
     nothing = [F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("tag")]
     told = stored(found.select("shard", "prints", "hot", *nothing), "repeated")
     release(spark)
     right = told.union(copies.select(shard, F.lit(None).cast("binary"), F.lit(None).cast("binary"), "doc_id", "tag"))
     row = "anchor long, second int, doc_id long, place long, windows int, context binary"
-    contexts = stored(own.select(shard, "doc_id", "tag", "text").groupBy("shard").cogroup(right.groupBy("shard")).applyInArrow(_contexts, row), "contexts")
+    contexts = stored(own.select(shard, "doc_id", "tag", "text").groupBy("shard").cogroup(right.groupBy("shard")).applyInArrow(lambda a, b: _contexts(a, b, bits), row), "contexts")
     release(spark)
     plain = contexts.where("context is not null").repartition("anchor").mapInArrow(_judged, "doc_id long, place long, windows int")
     rows = contexts.where("context is null").select("anchor", "second", "doc_id", "place", "windows")

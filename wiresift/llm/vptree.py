@@ -61,7 +61,7 @@ class Tree:
                 best[who] = np.partition(near, k - 1, axis=1)[:, :k]
                 limit = best[who].max(1) + EPS
                 for i, q in enumerate(who):
-                    close = d[i] <= limit[i]
+                    close = (d[i] <= limit[i]) & (d[i] < np.inf)
                     if close.any():
                         found[q].append((rows[close], d[i][close]))
                 return

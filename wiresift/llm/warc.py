@@ -139,9 +139,10 @@ def merge_runs(runs: list[list], key):
 
 def _merge(batches):
     """All pieces of one key range, split into their runs again and merged."""
-    table = pa.Table.from_batches(list(batches))
-    if not table.num_rows:
+    batches = list(batches)
+    if not sum(b.num_rows for b in batches):
         return
+    table = pa.Table.from_batches(batches)
     runs = {}
     for i, archive in enumerate(table["archive"].to_pylist()):
         runs.setdefault(archive, []).append(i)
