@@ -286,7 +286,7 @@ PROB = P + ", pr AS (SELECT family, positive, score / (score + 30) AS p FROM sc)
 
 
 def probabilities(spark, d):
-    return scores(spark, d).select("family", "positive", (F.col("score") / (F.col("score") + 30)).alias("p"))
+    return scores(spark, d).select("position", "family", "positive", (F.col("score") / (F.col("score") + 30)).alias("p"))
 
 
 @query("a24_calibration", PROB + """, b AS (SELECT family, greatest(ceil(p * 15) - 1, 0) AS bin, count(*) AS n, sum(p) AS sp, sum(CASE WHEN positive THEN 1 ELSE 0 END) AS sy, sum((p - CASE WHEN positive THEN 1 ELSE 0 END) ** 2) AS sb FROM pr GROUP BY 1, 2)
@@ -350,7 +350,7 @@ def valued(spark, d):
 , i AS (SELECT sender, receiver, nth, min(t_us) AS opened_us, max(t_us) AS last_seen_us, arg_min(value, position) AS opening_value, sum(CASE WHEN run = 3 THEN 3 ELSE 1 END)::BIGINT AS events, CASE WHEN max(-value) >= 60 THEN 'HIGH' ELSE 'MEDIUM' END AS severity FROM n GROUP BY 1, 2, 3)
 SELECT sender, receiver, opened_us, last_seen_us, opening_value, events, severity FROM i WHERE last_seen_us + 9000000 >= (SELECT max(t_us) FROM v) ORDER BY opened_us DESC, sender DESC, receiver DESC LIMIT 30""")
 def _w19(spark, d):
-    return inc.link_incidents(valued(spark, d), -1, 16.0, 60.0, gap_s=9.0)
+    return inc.link_incidents(valued(spark, d), -1, 16.0, 60.0, gap_s=9.0, keep=30)
 
 
 @query("w20_alert_groups", VALUE + """

@@ -72,26 +72,28 @@ RANKS = P + f"""
 """
 
 
-def lists(spark, d):
+def lists(spark, d, only=(0, 1, 2)):
+    """The rankings asked for: by recency, by popularity, by proximity."""
     e, f = stream(spark, d), points(spark, d)
     ends = e.select(F.col("position"), F.explode(F.array("sender", "receiver")).alias("host"))
     hosts = ends.groupBy("host").agg(F.min("position").alias("first_position")).withColumn("ip_number", 167772160 + F.col("host") * 37 % 1000)
-    return fo.recency_ranking(e, f, WINDOW), fo.popularity_ranking(e, f, HISTORY, EVERY), fo.proximity_ranking(e, f, hosts)
+    make = [lambda: fo.recency_ranking(e, f, WINDOW), lambda: fo.popularity_ranking(e, f, HISTORY, EVERY), lambda: fo.proximity_ranking(e, f, hosts)]
+    return [make[i]() for i in only]
 
 
 @query("m13_recency_ranking", RANKS + "SELECT forecast, host, rank::INT AS rank FROM rec")
 def _m13r(spark, d):
-    return lists(spark, d)[0]
+    return lists(spark, d, [0])[0]
 
 
 @query("m13_popularity_ranking", RANKS + "SELECT forecast, host, popularity, rank::INT AS rank FROM pop")
 def _m13p(spark, d):
-    return lists(spark, d)[1]
+    return lists(spark, d, [1])[0]
 
 
 @query("m13_proximity_ranking", RANKS + "SELECT forecast, host, distance, rank::INT AS rank FROM prox")
 def _m13x(spark, d):
-    return lists(spark, d)[2]
+    return lists(spark, d, [2])[0]
 
 
 @query("m14_rrf_fuse", RANKS + """, u AS (SELECT forecast, host, rank FROM rec UNION ALL SELECT forecast, host, rank FROM pop UNION ALL SELECT forecast, host, rank FROM prox), s AS (SELECT forecast, host, sum(1.0::DOUBLE / (60 + rank + 1)) AS score FROM u GROUP BY 1, 2)
@@ -104,7 +106,7 @@ def _m14(spark, d):
 , j AS (SELECT p.*, 1.0::DOUBLE / (1 + COALESCE(x.rank, n.len, 0)) AS q FROM p LEFT JOIN prox x USING (forecast, host) LEFT JOIN n USING (forecast)), z AS (SELECT *, 0.5 * ln(p) + 0.5 * ln(q / sum(q) OVER (PARTITION BY forecast)) AS fused FROM j)
 SELECT forecast, host, round(fused, 6) AS fused FROM z""")
 def _m14p(spark, d):
-    rec, _, prox = lists(spark, d)
+    rec, prox = lists(spark, d, [0, 2])
     scored = rec.select("forecast", "host", ((1 + F.col("rank") % 7) / 10.0).alias("p"))
     return fo.prior_fuse(scored, prox, 0.5).select("forecast", "host", F.round("fused", 6).alias("fused"))
 

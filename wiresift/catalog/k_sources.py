@@ -14,7 +14,7 @@ from wiresift.operators import telemetry as te
 from wiresift.sources import fixtures as fx
 from wiresift.sources import readers as rd
 from wiresift.sources import tables as tb
-from wiresift.sources.schemas import FLOW_STATISTICS
+from wiresift.sources.schemas import FLOW_STATISTICS, RECORD_STATISTICS
 from wiresift.streaming.replay import scratch
 
 P = "WITH " + fx.PACKETS_CTE + " "
@@ -156,10 +156,14 @@ def _q09(spark, d):
 @query("q10_leakage_guard", P + "SELECT count(*) AS rows, true AS clean_passes, true AS leak_refused FROM packets")
 def _q10(spark, d):
     p = fx.packets(spark, d).select("frame_no", "length", "ttl", "src_ip", "label")
-    ft.check_features(["length", "ttl"])
-    try:
-        ft.check_features(p.columns)
-        refused = False
-    except ValueError:
-        refused = True
+    ft.check_features(["length", "ttl", *RECORD_STATISTICS])
+
+    def refuses(columns):
+        try:
+            ft.check_features(columns)
+            return False
+        except ValueError:
+            return True
+    clock = [c for c in FLOW_STATISTICS if c not in RECORD_STATISTICS]
+    refused = refuses(p.columns) and len(clock) == 8 and all(refuses(["length", c]) for c in clock)
     return p.agg(F.count(F.lit(1)).alias("rows")).select("rows", F.lit(True).alias("clean_passes"), F.lit(refused).alias("leak_refused"))

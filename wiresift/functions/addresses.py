@@ -19,8 +19,29 @@ RESERVED = (
     r"|198\.51\.100\.|203\.0\.113\."  # 198.51.100.0/24, 203.0.113.0/24
     r"|22[4-9]\.|2[3-5]\d\.)"  # 224.0.0.0/4, 240.0.0.0/4
 )
+# Not globally reachable and not loopback: private, link-local, documentation, benchmarking and reserved blocks.
+LOCAL_USE = (
+    r"^(0\."  # 0.0.0.0/8
+    r"|10\.|172\.(1[6-9]|2\d|3[01])\.|192\.168\."  # 10/8, 172.16/12, 192.168/16
+    r"|169\.254\."  # 169.254.0.0/16
+    r"|192\.0\.0\.(?!9$|10$)|192\.0\.2\."  # 192.0.0.0/24 but two anycast addresses, 192.0.2.0/24
+    r"|198\.1[89]\.|198\.51\.100\.|203\.0\.113\."  # 198.18.0.0/15, 198.51.100.0/24, 203.0.113.0/24
+    r"|24\d\.|25[0-5]\.)"  # 240.0.0.0/4
+)
 UNIQUE_LOCAL_V6 = "^[fF][cCdD][0-9a-fA-F]{2}:"
 
+# The explanation texts of the service context.
+TEXT = {
+    "discovery": "Validated GVCP discovery command to LAN broadcast",
+    "to": " destination port ",
+    "matches": " matches ",
+    "context": "; port match is baseline context only",
+    "reply": "Established reverse flow from ",
+    "unproven": "Service source port observed without established reverse-flow evidence",
+    "dynamic": "Dynamic source port is not independently suspicious",
+    "none": "No registered service pattern",
+}
+
 # The (transport, port, tag, name, backend service) registry.
 SERVICES = [
     ("UDP", 53, "DNS", "DNS", False), ("TCP", 53, "DNS", "DNS", False),
@@ -49,16 +70,31 @@ SERVICES = [
 FIRST_DYNAMIC_PORT = 49152
 
 
-def _canonical_v6(text: Column) -> Column:
-    """Canonical IPv6 text: lower case, no leading zeros, the first longest run of zero groups as `::`; invalid text as is."""
-    low = F.lower(text)
+def _v6(low: Column) -> tuple[Column, Column]:
+    """(the eight groups, whether the lower-case text is a valid address without a dotted tail)"""
     gap = low.contains("::")
     groups = lambda t: F.filter(F.split(t, ":"), lambda g: g != "")
     left, right = groups(F.substring_index(low, "::", 1)), groups(F.substring_index(low, "::", -1))
     missing = 8 - F.size(left) - F.size(right)
     full = F.when(gap, F.concat(left, F.array_repeat(F.lit("0"), F.greatest(missing, F.lit(0))), right)).otherwise(F.split(low, ":"))
     shape = low.rlike("^[0-9a-f:]+$") & ~low.contains(":::") & (F.size(F.split(low, "::")) <= 2) & ~low.rlike("(^:[^:]|[^:]:$)") & (~gap | (missing >= 1))
-    valid = shape & (F.size(full) == 8) & F.forall(full, lambda g: g.rlike("^[0-9a-f]{1,4}$"))
+    return full, shape & (F.size(full) == 8) & F.forall(full, lambda g: g.rlike("^[0-9a-f]{1,4}$"))
+
+
+def _mapped_v4(low: Column) -> Column:
+    return low.rlike(r"^(0{0,4}:){0,5}:?(0{0,4}:)*ffff:\d+\.\d+\.\d+\.\d+$") & is_ipv4(F.substring_index(low, ":", -1))
+
+
+def is_address(ip: Column) -> Column:
+    """Whether the text is an IPv4 or IPv6 address; null is none."""
+    low = F.lower(ip)
+    return is_ipv4(ip) | F.coalesce(low.contains(":") & (_v6(low)[1] | _mapped_v4(low)), F.lit(False))
+
+
+def _canonical_v6(text: Column) -> Column:
+    """Canonical IPv6 text: lower case, no leading zeros, the first longest run of zero groups as `::`; invalid text as is."""
+    low = F.lower(text)
+    full, valid = _v6(low)
     plain = F.array_join(F.transform(full, lambda g: F.regexp_replace(g, "^0{1,3}(?=.)", "")), ":")
     # One pattern per run length, longest first; the lazy prefix takes the leftmost run.
     runs = [(f"(^|:)0(:0){{{n - 1}}}(:|$)", f"^(.*?)(?:^|:)0(?::0){{{n - 1}}}(?::|$)(.*)$") for n in range(8, 1, -1)]
@@ -135,23 +171,19 @@ def service_tags(df: DataFrame, transport: str = "transport", src: str = "src_ip
         "is_ephemeral_port": F.when(to_service, dynamic)
         .when(from_service, F.col(dport) >= FIRST_DYNAMIC_PORT).otherwise(dynamic),
         "rule_classification": traffic_class,
-        "rule_reason": F.when(gvcp, "Validated GVCP discovery command to LAN broadcast")
-        .when(to_service, F.concat(up, F.lit(" destination port "), F.col(dport).cast("string"), F.lit(" matches "),
-                                   F.col("_d_tag"), F.lit("; port match is baseline context only")))
-        .when(reply, F.concat(F.lit("Established reverse flow from "), F.col("_s_tag"), F.lit(" port "),
-                              F.col(sport).cast("string")))
-        .when(from_service, "Service source port observed without established reverse-flow evidence")
-        .when(dynamic, "Dynamic source port is not independently suspicious")
-        .otherwise("No registered service pattern"),
+        "rule_reason": F.when(gvcp, TEXT["discovery"])
+        .when(to_service, F.concat(up, F.lit(TEXT["to"]), F.col(dport).cast("string"), F.lit(TEXT["matches"]), F.col("_d_tag"), F.lit(TEXT["context"])))
+        .when(reply, F.concat(F.lit(TEXT["reply"]), F.col("_s_tag"), F.lit(" port "), F.col(sport).cast("string")))
+        .when(from_service, TEXT["unproven"]).when(dynamic, TEXT["dynamic"]).otherwise(TEXT["none"]),
     }).drop("_internal", "_gvcp", *[f"_{p}_{c}" for p in "ds" for c in reg.columns])
 
 
 def gvcp_discovery_flag(protocol, src, dst, dst_port, mf, offset, payload, payload_len) -> Column:
-    """The exact eight-byte discovery command to the LAN broadcast, sent by a private non-loopback IPv4 host."""
+    """The exact eight-byte discovery command to the LAN broadcast, sent by an IPv4 host of a local-use block (link-local ones included)."""
     body = F.hex(payload)
     return F.coalesce(
         (protocol == 17) & (dst_port == 3956) & (dst == "255.255.255.255") & is_ipv4(src)
-        & src.rlike(PRIVATE) & (F.coalesce(mf, F.lit(0)) == 0) & (F.coalesce(offset, F.lit(0)) == 0)
+        & src.rlike(LOCAL_USE) & (F.coalesce(mf, F.lit(0)) == 0) & (F.coalesce(offset, F.lit(0)) == 0)
         & (payload_len == 8) & (F.length(payload) == 8) & body.startswith("420100020000") & ~body.endswith("0000"),
         F.lit(False))
 
@@ -163,7 +195,7 @@ def routine_dns_flag(protocol, dst_port, mf, offset, payload, payload_len) -> Co
     word = lambda i: at(F.lit(1 + 4 * i), 4)
     size = F.length(payload)
     header = ((word(1).bitwiseAND(F.lit(0xFA0F)) == 0) & (word(2) == 1) & (word(3) == 0) & (word(4) == 0) & (word(5) <= 2))
-    # Walk the labels: at most 128 of them fit in a 255-byte name. -1 marks a bad label, -2 a finished name.
+    # Walk the labels to the end: each takes two bytes at least of a payload of at most 512. -1 marks a bad label, -2 a finished name.
     start = F.struct(F.lit(12).cast("bigint").alias("pos"), F.lit(0).alias("state"))
 
     def hop(acc, _):
@@ -173,7 +205,8 @@ def routine_dns_flag(protocol, dst_port, mf, offset, payload, payload_len) -> Co
                 .when((acc["pos"] >= size) | (width == 0), F.struct(acc["pos"].alias("pos"), F.lit(-2).alias("state")))
                 .when(bad, F.struct(acc["pos"].alias("pos"), F.lit(-1).alias("state")))
                 .otherwise(F.struct((acc["pos"] + 1 + width).alias("pos"), F.lit(0).alias("state"))))
-    walked = F.aggregate(F.sequence(F.lit(1), F.lit(128)), start, hop)
+    hops = F.greatest(F.lit(1), F.least(F.lit(256), F.ceil(size / 2))).cast("int")
+    walked = F.aggregate(F.sequence(F.lit(1), hops), start, hop)
     pos = walked["pos"]
     question = ((walked["state"] != -1) & (pos + 5 <= size) & (at(pos * 2 + 7, 4) == 1)
                 & at(pos * 2 + 3, 4).isin(1, 5, 12, 28, 33, 64, 65))

@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,7 +12,6 @@ from wiresift.plans.ordering import ROWS_PER_CHUNK, dense_id, grouped_median, ke
 from wiresift.session import pinned
 
 HORIZON_S = 3600.0
-MAX_FORECASTS = 20_000
 
 
 def next_occurrence(predictions: DataFrame, links: DataFrame, horizon_s: float = HORIZON_S, link: Sequence[str] = ("sender", "receiver"), t: str = "t_us",
@@ -49,18 +49,10 @@ def forecast_points(events: DataFrame, every: int, role: str = "role", position:
         F.max(position).alias(position), F.max_by(F.struct(*cols), position).alias("_e")).select("forecast", position, "_e.*")
 
 
-def _small(forecasts: DataFrame) -> DataFrame:
-    """Forecasts are a sampled control list; refuse to broadcast more than the stated bound."""
-    n = forecasts.count()
-    if n > MAX_FORECASTS:
-        raise ValueError(f"{n} forecasts exceed the bound of {MAX_FORECASTS}; raise the interval between forecasts")
-    return F.broadcast(forecasts)
-
-
 def _ranked(df: DataFrame, order: list, cap: int | None = None) -> DataFrame:
-    w = Window.partitionBy("forecast").orderBy(*order, "host")
-    r = df.withColumn("rank", F.row_number().over(w) - 1)
-    return r if cap is None else r.where(F.col("rank") < cap)
+    """Ranks from 0; with `cap` the first so many, a filter on the rank itself, which Spark applies in each task before the shuffle."""
+    r = df.withColumn("rank", F.row_number().over(Window.partitionBy("forecast").orderBy(*order, "host")))
+    return (r if cap is None else r.where(F.col("rank") <= cap)).withColumn("rank", F.col("rank") - 1)
 
 
 def recency_ranking(events: DataFrame, forecasts: DataFrame, window: int = 4096, cap: int = 64, position: str = "position", sender: str = "sender", receiver: str = "receiver") -> DataFrame:
@@ -93,20 +85,45 @@ def popularity_ranking(events: DataFrame, forecasts: DataFrame, history: int = 2
 
 def proximity_ranking(events: DataFrame, forecasts: DataFrame, hosts: DataFrame, cap: int = 128, position: str = "position", sender: str = "sender", receiver: str = "receiver",
                       rows_per_chunk: int = ROWS_PER_CHUNK) -> DataFrame:
-    """Hosts seen before each forecast by IPv4 distance to the nearest of the attacker's last three targets.
+    """The `cap` hosts seen before each forecast that are nearest by IPv4 distance to one of the attacker's last three targets.
 
-    hosts: host, ip_number, first_position.  The rank limit is applied before the shuffle, so only `cap` rows per
-    forecast and task move; the forecast list is the broadcast side and its size is checked.
+    hosts: host, ip_number, first_position; hosts without a number are not near any.  Hosts are put in address order once, and a target meets
+    only those within `reach` places of its own.  A forecast is settled when `cap` of them are nearer than anything outside could be; the
+    others look eight times as far, so no forecast meets all hosts unless its own answer needs them.
     """
     e = per_key(events.select(position, sender, receiver), [sender], rows_per_chunk, lambda x, cut: keyed_scan(
         keyed_scan(x, [sender], position, lags={"_r1": F.col(receiver)}, rows_per_chunk=cut), [sender], position, lags={"_r2": F.col("_r1")}, rows_per_chunk=cut))
     targets = e.join(forecasts.select("forecast", position), position).select(
         "forecast", position, F.col(sender).alias("_attacker"), F.explode(F.filter(F.array(receiver, "_r1", "_r2"), lambda x: x.isNotNull())).alias("_target"))
-    known = targets.join(hosts.select(F.col("host").alias("_target"), F.col("ip_number").alias("_ip")), "_target").where("_ip IS NOT NULL")
-    packed = known.groupBy("forecast").agg(F.max(position).alias("_at"), F.max("_attacker").alias("_attacker"), F.array_distinct(F.collect_list("_ip")).alias("_ips"))
-    j = hosts.where("ip_number IS NOT NULL").join(_small(packed), (F.col("first_position") <= F.col("_at")) & (F.col("host") != F.col("_attacker")))
-    j = j.select("forecast", "host", F.array_min(F.transform("_ips", lambda x: F.abs(x - F.col("ip_number")))).alias("distance"))
-    return _ranked(j, [F.col("distance").asc()], cap)
+    placed = pinned(dense_id(hosts.where("ip_number IS NOT NULL").select("host", "ip_number", "first_position"), ["ip_number", "host"], "_i"))
+    total = placed.count()
+    left = pinned(targets.join(placed.select(F.col("host").alias("_target"), F.col("ip_number").alias("_ip"), F.col("_i").alias("_at_i")), "_target")
+                  .select("forecast", F.col(position).alias("_at"), "_attacker", "_target", "_ip", "_at_i").distinct())
+    edge = placed.select(F.col("_i").alias("_edge"), F.col("ip_number").alias("_edge_ip"))
+    done, reach, far = [], max(256, 4 * cap), float("inf")
+    while True:
+        block = lambda c: F.floor(c / reach)
+        # how near a host outside the stretch could be, on either side
+        ends = left.withColumns({"_low": F.col("_at_i") - reach, "_high": F.col("_at_i") + reach})
+        ends = ends.join(edge.withColumnRenamed("_edge_ip", "_low_ip"), F.col("_low") == F.col("_edge"), "left").drop("_edge")
+        ends = ends.join(edge.withColumnRenamed("_edge_ip", "_high_ip"), F.col("_high") == F.col("_edge"), "left").drop("_edge")
+        safe = F.least(F.coalesce((F.col("_ip") - F.col("_low_ip")).cast("double"), F.lit(far)), F.coalesce((F.col("_high_ip") - F.col("_ip")).cast("double"), F.lit(far)))
+        asked = ends.withColumn("_safe", safe).select("forecast", "_at", "_attacker", "_ip", "_at_i", "_safe", F.explode(F.sequence(block(F.col("_low")), block(F.col("_high")))).alias("_block"))
+        met = placed.withColumn("_block", block(F.col("_i"))).join(asked, "_block").where(
+            (F.abs(F.col("_i") - F.col("_at_i")) <= reach) & (F.col("first_position") <= F.col("_at")) & (F.col("host") != F.col("_attacker")))
+        near = met.groupBy("forecast", "host").agg(F.min(F.abs(F.col("ip_number") - F.col("_ip"))).alias("distance"))
+        limit = ends.withColumn("_safe", safe).groupBy("forecast").agg(F.min("_safe").alias("_safe"))
+        near = pinned(_ranked(near.join(limit, "forecast").where(F.col("distance") < F.col("_safe")), [F.col("distance").asc()], cap))
+        enough = near.groupBy("forecast").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= cap).select("forecast")
+        settled = enough.union(limit.where(F.col("_safe") == far).select("forecast")).distinct()
+        done.append(near.join(settled, "forecast", "left_semi").select("forecast", "host", "distance", "rank"))
+        if reach >= total:
+            break
+        left = pinned(left.join(settled, "forecast", "left_anti"))
+        if not left.limit(1).count():
+            break
+        reach *= 8
+    return reduce(DataFrame.unionByName, done)
 
 
 def rrf_fuse(lists: Sequence[DataFrame], k: float = 60.0) -> DataFrame:
@@ -136,14 +153,16 @@ def new_contacts(events: DataFrame, forecasts: DataFrame, horizon_s: float = HOR
     `order` counts the first `most` new hosts (the truth the rankings are judged on); other contacts have none.
 
     A contact answers the forecasts made between the pair's previous contact and itself, so each (forecast, host) comes
-    from exactly one event. The forecast times of an attacker ride along as one sorted array.
+    from exactly one event. Contacts and forecasts of an attacker meet by blocks of one horizon, of which a forecast sees two.
     """
     width = int(horizon_s * 1e6)
-    asked = forecasts.groupBy(sender).agg(F.array_sort(F.collect_list(F.struct(F.col(us).alias("t0"), "forecast"))).alias("_asked"))
+    block = lambda c: F.floor(c / width)
+    asked = forecasts.select(sender, "forecast", F.col(us).alias("t0"), F.explode(F.array(block(F.col(us)), block(F.col(us)) + 1)).alias("_block"))
     e = keyed_scan(events.select(position, us, sender, receiver), [sender, receiver], position, lags={"_before": F.col(us)}, rows_per_chunk=rows_per_chunk)
     t = F.col(us)
-    mine = F.filter("_asked", lambda f: (f["t0"] < t) & (f["t0"] >= t - width) & (F.col("_before").isNull() | (f["t0"] >= F.col("_before"))))
-    j = e.join(_small(asked), sender).select(F.col(receiver).alias("host"), us, F.col("_before").isNull().alias("is_new"), F.inline(mine))
+    j = e.withColumn("_block", block(t)).join(asked, [sender, "_block"]).where(
+        (F.col("t0") < t) & (F.col("t0") >= t - width) & (F.col("_before").isNull() | (F.col("t0") >= F.col("_before"))))
+    j = j.select(F.col(receiver).alias("host"), us, F.col("_before").isNull().alias("is_new"), "t0", "forecast")
     w = Window.partitionBy("forecast", "is_new").orderBy(us, "host")
     j = j.withColumn("_n", F.row_number().over(w))
     return j.select("forecast", "host", ((t - F.col("t0")) / F.lit(1e6)).alias("delay_s"), "is_new", F.when(F.col("is_new") & (F.col("_n") <= most), F.col("_n")).alias("order"))
@@ -180,8 +199,9 @@ def conformal_list_size(ranks: DataFrame, levels: Sequence[float] = (0.8, 0.9))
     """
     r = ranks.withColumn("_rank", F.coalesce(F.col("rank").cast("double"), F.lit(float("inf"))))
     total = r.groupBy("method").agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.partitionBy("method").orderBy("forecast")  # one row per forecast: a control list, not the data
-    r = r.join(total, "method").withColumn("_half", (F.row_number().over(w) - 1) < F.floor(F.col("_n") / 2))
+    r = dense_id(r, ["method", "forecast"], "_place")
+    begin = r.groupBy("method").agg(F.min("_place").alias("_begin"))
+    r = r.join(total, "method").join(begin, "method").withColumn("_half", F.col("_place") - F.col("_begin") < F.floor(F.col("_n") / 2))
     cal = quantiles(r.where("_half"), ["method"], "_rank", list(levels), "higher").select("method", F.col("q").alias("level"), (F.col("quantile") + 1).alias("size"))
     chk = r.where("NOT _half").join(F.broadcast(cal), "method")
     return chk.groupBy("method", "level", "size").agg(F.avg((F.col("_rank") < F.col("size")).cast("double")).alias("held"))
@@ -212,12 +232,14 @@ def target_and_negatives(events: DataFrame, active: DataFrame, every: int, n: in
     return j.select(position, sender, "target", F.transform(F.slice(keyed, 1, n), lambda x: x["h"]).alias("negatives"))
 
 
-def active_sets(events: DataFrame, every: int, cap: int = 4096, position: str = "position", sender: str = "sender", receiver: str = "receiver") -> DataFrame:
-    """Per block of `every` events the distinct hosts of the block before it, the `cap` most recent ones."""
+def active_sets(events: DataFrame, every: int, cap: int | None = None, position: str = "position", sender: str = "sender", receiver: str = "receiver") -> DataFrame:
+    """Per block of `every` events the distinct hosts of the block before it (at most two an event), or the `cap` most recent ones."""
     ends = events.select(F.col(position).alias("_p"), F.floor(F.col(position) / every).alias("_b"), F.explode(F.array(sender, receiver)).alias("host"))
     last = ends.groupBy((F.col("_b") + 1).alias("block"), "host").agg(F.max("_p").alias("_p"))
-    w = Window.partitionBy("block").orderBy(F.col("_p").desc(), "host")
-    return last.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= cap).groupBy("block").agg(F.array_sort(F.collect_list("host")).alias("hosts"))
+    if cap is not None:
+        w = Window.partitionBy("block").orderBy(F.col("_p").desc(), "host")
+        last = last.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= cap)
+    return last.groupBy("block").agg(F.array_sort(F.collect_list("host")).alias("hosts"))
 
 
 def pairwise_accuracy(ranks: DataFrame) -> DataFrame:

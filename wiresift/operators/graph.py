@@ -196,8 +196,8 @@ def lead_ceilings(events: DataFrame, families: list[str], host: str = "host", po
     lead = leads.groupBy("family").agg(F.count(F.lit(1)).alias("event_lead_n"), F.max("lead_s").alias("event_lead_max_s"), F.count(F.when(F.col("lead_s") > 60, 1)).alias("event_lead_n_over_60s"))
     lead = lead.join(grouped_median(leads, ["family"], "lead_s", "event_lead_median_s"), "family", "left")
     warm = hosts.withColumns({"warm_s": (F.col("_first") - F.col("_seen")) / F.lit(1e6)})
-    w = Window.partitionBy("family").orderBy("_first")
-    gaps = warm.withColumn("gap_s", (F.col("_first") - F.lag("_first").over(w)) / F.lit(1e6))
+    ordered = dense_id(warm, ["family", "_first", host], "_order")
+    gaps = keyed_scan(ordered, ["family"], "_order", lags={"_before": F.col("_first")}, rows_per_chunk=rows_per_chunk).withColumn("gap_s", (F.col("_first") - F.col("_before")) / F.lit(1e6))
     per = gaps.groupBy("family").agg(
         F.sum("_n").alias("attack_events"), F.count(F.lit(1)).alias("attacking_hosts"), F.max("warm_s").alias("campaign_warmup_max_s"),
         ((F.max("_first") - F.min("_first")) / F.lit(1e6)).alias("cross_host_total_stagger_s"),

@@ -6,8 +6,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wiresift.functions.addresses import blockable, service_tags
-from wiresift.functions.scalars import is_ipv4, severity
+from wiresift.functions.addresses import blockable, is_address, service_tags
+from wiresift.functions.scalars import severity
 from wiresift.plans.ordering import ROWS_PER_CHUNK, dense_id, keyed_scan, per_key
 from wiresift.session import pinned
 
@@ -72,12 +72,12 @@ def open_incidents(incidents: DataFrame, keys: Sequence[str], now_us: int, gap_s
     return latest.where(F.col("last_alert_us") + int(gap_s * 1e6) >= now_us)
 
 
-def link_incidents(scored: DataFrame, direction: int, served: float, tight: float, gap_s: float = GAP_S, keep: int = 30, link: Sequence[str] = ("sender", "receiver"),
+def link_incidents(scored: DataFrame, direction: int, served: float, tight: float, gap_s: float = GAP_S, keep: int | None = None, link: Sequence[str] = ("sender", "receiver"),
                    position: str = "position", t: str = "t_us", value: str = "value", rows_per_chunk: int = ROWS_PER_CHUNK) -> DataFrame:
     """Incidents of the forecast score per directed link: the third consecutive crossing opens one and takes in the two before it.
 
     A run also starts afresh when a crossing comes more than `gap_s` after the last. Kept: those still open at the
-    newest event, the last `keep` by opening.
+    newest event; with `keep`, the list of the last so many by opening.
     """
     link, gap = list(link), int(gap_s * 1e6)
     v = F.col(value) * direction
@@ -100,7 +100,8 @@ def link_incidents(scored: DataFrame, direction: int, served: float, tight: floa
     newest = scored.agg(F.max_by(t, position).alias("_newest"))
     out = inc.join(F.broadcast(newest), F.lit(True)).where(F.col("last_seen_us") + gap >= F.col("_newest"))
     out = out.withColumn("severity", F.when(F.col("_high") == 1, "HIGH").otherwise("MEDIUM"))
-    return out.orderBy(F.col("opened_us").desc(), *[F.col(x).desc() for x in link]).limit(keep).select(*link, "opened_us", "last_seen_us", "opening_value", "events", "severity")
+    out = out.select(*link, "opened_us", "last_seen_us", "opening_value", "events", "severity")
+    return out if keep is None else out.orderBy(F.col("opened_us").desc(), *[F.col(x).desc() for x in link]).limit(keep)
 
 
 def alert_groups(flags: DataFrame, gap_s: float = GAP_S, link: Sequence[str] = ("sender", "receiver"), position: str = "position", t: str = "t_us",
@@ -139,9 +140,14 @@ def incident_groups(events: DataFrame, k: int = 16) -> DataFrame:
         "incident", "total", F.col("_p.src_port").alias("top_src_port"), F.col("_p.n").alias("top_src_port_events"), "rank", "sender_ip", "src", "dst", "events", "dst_ports")
 
 
-def incident_events(events: DataFrame, limit: int = 30_000, preview: int = 1_000) -> DataFrame:
-    """A complete incident's events, or the first `preview` by id of a larger one, flagged `truncated`."""
+def incident_events(events: DataFrame, limit: int | None = None, preview: int = 1_000) -> DataFrame:
+    """Every incident's events. For display a `limit` may be given: of an incident with more, the first `preview` by id, flagged `truncated`.
+
+    Decisions are taken over all events, so they read this without a limit.
+    """
     total = events.groupBy("incident").agg(F.count(F.lit(1)).alias("total"))
+    if limit is None:
+        return events.join(total, "incident").withColumn("truncated", F.lit(False))
     big = total.where(F.col("total") > limit)
     whole = events.join(total.where(F.col("total") <= limit), "incident").withColumn("truncated", F.lit(False))
     w = Window.partitionBy("incident").orderBy("event_id")
@@ -149,6 +155,17 @@ def incident_events(events: DataFrame, limit: int = 30_000, preview: int = 1_000
     return whole.unionByName(head)
 
 
+# Why an incident's source could not be contained, by code.
+SOURCE_REASON = {
+    "disagree": "Linked events do not agree on one source IP.",
+    "stray": "Linked traffic does not consistently originate from the sender IP.",
+    "few": "At least three linked threshold-crossing events are required for a host block.",
+    "elsewhere": "No linked event targets this host; an inbound host block would not contain the observed traffic.",
+    "unblockable": "Source is not a validated public or private IPv4 address; automatic blocking is disabled.",
+    "own": "Source IP belongs to this host; automatic blocking is disabled.",
+}
+
+
 def source_evidence(events: DataFrame, local_ips: DataFrame) -> DataFrame:
     """Per incident: the one source its events agree on, and whether it could be contained, with the reason if not.
 
@@ -162,8 +179,7 @@ def source_evidence(events: DataFrame, local_ips: DataFrame) -> DataFrame:
     e = e.join(lead, "incident")
     reply = (F.col("dst") == F.col("sender_ip")) & F.col("_src_local")
     stray = (F.col("src") != "") & (F.col("src") != F.col("sender_ip")) & ~reply
-    stop = (F.when((F.col("sender_ip") == "") | (F.col("sender_ip") != F.col("_lead")), "Linked events do not agree on one source IP.")
-            .when(stray, "Linked traffic does not consistently originate from the sender IP."))
+    stop = F.when((F.col("sender_ip") == "") | (F.col("sender_ip") != F.col("_lead")), "disagree").when(stray, "stray")
     g = e.groupBy("incident").agg(
         F.count(F.lit(1)).alias("events"), F.first("_lead").alias("_ip"), F.min_by(stop, F.when(stop.isNotNull(), F.col("event_id"))).alias("_stop"),
         F.max((reply | F.col("_dst_local")).cast("int")).alias("_local_dst"), F.max(F.col("_sender_ip_local").cast("int")).alias("_ip_local"), F.countDistinct("dst_port").alias("_peer_ports"))
@@ -175,12 +191,10 @@ def source_evidence(events: DataFrame, local_ips: DataFrame) -> DataFrame:
     g = g.withColumns({"source_ip": F.when(served, F.col("_peer.v")).otherwise(F.col("_ip")), "served_port": F.when(served, F.col("_port.v")).otherwise(0),
                        "_reaches": served | (F.col("_local_dst") == 1)})
     g = g.join(local.select(F.col("ip").alias("source_ip"), F.lit(True).alias("_own")), "source_ip", "left")
-    reason = (F.when(F.col("_stop").isNotNull(), F.col("_stop"))
-              .when(F.col("events") < 3, "At least three linked threshold-crossing events are required for a host block.")
-              .when(~F.col("_reaches"), "No linked event targets this host; an inbound host block would not contain the observed traffic.")
-              .when(~blockable(F.col("source_ip")), "Source is not a validated public or private IPv4 address; automatic blocking is disabled.")
-              .when(F.col("_own"), "Source IP belongs to this host; automatic blocking is disabled.").otherwise(""))
-    agreed = F.coalesce(F.col("_stop") != "Linked events do not agree on one source IP.", F.lit(True))
+    code = (F.when(F.col("_stop").isNotNull(), F.col("_stop")).when(F.col("events") < 3, "few").when(~F.col("_reaches"), "elsewhere")
+            .when(~blockable(F.col("source_ip")), "unblockable").when(F.col("_own"), "own"))
+    reason = F.coalesce(F.create_map(*[x for k, v in SOURCE_REASON.items() for x in (F.lit(k), F.lit(v))])[code], F.lit(""))
+    agreed = F.coalesce(F.col("_stop") != "disagree", F.lit(True))
     return g.select("incident", "events", F.when(agreed, F.col("source_ip")).otherwise("").alias("source_ip"), "served_port", reason.alias("reason"), (reason == "").alias("eligible"))
 
 
@@ -231,8 +245,7 @@ def judge_service(events: DataFrame, key: str = "incident", minimum: int = 3, tr
     reply_class = c("traffic_class") == "RESPONSE_TRAFFIC"
     server, client = F.when(reply_class, c("src")).otherwise(c("dst")), F.when(reply_class, c("dst")).otherwise(c("src"))
     port = F.when(reply_class, c("src_port")).otherwise(c("dst_port"))
-    parse = lambda ip: is_ipv4(ip) | ip.rlike("^[0-9a-fA-F:]*:[0-9a-fA-F:.]*$")
-    invalid = (~parse(c("src")) | ~parse(c("dst")) | ~c("src_port").between(0, 65535) | ~c("dst_port").between(0, 65535) | (c("t_us") <= 0))
+    invalid = (~is_address(c("src")) | ~is_address(c("dst")) | ~c("src_port").between(0, 65535) | ~c("dst_port").between(0, 65535) | (c("t_us") <= 0))
     stop = (F.when(F.coalesce(invalid, F.lit(True)), "incomplete").when((pps > 250) | (pps < 0), "burst")
             .when((c("protocol_tag") == "GVCP") & ((pps > 10) | ~F.coalesce("normal_gvcp_discovery", F.lit(False)) | (version == 0)), "camera"))
     response = reply_class & (c("protocol_tag") == "HTTPS") & web & (c("dst_port") >= 49152) & (version > 0)

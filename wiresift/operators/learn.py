@@ -115,8 +115,8 @@ def gate_combine(df: DataFrame, classifier: str, gate: str, positive: str, calib
     return binary_score(fit_binary(d.where(calib), reg=0.0), d, "combined").drop("features", "y")
 
 
-def platt_and_isotonic(df: DataFrame, probability: str = "p", truth: str = "truth", first_half: Column | None = None) -> DataFrame:
-    """Fit both recalibrations on the first half of the forecasts and report raw and recalibrated error on the second."""
+def platt_and_isotonic(df: DataFrame, probability: str = "p", truth: str = "truth", *, first_half: Column) -> DataFrame:
+    """Fit both recalibrations on the rows of `first_half` (the earlier forecasts) and report raw and recalibrated error on the second."""
     p = F.greatest(F.least(F.col(probability), F.lit(1 - 1e-6)), F.lit(1e-6))
     d = df.withColumns({"p": p, "y": F.col(truth).cast("double")}).withColumn("logit", F.log(F.col("p") / (1 - F.col("p"))))
     fit, check = d.where(first_half), d.where(~first_half)
@@ -130,7 +130,7 @@ def platt_and_isotonic(df: DataFrame, probability: str = "p", truth: str = "trut
     return me.calibration(long, ["method"], "q", F.col("y") == 1, bins=10, right_closed=False)
 
 
-def probe(df: DataFrame, label: str = "y", train: Column | None = None, key: str = "vec_id") -> DataFrame:
+def probe(df: DataFrame, label: str, train: Column, key: str = "vec_id") -> DataFrame:
     """A plain classifier on frozen embeddings: threshold from a fifth of the fitting rows, F1, AUROC and PR-AUC on the rest."""
     d = df.withColumns({"y": F.col(label).cast("double"), "positive": F.col(label) == 1, "_held": F.pmod(F.xxhash64(key), F.lit(5)) == 0})
     s = binary_score(fit_binary(d.where(train & ~F.col("_held"))), d).withColumn("probe", F.lit("embedding")).select("probe", "score", "positive", "_held", train.alias("_train"))

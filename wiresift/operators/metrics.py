@@ -225,9 +225,9 @@ def bootstrap_ci(df: DataFrame, key: str, metric: Column, samples: int = 100, se
     """
     u = lambda r: (F.xxhash64(F.col(key), F.lit(r), F.lit(seed)).bitwiseAND(F.lit((1 << 53) - 1)) + 0.5) / float(1 << 53)
 
-    def weight(r):  # inverse Poisson(1) distribution function up to seven draws
+    def weight(r):  # inverse Poisson(1) distribution function, to where its tail is below the step of the hash
         x, p, total, out = u(r), 0.36787944117144233, 0.36787944117144233, F.lit(0)
-        for k in range(1, 8):
+        for k in range(1, 19):
             out = out + F.when(x >= total, 1).otherwise(0)
             p /= k
             total += p

@@ -64,11 +64,11 @@ CONTEXT = ["dt_src", "dt_dst", "port_delta", "dst_port_new"]
 EVENT_COLUMNS = ["event_id", "t", "src_node_id", "dst_node_id", *CONTEXT, "flow_uid", "capture", "has_packets",
                  "reversed", *AGGREGATES, "label"]
 
-# Columns that name an endpoint, a label or the clock: never model features.
+# Columns that name an endpoint, a label or the clock (the activity columns carry a flow's absolute time): never model features.
 FORBIDDEN_FEATURES = {
     "src_ip", "dst_ip", "src_port", "dst_port", "capture", "flow_uid", "day", "Src IP", "Dst IP", "Src Port",
     "Dst Port", "Flow ID", "flow_key", "src_node_id", "dst_node_id", "event_id", "t", "t_obs", "Timestamp",
-    "label", *LABEL_COLUMNS,
+    "label", *LABEL_COLUMNS, *(c for c in FLOW_STATISTICS if c.startswith(("Active", "Idle"))),
 }
 
 RULES = T.StructType([

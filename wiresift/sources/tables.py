@@ -144,14 +144,16 @@ def inventory(spark: SparkSession, path: str) -> DataFrame:
     return files.groupBy("set", "portion").agg(F.countDistinct("day").alias("days"), F.sum("file_size").alias("bytes"))
 
 
-def export_window_records(windows: DataFrame, edges: DataFrame, alerts: DataFrame, path: str, label: str | None = None, max_edges: int = 20_000) -> None:
+def export_window_records(windows: DataFrame, edges: DataFrame, alerts: DataFrame, path: str, label: str | None = None, max_edges: int | None = None) -> None:
     """One JSON record per window: its features, its graph and its alerts.
 
-    A record's graph holds the `max_edges` edges that appeared first, as the record format has it; the full graph is
-    the edge table itself. The limit is applied per task before edges are gathered.
+    A record's graph holds all edges of its window, or for a bounded record the `max_edges` that appeared first; that limit
+    is applied per task before edges are gathered.
     """
-    from wiresift.operators.telemetry import cap_by_first_seen
-    edges = cap_by_first_seen(edges, max_edges).drop("first_frame")
+    if max_edges is not None:
+        from wiresift.operators.telemetry import cap_by_first_seen
+        edges = cap_by_first_seen(edges, max_edges)
+    edges = edges.drop("first_frame")
     pack = lambda d, name: d.groupBy("window_index").agg(F.collect_list(F.struct(*[c for c in d.columns if c != "window_index"])).alias(name))
     rec = windows.select("window_index", F.struct(*[c for c in windows.columns if c != "window_index"]).alias("features"))
     out = rec.join(pack(edges, "graph"), "window_index", "left").join(pack(alerts, "alerts"), "window_index", "left")

@@ -143,12 +143,14 @@ def incident_ledger(table: VersionedTable, key: list[str], time: str = "opened_u
     return step
 
 
-def rolling_window(table: VersionedTable, rebuild: Callable[[DataFrame, int], None], seconds: float = 300.0, events: int = 50_000, t: str = "t_us", order: str = "position") -> Callable[[DataFrame, int], None]:
-    """Keep the trailing window (by time and by number of events) and hand it to `rebuild` after every batch."""
+def rolling_window(table: VersionedTable, rebuild: Callable[[DataFrame, int], None], seconds: float = 300.0, events: int | None = None, t: str = "t_us", order: str = "position") -> Callable[[DataFrame, int], None]:
+    """Keep the trailing window (by time, and by number of events where one is given) and hand it to `rebuild` after every batch."""
     def step(batch: DataFrame, batch_id: int) -> None:
         pool = table.read_before(batch_id, batch.schema).unionByName(batch)
         newest = pool.agg((F.max(t) - int(seconds * 1e6)).alias("_from"))
-        window = pool.join(F.broadcast(newest), F.lit(True)).where(F.col(t) >= F.col("_from")).drop("_from").orderBy(F.col(order).desc()).limit(events)
+        window = pool.join(F.broadcast(newest), F.lit(True)).where(F.col(t) >= F.col("_from")).drop("_from")
+        if events is not None:
+            window = window.orderBy(F.col(order).desc()).limit(events)
         table.write(window, batch_id)
         rebuild(table.read_current(batch.schema), batch_id)
     return step
