@@ -467,9 +467,10 @@ def test_op10(spark):
         if t:
             seen.update(re.findall("▁*[^▁]+|▁+", ("▁" + t).replace(" ", "▁")))
     assert {r.word: r.occurrences for r in rows} == dict(seen) and all(r.decoded == re.sub("^ ", "", r.word.replace("▁", " ")) for r in rows)
-    m = sentencepiece.SentencePieceProcessor(model_proto=as_unigram(queries.piece_bpe()))
+    m, vocabulary = sentencepiece.SentencePieceProcessor(model_proto=as_unigram(queries.piece_bpe())), lattice.Vocabulary(queries.piece_bpe())
     for r in rows:
-        if re.fullmatch("▁[^▁ ]+", r.word):  # runs of marks have scores that the library's 32-bit sums can't tell apart; its lattice search (n best) is exact
+        if re.fullmatch("▁[^▁ ]+", r.word) and min(r.ids) > vocabulary.byte0 + 255:
+            # marks in a row and byte pieces have scores near 1e9, beside which the library's 32-bit sums lose the others; its n-best search is exact
             assert list(r.ids) == m.nbest_encode_as_ids(r.word[1:], 2)[0], r.word
 
 
