@@ -353,3 +353,113 @@ def test_evidence_pulls_in_pending_crossings(spark):
     df = spark.createDataFrame([(i, "f", 7, i * US, float(x), 1.0) for i, x in enumerate(s)], "position bigint, family string, sender bigint, t_us bigint, score double, threshold double")
     got = sorted((r.position, r.run, r.opened_us // US) for r in inc.incident_evidence(df, ["family", "sender"], rows_per_chunk=2).collect())
     assert got == [(3, 1, 5), (4, 2, 5), (5, 3, 5), (6, 4, 5)]
+
+
+class _Cluster:
+    """Just enough of a session to ask for its checkpoint folder."""
+    def __init__(self, master, named=None):
+        self.sparkContext = self
+        self.master, self.named, self.set = master, named, None
+        self.conf = self
+
+    def getCheckpointDir(self):
+        return self.set
+
+    def setCheckpointDir(self, path):
+        self.set = path
+
+    def getConf(self):
+        return self
+
+    def get(self, key, default=None):
+        return self.named
+
+
+def test_checkpoint_folder_is_named_on_a_cluster():
+    from wiresift.session import ensure_checkpoint_dir
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        ensure_checkpoint_dir(_Cluster("spark://host:7077"))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        ensure_checkpoint_dir(_Cluster("local-cluster[2,1,1024]"))
+    assert ensure_checkpoint_dir(_Cluster("yarn", "hdfs:///shared")) == "hdfs:///shared"
+    assert ensure_checkpoint_dir(_Cluster("local[4]"))
+
+
+def test_discovery_from_local_use_blocks(spark):
+    inside = ["10.1.2.3", "169.254.1.5", "172.16.0.1", "192.168.7.7", "198.18.0.9", "192.0.2.1", "198.51.100.4", "203.0.113.8", "240.0.0.1", "0.1.2.3", "192.0.0.8"]
+    outside = ["127.0.0.1", "8.8.8.8", "100.64.0.1", "224.0.0.1", "172.32.0.1", "192.0.0.9", "::1", "fc00::1", "", None]
+    df = spark.createDataFrame([(x,) for x in inside + outside], "src string").withColumn("p", F.unhex(F.lit("420100020000FFFF")))
+    flag = addr.gvcp_discovery_flag(F.lit(17), F.col("src"), F.lit("255.255.255.255"), F.lit(3956), F.lit(0), F.lit(0), F.col("p"), F.length("p"))
+    assert [r.f for r in df.select(flag.alias("f")).collect()] == [True] * len(inside) + [False] * len(outside)
+
+
+def test_dns_names_of_any_length(spark):
+    def query(labels, end="00"):
+        return "ABCD01000001000000000000" + "".join(f"{n:02X}" + "61" * n for n in labels) + end + "00010001"
+    rows = [(query([1] * 140), True), (query([1] * 247), True), (query([63, 63, 63]), True), (query([64]), False), (query([]), True), ("ABCD01000001000000000000", False), (query([5])[:-2], False), (None, False)]
+    df = spark.createDataFrame(rows, "h string, want boolean").withColumn("p", F.unhex("h"))
+    flag = addr.routine_dns_flag(F.lit(17), F.lit(53), F.lit(0), F.lit(0), F.col("p"), F.length("p"))
+    assert [(r.got, r.want) for r in df.select(flag.alias("got"), "want").collect() if r.got != r.want] == []
+
+
+def test_addresses_are_checked_whole(spark):
+    rows = [("1.2.3.4", True), ("::", True), ("fe80::1", True), ("1:2:3:4:5:6:7:8", True), ("::ffff:1.2.3.4", True), (":::::", False), ("1::2::3", False), ("1:2:3", False), ("12345::", False), ("::ffff:1.2.3.400", False), ("1.2.3", False), ("", False), (None, False)]
+    df = spark.createDataFrame(rows, "ip string, want boolean")
+    assert all(r.got == r.want for r in df.select(addr.is_address(F.col("ip")).alias("got"), "want").collect())
+
+
+def test_clock_columns_are_no_features():
+    from wiresift.sources.schemas import FLOW_STATISTICS, RECORD_STATISTICS
+    ft.check_features(RECORD_STATISTICS)
+    for c in set(FLOW_STATISTICS) - set(RECORD_STATISTICS):
+        with pytest.raises(ValueError):
+            ft.check_features(["length", c])
+
+
+def test_every_event_of_a_large_incident_counts(spark):
+    e = spark.range(31_000).select(F.lit(1).alias("incident"), F.col("id").alias("event_id"))
+    got = inc.incident_events(e)
+    assert got.count() == 31_000 and got.where("truncated").count() == 0
+    assert inc.incident_events(e, 30_000, 10).count() == 10
+
+
+def test_replay_keeps_order_in_one_pass(spark):
+    df = spark.range(5000).select((F.col("id") * 7919 % 5000).alias("position")).repartition(6)
+    seen = []
+    rp.run_batches(rp.staged(df, "position", 4), lambda b, i: seen.append([r.position for r in b.collect()]))
+    assert len(seen) == 4 and [min(x) for x in seen] == sorted(min(x) for x in seen) and sorted(x for b in seen for x in b) == list(range(5000))
+    assert all(max(a) < min(b) for a, b in zip(seen, seen[1:]))
+
+
+def test_nearest_hosts_against_brute_force(spark):
+    from wiresift.operators import forecast as fo
+    r = random.Random(12)
+    hosts = [(h, r.randrange(0, 3000) if r.random() < 0.9 else None, r.randrange(0, 400)) for h in range(1500)]
+    hosts = [(h, None if ip is None else (ip if ip < 1500 else ip * 5000), 0 if h < 40 else first) for h, ip, first in hosts]
+    events = [(p, r.randrange(12), r.randrange(40)) for p in range(400)]
+    asked = [(p // 20, p, events[p][1]) for p in range(19, 400, 20)]
+    e = spark.createDataFrame(events, "position long, sender long, receiver long")
+    got = {}
+    for x in fo.proximity_ranking(e, spark.createDataFrame(asked, "forecast long, position long, sender long"), spark.createDataFrame(hosts, "host long, ip_number long, first_position long"), cap=9).collect():
+        got.setdefault(x.forecast, {})[x.rank] = (x.distance, x.host)
+    ip = {h: i for h, i, _ in hosts}
+    for forecast, at, attacker in asked:
+        last = [b for p, a, b in events if a == attacker and p <= at][-3:]
+        near = [ip[b] for b in last if ip[b] is not None]
+        want = sorted((min(abs(i - t) for t in near), h) for h, i, first in hosts if i is not None and first <= at and h != attacker)[:9] if near else []
+        assert [got.get(forecast, {})[k] for k in sorted(got.get(forecast, {}))] == want
+
+
+def test_contacts_answer_any_number_of_forecasts(spark):
+    from wiresift.operators import forecast as fo
+    n = 21_000
+    e = spark.range(2 * n).select(F.col("id").alias("position"), (F.col("id") * 1000).alias("t_us"), (F.col("id") % 2).alias("sender"), (F.col("id") % 7 + 10).alias("receiver"))
+    f = e.where("position % 2 = 0").select((F.col("position") / 2).cast("long").alias("forecast"), "position", "t_us", "sender")
+    got = fo.new_contacts(e, f, horizon_s=0.01)
+    assert f.count() == n and got.select("forecast").distinct().count() == n - 1
+    one = {(x.forecast, x.host): x.delay_s for x in got.where("forecast between 500 and 502").collect()}
+    want = {}
+    for k in (500, 501, 502):
+        for p in range(2 * k + 2, 2 * k + 11, 2):
+            want.setdefault((k, p % 7 + 10), (p - 2 * k) / 1000)
+    assert one == want
