@@ -60,6 +60,7 @@ def map_packets_to_flows(packets: DataFrame, flows: DataFrame, slack_us: int = 1
     window = F.when(F.col("kind") == 0, F.struct(F.col("us").alias("start_us"), "end_us", "flow_uid"))
     found = keyed_scan(both, ["flow_key"], "_pos", lasts={"latest": window}, rows_per_chunk=rows_per_chunk).where("kind = 1").select(
         "frame_no", "flow_key", "us", F.col("latest.flow_uid").alias("uid"), F.col("latest.end_us").alias("until"))
+    found = pinned(found)  # read for the packets past their window and for the answer
     past = pinned(found.where(F.col("uid").isNotNull() & (F.col("us") > F.col("until"))))  # few packets, read twice
     nodes = radix_cover(f.join(past.select("flow_key").distinct(), "flow_key", "left_semi"), "start_us", "end_us")
     best = pinned(nodes.groupBy("flow_key", "level", "node").agg(F.max(F.struct("start_us", "end_us", "flow_uid")).alias("w")))

@@ -12,18 +12,22 @@ US = 1_000_000
 BUCKETS = ["0_64", "65_512", "513_1024", "1025_1500", "1501_plus"]
 
 
-def with_window(packets: DataFrame, seconds: int = 10) -> DataFrame:
-    """Add `window_index`, counted from the first packet's time (one scalar aggregate, broadcast)."""
-    t0 = packets.agg(F.min("us").alias("_t0"))
+def time_range(packets: DataFrame) -> tuple[int | None, int | None]:
+    """Times of the first and the last packet, read once: two numbers that every branch of a plan then knows."""
+    return tuple(packets.agg(F.min("us"), F.max("us")).first())
+
+
+def with_window(packets: DataFrame, seconds: int = 10, t0: int | None = None) -> DataFrame:
+    """Add `window_index`, counted from the first packet's time (`t0` if it is known already)."""
+    begin = F.lit(time_range(packets)[0] if t0 is None else t0).cast("bigint")
     width = seconds * US
-    return packets.join(F.broadcast(t0), F.lit(True)).withColumn(
-        "window_index", F.floor((F.col("us") - F.col("_t0")) / F.lit(width)).cast("bigint")
-    ).withColumn("window_start_us", F.col("_t0") + F.col("window_index") * width).drop("_t0")
+    return packets.withColumn("window_index", F.floor((F.col("us") - begin) / F.lit(width)).cast("bigint")).withColumn(
+        "window_start_us", begin + F.col("window_index") * width)
 
 
-def packet_windows(packets: DataFrame, seconds: int = 10) -> DataFrame:
+def packet_windows(packets: DataFrame, seconds: int = 10, t0: int | None = None) -> DataFrame:
     """Windowed packets with the per-packet flags all window operators share."""
-    p = with_window(packets, seconds)
+    p = with_window(packets, seconds, t0)
     on = lambda f: F.col(f"tcp_flag_{f}")
     tcp = F.col("protocol") == 6
     return p.withColumns({
@@ -68,7 +72,8 @@ def window_telemetry(packets: DataFrame, seconds: int = 10, rows_per_chunk: int
     Plain sums and counts are one partial aggregate; distinct counts, gaps and retransmissions are separate
     aggregates on pruned columns, joined on the (small) window index.
     """
-    p = packet_windows(packets, seconds)
+    t0, t1 = time_range(packets)
+    p = packet_windows(packets, seconds, t0)
     tcp, udp, icmp = F.col("proto") == "TCP", F.col("proto") == "UDP", F.col("proto").isin("ICMP", "ICMPv6")
     dbl = lambda c: F.col(c).cast("double")
 
@@ -96,10 +101,9 @@ def window_telemetry(packets: DataFrame, seconds: int = 10, rows_per_chunk: int
         F.countDistinct("src_ip").alias("unique_source_ips"), F.countDistinct("dst_ip").alias("unique_destination_ips"),
         F.countDistinct(port("src_port")).alias("unique_source_ports"),
         F.countDistinct(port("dst_port")).alias("unique_destination_ports"))
-    # A capture has few windows against its packets: the grid is one sequence between two scalars.
-    last = F.floor((F.col("_t1") - F.col("t0")) / F.lit(seconds * US)).cast("bigint")
-    grid = packets.agg(F.min("us").alias("t0"), F.max("us").alias("_t1")).select(
-        F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("window_index"), "t0")
+    # A capture has few windows against its packets: the grid is one range between two numbers.
+    windows = 0 if t0 is None else (t1 - t0) // (seconds * US) + 1
+    grid = packets.sparkSession.range(windows).select(F.col("id").alias("window_index"), F.lit(t0).cast("bigint").alias("t0"))
     w = (grid.join(base, "window_index", "left").join(distinct, "window_index", "left")
          .join(window_gaps(p, rows_per_chunk), "window_index", "left")
          .join(window_retransmissions(p, rows_per_chunk), "window_index", "left"))
