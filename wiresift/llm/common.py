@@ -1,6 +1,8 @@
 """What the operators share: tables in the shared folder, distributed ranks, connected components."""
 from __future__ import annotations
 
+import gc
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -26,10 +28,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop shuffle files of finished steps; it only learns of them when the driver collects garbage."""
-    import gc
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Let Spark's cleaner drop shuffle files of finished steps; it only learns of them when both sides of the driver collect garbage."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def with_rank(df: DataFrame, group: Column, order: list[Column], spread: Column, out: str = "rank", per_bucket: int = 2000) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from wiresift.llm import scan
 from wiresift.llm.common import release, stored
 
-WINDOW, GRAM, HOT = 50, 20, 5000
+WINDOW, GRAM, HOT = 50, 20, 20_000
 SPAN = WINDOW - GRAM + 1
 #: Fingerprints in one sorted run, about; contexts (bytes) in one suffix array, about.
 RUN, BLOCK = 4_000_000, 1 << 20
