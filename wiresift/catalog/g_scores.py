@@ -327,10 +327,24 @@ def _a29(spark, d):
     return rnd(me.latency_summary(s, NOW), "p50", "p90", "p99", digits=6)
 
 
-@query("a30_bootstrap_ci")
+def _poisson_cuts(n: int = 18) -> list[float]:
+    """Values of the Poisson(1) distribution function, summed as the operator sums them."""
+    p = total = 0.36787944117144233
+    out = [total]
+    for k in range(1, n):
+        p /= k
+        total += p
+        out.append(total)
+    return out
+
+
+@query("a30_bootstrap_ci", P + f""", s AS (SELECT position, CASE WHEN score >= {CUT} THEN 1 ELSE 0 END AS m FROM sc WHERE family = 'Flood' AND positive)
+, u AS (SELECT r, m, (((((position * 2654435761 + (r * 1000003 + 3) * 40503) % 4294967296) * 69069 + 1) % 4294967296) + 0.5::DOUBLE) / 4294967296.0::DOUBLE AS u FROM s CROSS JOIN range(50) g(r))
+, w AS (SELECT r, m, len(list_filter({_poisson_cuts()!r}::DOUBLE[], lambda c: u >= c)) AS w FROM u), v AS (SELECT sum(w * m)::DOUBLE / sum(w)::DOUBLE AS v FROM w GROUP BY r)
+SELECT round(quantile_cont(v, 0.025), 9) AS low, round(quantile_cont(v, 0.975), 9) AS high FROM v""")
 def _a30(spark, d):
     s = scores(spark, d).where("family = 'Flood' AND positive")
-    return me.bootstrap_ci(s, "position", (F.col("score") >= CUT).cast("double"), samples=50, seed=3)
+    return rnd(me.bootstrap_ci(s, "position", (F.col("score") >= CUT).cast("double"), samples=50, seed=3), "low", "high")
 
 
 VALUE = P + ", v AS (SELECT position, t_us, sender % 8 AS sender, receiver % 4 AS receiver, -score AS value, src_ip, dst_ip, k FROM sc WHERE family = 'Flood')"

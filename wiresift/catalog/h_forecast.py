@@ -166,7 +166,11 @@ def _m17(spark, d):
     return fo.reach_scores(p).select("forecast", "host", F.round("reach", 6).alias("reach"))
 
 
-@query("m19_target_and_negatives")
+@query("m19_target_and_negatives", P + f""", a AS (SELECT position, sender, CASE WHEN role = 2 THEN sender ELSE receiver END AS target, position // {EVERY} AS block FROM e WHERE role IN (1, 2))
+, h AS (SELECT DISTINCT position // {EVERY} + 1 AS block, unnest([sender, receiver]) AS host FROM e), has AS (SELECT DISTINCT block FROM h)
+, c AS (SELECT position, host, row_number() OVER (PARTITION BY position ORDER BY (((host * 2654435761 + position * 40503) % 4294967296) * 69069 + 1) % 4294967296, host) AS rn FROM a JOIN h USING (block) WHERE host <> target AND host <> sender)
+, n AS (SELECT position, string_agg(host, ',' ORDER BY rn) AS negatives FROM c WHERE rn <= 5 GROUP BY 1)
+SELECT position, sender, target, COALESCE(negatives, '') AS negatives FROM a JOIN has USING (block) LEFT JOIN n USING (position)""")
 def _m19(spark, d):
     e = stream(spark, d)
-    return fo.target_and_negatives(e, fo.active_sets(e, EVERY), EVERY)
+    return fo.target_and_negatives(e, fo.active_sets(e, EVERY), EVERY).withColumn("negatives", F.array_join("negatives", ","))

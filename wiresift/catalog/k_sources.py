@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wiresift.catalog import g_scores as gs
-from wiresift.catalog.registry import query
+from wiresift.catalog.registry import ORACLES, query
 from wiresift.operators import features as ft
 from wiresift.operators import rules as ru
 from wiresift.operators import telemetry as te
@@ -94,7 +94,8 @@ def _s08(spark, d):
     return reduce(DataFrame.unionByName, out)
 
 
-@query("s09_export_window_records")
+@query("s09_export_window_records", f"""WITH t AS ({ORACLES['a07_window_telemetry']}), e AS (SELECT window_index, count(*) AS n FROM ({ORACLES['a09_host_graph_edges']}) GROUP BY 1), a AS (SELECT window_index, count(*) AS n FROM ({ORACLES['r14_suspicious_flags']}) GROUP BY 1)
+SELECT '2.0' AS schema_version, window_index, total_packets AS packets, COALESCE(e.n, 0) AS edges, COALESCE(a.n, 0) AS alerts, 'Benign' AS ground_truth FROM t LEFT JOIN e USING (window_index) LEFT JOIN a USING (window_index)""")
 def _s09(spark, d):
     root = scratch(spark, "windows")
     p = fx.packets(spark, d)
@@ -102,7 +103,7 @@ def _s09(spark, d):
     alerts = ru.suspicious_flags(ru.RuleInput(p)).select("window_index", "type", "flag_combination")
     tb.export_window_records(te.window_telemetry(p), edges, alerts, root, "Benign")
     back = spark.read.json(root)
-    return back.select("schema_version", "window_index", F.col("features.total_packets").alias("packets"), F.size("graph").alias("edges"), F.size("alerts").alias("alerts"), "ground_truth")
+    return back.select("schema_version", "window_index", F.col("features.total_packets").alias("packets"), F.coalesce(F.size("graph"), F.lit(0)).cast("bigint").alias("edges"), F.coalesce(F.size("alerts"), F.lit(0)).cast("bigint").alias("alerts"), "ground_truth")
 
 
 @query("s10_append_flow_features", P + "SELECT capture, count(*) AS rows FROM packets GROUP BY 1")

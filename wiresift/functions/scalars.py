@@ -119,3 +119,10 @@ def half_away(x: Column, digits: int) -> Column:
     scale = float(10 ** digits)
     y = x * scale
     return F.signum(y) * F.floor(F.abs(y) + 0.5) / scale
+
+
+def portable_hash(key: Column, seed: Column) -> Column:
+    """A 32-bit mix of an integer key and a seed that any SQL engine can compute: multiply, add, twice."""
+    low = lambda x: F.pmod(x.cast("bigint"), F.lit(1 << 31))  # so that no product leaves 64 bits
+    mixed = F.pmod(low(key) * F.lit(2654435761) + low(seed) * F.lit(40503), F.lit(4294967296))
+    return F.pmod(mixed * F.lit(69069) + F.lit(1), F.lit(4294967296))

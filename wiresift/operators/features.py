@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wiresift.functions.scalars import clean_rate, signed_log
+from wiresift.functions.scalars import clean_rate, portable_hash, signed_log
 from wiresift.plans.ordering import smallest
 from wiresift.sources.schemas import FORBIDDEN_FEATURES, RECORD_STATISTICS
 
@@ -72,8 +72,7 @@ def attack_slice(df: DataFrame, position: str, label: str, n: int, family: str |
 
 def sample_rows(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
     """`n` rows without replacement: those with the smallest keyed hashes, however large `n` is."""
-    mixed = F.pmod(F.col(key) * F.lit(2654435761) + F.lit(seed * 40503), F.lit(4294967296))
-    hashed = df.withColumn("_h", F.pmod(mixed * F.lit(69069) + F.lit(1), F.lit(4294967296)))
+    hashed = df.withColumn("_h", portable_hash(F.col(key), F.lit(seed)))
     return smallest(hashed, "_h", key, n, 1 << 20).drop("_h")
 
 

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wiresift.functions.scalars import portable_hash
 from wiresift.operators.metrics import quantiles
 from wiresift.plans.ordering import ROWS_PER_CHUNK, dense_id, grouped_median, keyed_scan, per_key
 from wiresift.session import pinned
@@ -228,7 +229,7 @@ def target_and_negatives(events: DataFrame, active: DataFrame, every: int, n: in
     a = events.where(F.col(role).isin(1, 2)).select(position, sender, target.alias("target"), F.floor(F.col(position) / every).alias("block"))
     j = a.join(active, "block")
     free = F.array_except("hosts", F.array("target", sender))
-    keyed = F.array_sort(F.transform(free, lambda h: F.struct(F.xxhash64(h, F.col(position), F.lit(seed)).alias("k"), h.alias("h"))))
+    keyed = F.array_sort(F.transform(free, lambda h: F.struct(portable_hash(h, F.col(position) + seed).alias("k"), h.alias("h"))))
     return j.select(position, sender, "target", F.transform(F.slice(keyed, 1, n), lambda x: x["h"]).alias("negatives"))
 
 

@@ -10,6 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from wiresift.functions.scalars import portable_hash
 from wiresift.plans.ordering import order_statistic, prefix_sums
 
 # The false-alarm budgets of a sweep.
@@ -223,7 +224,7 @@ def bootstrap_ci(df: DataFrame, key: str, metric: Column, samples: int = 100, se
 
     Weights add up inside one aggregate, so no resample is ever materialised or moved.
     """
-    u = lambda r: (F.xxhash64(F.col(key), F.lit(r), F.lit(seed)).bitwiseAND(F.lit((1 << 53) - 1)) + 0.5) / float(1 << 53)
+    u = lambda r: (portable_hash(F.col(key), F.lit(r * 1_000_003 + seed)) + 0.5) / float(1 << 32)
 
     def weight(r):  # inverse Poisson(1) distribution function, to where its tail is below the step of the hash
         x, p, total, out = u(r), 0.36787944117144233, 0.36787944117144233, F.lit(0)
