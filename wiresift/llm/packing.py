@@ -39,7 +39,7 @@ class WordEncoder:
         import json
 
         import regex
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
         self.tokenizer = Tokenizer.from_file(path)
         spec = json.loads(self.tokenizer.to_str())
         kinds = [x["type"] for x in (spec["normalizer"] or {}).get("normalizers", [])]
@@ -52,6 +52,10 @@ class WordEncoder:
             vocabulary = self.tokenizer.get_vocab()
             self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
             self.ends[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
+            # parts are normalised and split already: the same model behind white space only
+            self.model = Tokenizer.from_file(path)
+            self.model.normalizer = normalizers.Sequence([])
+            self.model.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.parts = {"\n": b""}
         self.forget()
 
@@ -64,9 +68,9 @@ class WordEncoder:
     def _encode_parts(self, parts: list[str]) -> list[bytes]:
         """Ids of parts, many in one text: the ids that end a part tell them apart."""
         out = []
-        for k in range(0, len(parts), 1000):
-            some = parts[k:k + 1000]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.uint32)
+        for k in range(0, len(parts), 300):
+            some = parts[k:k + 300]
+            ids = np.array(self.model.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.uint32)
             cut = np.flatnonzero(self.ends[ids]) + 1
             if len(cut) != len(some) or cut[-1] != len(ids):
                 out += self._encode(some)
@@ -95,8 +99,8 @@ class WordEncoder:
             new = list(set(found).difference(self.parts))
             self.parts.update(zip(new, self._encode_parts(new)))
             ids = list(map(self.parts.__getitem__, found))
-            ends = np.flatnonzero(np.fromiter(map("\n".__eq__, found), bool, len(found)))
-            total = np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))[ends] // 4
+            size = np.fromiter(map(len, ids), np.int64, len(ids))
+            total = np.cumsum(size)[size == 0] // 4  # only the line feed between words has no ids
             self._add(part, np.diff(np.r_[0, total]), b"".join(ids))
         if whole:
             ids = self._encode([w.decode() for w in whole])
