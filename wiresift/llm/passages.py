@@ -102,11 +102,13 @@ def _windows(batches):
             row = words.row()[s]
             one = scan.spans(scan.prefix(prints, scan.CHAIN), scan.CHAIN, s, s + WINDOW)
             two = scan.spans(scan.prefix(scan.mix(prints), scan.BASE), scan.BASE, s, s + WINDOW)
-            tag = np.array(tags, np.int64)[row]
+            two = (two >> scan.U(32)).astype(np.uint32).view(np.int32)
+            order, heads = scan.grouped(row, one, two)  # a text that repeats a window has one row of it
+            place = (np.array(tags, np.int64)[row] << PLACE) | (s - words.at[row])
+            at = order[heads]
             yield pa.RecordBatch.from_arrays([
-                pa.array(one.view(np.int64)), pa.array((two >> scan.U(32)).astype(np.uint32).view(np.int32)),
-                batch.column(0).slice(i, j - i).take(pa.array(row)), pa.array((tag << PLACE) | (s - words.at[row])),
-            ], names=["f1", "f2", "doc_id", "place"])
+                pa.array(one[at].view(np.int64)), pa.array(two[at]), batch.column(0).slice(i, j - i).take(pa.array(row[at])), scan.listed(place[order], heads),
+            ], names=["f1", "f2", "doc_id", "places"])
 
 
 def _removed(n: int, doc_id, tag: int, entries, later) -> np.ndarray:
@@ -171,9 +173,9 @@ def remove_repeats(docs: DataFrame, carry: list[str] | None = None, as_is: bool
     by_doc = stored(found.groupBy("doc_id").agg(F.collect_list(F.struct("place", "first", "joined")).alias("entries")), "occurrences")
     release(spark)
     held = texts.join(by_doc, "doc_id", "left").select("doc_id", "text", "tag", "entries", *names)
-    windows = held.mapInArrow(_windows, "f1 long, f2 int, doc_id long, place long")
+    windows = held.mapInArrow(_windows, "f1 long, f2 int, doc_id long, places array<long>")
     common = windows.groupBy("f1", "f2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
-    later = windows.join(common, ["f1", "f2"]).where("doc_id > first").groupBy("doc_id").agg(F.collect_list("place").alias("later"))
+    later = windows.join(common, ["f1", "f2"]).where("doc_id > first").groupBy("doc_id").agg(F.flatten(F.collect_list("places")).alias("later"))
     full = held.join(later, "doc_id", "left").select("doc_id", "text", "tag", "entries", "later", *names)
     types = "".join(f", {n} {full.schema[n].dataType.simpleString()}" for n in names)
     cut = full.mapInArrow(_cut(names, as_is), f"doc_id long, n_words long, n_removed long, removed array<struct<start:long,end:long>>, kept_text string{types}")

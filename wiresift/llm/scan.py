@@ -95,6 +95,19 @@ def lower(data: np.ndarray) -> np.ndarray:
     return data + (((data >= 65) & (data <= 90)).astype(np.uint8) << np.uint8(5))
 
 
+def grouped(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, heads): positions ordered by `keys`, the first key leading, and where in that order each group of equal keys begins."""
+    order = np.lexsort(keys[::-1])
+    head = np.ones(len(order), bool)
+    head[1:] = np.logical_or.reduce([k[order][1:] != k[order][:-1] for k in keys])
+    return order, np.flatnonzero(head)
+
+
+def listed(values: np.ndarray, heads: np.ndarray) -> pa.Array:
+    """A list column of the groups of `values` that begin at `heads`."""
+    return pa.ListArray.from_arrays(pa.array(np.r_[heads, len(values)].astype(np.int32)), pa.array(values))
+
+
 class Words:
     """Start and end byte of each word, and `at`: text i holds words at[i]..at[i + 1]."""
 

@@ -140,7 +140,8 @@ def _repeated(most: int, shard_type: str):
 
 
 def _contexts(texts: pa.Table, found: pa.Table, bits: int) -> pa.Table:
-    """Contexts of the repeated anchors of one shard, and the windows of its hot ones, as rows (anchor, second, doc_id, place, windows, context)."""
+    """Contexts of the repeated anchors of one shard, and the windows of its hot ones, as rows
+    (anchor, second, doc_id, places, windows, context); a text that repeats a context or a window has one row of it with all its places."""
     import pyarrow.compute as pc
     known = [np.frombuffer(x, np.uint64) for x in found["prints"].to_pylist() if x is not None]
     hot = [np.frombuffer(x, np.bool_) for x in found["hot"].to_pylist() if x is not None]
@@ -149,7 +150,7 @@ def _contexts(texts: pa.Table, found: pa.Table, bits: int) -> pa.Table:
     known, hot = known[order], hot[order]
     copies = {(a, b) for a, b in zip(found["doc_id"].to_pylist(), found["tag"].to_pylist()) if a is not None}
     out = []
-    schema = pa.schema([("anchor", pa.int64()), ("second", pa.int32()), ("doc_id", pa.int64()), ("place", pa.int64()), ("windows", pa.int32()), ("context", pa.binary())])
+    schema = pa.schema([("anchor", pa.int64()), ("second", pa.int32()), ("doc_id", pa.int64()), ("places", pa.list_(pa.int64())), ("windows", pa.int32()), ("context", pa.binary())])
     texts = texts.filter(pc.is_valid(texts["doc_id"])) if len(known) else texts.slice(0, 0)
     for i, j, data, offsets in scan.text_batches(texts["text"]):
         ids, tags = texts["doc_id"].slice(i, j - i).to_numpy(), texts["tag"].slice(i, j - i).to_numpy()
@@ -161,22 +162,28 @@ def _contexts(texts: pa.Table, found: pa.Table, bits: int) -> pa.Table:
             keep &= ~np.array([(a, b) in copies for a, b in zip(ids.tolist(), tags.tolist())], bool)[text]
         prints, text, first, count, slot = (x[keep] for x in (prints, text, first, count, slot))
         place = (tags[text] << PLACE) | (first - offsets[text])
+        values = scan.byte_values(data)
+        sums = scan.prefix(values, scan.BASE)
         plain = np.flatnonzero(~hot[slot])
+        order, heads = scan.grouped(text[plain], prints[plain], scan.spans(sums, scan.BASE, first[plain], first[plain] + count[plain] + WINDOW - 1))
+        places = scan.listed(place[plain][order], heads)
+        plain = plain[order[heads]]
         size = count[plain] + WINDOW - 1
         bounds = np.r_[0, np.cumsum(size)]
         take = np.repeat(first[plain] - bounds[:-1], size) + np.arange(bounds[-1])
         context = pa.Array.from_buffers(pa.binary(), len(plain), [None, pa.py_buffer(bounds.astype(np.int32).tobytes()), pa.py_buffer(data[take].tobytes())])
-        out.append(pa.Table.from_arrays([pa.array(prints[plain].view(np.int64)), pa.nulls(len(plain), pa.int32()), pa.array(ids[text[plain]]), pa.array(place[plain]), pa.array(count[plain].astype(np.int32)), context], schema=schema))
+        out.append(pa.Table.from_arrays([pa.array(prints[plain].view(np.int64)), pa.nulls(len(plain), pa.int32()), pa.array(ids[text[plain]]), places, pa.array(count[plain].astype(np.int32)), context], schema=schema))
         split = np.flatnonzero(hot[slot])
         n = int(count[split].sum())
         if n:
             each = np.repeat(split, count[split])
             step = np.arange(n) - np.repeat(np.cumsum(count[split]) - count[split], count[split])
             start = first[each] + step
-            values = scan.byte_values(data)
-            one = scan.spans(scan.prefix(values, scan.BASE), scan.BASE, start, start + WINDOW)
-            two = scan.spans(scan.prefix(scan.mix(values), scan.CHAIN), scan.CHAIN, start, start + WINDOW)
-            out.append(pa.Table.from_arrays([pa.array(one.view(np.int64)), pa.array((two >> scan.U(32)).astype(np.uint32).view(np.int32)), pa.array(ids[text[each]]), pa.array(place[each] + step), pa.array(np.ones(n, np.int32)), pa.nulls(n, pa.binary())], schema=schema))
+            one = scan.spans(sums, scan.BASE, start, start + WINDOW)
+            two = (scan.spans(scan.prefix(scan.mix(values), scan.CHAIN), scan.CHAIN, start, start + WINDOW) >> scan.U(32)).astype(np.uint32).view(np.int32)
+            order, heads = scan.grouped(text[each], one, two)
+            at, n = order[heads], len(heads)
+            out.append(pa.Table.from_arrays([pa.array(one[at].view(np.int64)), pa.array(two[at]), pa.array(ids[text[each[at]]]), scan.listed((place[each] + step)[order], heads), pa.array(np.ones(n, np.int32)), pa.nulls(n, pa.binary())], schema=schema))
     return pa.concat_tables(out) if out else schema.empty_table()
 
 
@@ -289,7 +296,8 @@ def _judged(batches):
     if not sum(b.num_rows for b in batches):
         return
     table = pa.Table.from_batches(batches)
-    anchor, ids, place, windows = (table[c].to_numpy() for c in ("anchor", "doc_id", "place", "windows"))
+    anchor, ids, windows = (table[c].to_numpy() for c in ("anchor", "doc_id", "windows"))
+    places = table["places"].combine_chunks()
     data, bounds = scan.joined(table["context"])
     blocks = max(1, len(data) // BLOCK)
     block = (scan.mix(anchor.view(np.uint64)) % scan.U(blocks)).astype(np.int64)
@@ -303,7 +311,10 @@ def _judged(batches):
         base = np.r_[0, np.cumsum(size)]
         text = data[np.repeat(bounds[rows] - base[:-1], size) + np.arange(base[-1])]
         row, step, count = _later(anchor[rows], ids[rows], windows[rows].astype(np.int64), text, base)
-        yield pa.RecordBatch.from_arrays([pa.array(ids[rows][row]), pa.array(place[rows][row] + step), pa.array(count.astype(np.int32))], names=["doc_id", "place", "windows"])
+        held = places.take(pa.array(rows[row]))
+        shifted = held.flatten().to_numpy() + np.repeat(step, held.value_lengths().to_numpy())
+        moved = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(held.value_lengths().to_numpy())].astype(np.int32)), pa.array(shifted))
+        yield pa.RecordBatch.from_arrays([pa.array(ids[rows][row]), moved, pa.array(count.astype(np.int32))], names=["doc_id", "places", "windows"])
 
 
 def _cut(batches):
@@ -315,8 +326,8 @@ def _cut(batches):
             if copy and len(raw) >= WINDOW:
                 gone[0], gone[-1] = 1, -1
             elif later:
-                place = np.array([x["place"] for x in later], np.int64)
-                count = np.array([x["windows"] for x in later], np.int64)
+                place = np.array([p for x in later for p in x["places"]], np.int64)
+                count = np.repeat([x["windows"] for x in later], [len(x["places"]) for x in later])
                 own = (place >> PLACE) == tag
                 start = place[own] & ((1 << PLACE) - 1)
                 np.add.at(gone, start, 1)
@@ -356,14 +367,14 @@ def remove_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
     told = stored(found.select("shard", "prints", "hot", *nothing), "repeated")
     release(spark)
     right = told.union(copies.select(shard, F.lit(None).cast("binary"), F.lit(None).cast("binary"), "doc_id", "tag"))
-    row = "anchor long, second int, doc_id long, place long, windows int, context binary"
+    row = "anchor long, second int, doc_id long, places array<long>, windows int, context binary"
     contexts = stored(own.select(shard, "doc_id", "tag", "text").groupBy("shard").cogroup(right.groupBy("shard")).applyInArrow(lambda a, b: _contexts(a, b, bits), row), "contexts")
     release(spark)
-    plain = contexts.where("context is not null").repartition("anchor").mapInArrow(_judged, "doc_id long, place long, windows int")
-    rows = contexts.where("context is null").select("anchor", "second", "doc_id", "place", "windows")
+    plain = contexts.where("context is not null").repartition("anchor").mapInArrow(_judged, "doc_id long, places array<long>, windows int")
+    rows = contexts.where("context is null").select("anchor", "second", "doc_id", "places", "windows")
     common = rows.groupBy("anchor", "second").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
-    later = plain.union(rows.join(common, ["anchor", "second"]).where("doc_id > first").select("doc_id", "place", "windows"))
-    by_doc = stored(later.groupBy("doc_id").agg(F.collect_list(F.struct("place", "windows")).alias("later")), "spans")
+    later = plain.union(rows.join(common, ["anchor", "second"]).where("doc_id > first").select("doc_id", "places", "windows"))
+    by_doc = stored(later.groupBy("doc_id").agg(F.collect_list(F.struct("places", "windows")).alias("later")), "spans")
     release(spark)
     joined = texts.join(by_doc, "doc_id", "left").join(copies.withColumn("copy", F.lit(True)), ["doc_id", "tag"], "left")
     return joined.select("doc_id", "text", "tag", "later", "copy").mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, removed array<struct<start:long,end:long>>, kept binary")
