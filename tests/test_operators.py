@@ -463,3 +463,27 @@ def test_contacts_answer_any_number_of_forecasts(spark):
         for p in range(2 * k + 2, 2 * k + 11, 2):
             want.setdefault((k, p % 7 + 10), (p - 2 * k) / 1000)
     assert one == want
+
+
+def test_calibration_log_starts_afresh_under_another_policy(spark):
+    rows = lambda *r: spark.createDataFrame([("n", f, s * US, float(x)) for f, s, x in r], "name string, flow string, t_us bigint, score double")
+    schema = "name string, flow string, t_us bigint, score double, start_us bigint"
+    for other in ({"duration_s": 900}, {"max_gap_s": 60}, {"signature": "model-2"}):
+        t = tb.VersionedTable(spark, rp.scratch(spark, "log"))
+        same = {"duration_s": 1000, "max_gap_s": 50, "signature": "model-1"}
+        sk.score_log(t, **same)(rows(("a", 0, 1)), 0)
+        sk.score_log(t, **same)(rows(("b", 10, 2)), 1)
+        assert {r.flow for r in t.read_current(schema).collect()} == {"a", "b"}
+        sk.score_log(t, **(same | other))(rows(("c", 20, 3)), 2)
+        assert {(r.flow, r.start_us // US) for r in t.read_current(schema).collect()} == {("c", 20)}
+
+
+def test_silence_is_found_across_stretches(spark):
+    t = tb.VersionedTable(spark, rp.scratch(spark, "log"))
+    times = [0, 49, 99, 149, 200, 249]  # only 149 -> 200 is longer than 50
+    sk.score_log(t, 1000, 50)(spark.createDataFrame([("n", str(s), s * US, 1.0) for s in times], "name string, flow string, t_us bigint, score double"), 0)
+    assert {r.flow for r in t.read_current("name string, flow string").collect()} == {"200", "249"}
+
+
+def test_realised_rates_that_leave_their_budget():
+    assert sk.drifted(0.04, 0.01) and sk.drifted(0.003, 0.01) and not sk.drifted(0.02, 0.01) and not sk.drifted(0.0, 0.01)

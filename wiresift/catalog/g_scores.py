@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from wiresift.catalog.registry import query
+from wiresift.catalog.registry import ORACLES, QUERIES, query
 from wiresift.operators import features as ft
 from wiresift.operators import incidents as inc
 from wiresift.operators import metrics as me
@@ -319,6 +319,17 @@ def _a27(spark, d):
     return rnd(me.drift_report(p.where("_b > 2"), training, DCOLS), "mean_shift_training_sd", "live_to_training_sd", "live_mean", "training_mean", digits=6)
 
 
+@query("a27_reversed_histogram", f"SELECT v AS reversed, count(r.reversed) AS flows FROM (VALUES (-1.0::DOUBLE), (0.0::DOUBLE), (1.0::DOUBLE)) t(v) LEFT JOIN ({ORACLES['p10_is_reversed']}) r ON r.reversed = v GROUP BY 1")
+def _a27h(spark, d):
+    return me.reversed_histogram(QUERIES["p10_is_reversed"](spark, d))
+
+
+@query("m15_pairwise_accuracy", P + "SELECT round(avg(CASE WHEN score > k * 2 THEN 1.0::DOUBLE ELSE 0.0 END), 9) AS pairwise, count(*) AS pairs FROM sc")
+def _m15w(spark, d):
+    from wiresift.operators import forecast as fo
+    return rnd(fo.pairwise_accuracy(scores(spark, d).select(F.col("score").alias("positive"), (F.col("k") * 2).alias("negative"))), "pairwise", digits=9)
+
+
 @query("a29_latency_summary", P + f""", l AS (SELECT t_us + (k - 5) * 10000 AS wall, t_us AS obs, t_us - k * 3000 + 20000 AS first FROM sc WHERE family = 'Flood'), r AS (SELECT * FROM l WHERE wall >= {NOW} - 60000000)
 , x AS (SELECT 'after_t_obs' AS stage, greatest((wall - obs) / 1000000.0::DOUBLE, 0) AS s, 0 AS fut FROM r UNION ALL SELECT 'from_first_packet', greatest((wall - first) / 1000000.0::DOUBLE, 0), CASE WHEN first > wall THEN 1 ELSE 0 END FROM r)
 SELECT stage, count(*) AS samples, sum(fut)::BIGINT AS future_events, round(quantile_cont(s, 0.5), 6) AS p50, round(quantile_cont(s, 0.9), 6) AS p90, round(quantile_cont(s, 0.99), 6) AS p99 FROM x GROUP BY 1""")

@@ -249,6 +249,12 @@ def drift_report(live: DataFrame, training: DataFrame, columns: Sequence[str]) -
     return j.select(F.inline(rows)).orderBy(F.abs("mean_shift_training_sd").desc(), "feature")
 
 
+def reversed_histogram(flows: DataFrame, reversed_: str = "reversed") -> DataFrame:
+    """Flows by orientation: unknown (-1), as recorded (0), turned (1); every value has a row."""
+    counts = flows.agg(*[F.count(F.when(F.col(reversed_) == v, 1)).alias(f"n{i}") for i, v in enumerate((-1.0, 0.0, 1.0))])
+    return counts.select(F.inline(F.array(*[F.struct(F.lit(v).alias("reversed"), F.col(f"n{i}").alias("flows")) for i, v in enumerate((-1.0, 0.0, 1.0))])))
+
+
 def latency_summary(samples: DataFrame, now_us: int, window_s: float = 60.0) -> DataFrame:
     """p50, p90 and p99 of the last minute's durations, clamped at zero, with the count of events from the future.
 

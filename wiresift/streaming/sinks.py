@@ -5,6 +5,7 @@ after a failure rebuilds the same version from the version before it, so every o
 """
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -87,28 +88,30 @@ def drifted(realised: float, budget: float, tolerance: float = 3.0) -> bool:
     return realised > 0 and budget > 0 and not (1.0 / tolerance <= realised / budget <= tolerance)
 
 
-def score_log(table: VersionedTable, duration_s: float = 7200.0, max_gap_s: float = 600.0) -> Callable[[DataFrame, int], None]:
+def score_log(table: VersionedTable, duration_s: float = 7200.0, max_gap_s: float = 600.0, signature: str = "") -> Callable[[DataFrame, int], None]:
     """The calibration log: one row per (name, flow), the last `duration_s` seconds, cleared by a silence of `max_gap_s`.
 
-    `start_us` is the first time the log has held since the last clearing.
+    `start_us` is the first time the log has held since the last clearing. Rows carry the policy they were kept under: a log resumed with another
+    duration, gap or model `signature` starts empty.
     """
-    schema = "name string, flow string, t_us bigint, score double, start_us bigint"
+    schema = "name string, flow string, t_us bigint, score double, start_us bigint, policy string"
+    policy = json.dumps([signature, duration_s, max_gap_s])
+    gap = int(max_gap_s * 1e6)
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        old = table.read_before(batch_id, schema)
+        old = table.read_before(batch_id, schema).where(F.col("policy") == policy).drop("policy")
         rows = old.select("name", "flow", "t_us", "score", F.lit(0).alias("_new"), "start_us").unionByName(
             batch.where(~F.isnan("score") & (F.abs("score") < float("inf"))).select("name", "flow", "t_us", "score", F.lit(1).alias("_new"), F.lit(None).cast("bigint").alias("start_us")))
-        # Distinct times of one micro-batch and the log's end are enough to find the last long silence.
+        # A longer silence than the gap leaves a stretch of that length, so the first and last time of each stretch tell all of them: a row a stretch.
         tail = old.agg(F.max("t_us").alias("t_us")).where("t_us IS NOT NULL")
-        times = batch.select("t_us").distinct().unionByName(tail)
-        w = Window.orderBy("t_us")
-        cut = times.withColumn("_gap", F.col("t_us") - F.lag("t_us").over(w)).where(F.col("_gap") > int(max_gap_s * 1e6)).agg(F.max("t_us").alias("_cut"))
+        times = batch.select("t_us").unionByName(tail).groupBy(F.floor(F.col("t_us") / max(gap, 1)).alias("_part")).agg(F.min("t_us").alias("t_us"), F.max("t_us").alias("_end"))
+        cut = times.withColumn("_gap", F.col("t_us") - F.lag("_end").over(Window.orderBy("_part"))).where(F.col("_gap") > gap).agg(F.max("t_us").alias("_cut"))
         ends = batch.agg(F.max("t_us").alias("_last")).join(F.broadcast(cut), F.lit(True)).join(F.broadcast(old.agg(F.max("t_us").alias("_old_last"))), F.lit(True)).select(
             F.coalesce("_cut", F.lit(-1)).alias("_cut"), (F.greatest("_last", "_old_last") - int(duration_s * 1e6)).alias("_from"))
         alive = rows.join(F.broadcast(ends), F.lit(True)).where((F.col("t_us") >= F.col("_cut")))
         start = alive.agg(F.min(F.least("t_us", F.coalesce("start_us", "t_us"))).alias("_raw"), F.max("_cut").alias("_cut2")).select(F.greatest("_raw", "_cut2").alias("_start"))
         once = alive.where(F.col("t_us") >= F.col("_from")).groupBy("name", "flow").agg(F.min_by(F.struct("t_us", "score"), F.struct("_new", "t_us")).alias("r")).select("name", "flow", "r.*")
-        table.write(once.join(F.broadcast(start), F.lit(True)).withColumnRenamed("_start", "start_us").select("name", "flow", "t_us", "score", "start_us"), batch_id)
+        table.write(once.join(F.broadcast(start), F.lit(True)).withColumnRenamed("_start", "start_us").select("name", "flow", "t_us", "score", "start_us", F.lit(policy).alias("policy")), batch_id)
     return step
 
 
