@@ -462,18 +462,36 @@ def as_unigram(model):
 def test_op10(spark):
     import sentencepiece
     rows = queries.op10(spark, SMALL).collect()
-    seen = Counter()
+    import regex
+    vocabulary, seen = lattice.Vocabulary(queries.piece_bpe()), Counter()
     for _, t in documents(spark):
         if t:
-            seen.update(re.findall("▁*[^▁]+|▁+", ("▁" + t).replace(" ", "▁")))
+            found = regex.findall(vocabulary.pattern, ("▁" + t).replace(" ", "▁"))
+            assert "".join(found) == ("▁" + t).replace(" ", "▁")
+            seen.update(found)
     assert {r.word: r.occurrences for r in rows} == dict(seen) and all(r.decoded == re.sub("^ ", "", r.word.replace("▁", " ")) for r in rows)
-    m, vocabulary = sentencepiece.SentencePieceProcessor(model_proto=as_unigram(queries.piece_bpe())), lattice.Vocabulary(queries.piece_bpe())
+    m = sentencepiece.SentencePieceProcessor(model_proto=as_unigram(queries.piece_bpe()))
     for r in rows:
         if re.fullmatch("▁[^▁ ]+", r.word) and min(r.ids) > vocabulary.byte0 + 255:
             # marks in a row and byte pieces have scores near 1e9, beside which the library's 32-bit sums lose the others; its n-best search is exact
             assert list(r.ids) == m.nbest_encode_as_ids(r.word[1:], 2)[0], r.word
 
 
+def test_words_are_independent():
+    """Viterbi over whole texts and over their words give the same ids."""
+    import pyarrow as pa
+    import regex
+    vocabulary = lattice.Vocabulary(queries.piece_bpe())
+    texts = ["▁the². Year2023-01.x  thé\n\n(a|b) 漢字,e\u0301nd ▁▁▁¼½.5", "▁" + odd_rows()[5][1].replace(" ", "▁")]
+
+    def plain(words):
+        batch = pa.RecordBatch.from_arrays([pa.array(words), pa.array([1] * len(words))], names=["word", "occurrences"])
+        return [x for out in lattice._plain_viterbi(vocabulary)([batch]) for x in out.column(2).to_pylist()]
+    for t in texts:
+        t = t.replace(" ", "▁")
+        assert plain([t])[0] == [i for ids in plain(regex.findall(vocabulary.pattern, t)) for i in ids]
+
+
 def test_op10_documents(spark, odd, empty):
     vocabulary = lattice.Vocabulary(queries.piece_bpe())
     encoded = lattice.encode(odd, vocabulary).collect()

@@ -1,12 +1,14 @@
 """SentencePiece encoding and decoding as relations (operator 10).
 
-Words (a run of word marks and what follows up to the next one; no piece of the vocabularies in view holds a mark behind another character) are
-made distinct. Substrings of up to the longest piece's length are exploded and joined with the piece table; the matches are the edges of a word's
+Words are made distinct: runs of one kind of character (letters, digits, others) with the word marks before them, cut only where no piece of the
+vocabulary reaches across, so that a text's best path is those of its words in a row. Substrings of up to the longest piece's length are exploded and joined with the piece table; the matches are the edges of a word's
 lattice, and a fold over them, in order of their ends, keeps the best path to each position (Viterbi): highest sum of scores, of equal ones the
 path whose last piece starts first. Characters without a piece become byte pieces at a penalty below every score.
 """
 from __future__ import annotations
 
+import unicodedata
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,16 +35,38 @@ class Vocabulary:
             raise ValueError("the model must have 256 byte pieces in a row")
         self.byte0, self.longest = bytes_[0], max(len(p) for p, _, _ in self.rows)
         self.unknown = min(s for _, _, s in self.rows) - PENALTY
+        self.pattern = self._pattern()
+
+    def _pattern(self) -> str:
+        """What a word is: kinds of characters that some piece joins count as one kind."""
+        def kind(c):
+            return "M" if c == MARK else {"L": "L", "M": "L", "N": "N"}.get(unicodedata.category(c)[0], "O")
+        joined = {(kind(a), kind(b)) for p, _, _ in self.rows for a, b in zip(p, p[1:])}
+        if any(b == "M" and a != "M" for a, b in joined):
+            raise ValueError("a piece holds a word mark behind another character")
+        group = {k: k for k in "LNO"}
+        for a, b in joined:
+            if a != "M" and group[a] != group[b]:
+                group = {k: group[a] if g == group[b] else g for k, g in group.items()}
+        has = {"L": r"\p{L}\p{M}", "N": r"\p{N}"}
+        runs = []
+        for g in sorted(set(group.values())):
+            inside = [k for k in "LNO" if group[k] == g]
+            if "O" in inside:  # all that the other runs do not take
+                runs.append(f"[^{MARK}{''.join(has[k] for k in has if k not in inside)}]+")
+            else:
+                runs.append(f"[{''.join(has[k] for k in inside)}]+")
+        return "(" + "|".join([*(f"{MARK}*{r}" for r in runs), f"{MARK}+"]) + ")"
 
     def table(self, spark: SparkSession) -> DataFrame:
         """One row a piece; its size is that of the vocabulary, whatever the corpus."""
         return spark.createDataFrame(self.rows, "piece string, id int, score double")
 
 
-def words_of(text):
+def words_of(text, vocabulary: Vocabulary):
     """The words of a text column, the first with the mark that the encoder puts before every text; none for a null or empty text."""
     marked = F.translate(F.concat(F.lit(MARK), text), " ", MARK)
-    return F.when(F.length(text) > 0, F.regexp_extract_all(marked, F.lit(f"({MARK}*[^{MARK}]+|{MARK}+)"), F.lit(1)))
+    return F.when(F.length(text) > 0, F.regexp_extract_all(marked, F.lit(vocabulary.pattern), F.lit(1)))
 
 
 def _plain_viterbi(vocabulary: Vocabulary):
@@ -95,9 +119,9 @@ def encode_words(words: DataFrame, vocabulary: Vocabulary) -> list[DataFrame]:
     return [done, rest]
 
 
-def distinct_words(docs: DataFrame) -> DataFrame:
+def distinct_words(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """(word, occurrences) over all texts of `docs`."""
-    return docs.select(F.explode(words_of(F.col("text").cast("string"))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("occurrences"))
+    return docs.select(F.explode(words_of(F.col("text").cast("string"), vocabulary)).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("occurrences"))
 
 
 def decode(encoded: DataFrame, vocabulary: Vocabulary, keys: list[str]) -> DataFrame:
@@ -119,8 +143,8 @@ def encode(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     The dictionary of distinct words is joined to all occurrences and put together again for each row; copies of rows give equal rows.
     """
     rows = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("row", F.monotonically_increasing_id()), "texts")
-    short, long = encode_words(stored(distinct_words(rows), "words"), vocabulary)
+    short, long = encode_words(stored(distinct_words(rows, vocabulary), "words"), vocabulary)
     known = stored(short.union(long), "dictionary")
-    placed = rows.select("row", F.posexplode(words_of(F.col("text"))).alias("at", "word")).join(known.select("word", "ids"), "word")
+    placed = rows.select("row", F.posexplode(words_of(F.col("text"), vocabulary)).alias("at", "word")).join(known.select("word", "ids"), "word")
     joined = placed.groupBy("row").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("at", "ids"))), lambda x: x["ids"])).alias("ids"))
     return rows.select("row", "doc_id").join(joined, "row", "left").select("doc_id", F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))

@@ -87,6 +87,6 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every distinct word of all documents with its occurrences and ids, and the word that they decode to."""
     vocabulary = lattice.Vocabulary(piece_bpe())
-    words = stored(lattice.distinct_words(read(spark, sf_dir, "documents")), "words")
+    words = stored(lattice.distinct_words(read(spark, sf_dir, "documents"), vocabulary), "words")
     short, long = (lattice.decode(x, vocabulary, ["word", "occurrences", "ids"]) for x in lattice.encode_words(words, vocabulary))
     return short.union(long).withColumnRenamed("text", "decoded")
