@@ -20,7 +20,7 @@ from wiresift.streaming import windows as wi
 P = "WITH " + fx.PACKETS_CTE + " "
 COUNTS = ["total_packets", "total_bytes", "tcp_packets", "syn_count", "syn_ack_count", "ack_count", "rst_count", "fin_count", "udp_packets", "udp_bytes", "dns_packets", "dns_bytes",
           "icmp_packets", "icmp_bytes", "null_scan_packets", "xmas_scan_packets", "fin_scan_packets"]
-SLIM = ["frame_no", "us", "src_ip", "dst_ip", "src_port", "dst_port", "protocol", "length", "is_dns", "is_icmp_echo", "tcp_flag_syn", "tcp_flag_ack", "tcp_flag_fin", "tcp_flag_rst", "tcp_flag_psh", "tcp_flag_urg"]
+SLIM = ["frame_no", "us", "src_ip", "dst_ip", "src_port", "dst_port", "protocol", "length", "payload_len", "ttl", "tcp_window", "is_dns", "is_icmp_echo", "tcp_flag_syn", "tcp_flag_ack", "tcp_flag_fin", "tcp_flag_rst", "tcp_flag_psh", "tcp_flag_urg"]
 
 
 def packet_stream(spark, d, conversations=False):
@@ -52,6 +52,35 @@ def _t01p(spark, d):
     return rp.run_to_table(wi.stream_source_fanout(packet_stream(spark, d), "dst_port", 4))
 
 
+def _moments(c, name, on):
+    v = f"CASE WHEN {on} THEN {c}::DOUBLE END"
+    var = f"avg(({v}) * ({v})) - avg({v}) * avg({v})"
+    return (f"COALESCE(round(avg({v}), 2), 0) AS {name}_mean, CASE WHEN {var} > 0 THEN round(sqrt({var}), 2) ELSE 0 END AS {name}_stddev, "
+            f"COALESCE(min(CASE WHEN {on} THEN {c} END), 0)::BIGINT AS {name}_min, COALESCE(max(CASE WHEN {on} THEN {c} END), 0)::BIGINT AS {name}_max")
+
+
+@query("t01_stream_window_moments", W + " SELECT window_index, " + ", ".join(_moments(*x) for x in (("ttl", "ttl", "true"), ("tcp_window", "tcp_window", "protocol = 6"), ("payload_len", "payload", "true"))) + " FROM w GROUP BY 1")
+def _t01m(spark, d):
+    t = wi.stream_window_telemetry(packet_stream(spark, d))
+    return rp.run_to_table(t.select("window_index", *[f"{n}_{x}" for n in ("ttl", "tcp_window", "payload") for x in ("mean", "stddev", "min", "max")]))
+
+
+@query("t01_stream_host_scan", W + " SELECT window_index, src_ip, count(DISTINCT dst_ip) AS n FROM w GROUP BY 1, 2 HAVING count(DISTINCT dst_ip) >= 3")
+def _t01h(spark, d):
+    return rp.run_to_table(wi.stream_host_scan(packet_stream(spark, d), 3))
+
+
+@query("t01_stream_ping_sweep", W + " SELECT window_index, src_ip, count(DISTINCT dst_ip) AS n FROM w WHERE is_icmp_echo GROUP BY 1, 2 HAVING count(DISTINCT dst_ip) >= 2")
+def _t01s(spark, d):
+    return rp.run_to_table(wi.stream_ping_sweep(packet_stream(spark, d), 2))
+
+
+@query("t01_stream_suspicious_flags", W + """ SELECT window_index, c AS flag_combination, count(*) AS n FROM (SELECT *, CASE WHEN tcp_flag_syn = 1 AND tcp_flag_fin = 1 THEN 'SYN+FIN' WHEN tcp_flag_syn = 1 AND tcp_flag_rst = 1 THEN 'SYN+RST'
+ WHEN tcp_flag_fin = 1 AND tcp_flag_rst = 1 THEN 'FIN+RST' END AS c FROM w WHERE protocol = 6) WHERE c IS NOT NULL GROUP BY 1, 2""")
+def _t01f(spark, d):
+    return rp.run_to_table(wi.stream_suspicious_flags(packet_stream(spark, d)))
+
+
 @query("t02_stream_flows", ORACLES["a12_segment_flows"])
 def _t02(spark, d):
     s = st.stream_flows(packet_stream(spark, d, True), 30_000_000)

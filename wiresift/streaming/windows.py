@@ -5,10 +5,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from wiresift.functions.scalars import half_away
+from wiresift.functions.scalars import half_away, illegal_flags
 from wiresift.sources.schemas import PACKET_JSON
 
 
+#: Values of `illegal_flags`.
+ILLEGAL = ["SYN+FIN", "SYN+RST", "FIN+RST"]
+
+
 def packet_events(raw: DataFrame, value: str = "value", schema: StructType = PACKET_JSON) -> DataFrame:
     """JSON packet events of a Kafka value (or text) column as typed packets; unreadable lines are dropped."""
     e = raw.select(F.from_json(F.col(value).cast("string"), schema).alias("e")).where("e.id IS NOT NULL").select("e.*")
@@ -26,19 +30,28 @@ def _timed(packets: DataFrame, seconds: int, delay: str) -> DataFrame:
 
 
 def stream_window_telemetry(packets: DataFrame, seconds: int = 10, delay: str = "10 seconds") -> DataFrame:
-    """Volumes, rates, flag counts and scan counts per tumbling window; feeds the same window rules as the batch telemetry."""
+    """Volumes, rates, flag counts, scan counts and, of the columns that the packets have, TTL, window and payload moments per tumbling window.
+
+    Feeds the same window rules as the batch telemetry.
+    """
     on = lambda f: F.col(f"tcp_flag_{f}") == 1
     tcp, udp, icmp = F.col("protocol") == 6, F.col("protocol") == 17, F.col("protocol").isin(1, 58)
     syn_only, syn_ack = tcp & on("syn") & ~on("ack"), tcp & on("syn") & on("ack")
     n = lambda c, name: F.count(F.when(c, 1)).alias(name)
     z = lambda c, name: F.coalesce(F.sum(F.when(c, F.col("length"))), F.lit(0)).alias(name)
     quiet = tcp & ~on("syn") & ~on("ack") & ~on("rst")
+    spread = [(c, name, on_) for c, name, on_ in (("ttl", "ttl", F.lit(True)), ("tcp_window", "tcp_window", tcp), ("payload_len", "payload", F.lit(True))) if c in packets.columns]
+
+    def sums(c, name, on_):
+        v = F.when(on_, F.col(c).cast("double"))
+        return [F.count(v).alias(f"_{name}_n"), F.sum(v).alias(f"_{name}_s"), F.sum(v * v).alias(f"_{name}_ss"), F.min(F.when(on_, F.col(c))).alias(f"_{name}_lo"), F.max(F.when(on_, F.col(c))).alias(f"_{name}_hi")]
     g = _timed(packets, seconds, delay).groupBy("w").agg(
         F.count(F.lit(1)).alias("total_packets"), F.sum("length").alias("total_bytes"), n(tcp, "tcp_packets"), n(syn_only, "syn_count"), n(syn_ack, "syn_ack_count"),
         n(tcp & on("ack"), "ack_count"), n(tcp & on("rst"), "rst_count"), n(tcp & on("fin"), "fin_count"), n(udp, "udp_packets"), z(udp, "udp_bytes"),
         n(F.col("is_dns"), "dns_packets"), z(F.col("is_dns"), "dns_bytes"), n(icmp, "icmp_packets"), z(icmp, "icmp_bytes"),
         n(quiet & ~on("fin") & ~on("psh") & ~on("urg"), "null_scan_packets"), n(quiet & on("fin") & on("psh") & on("urg"), "xmas_scan_packets"),
-        n(quiet & on("fin") & ~on("psh") & ~on("urg"), "fin_scan_packets"))
+        n(quiet & on("fin") & ~on("psh") & ~on("urg"), "fin_scan_packets"),
+        *[x for s in spread for x in sums(*s)])
     rate = lambda c: half_away(F.col(c) / float(seconds), 2)
     us = lambda c: F.unix_micros(c)
     out = g.withColumns({
@@ -48,14 +61,38 @@ def stream_window_telemetry(packets: DataFrame, seconds: int = 10, delay: str =
                                                     ("dns_packets", "dns_packets"), ("dns_bytes", "dns_bytes"), ("icmp_packets", "icmp_packets"))},
         "syn_ack_ratio": half_away(F.when(F.col("syn_ack_count") > 0, F.col("syn_count") / F.col("syn_ack_count")).otherwise(F.col("syn_count").cast("double")), 2),
         "approx_incomplete_connections": F.greatest(F.lit(0), F.col("syn_count") - F.col("syn_ack_count"))})
-    return out.drop("w")
+    for _, name, _ in spread:
+        seen, s, ss = F.col(f"_{name}_n"), F.col(f"_{name}_s"), F.col(f"_{name}_ss")
+        var = F.when(seen > 0, ss / seen - (s / seen) * (s / seen))
+        out = out.withColumns({f"{name}_mean": F.when(seen > 0, half_away(s / seen, 2)).otherwise(0.0), f"{name}_stddev": F.when(var > 0, half_away(F.sqrt(var), 2)).otherwise(0.0),
+                               f"{name}_min": F.coalesce(F.col(f"_{name}_lo"), F.lit(0)).cast("bigint"), f"{name}_max": F.coalesce(F.col(f"_{name}_hi"), F.lit(0)).cast("bigint")})
+    return out.drop("w", *[f"_{name}_{x}" for _, name, _ in spread for x in ("n", "s", "ss", "lo", "hi")])
+
+
+def stream_suspicious_flags(packets: DataFrame, seconds: int = 10, delay: str = "10 seconds") -> DataFrame:
+    """Packets per window and illegal TCP flag combination. All packets are counted over, so that any of them moves the watermark."""
+    on = lambda f: F.col(f"tcp_flag_{f}")
+    combination = F.when(F.col("protocol") == 6, illegal_flags(on("syn"), on("fin"), on("rst")))
+    g = _timed(packets, seconds, delay).groupBy("w").agg(*[F.count(F.when(combination == c, 1)).alias(c) for c in ILLEGAL])
+    each = F.filter(F.array(*[F.struct(F.lit(c).alias("flag_combination"), F.col(f"`{c}`").alias("n")) for c in ILLEGAL]), lambda x: x["n"] > 0)
+    return g.select(F.floor(F.unix_micros("w.start") / (seconds * 1_000_000)).cast("bigint").alias("window_index"), F.inline(each))
+
+
+def stream_host_scan(packets: DataFrame, limit: int, seconds: int = 10, delay: str = "10 seconds") -> DataFrame:
+    """Sources that reach `limit` hosts or more in a window."""
+    return stream_source_fanout(packets, "dst_ip", limit, seconds, delay)
+
+
+def stream_ping_sweep(packets: DataFrame, limit: int, seconds: int = 10, delay: str = "10 seconds") -> DataFrame:
+    """Sources that send echo requests to `limit` hosts or more in a window."""
+    return stream_source_fanout(packets.withColumn("dst_ip", F.when(F.col("is_icmp_echo"), F.col("dst_ip"))), "dst_ip", limit, seconds, delay)
 
 
 def stream_source_fanout(packets: DataFrame, target: str, limit: int, seconds: int = 10, delay: str = "10 seconds") -> DataFrame:
     """Exact distinct targets per (window, source): deduplicate on the triple first, then count; no set is held in state."""
     p = _timed(packets, seconds, delay).select("event_time", "w", "src_ip", target)
     once = p.dropDuplicates(["w", "src_ip", target])
-    g = once.groupBy("w", "src_ip").agg(F.count(F.lit(1)).alias("n"))
+    g = once.groupBy("w", "src_ip").agg(F.count(target).alias("n"))
     return g.where(F.col("n") >= limit).select(F.floor(F.unix_micros("w.start") / (seconds * 1_000_000)).cast("bigint").alias("window_index"), "src_ip", "n")
 
 
