@@ -100,15 +100,16 @@ def _a16r(spark, d):
 
 
 MAP = FL + """
+, fl AS (SELECT * REPLACE (CASE WHEN slot120 = 3 THEN 'none|' || flow_key ELSE flow_key END AS flow_key) FROM flows)
 , cand AS (SELECT c.frame_no, f.flow_uid, row_number() OVER (PARTITION BY c.frame_no ORDER BY f.start_us DESC, f.end_us DESC, f.flow_uid DESC) AS rn
-  FROM convs c JOIN flows f ON f.flow_key = c.flow_key AND c.us BETWEEN f.start_us AND f.end_us + 1000000 WHERE f.slot120 <> 3)
+  FROM convs c JOIN fl f ON f.flow_key = c.flow_key AND c.us BETWEEN f.start_us AND f.end_us + 1000000)
 , pmap AS (SELECT c.frame_no, k.flow_uid, c.flow_key FROM convs c LEFT JOIN cand k ON k.frame_no = c.frame_no AND k.rn = 1)
 """
 
 
 def _flows(spark, d):
-    """Flows without those of one slot, so that some packets stay unattributed."""
-    return fx.flows(spark, d).where("slot120 <> 3")
+    """Flows; those of one slot have a key that no packet has, so that some packets stay unattributed."""
+    return fx.flows(spark, d).withColumn("flow_key", F.when(F.col("slot120") == 3, F.concat(F.lit("none|"), "flow_key")).otherwise(F.col("flow_key")))
 
 
 def packet_map(spark, d):
@@ -126,7 +127,7 @@ def _j03(spark, d):
     return mp.load_joined(c, mp.map_packets_to_flows(c, f), f).select("frame_no", "flow_uid", "us", "slot120_flow", "n_packets", "nested")
 
 
-@query("q01_packets_attached", MAP + """, k AS (SELECT * FROM pmap WHERE flow_key IN (SELECT flow_key FROM flows WHERE slot120 <> 3))
+@query("q01_packets_attached", MAP + """, k AS (SELECT * FROM pmap WHERE flow_key IN (SELECT flow_key FROM fl))
 SELECT count(*) AS has_flow, count(*) - count(flow_uid) AS lost, round(1 - (count(*) - count(flow_uid)) / count(*)::DOUBLE, 9) AS share,
  1 - (count(*) - count(flow_uid)) / count(*)::DOUBLE >= 0.999 AS passed FROM k""")
 def _q01(spark, d):
@@ -140,7 +141,7 @@ def _q02(spark, d):
 
 
 DISAGREE = MAP + RULES_CTE + label_sql("plab", "convs", "frame_no") + """
-, fend AS (SELECT f.flow_uid, f.start_us, c.src_ip, c.dst_ip, c.src_port, c.dst_port, c.protocol FROM flows f JOIN convs c ON c.frame_no = f.first_frame WHERE f.slot120 <> 3)
+, fend AS (SELECT f.flow_uid, f.start_us, c.src_ip, c.dst_ip, c.src_port, c.dst_port, c.protocol FROM flows f JOIN convs c ON c.frame_no = f.first_frame)
 """ + label_sql("flab", "fend", "flow_uid", "start_us") + """
 , x AS (SELECT c.us, p."Label" AS pl, e.start_us, g."Label" AS fl,
    COALESCE((SELECT arg_max(name, rule_order) FROM rules r WHERE c.us BETWEEN r.start_us AND r.end_us), '') AS pn,
@@ -237,7 +238,7 @@ def _j15(spark, d):
 
 
 @query("j11_complete_flows", MAP + f""", first AS (SELECT m.flow_uid, min(c.us) / 1000000.0::DOUBLE AS first_t FROM pmap m JOIN convs c USING (frame_no) WHERE m.flow_uid IS NOT NULL GROUP BY 1)
-, b AS (SELECT f.flow_uid, COALESCE(first_t, start_us / 1000000.0::DOUBLE) AS began FROM flows f LEFT JOIN first USING (flow_uid) WHERE slot120 <> 3)
+, b AS (SELECT f.flow_uid, COALESCE(first_t, start_us / 1000000.0::DOUBLE) AS began FROM flows f LEFT JOIN first USING (flow_uid))
 SELECT * FROM b WHERE began BETWEEN {fx.BASE_US // 1000000 + 120} AND {fx.BASE_US // 1000000 + 600}""")
 def _j11(spark, d):
     c, f = fx.conversations(spark, d), _flows(spark, d)

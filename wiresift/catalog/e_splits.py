@@ -39,7 +39,7 @@ SEG = OBS + """
 
 
 def windows(spark, d):
-    e = labelled_events(spark, d).where("floor(us / 60000000) % 3 > 0")
+    e = labelled_events(spark, d).withColumn("label", F.when(F.floor(F.col("us") / 60000000) % 3 > 0, F.col("label")).otherwise("Benign"))
     return sp.observed_windows(e, sp.attack_windows(lab.rules(spark)))
 
 
@@ -109,9 +109,9 @@ def _a17(spark, d):
     return sp.band_hours(sp.segment_split(labelled_events(spark, d), windows(spark, d), gap_s=GAP_S), "frame_no").withColumn("hours", F.round("hours", 9))
 
 
-@query("a17_gap_hours", P + ", g AS (SELECT us - lag(us) OVER (ORDER BY frame_no) AS gap FROM e WHERE score > 40) SELECT round(sum(CASE WHEN gap <= 3000000 THEN gap END) / 3.6e9::DOUBLE, 9) AS hours FROM g")
+@query("a17_gap_hours", P + ", g AS (SELECT us - lag(us) OVER (ORDER BY frame_no) AS gap FROM e) SELECT round(sum(CASE WHEN gap <= 3000000 THEN gap END) / 3.6e9::DOUBLE, 9) AS hours FROM g")
 def _a17g(spark, d):
-    return sp.gap_hours(labelled_events(spark, d).where("score > 40"), "frame_no", quiet_s=3.0).withColumn("hours", F.round("hours", 9))
+    return sp.gap_hours(labelled_events(spark, d), "frame_no", quiet_s=3.0).withColumn("hours", F.round("hours", 9))
 
 
 @query("p23_attack_slice", P + """, x AS (SELECT count(*) AS n, min(CASE WHEN label = 'Rare' THEN frame_no END) AS lo, max(CASE WHEN label = 'Rare' THEN frame_no END) AS hi FROM e)

@@ -460,19 +460,22 @@ def _u05(spark, d):
 
 # Linked events: twelve per incident over two neighbouring clients; a third of the incidents are single-peer internal SMB.
 LINKED = "WITH " + fx.PACKETS_CTE + """
-, lk0 AS (SELECT *, frame_no // 12 AS incident, (frame_no // 12) % 7 AS shape FROM packets)
+, lk0 AS (SELECT *, CASE WHEN (frame_no // 12) % 7 = 3 AND frame_no % 12 >= 2 THEN 7 * (1000000 + frame_no) + 3 ELSE frame_no // 12 END AS incident, (frame_no // 12) % 7 AS shape FROM packets)
 , lk AS (SELECT incident, frame_no AS event_id, us AS t_us, CASE shape WHEN 6 THEN 'DoS-Hulk' WHEN 5 THEN 'Bot' ELSE 'Infiltration' END AS family,
    CASE WHEN shape IN (0, 1, 4) THEN '10.0.1.1' ELSE src_ip END AS src, CASE WHEN shape IN (0, 1, 4) THEN '10.0.2.2' WHEN shape = 6 THEN '10.0.0.9' ELSE dst_ip END AS dst,
    CASE WHEN shape = 6 THEN 443 ELSE src_port END AS src_port, CASE WHEN shape IN (0, 1, 4) THEN 445 WHEN shape = 6 THEN 50000 ELSE dst_port END AS dst_port, CASE WHEN shape IN (0, 1, 4, 6) THEN 6 ELSE protocol END AS protocol,
-   shape <> 1 OR k % 4 > 0 AS established_connection, true AS normal_dns_query, CASE WHEN shape = 4 AND k % 8 = 0 THEN 400 ELSE 3 END AS pps, shape FROM lk0 WHERE (shape <> 3 OR frame_no % 12 < 2))
+   shape <> 1 OR k % 4 > 0 AS established_connection, true AS normal_dns_query, CASE WHEN shape = 4 AND k % 8 = 0 THEN 400 ELSE 3 END AS pps, shape FROM lk0)
 """
 
 
 def linked(spark, d):
-    p = fx.packets(spark, d).withColumns({"incident": F.floor(F.col("frame_no") / 12), "shape": (F.floor(F.col("frame_no") / 12) % 7).cast("int")})
+    p = fx.packets(spark, d).withColumn("shape", (F.floor(F.col("frame_no") / 12) % 7).cast("int"))
+    # small incidents: two events of a dozen in one, the others alone
+    alone = (F.col("shape") == 3) & (F.col("frame_no") % 12 >= 2)
+    p = p.withColumn("incident", F.when(alone, 7 * (1_000_000 + F.col("frame_no")) + 3).otherwise(F.floor(F.col("frame_no") / 12)).cast("bigint"))
     one = F.col("shape").isin(0, 1, 4)
     web = F.col("shape") == 6
-    return p.where("shape <> 3 OR frame_no % 12 < 2").select(
+    return p.select(
         "incident", F.col("frame_no").alias("event_id"), F.col("us").alias("t_us"), F.when(web, "DoS-Hulk").when(F.col("shape") == 5, "Bot").otherwise("Infiltration").alias("family"),
         F.when(one, "10.0.1.1").otherwise(F.col("src_ip")).alias("src"), F.when(one, "10.0.2.2").when(web, "10.0.0.9").otherwise(F.col("dst_ip")).alias("dst"),
         F.when(web, 443).otherwise(F.col("src_port")).alias("src_port"), F.when(one, 445).when(web, 50000).otherwise(F.col("dst_port")).alias("dst_port"), F.when(one | web, 6).otherwise(F.col("protocol")).alias("protocol"),
