@@ -122,10 +122,20 @@ class WordEncoder:
         return out
 
 
+_ENCODERS: dict[str, WordEncoder] = {}
+
+
+def word_encoder(path: str) -> WordEncoder:
+    """The encoder of this worker, which goes from task to task with what it knows."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = WordEncoder(path)
+    return _ENCODERS[path]
+
+
 def pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens, ids) of (doc_id, text): ids as little-endian unsigned 32-bit numbers, id `END` last."""
     def cut(batches):
-        encoder = WordEncoder(tokenizer)
+        encoder = word_encoder(tokenizer)
         for batch in batches:
             texts = batch.column(1).cast(pa.large_binary())
             i, n = 0, len(texts)
