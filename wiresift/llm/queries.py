@@ -10,6 +10,34 @@ from wiresift.llm.common import read, stored
 QUERIES, ORACLES = {}, {}
 
 
+#: The words of a text, in DuckDB.
+WS = r"regexp_extract_all({t}, '[^\x20\x09-\x0D]+')"
+NEAR_SQL = "WITH RECURSIVE w AS (SELECT doc_id, " + WS.format(t="translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')") + """ AS ws FROM documents)
+, s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')] ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS sh FROM w)
+, n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1)
+, p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY 1, 2)
+, e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c))
+, both_ways AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e)
+, reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, both_ways.b FROM reach JOIN both_ways ON reach.b = both_ways.a)
+, low AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY 1)
+SELECT d.doc_id, COALESCE(n.n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept FROM documents d JOIN low USING (doc_id) LEFT JOIN n USING (doc_id)"""
+PASSAGES_SQL = "WITH w AS (SELECT doc_id, " + WS.format(t="COALESCE(text, '')") + """ AS ws FROM documents)
+, win AS (SELECT doc_id, unnest(list_transform(range(1, len(ws) - 48), lambda i: {'i': i, 't': array_to_string(ws[i:i + 49], ' ')}), recursive := true) FROM w WHERE len(ws) >= 50)
+, least AS (SELECT t, min(doc_id) AS first FROM win GROUP BY 1)
+, gone AS (SELECT DISTINCT win.doc_id, unnest(range(i, i + 50)) AS j FROM win JOIN least USING (t) WHERE first < win.doc_id)
+, word AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS j FROM w)
+, kept AS (SELECT word.doc_id, count(gone.j) AS n_removed, string_agg(word, ' ' ORDER BY word.j) FILTER (gone.j IS NULL) AS text FROM word LEFT JOIN gone ON gone.doc_id = word.doc_id AND gone.j = word.j GROUP BY 1)
+SELECT w.doc_id, len(ws)::BIGINT AS n_words, COALESCE(n_removed, 0) AS n_removed, sha256(COALESCE(text, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)"""
+BYTES_SQL = """WITH h AS (SELECT doc_id, hex(encode(COALESCE(text, ''))) AS h, strlen(COALESCE(text, '')) AS n FROM documents)
+, win AS (SELECT doc_id, unnest(list_transform(range(0, n - 49), lambda i: {'i': i, 't': substring(h, 2 * i + 1, 100)}), recursive := true) FROM h WHERE n >= 50)
+, least AS (SELECT t, min(doc_id) AS first FROM win GROUP BY 1)
+, gone AS (SELECT DISTINCT win.doc_id, unnest(range(i, i + 50)) AS j FROM win JOIN least USING (t) WHERE first < win.doc_id)
+, runs AS (SELECT doc_id, count(*) AS n_removed, count(CASE WHEN before IS NULL OR before < j - 1 THEN 1 END) AS n_spans FROM (SELECT doc_id, j, lag(j) OVER (PARTITION BY doc_id ORDER BY j) AS before FROM gone) GROUP BY 1)
+, byte AS (SELECT doc_id, unnest(list_transform(range(0, n), lambda i: {'j': i, 'x': substring(h, 2 * i + 1, 2)}), recursive := true) FROM h)
+, kept AS (SELECT byte.doc_id, string_agg(x, '' ORDER BY byte.j) AS x FROM byte ANTI JOIN gone ON gone.doc_id = byte.doc_id AND gone.j = byte.j GROUP BY 1)
+SELECT h.doc_id, n::BIGINT AS n_bytes, COALESCE(n_removed, 0) AS n_removed, COALESCE(n_spans, 0) AS n_spans, sha256(unhex(COALESCE(x, ''))) AS kept_sha256 FROM h LEFT JOIN runs USING (doc_id) LEFT JOIN kept USING (doc_id)"""
+
+
 def word_bpe() -> str:
     import public_tokenizers
     return public_tokenizers.path("word_bpe_49k.json")
@@ -29,12 +57,12 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-@query("op7_minhash_near_dedup")
+@query("op7_minhash_near_dedup", NEAR_SQL)
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(read(spark, sf_dir, "documents"))
 
 
-@query("op6_debruijn_substring_dedup")
+@query("op6_debruijn_substring_dedup", PASSAGES_SQL)
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = passages.remove_repeats(read(spark, sf_dir, "documents"))
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -72,7 +100,7 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "timestamp", "range_id", "range_pos")
 
 
-@query("op4_suffix_array_dedup")
+@query("op4_suffix_array_dedup", BYTES_SQL)
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = suffixes.remove_repeats(read(spark, sf_dir, "documents"))
     return cut.select("doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
