@@ -261,8 +261,8 @@ def check_index(rows, pages):
         want.append((i, len(raw), base64.b32encode(hashlib.sha1(raw).digest()).decode(), "revisit" if again else "response", top[h or ""] if again else None))
     key = lambda x: str(x)
     assert sorted((tuple(r[c] for c in ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")) for r in rows), key=key) == sorted(want, key=key)
-    order = [(r.url_key, r.timestamp, -1 if r.page_id is None else r.page_id) for r in sorted(rows, key=lambda r: (r.range_id, r.range_pos))]
-    assert order == sorted(order)
+    order = [(r.url_key, r.timestamp, -1 if r.page_id is None else r.page_id) for r in sorted(rows, key=lambda r: r.capture_rank)]
+    assert order == sorted(order) and sorted(r.capture_rank for r in rows) == list(range(len(rows)))
 
 
 def test_op5_odd(spark, tmp_path):

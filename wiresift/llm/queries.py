@@ -93,11 +93,22 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vptree.nearest(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
-#: SHA-1 in base 32 has no SQL twin; tests compare with a plain Python version.
-@query("op5_warc_capture_index")
+#: Host labels from the top, SHA-1 in base 32 from its hexadecimal form, and the order of captures.
+WARC_SQL = r"""WITH u AS (SELECT page_id, url, COALESCE(html, '') AS html, sha1(COALESCE(html, '')) AS h, regexp_extract(COALESCE(url, ''), '^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?(?://)?([^/?#]*)([^#]*)', 1) AS host0, lower(regexp_extract(COALESCE(url, ''), '^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?(?://)?([^/?#]*)([^#]*)', 2)) AS path FROM pages)
+, v AS (SELECT *, lower(regexp_replace(host0, '^.*@', '')) AS host FROM u)
+, l AS (SELECT *, list_filter(string_split(split_part(host, ':', 1), '.'), lambda x: x <> '') AS labels, CASE WHEN contains(host, ':') THEN substr(host, strpos(host, ':') + 1) ELSE '' END AS port FROM v)
+, k AS (SELECT *, CASE WHEN COALESCE(url, '') = '' THEN ')' ELSE array_to_string(list_reverse(CASE WHEN len(labels) > 2 AND regexp_full_match(labels[1], 'www\d*') THEN labels[2:] ELSE labels END), ',')
+   || CASE WHEN port IN ('', '80', '443') THEN '' ELSE ':' || port END || ')' || CASE WHEN path = '' THEN '/' ELSE path END END AS url_key, strftime(make_timestamp((1700000000 + page_id % 1000000000) * 1000000), '%Y%m%d%H%M%S') AS timestamp FROM l)
+, b AS (SELECT *, array_to_string(list_transform(range(1, 41), lambda i: substr('0000000100100011010001010110011110001001101010111100110111101111', 4 * strpos('0123456789abcdef', substr(h, i, 1)) - 3, 4)), '') AS bits FROM k)
+, d AS (SELECT *, array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST(list_sum(list_transform(range(0, 5), lambda j: CAST(substr(bits, 5 * i + j + 1, 1) AS INTEGER) * (16 >> j::INTEGER))) AS INTEGER), 1)), '') AS payload_digest FROM b)
+SELECT page_id, strlen(html)::BIGINT AS payload_bytes, payload_digest, CASE WHEN page_id = max(page_id) OVER (PARTITION BY html) THEN 'response' ELSE 'revisit' END AS record_type,
+  nullif(max(page_id) OVER (PARTITION BY html), page_id) AS refers_to, url_key, timestamp, row_number() OVER (ORDER BY url_key, timestamp, page_id) - 1 AS capture_rank FROM d"""
+
+
+@query("op5_warc_capture_index", WARC_SQL)
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = warc.archive_and_index(read(spark, sf_dir, "pages"))
-    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "timestamp", "range_id", "range_pos")
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "timestamp", "capture_rank")
 
 
 @query("op4_suffix_array_dedup", BYTES_SQL)

@@ -12,7 +12,7 @@ import re
 from urllib.parse import quote, unquote
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wiresift.llm.common import shared_path, stored
@@ -155,14 +155,16 @@ def _merge(batches):
 
 
 def capture_index(entries: DataFrame) -> DataFrame:
-    """`entries` with range_id and range_pos: ordered by both, captures stand by (url_key, timestamp, page_id), each URL's history together.
+    """`entries` with capture_rank (from 0): captures by (url_key, timestamp, page_id), each URL's history together.
 
     Ranges are cut at sampled keys that include the timestamp and the id, so a URL with any share of all captures spreads over ranges.
     """
     runs = entries.withColumn("place", F.monotonically_increasing_id())
     cut = runs.repartitionByRange("url_key", "timestamp", "page_id", "archive", "place")
-    merged = cut.mapInArrow(_merge, f"{ENTRY}, range_pos long")
-    return merged.withColumn("range_id", F.spark_partition_id())
+    merged = stored(cut.mapInArrow(_merge, f"{ENTRY}, range_pos long").withColumn("range_id", F.spark_partition_id()), "index")
+    before = Window.orderBy("range_id").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    sizes = merged.groupBy("range_id").agg(F.count(F.lit(1)).alias("n")).select("range_id", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("begin"))
+    return merged.join(F.broadcast(sizes), "range_id").withColumn("capture_rank", F.col("begin") + F.col("range_pos")).drop("range_id", "range_pos", "begin")
 
 
 def archive_and_index(pages: DataFrame, path: str | None = None) -> DataFrame:
