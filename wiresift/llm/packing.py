@@ -17,18 +17,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from wiresift.llm import scan
 from wiresift.llm.common import stored, with_rank
 
 LENGTH, UNIT, END, GAP, TURNS = 4096, 8, 2, 1e-3, 4000
 #: Words, and parts of words, whose ids a worker remembers; it forgets them all when it has so many.
-KNOWN, PARTS = 1_000_000, 600_000
+KNOWN, PARTS = 1_000_000, 250_000
 #: How the tokenizer splits a normalised word (fixed value of its file), and words whose normal form is left to the tokenizer itself.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 UNSURE = r"[^\u0021-\u007e\u00a1-\u012f\u0131-\u024f]|<\|"
 
 
 class WordEncoder:
-    """Token ids of texts by the words between ASCII white space, each encoded once.
+    """Token ids of texts by the words between ASCII white space, each encoded once and then found by its 64-bit fingerprint.
 
     Right for tokenizers that drop white space and never join tokens across it. Where the tokenizer lower-cases and splits words by `SPLIT`, plain
     Latin words are split here first, so that a part is encoded once for all words that hold it; other words go to the tokenizer whole.
@@ -60,7 +61,8 @@ class WordEncoder:
         self.forget()
 
     def forget(self):
-        self.known, self.ids, self.bounds = {}, np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        """Known words: fingerprints in order, and where the ids of each stand in `ids`."""
+        self.known, self.start, self.length, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -79,21 +81,22 @@ class WordEncoder:
             out += [raw[i:j] for i, j in zip(bounds, bounds[1:])]
         return out
 
-    def _add(self, words: list[bytes], lengths: np.ndarray, ids: bytes):
-        self.known.update(zip(words, range(len(self.known), len(self.known) + len(words))))
-        self.bounds = np.r_[self.bounds, self.bounds[-1] + np.cumsum(lengths)]
-        self.ids = np.r_[self.ids, np.frombuffer(ids, np.uint32)]
-
-    def learn(self, words: list[bytes]):
+    def _ids_of(self, words: list[bytes]) -> tuple[np.ndarray, bytes]:
+        """(number of ids of each word, all ids in a row)"""
         if self.split is None:
-            whole, plain = words, []
+            odd, plain = np.ones(len(words), bool), []
         else:
             text = b"\n".join(words).decode()
-            odd = {w for w in words if self.unsure(w.decode())} if self.unsure(text.replace("\n", "!")) else ()
-            whole, plain = list(odd), [w for w in words if w not in odd] if odd else words
-        for k in range(0, len(plain), 50_000):
-            part = plain[k:k + 50_000]
-            found = self.split(b"\n".join(part).decode().lower() + "\n")
+            odd = np.zeros(len(words), bool)
+            if self.unsure(text.replace("\n", "!")):
+                odd = np.fromiter((self.unsure(w.decode()) is not None for w in words), bool, len(words))
+                plain = [w for w, x in zip(words, odd) if not x]
+            else:
+                plain = words
+        lengths, out = np.zeros(len(words), np.int64), [b""] * len(words)
+        sure = np.flatnonzero(~odd)
+        if len(plain):
+            found = self.split(b"\n".join(plain).decode().lower() + "\n")
             if len(self.parts) > PARTS:
                 self.parts = {"\n": b""}
             new = list(set(found).difference(self.parts))
@@ -101,25 +104,42 @@ class WordEncoder:
             ids = list(map(self.parts.__getitem__, found))
             size = np.fromiter(map(len, ids), np.int64, len(ids))
             total = np.cumsum(size)[size == 0] // 4  # only the line feed between words has no ids
-            self._add(part, np.diff(np.r_[0, total]), b"".join(ids))
-        if whole:
-            ids = self._encode([w.decode() for w in whole])
-            self._add(whole, np.array([len(x) // 4 for x in ids]), b"".join(ids))
+            lengths[sure] = np.diff(np.r_[0, total])
+            raw = b"".join(ids)
+            if not odd.any():
+                return lengths, raw
+            bounds = np.r_[0, 4 * total].tolist()
+            for k, i, j in zip(sure.tolist(), bounds, bounds[1:]):
+                out[k] = raw[i:j]
+        for k, ids in zip(np.flatnonzero(odd).tolist(), self._encode([w.decode() for w, x in zip(words, odd) if x])):
+            out[k], lengths[k] = ids, len(ids) // 4
+        return lengths, b"".join(out)
 
-    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
-        split = [t.split() for t in texts]
-        words = set().union(*split)
-        new = words.difference(self.known)
-        if new and len(self.known) + len(new) > KNOWN:
-            self.forget()
-            new = words
-        self.learn(list(new))
-        out = []
-        for words in split:
-            at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
-            start, n = self.bounds[at], self.bounds[at + 1] - self.bounds[at]
-            out.append(self.ids[np.repeat(start - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))])
-        return out
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts in a row, bounds of the texts in them) of joined texts."""
+        words = scan.Words(data, offsets)
+        prints, first, which = np.unique(words.prints(), return_index=True, return_inverse=True)
+        at = np.searchsorted(self.known, prints)
+        fresh = np.ones(len(prints), bool)
+        inside = at < len(self.known)
+        fresh[inside] = self.known[at[inside]] != prints[inside]
+        if fresh.any():
+            if len(self.known) + fresh.sum() > KNOWN:
+                self.forget()
+                fresh[:] = True
+            raw, new = data.tobytes(), first[fresh]
+            lengths, ids = self._ids_of([raw[i:j] for i, j in zip(words.start[new].tolist(), words.end[new].tolist())])
+            place = np.searchsorted(self.known, prints[fresh])
+            self.start = np.insert(self.start, place, len(self.ids) + np.cumsum(lengths) - lengths)
+            self.length = np.insert(self.length, place, lengths)
+            self.known = np.insert(self.known, place, prints[fresh])
+            self.ids = np.r_[self.ids, np.frombuffer(ids, np.uint32)]
+            at = np.searchsorted(self.known, prints)
+        at = at[which]
+        start, n = self.start[at], self.length[at]
+        end = np.cumsum(n)
+        ids = self.ids[np.repeat(start - (end - n), n) + np.arange(int(n.sum()))]
+        return ids, np.r_[0, end][words.at]
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -137,21 +157,14 @@ def pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH) -> DataFrame:
     def cut(batches):
         encoder = word_encoder(tokenizer)
         for batch in batches:
-            texts = batch.column(1).cast(pa.large_binary())
-            i, n = 0, len(texts)
-            while i < n:
-                # learn the new words of some texts together
-                group, size = [], 0
-                while i < n and size < 4 << 20:
-                    group.append(texts[i].as_py() or b"")
-                    size += len(group[-1])
-                    i += 1
+            for i, j, data, offsets in scan.text_batches(batch.column(1), 1 << 20):
+                tokens, bounds = encoder.encode(data, offsets)
                 out = {k: [] for k in ("row", "start", "length", "crc", "total", "ids")}
-                for k, ids in enumerate(encoder.encode(group)):
-                    ids = np.r_[ids, np.uint32(END)].astype("<u4")
+                for k in range(j - i):
+                    ids = np.r_[tokens[bounds[k]:bounds[k + 1]], np.uint32(END)].astype("<u4")
                     for s in range(0, len(ids), length):
                         raw = ids[s:s + length].tobytes()
-                        for name, x in zip(out, (i - len(group) + k, s, len(raw) // 4, zlib.crc32(raw), len(ids), raw)):
+                        for name, x in zip(out, (i + k, s, len(raw) // 4, zlib.crc32(raw), len(ids), raw)):
                             out[name].append(x)
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).take(pa.array(out["row"])), *(pa.array(out[k], pa.int64()) for k in ("start", "length", "crc", "total")), pa.array(out["ids"], pa.binary()),
