@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import time
 import uuid
 
@@ -20,6 +21,20 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Bytes of an Arrow batch between Spark and Python at most; Spark's own default, 64 MB, is held several times over by each worker.
+BATCH = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Keep the session's Arrow batches at `BATCH` bytes or less (a single longer row is a batch of its own)."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not spark.conf.isModifiable(name):
+        return
+    now = re.fullmatch(r"(\d+)b?", spark.conf.get(name))
+    if now is None or int(now[1]) > BATCH:
+        spark.conf.set(name, f"{BATCH}b")
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """`df` written as a table in the shared folder and read back: lineage ends here, and lost executors cost nothing of it."""
     path = shared_path(df.sparkSession, name)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wiresift.llm import scan
-from wiresift.llm.common import components, release, stored
+from wiresift.llm.common import components, release, small_batches, stored
 
 WORDS, SKETCH, SIMILAR, MISS = 5, 64, 75, 1e-10
 SMALL, PACK = 6, 64
@@ -133,6 +133,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     table gives an empty result; the order of rows and copies of rows change nothing.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     made = stored(sketches(slim).withColumn("row", F.monotonically_increasing_id()), "sketches")
     # one row of each class, the first with its smallest doc_id, stands for it
@@ -170,7 +171,8 @@ def _across(batches):
     """Links between two packs of full sets: for each class of the first, one in each other component of the second."""
     for batch in batches:
         a, b = [], []
-        for left, right in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        for row in range(batch.num_rows):
+            left, right = batch.column(0)[row].as_py(), batch.column(1)[row].as_py()
             sets = [np.frombuffer(x["whole"], np.uint8).reshape(-1, 6) for x in (*left, *right)]
             sizes = np.array([len(x) for x in sets])
             raw = np.zeros((int(sizes.sum()), 8), np.uint8)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wiresift.llm import scan
-from wiresift.llm.common import stored, with_rank
+from wiresift.llm.common import small_batches, stored, with_rank
 
 LENGTH, UNIT, END, GAP, TURNS = 4096, 8, 2, 1e-3, 4000
 #: Words, and parts of words, whose ids a worker remembers; it forgets them all when it has so many.
@@ -270,6 +270,7 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, unit: int = UNIT
     empty text is its end id alone. Sequences are padded to `length`, except where their size is a power of two. An empty table gives no row.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     cut = stored(pieces(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), tokenizer, length), "pieces")
     cut = cut.withColumn("size", F.ceil(F.col("length") / unit))
     counted = sorted((r.size, r["count"]) for r in cut.groupBy("size").count().collect())  # at most length / unit rows

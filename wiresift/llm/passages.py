@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wiresift.llm import scan
-from wiresift.llm.common import release, stored
+from wiresift.llm.common import release, small_batches, stored
 
 WINDOW, KMER = 50, 20
 #: A coordinate is a tag of the text (so that rows sharing a doc_id stay apart) above 40 bits of word position.
@@ -159,6 +159,7 @@ def remove_repeats(docs: DataFrame, carry: list[str] | None = None, as_is: bool
     doc_id never remove from each other; rows without a doc_id neither lose words nor cost others any. Empty tables give empty results.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     names = [f"carried_{i}" for i in range(len(carry or []))]
     more = [F.col(f"`{c}`").alias(n) for c, n in zip(carry or [], names)]
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").bitwiseAND(F.lit((1 << 23) - 1)).alias("tag"), *more)

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wiresift.llm import scan
+from wiresift.llm.common import small_batches
 
 #: At most so many labelled rows fit the trees.
 FIT_ROWS = 20_000
@@ -160,6 +161,7 @@ def _featured(batches):
 
 def fit_on(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Trees:
     """Trees from at most `rows` labelled documents: those with the least hash of their doc_id. Rows without a doc_id or label take no part."""
+    small_batches(docs.sparkSession)
     sample = labels.where("doc_id is not null and quality is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).dropDuplicates(["doc_id"])
     sample = sample.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     got = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select(F.col("text").cast("string").alias("text"), "quality")

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wiresift.llm.common import shared_path, stored
+from wiresift.llm.common import shared_path, small_batches, stored
 
 #: Tokens of a block; documents in a file at most; the end-of-document id (a control piece that no text is encoded to).
 BLOCK, PER_FILE, END = 1 << 16, 5000, 2
@@ -71,6 +71,7 @@ def scan_flat(spark, path: str, block: int = BLOCK) -> DataFrame:
 def token_counts(docs: DataFrame, model: str, path: str | None = None) -> DataFrame:
     """Write `docs` as flat files (in a new shared folder if no path is given) and return their documents as `scan_flat` does."""
     spark = docs.sparkSession
+    small_batches(spark)
     path = path or shared_path(spark, "tokens")
     write_flat(docs, model, path)
     return scan_flat(spark, path)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wiresift.llm import scan
-from wiresift.llm.common import release, stored
+from wiresift.llm.common import release, small_batches, stored
 
 WINDOW, GRAM, HOT = 50, 20, 20_000
 SPAN = WINDOW - GRAM + 1
@@ -352,6 +352,7 @@ def remove_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
     remove from each other; rows without a doc_id neither lose bytes nor cost others any. An empty table gives an empty result.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
     tag = F.xxhash64("text").bitwiseAND(F.lit((1 << 23) - 1))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), tag.alias("tag"))

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wiresift.llm.common import shared_path, stored
+from wiresift.llm.common import shared_path, small_batches, stored
 
 #: Records in one archive at most, so that a task can read one whole.
 PER_ARCHIVE = 4000
@@ -173,6 +173,7 @@ def archive_and_index(pages: DataFrame, path: str | None = None) -> DataFrame:
     A revisit gets the length of the payload that it refers to. One row for each row of `pages`; an empty table gives none.
     """
     spark = pages.sparkSession
+    small_batches(spark)
     path = path or shared_path(spark, "warc")
     write_archives(pages, path)
     entries = stored(read_archives(spark, path), "captures")
