@@ -510,3 +510,26 @@ def test_op10_long_words_agree(spark):
     short, long = lattice.encode_words(words, vocabulary)
     plain = {x.word: list(x.ids) for x in words.mapInArrow(lattice._plain_viterbi(vocabulary), "word string, occurrences long, ids array<int>").collect()}
     assert {x.word: list(x.ids) for x in short.union(long).collect()} == plain and long.count() == 2
+
+
+def test_op10_registered_query_round_trips_documents(spark):
+    """The registered query encodes whole documents: every doc_id with its own ids, which the library decodes to the text."""
+    import sentencepiece
+    m = sentencepiece.SentencePieceProcessor(model_file=queries.piece_bpe())
+    rows = queries.QUERIES["op10_piece_lattice"](spark, SMALL).collect()
+    assert Counter((r.doc_id, r.decoded) for r in rows) == Counter((i, t or "") for i, t in documents(spark))
+    for r in rows:
+        assert r.same and m.decode(list(r.ids)) == r.decoded
+
+
+def test_op10_round_trip_of_odd_rows(spark, odd, empty):
+    """Ids of whole texts, copies and rows without a doc_id included, are those of their words in a row; a mark does not come back."""
+    import pyarrow as pa
+    vocabulary = lattice.Vocabulary(queries.piece_bpe())
+
+    def plain(t):
+        batch = pa.RecordBatch.from_arrays([pa.array(["▁" + t.replace(" ", "▁")]), pa.array([1])], names=["word", "occurrences"])
+        return tuple(next(lattice._plain_viterbi(vocabulary)([batch])).column(2)[0].as_py()) if t else ()
+    rows = lattice.round_trip(odd, vocabulary).collect()
+    assert Counter((r.doc_id, tuple(r.ids), r.decoded, r.same) for r in rows) == Counter((i, plain(t or ""), (t or "").replace("▁", " "), "▁" not in (t or "")) for i, t, *_ in odd_rows())
+    assert lattice.round_trip(empty, vocabulary).count() == 0

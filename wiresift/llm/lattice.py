@@ -3,22 +3,34 @@
 Words are made distinct: runs of one kind of character (letters, digits, others) with the word marks before them, cut only where no piece of the
 vocabulary reaches across, so that a text's best path is those of its words in a row. Substrings of up to the longest piece's length are exploded and joined with the piece table; the matches are the edges of a word's
 lattice, and a fold over them, in order of their ends, keeps the best path to each position (Viterbi): highest sum of scores, of equal ones the
-path whose last piece starts first. Characters without a piece become byte pieces at a penalty below every score.
+path whose last piece starts first. Characters without a piece become byte pieces at a penalty below every score. Texts are put together from the
+dictionary of words a block of documents at a time, and decoded from their whole id sequences.
 """
 from __future__ import annotations
 
+import ctypes
 import unicodedata
+from array import array
+from collections import defaultdict
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
-from wiresift.llm.common import stored
+from wiresift.llm import scan
+from wiresift.llm.common import release, small_batches, stored
 
 MARK = "▁"
 #: Longer words have too many edges for one row; they take the same dynamic program in a Python task, a word at a time.
 LONG = 200
 PENALTY = 10.0
+#: Bytes of text in a block of documents.
+BLOCK = 4 << 20
+#: Ids that are decoded at once.
+IDS = 1 << 17
 
 
 class Vocabulary:
@@ -124,27 +136,148 @@ def distinct_words(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     return docs.select(F.explode(words_of(F.col("text").cast("string"), vocabulary)).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("occurrences"))
 
 
+def _decoder(vocabulary: Vocabulary, at: int):
+    def run(batches):
+        spelled = {i: p.replace(MARK, " ").encode() for p, i, _ in vocabulary.rows} | {vocabulary.byte0 + b: bytes([b]) for b in range(256)}
+        size = max(spelled) + 2  # the last entry is what an unknown id gives: nothing
+        raw = [spelled.get(i, b"") for i in range(size)]
+        length = np.array([len(x) for x in raw], np.int64)
+        start, data = np.cumsum(length) - length, np.frombuffer(b"".join(raw), np.uint8)
+        for batch in batches:
+            ids = batch.column(at)
+            bounds = np.r_[0, np.cumsum(np.nan_to_num(pc.list_value_length(ids).to_numpy(zero_copy_only=False)).astype(np.int64))]
+            flat = pc.fill_null(ids.flatten(), -1).to_numpy(zero_copy_only=False)
+            flat = np.where((flat >= 0) & (flat < size), flat, size - 1)
+            texts, i = [], 0
+            while i < batch.num_rows:  # rows of about `IDS` ids at a time
+                j = max(i + 1, int(np.searchsorted(bounds, bounds[i] + IDS, "right")) - 1)
+                out, end = gathered(data, start, length, flat[bounds[i]:bounds[j]])
+                out, end = out.tobytes(), end[bounds[i:j + 1] - bounds[i]].tolist()
+                texts += [out[a:b].decode("utf-8", "replace") for a, b in zip(end, end[1:])]
+                i = j
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x[1:] if x[:1] == " " else x for x in texts], pa.string())], names=[*batch.schema.names, "text"])
+    return run
+
+
 def decode(encoded: DataFrame, vocabulary: Vocabulary, keys: list[str]) -> DataFrame:
-    """`keys` and text of rows (keys, ids): pieces are looked up by id and joined in order; byte pieces give their byte, marks are spaces.
+    """`keys` and text of rows (keys, ids): a worker looks its rows' pieces up by id and joins them; byte pieces give their byte, marks are spaces.
+
+    Rows stay where they are; `keys` may hold ids. The space before the first word is dropped. An unknown id gives nothing, no ids an empty text.
+    """
+    rows = encoded.select(*keys, *(["ids"] if "ids" not in keys else []))
+    schema = StructType([*(StructField(f.name, f.dataType) for f in rows.schema), StructField("text", StringType())])
+    return rows.mapInArrow(_decoder(vocabulary, rows.columns.index("ids")), schema).select(*keys, "text")
+
+
+def _split(pattern: str):
+    """Blocks of texts: which of the block's distinct words stand in each text, one after another.
 
-    `keys` must tell the rows apart. The space before the first word is dropped. An unknown id gives nothing, no ids an empty text.
+    A text without marks and doubled spaces is cut at its spaces first: each begins a word, so what stands between two has the same words everywhere.
     """
-    spark = encoded.sparkSession
-    table = spark.createDataFrame([(i, p.encode()) for p, i, _ in vocabulary.rows] + [(vocabulary.byte0 + b, bytes([b])) for b in range(256)], "id int, piece binary")
-    spelled = encoded.select(*keys, F.posexplode_outer("ids").alias("at", "id")).join(F.broadcast(table), "id", "left")
-    whole = spelled.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("at", F.hex("piece").alias("h")))).alias("parts"))
-    text = F.decode(F.unhex(F.array_join(F.transform("parts", lambda x: F.coalesce(x["h"], F.lit(""))), "")), "UTF-8")
-    return whole.select(*keys, F.regexp_replace(F.translate(text, MARK, " "), "^ ", "").alias("text"))
+    def run(batches):
+        import regex
+        from pyspark import TaskContext
+        find, block = regex.compile(pattern).findall, TaskContext.get().partitionId() << 32
+        one = lambda x, kind: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x if isinstance(x, pa.Array) else pa.array(x, kind))
+        for whole in batches:
+            for i, j, _, _ in scan.text_batches(whole.column(2), BLOCK):
+                batch = whole.slice(i, j - i)
+                parts = defaultdict()
+                parts.default_factory = parts.__len__
+                seen, bounds = array("i"), [0]
+                for text in batch.column(2):
+                    text = text.as_py()
+                    if text:
+                        plain = MARK not in text and "  " not in text and text[0] != " " and text[-1] != " "
+                        seen.extend(map(parts.__getitem__, text.split(" ") if plain else (MARK + x for x in find(MARK + text.replace(" ", MARK)))))
+                    bounds.append(len(seen))
+                # a part that begins with a mark is a word already; the others are split in one text, in which only marks begin a part
+                words = defaultdict()
+                words.default_factory = words.__len__
+                whole_word = np.fromiter((x[0] == MARK for x in parts), bool, len(parts))
+                found = find(MARK + MARK.join(x for x in parts if x[0] != MARK)) if not whole_word.all() else []
+                first = np.flatnonzero(np.fromiter((w[0] == MARK for w in found), bool, len(found)))
+                flat = np.fromiter(map(words.__getitem__, [*found, *(x[1:] for x in parts if x[0] == MARK)]), np.int32)
+                start, n = np.zeros(len(parts), np.int64), np.ones(len(parts), np.int64)
+                start[~whole_word], n[~whole_word] = first, np.diff(np.r_[first, len(found)])
+                start[whole_word] = np.arange(len(found), len(flat))
+                places, end = gathered(flat, start, n, np.frombuffer(seen, np.int32))
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([block], pa.int64()), one(batch.column(0), None), one(batch.column(1), None), one(np.diff(end[bounds]), pa.int64()), pa.array([places.tobytes()], pa.binary()),
+                    one(list(words), pa.string()), one(np.bincount(places, minlength=len(words)), pa.int64())], names=["block", "doc_id", "text_hash", "n_words", "places", "words", "counts"])
+                block += 1
+            del whole, batch, parts, words, whole_word, found, first, flat, start, n, seen, places, end
+        trimmed()
+    return run
+
+
+def gathered(values: np.ndarray, start: np.ndarray, length: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the stretches of `values` that `which` names, in a row; where each ends, from 0)"""
+    n = length[which]
+    end = np.r_[0, np.cumsum(n)]
+    return values[np.repeat(start[which] - end[:-1], n) + np.arange(end[-1])], end
+
+
+def trimmed() -> None:
+    """Give freed memory back, so that an idle worker does not hold it while the JVM sorts."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def _placed(batches):
+    """Ids of every text of a block, from those of its distinct words."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            doc_id, text_hash, n_words = (batch.column(c)[k].values for c in range(3))
+            places = np.frombuffer(batch.column(3)[k].as_buffer(), np.int32)
+            ids, start, length = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+            if batch.column(4)[k].is_valid:
+                words = batch.column(4)[k].values
+                at, lists = words.field(0).to_numpy(), words.field(1)
+                own = pc.list_value_length(lists).to_numpy().astype(np.int64)
+                ids = lists.flatten().to_numpy()
+                length, start = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+                length[at], start[at] = own, np.cumsum(own) - own
+            flat, end = gathered(ids, start, length, places)
+            bounds = end[np.r_[0, np.cumsum(n_words.to_numpy())]]
+            yield pa.RecordBatch.from_arrays([doc_id, text_hash, pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(flat, pa.int32()))], names=["doc_id", "text_hash", "ids"])
+    trimmed()
+
+
+def _joined(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """A row a block of texts, as `_placed` takes it: its rows, the places of words in them, and the ids of its distinct words.
+
+    A block keeps its words as numbers of its distinct words, and only these, one row a block and word, meet the dictionary; occurrences are never
+    shuffled one by one. text_hash is Spark's 64-bit hash of a text, by which a round trip is checked.
+    """
+    spark = docs.sparkSession
+    small_batches(spark)
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    blocks = stored(rows.mapInArrow(_split(vocabulary.pattern), "block long, doc_id array<long>, text_hash array<long>, n_words array<long>, places binary, words array<string>, counts array<long>"), "blocks")
+    counted = blocks.select(F.explode(F.arrays_zip("words", "counts")).alias("x")).groupBy(F.col("x.words").alias("word")).agg(F.sum("x.counts").alias("occurrences"))
+    short, long = encode_words(stored(counted, "words"), vocabulary)
+    known = stored(short.union(long), "dictionary").select("word", "ids")
+    release(spark)
+    met = blocks.select("block", F.posexplode("words").alias("at", "word")).join(known, "word")
+    found = met.groupBy("block").agg(F.collect_list(F.struct("at", "ids")).alias("found"))
+    return blocks.drop("words", "counts").join(found, "block", "left").select("doc_id", "text_hash", "n_words", "places", "found")
 
 
 def encode(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """(doc_id, ids) for every row of `docs` (doc_id, text; other columns are not read); a null or empty text has no ids.
+    """(doc_id, ids) for every row of `docs` (doc_id, text; other columns are not read); a null or empty text has no ids; copies of rows give equal rows."""
+    return _joined(docs, vocabulary).mapInArrow(_placed, "doc_id long, text_hash long, ids array<int>").select("doc_id", "ids")
+
+
+def round_trip(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """(doc_id, ids, decoded, same) for every row of `docs`: the ids of its whole text, the text that they decode to, and whether that is the row's own.
 
-    The dictionary of distinct words is joined to all occurrences and put together again for each row; copies of rows give equal rows.
+    A null text is an empty one. `same` compares 64-bit hashes. A mark in a text is the vocabulary's space, so such a text comes back with spaces instead and is not the same.
     """
-    rows = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("row", F.monotonically_increasing_id()), "texts")
-    short, long = encode_words(stored(distinct_words(rows, vocabulary), "words"), vocabulary)
-    known = stored(short.union(long), "dictionary")
-    placed = rows.select("row", F.posexplode(words_of(F.col("text"), vocabulary)).alias("at", "word")).join(known.select("word", "ids"), "word")
-    joined = placed.groupBy("row").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("at", "ids"))), lambda x: x["ids"])).alias("ids"))
-    return rows.select("row", "doc_id").join(joined, "row", "left").select("doc_id", F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))
+    def both(batches):  # one Python worker a task encodes and decodes
+        yield from _decoder(vocabulary, 2)(_placed(batches))
+    back = _joined(docs, vocabulary).mapInArrow(both, "doc_id long, text_hash long, ids array<int>, text string")
+    return back.select("doc_id", "ids", F.col("text").alias("decoded"), (F.xxhash64("text") == F.col("text_hash")).alias("same"))

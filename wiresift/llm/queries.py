@@ -123,6 +123,12 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("op10_piece_lattice")
+def op10_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the ids of its whole text, the text that they decode to, and whether it is the document's own."""
+    return lattice.round_trip(read(spark, sf_dir, "documents"), lattice.Vocabulary(piece_bpe()))
+
+
+@query("op10_word_dictionary")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every distinct word of all documents with its occurrences and ids, and the word that they decode to."""
     vocabulary = lattice.Vocabulary(piece_bpe())
