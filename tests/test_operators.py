@@ -450,6 +450,33 @@ def test_nearest_hosts_against_brute_force(spark):
         assert [got.get(forecast, {})[k] for k in sorted(got.get(forecast, {}))] == want
 
 
+def test_every_host_is_ranked_by_distance(spark):
+    """Without a cap no host seen is left out: the 128th and later ones keep their place, those without an address come last."""
+    from wiresift.operators import forecast as fo
+    r = random.Random(13)
+    hosts = [(h, r.randrange(0, 3000) if h < 4 or h > 8 and r.random() < 0.9 else None, r.randrange(0, 400)) for h in range(700)]
+    events = [(p, r.randrange(12), r.choice([*range(12), 5, 6, 7, 8])) for p in range(400)] + [(400 + k, 99, 5) for k in range(20)]
+    asked = [(p // 20, p, events[p][1]) for p in range(19, 420, 20)]
+    e = spark.createDataFrame(events, "position long, sender long, receiver long")
+    h = spark.createDataFrame(hosts, "host long, ip_number long, first_position long")
+    got = {}
+    for x in fo.proximity_ranking(e, spark.createDataFrame(asked, "forecast long, position long, sender long"), h, None).collect():
+        got.setdefault(x.forecast, {})[x.rank] = (x.distance, x.host)
+    ip = {h: i for h, i, _ in hosts}
+    for forecast, at, attacker in asked:
+        near = [ip[b] for b in [b for p, a, b in events if a == attacker and p <= at][-3:] if ip[b] is not None]
+        far = [(None if i is None or not near else min(abs(i - t) for t in near), h) for h, i, first in hosts if first <= at and h != attacker]
+        assert [got[forecast][k] for k in range(len(got[forecast]))] == sorted(far, key=lambda x: (x[0] is None, x[0] or 0, x[1]))
+    assert max(map(len, got.values())) > 600
+
+
+def test_whole_list_queries_have_no_cut():
+    from wiresift.catalog import load
+    sql = load().ORACLES
+    for name in ("m14_rrf_fuse", "m14_prior_fuse", "m15_hit_report", "m16_conformal_list_size"):
+        assert "rank < 128" in sql[name] and "rank < 128" not in sql[f"{name}_whole"]
+
+
 def test_contacts_answer_any_number_of_forecasts(spark):
     from wiresift.operators import forecast as fo
     n = 21_000

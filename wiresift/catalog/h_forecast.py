@@ -6,13 +6,15 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wiresift.catalog.registry import query
+from wiresift.catalog.registry import ORACLES, query
 from wiresift.operators import forecast as fo
 from wiresift.operators import graph as gr
 from wiresift.session import pinned
 from wiresift.sources import fixtures as fx
 
 EVERY, WINDOW, HISTORY, HORIZON = 250, 300, 1000, 20.0
+#: Nearest hosts of the retrieval pool (m13, u06), and of the older queries of m14 to m16, whose SQL has the same cut; their `_whole` twins rank all.
+POOL, POOL_SQL = 128, "FROM px0) WHERE rank < 128)"
 P = "WITH " + fx.PACKETS_CTE + f"""
 , e AS (SELECT frame_no AS position, us AS t_us, user_id % 400 AS sender, k::BIGINT AS receiver, CASE WHEN family = 'Flood' THEN 1 WHEN family = 'Bot' THEN 2 ELSE 0 END AS role, family AS label, score FROM packets)
 , f AS (SELECT position // {EVERY} AS forecast, max(position) AS position FROM e WHERE role = 1 GROUP BY 1)
@@ -72,12 +74,12 @@ RANKS = P + f"""
 """
 
 
-def lists(spark, d, only=(0, 1, 2)):
-    """The rankings asked for: by recency, by popularity, by proximity."""
+def lists(spark, d, only=(0, 1, 2), cap=POOL):
+    """The rankings asked for: by recency, by popularity, by proximity (the first `cap`, or all)."""
     e, f = stream(spark, d), points(spark, d)
     ends = e.select(F.col("position"), F.explode(F.array("sender", "receiver")).alias("host"))
     hosts = ends.groupBy("host").agg(F.min("position").alias("first_position")).withColumn("ip_number", 167772160 + F.col("host") * 37 % 1000)
-    make = [lambda: fo.recency_ranking(e, f, WINDOW), lambda: fo.popularity_ranking(e, f, HISTORY, EVERY), lambda: fo.proximity_ranking(e, f, hosts)]
+    make = [lambda: fo.recency_ranking(e, f, WINDOW), lambda: fo.popularity_ranking(e, f, HISTORY, EVERY), lambda: fo.proximity_ranking(e, f, hosts, cap)]
     return [make[i]() for i in only]
 
 
@@ -98,15 +100,15 @@ def _m13x(spark, d):
 
 @query("m14_rrf_fuse", RANKS + """, u AS (SELECT forecast, host, rank FROM rec UNION ALL SELECT forecast, host, rank FROM pop UNION ALL SELECT forecast, host, rank FROM prox), s AS (SELECT forecast, host, sum(1.0::DOUBLE / (60 + rank + 1)) AS score FROM u GROUP BY 1, 2)
 SELECT forecast, host, round(score, 9) AS score, row_number() OVER (PARTITION BY forecast ORDER BY round(score, 12) DESC, host)::INT - 1 AS rank FROM s""")
-def _m14(spark, d):
-    return fo.rrf_fuse(lists(spark, d)).withColumn("score", F.round("score", 9))
+def _m14(spark, d, cap=POOL):
+    return fo.rrf_fuse(lists(spark, d, cap=cap)).withColumn("score", F.round("score", 9))
 
 
 @query("m14_prior_fuse", RANKS + """, p AS (SELECT forecast, host, (1 + rank % 7) / 10.0::DOUBLE AS p FROM rec), n AS (SELECT forecast, count(*) AS len FROM prox GROUP BY 1)
 , j AS (SELECT p.*, 1.0::DOUBLE / (1 + COALESCE(x.rank, n.len, 0)) AS q FROM p LEFT JOIN prox x USING (forecast, host) LEFT JOIN n USING (forecast)), z AS (SELECT *, 0.5 * ln(p) + 0.5 * ln(q / sum(q) OVER (PARTITION BY forecast)) AS fused FROM j)
 SELECT forecast, host, round(fused, 6) AS fused FROM z""")
-def _m14p(spark, d):
-    rec, prox = lists(spark, d, [0, 2])
+def _m14p(spark, d, cap=POOL):
+    rec, prox = lists(spark, d, [0, 2], cap)
     scored = rec.select("forecast", "host", ((1 + F.col("rank") % 7) / 10.0).alias("p"))
     return fo.prior_fuse(scored, prox, 0.5).select("forecast", "host", F.round("fused", 6).alias("fused"))
 
@@ -132,8 +134,8 @@ ALL = RANKS + ", lst AS (SELECT 'recent' AS method, forecast, host, rank FROM re
     "fr AS (SELECT m.method, t.forecast, t.host, t.ord, l.rank FROM truth t CROSS JOIN (SELECT DISTINCT method FROM lst) m LEFT JOIN lst l ON l.method = m.method AND l.forecast = t.forecast AND l.host = t.host WHERE ord IS NOT NULL)"
 
 
-def rankings(spark, d):
-    named = [l.select(F.lit(n).alias("method"), "forecast", "host", "rank") for n, l in zip(("recent", "popular", "near"), lists(spark, d))]
+def rankings(spark, d, cap=POOL):
+    named = [l.select(F.lit(n).alias("method"), "forecast", "host", "rank") for n, l in zip(("recent", "popular", "near"), lists(spark, d, cap=cap))]
     return pinned(reduce(DataFrame.unionByName, named))
 
 
@@ -142,8 +144,8 @@ def rankings(spark, d):
 , b0 AS (SELECT method, forecast, """ + ", ".join(f"avg(CASE WHEN rank < {n} THEN 1.0::DOUBLE ELSE 0.0 END) AS r{n}" for n in (5, 10, 20)) + """ FROM fr GROUP BY 1, 2), b AS (SELECT method, """ + ", ".join(f"round(avg(r{n}), 6) AS recall_{n}" for n in (5, 10, 20)) + """ FROM b0 GROUP BY 1)
 , c0 AS (SELECT l.method, l.forecast, """ + ", ".join(f"avg(CASE WHEN l.rank < {n} THEN CASE WHEN t.host IS NULL THEN 0.0::DOUBLE ELSE 1.0 END END) AS p{n}" for n in (3, 10)) + """ FROM lst l LEFT JOIN truth t ON t.forecast = l.forecast AND t.host = l.host WHERE l.rank < 10 AND l.forecast IN (SELECT forecast FROM truth WHERE ord = 1) GROUP BY 1, 2)
 , c AS (SELECT method, """ + ", ".join(f"round(avg(p{n}), 6) AS precision_{n}" for n in (3, 10)) + """ FROM c0 GROUP BY 1) SELECT * FROM a JOIN b USING (method) JOIN c USING (method)""")
-def _m15(spark, d):
-    r = fo.hit_report(rankings(spark, d), truth(spark, d))
+def _m15(spark, d, cap=POOL):
+    r = fo.hit_report(rankings(spark, d, cap), truth(spark, d))
     return r.select("method", "forecasts", *[F.round(c, 6).alias(c) for c in r.columns if c not in ("method", "forecasts")])
 
 
@@ -152,11 +154,15 @@ def _m15(spark, d):
 , h AS (SELECT *, i < n // 2 AS half FROM x), s AS (SELECT method, rank, row_number() OVER (PARTITION BY method ORDER BY rank) - 1 AS rk, count(*) OVER (PARTITION BY method) AS m FROM h WHERE half)
 , q AS (SELECT method, level, rank + 1 AS size FROM s CROSS JOIN (VALUES (0.5::DOUBLE), (0.8::DOUBLE)) v(level) WHERE rk = CAST(ceil((m - 1) * level) AS BIGINT))
 SELECT method, level, size, round(avg(CASE WHEN rank < size THEN 1.0 ELSE 0.0 END), 6) AS held FROM h JOIN q USING (method) WHERE NOT half GROUP BY 1, 2, 3""")
-def _m16(spark, d):
-    r = fo.first_ranks(rankings(spark, d), truth(spark, d)).where("`order` = 1").select("method", "forecast", "rank")
+def _m16(spark, d, cap=POOL):
+    r = fo.first_ranks(rankings(spark, d, cap), truth(spark, d)).where("`order` = 1").select("method", "forecast", "rank")
     return fo.conformal_list_size(r, (0.5, 0.8)).withColumn("held", F.round("held", 6))
 
 
+for _name, _of in (("m14_rrf_fuse", _m14), ("m14_prior_fuse", _m14p), ("m15_hit_report", _m15), ("m16_conformal_list_size", _m16)):
+    query(f"{_name}_whole", ORACLES[_name].replace(POOL_SQL, "FROM px0))"))(lambda spark, d, of=_of: of(spark, d, None))
+
+
 @query("m17_reach_scores", P + """, pth AS (SELECT position // 50 AS forecast, position AS path, -score / 10 AS lp, [receiver, (receiver * 7) % 100, (receiver + position % 3) % 100] AS hs FROM e)
 , w AS (SELECT *, exp(lp - max(lp) OVER (PARTITION BY forecast)) AS w FROM pth), n AS (SELECT forecast, w / sum(w) OVER (PARTITION BY forecast) AS w, list_distinct(hs) AS hs FROM w), x AS (SELECT forecast, w, unnest(hs) AS host FROM n), g AS (SELECT forecast, host, sum(w) AS reach FROM x GROUP BY 1, 2)
 SELECT forecast, host, round(reach, 6) AS reach FROM g""")

@@ -84,11 +84,12 @@ def popularity_ranking(events: DataFrame, forecasts: DataFrame, history: int = 2
     return _ranked(j, [F.col("popularity").desc()], cap)
 
 
-def proximity_ranking(events: DataFrame, forecasts: DataFrame, hosts: DataFrame, cap: int = 128, position: str = "position", sender: str = "sender", receiver: str = "receiver",
+def proximity_ranking(events: DataFrame, forecasts: DataFrame, hosts: DataFrame, cap: int | None, position: str = "position", sender: str = "sender", receiver: str = "receiver",
                       rows_per_chunk: int = ROWS_PER_CHUNK) -> DataFrame:
-    """The `cap` hosts seen before each forecast that are nearest by IPv4 distance to one of the attacker's last three targets.
+    """The hosts seen before each forecast by IPv4 distance to the nearest of the attacker's last three targets: all with no `cap`, or the first so many.
 
-    hosts: host, ip_number, first_position; hosts without a number are not near any.  Hosts are put in address order once, and a target meets
+    hosts: host, ip_number, first_position. Without a cap, hosts without a number, or all where no target has one, come last with no distance;
+    with one, they are not near any and not listed.  Under a cap, hosts are put in address order once, and a target meets
     only those within `reach` places of its own.  A forecast is settled when `cap` of them are nearer than anything outside could be; the
     others look eight times as far, so no forecast meets all hosts unless its own answer needs them.
     """
@@ -96,6 +97,8 @@ def proximity_ranking(events: DataFrame, forecasts: DataFrame, hosts: DataFrame,
         keyed_scan(x, [sender], position, lags={"_r1": F.col(receiver)}, rows_per_chunk=cut), [sender], position, lags={"_r2": F.col("_r1")}, rows_per_chunk=cut))
     targets = e.join(forecasts.select("forecast", position), position).select(
         "forecast", position, F.col(sender).alias("_attacker"), F.explode(F.filter(F.array(receiver, "_r1", "_r2"), lambda x: x.isNotNull())).alias("_target"))
+    if cap is None:
+        return _all_by_distance(targets.withColumnRenamed(position, "_at"), hosts)
     placed = pinned(dense_id(hosts.where("ip_number IS NOT NULL").select("host", "ip_number", "first_position"), ["ip_number", "host"], "_i"))
     total = placed.count()
     left = pinned(targets.join(placed.select(F.col("host").alias("_target"), F.col("ip_number").alias("_ip"), F.col("_i").alias("_at_i")), "_target")
@@ -127,6 +130,18 @@ def proximity_ranking(events: DataFrame, forecasts: DataFrame, hosts: DataFrame,
     return reduce(DataFrame.unionByName, done)
 
 
+def _all_by_distance(targets: DataFrame, hosts: DataFrame, per_part: int = 4096) -> DataFrame:
+    """Every host seen by each forecast (forecast, _at, _attacker, _target), nearest first; a forecast meets the hosts in parts of about `per_part`."""
+    numbers = hosts.where("ip_number IS NOT NULL").select(F.col("host").alias("_target"), F.col("ip_number").alias("_ip"))
+    asked = targets.join(numbers, "_target", "left").groupBy("forecast", "_at", "_attacker").agg(F.collect_set("_ip").alias("_ips"))
+    parts = -(-hosts.count() // per_part) or 1
+    asked = asked.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    dealt = hosts.select("host", "ip_number", "first_position", F.pmod(F.xxhash64("host"), F.lit(parts)).cast("int").alias("_part"))
+    met = dealt.join(asked, "_part").where((F.col("first_position") <= F.col("_at")) & (F.col("host") != F.col("_attacker")))
+    near = met.select("forecast", "host", F.array_min(F.transform("_ips", lambda x: F.abs(F.col("ip_number") - x))).alias("distance"))
+    return _ranked(near, [F.col("distance").asc_nulls_last()]).select("forecast", "host", "distance", "rank")
+
+
 def rrf_fuse(lists: Sequence[DataFrame], k: float = 60.0) -> DataFrame:
     """Reciprocal-rank fusion of (forecast, host, rank from 0) lists; ties by host id."""
     out = lists[0].select("forecast", "host", "rank")
