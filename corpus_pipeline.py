@@ -1,12 +1,13 @@
 """From raw documents to packed training sequences: quality rules, near-duplicates, repeated passages, packing."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wiresift.llm import neardup, packing, passages, quality
 from wiresift.llm.common import read, stored
 from wiresift.llm.queries import word_bpe
+from wiresift.plans.ordering import dense_id
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -15,11 +16,28 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays, the one with the smallest doc_id; rows without a doc_id stay."""
+    """One row of each group of near-duplicates stays, the one with the smallest doc_id.
+
+    Where rows share a doc_id, or have none, rows are told apart by doc_id and text: of rows that repeat both one stays, and the others are numbered in
+    order of doc_id (rows without one last) and text hash, so that each text is judged on its own and not with all of its doc_id.
+    """
+    if docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or doc_id is null").limit(1).count():
+        return _distinct_rows(docs)
     gone = neardup.near_duplicates(docs).where("not kept").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
 
+def _distinct_rows(docs: DataFrame) -> DataFrame:
+    tag = F.sha2(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.coalesce(F.concat(F.lit("t"), F.col("text")), F.lit(""))), 256)
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    first = Window.partitionBy("__tag").orderBy("__tag", *rest)
+    once = stored(docs.withColumn("__tag", tag).withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__n"), "once")
+    places = dense_id(once.select(F.col("doc_id").isNull().alias("__none"), "doc_id", "__tag"), ["__none", "doc_id", "__tag"], "__id").select("__tag", "__id")
+    numbered = stored(once.join(places, "__tag"), "numbered")
+    kept = neardup.near_duplicates(numbered.select(F.col("__id").alias("doc_id"), "text")).where("kept").select(F.col("doc_id").alias("__id"))
+    return numbered.join(kept, "__id", "left_semi").select(docs.columns)
+
+
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages that an earlier document holds too; a text that lost words is its other words joined by one space."""
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]

@@ -44,6 +44,19 @@ def test_stages(spark):
     assert sum(r.length for r in packed) == sum({r.doc_id: r.doc_tokens for r in packed}.values())
 
 
+def test_near_dedup_judges_rows_that_share_a_doc_id(spark):
+    """A clean text stays though another row of its doc_id is a near copy; whole repeats, with a doc_id or without, leave one row."""
+    def text(k, changed=None):
+        return " ".join("changed" if i == changed else f"w{k}x{i}" for i in range(200))
+    rows = [(3, text(0)), (5, text(1)), (5, text(0, 100)), (7, text(2)), (7, text(2)), (7, text(2)), (None, text(3)), (None, text(3)), (None, text(1, 50)), (None, None), (None, None), (9, ""), (9, None), (9, None), (10, text(4))]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = dict(corpus_pipeline.STAGES)["near_dedup"](spark, docs, SMALL)
+    assert got.columns == docs.columns
+    want = [(3, text(0)), (5, text(1)), (7, text(2)), (None, text(3)), (None, None), (9, ""), (9, None), (10, text(4))]
+    key = lambda x: (x[0] or 0, x[1] or "", x[1] is None)
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=key) == sorted(want, key=key)
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     for _, stage in corpus_pipeline.STAGES:
