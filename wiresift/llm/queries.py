@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wiresift.llm import lattice, neardup, packing, passages, quality, separators, sharding, suffixes, vptree, warc
+from wiresift.llm import lattice, lloyd, neardup, packing, passages, quality, separators, sharding, spelling, suffixes, vptree, warc
 from wiresift.llm.common import read, stored
 
 QUERIES, ORACLES = {}, {}
@@ -135,3 +135,30 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = stored(lattice.distinct_words(read(spark, sf_dir, "documents"), vocabulary), "words")
     short, long = (lattice.decode(x, vocabulary, ["word", "occurrences", "ids"]) for x in lattice.encode_words(words, vocabulary))
     return short.union(long).withColumnRenamed("text", "decoded")
+
+
+@query("op13_spelling_variants")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents with their near words, forms and roots; CRC-32 has no SQL twin, so the query is tested against a plain Python version."""
+    return spelling.variants(stored(spelling.word_counts(read(spark, sf_dir, "documents")), "spelling-words"))
+
+
+def lloyd_sql(rounds: int = 10, k: int = 8) -> str:
+    """Each round is a table of labels and a table of centroids."""
+    gap = "list_sum(list_transform(range(1, 65), lambda i: (v.q[i] - c.q[i]) * (v.q[i] - c.q[i])))::BIGINT"
+    steps = []
+    for i in range(rounds + 1):
+        steps.append(f"a{i} AS MATERIALIZED (SELECT r, vec_id, q, k, d FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY d, k) AS place FROM (SELECT v.r, v.vec_id, v.q, c.k, {gap} AS d FROM kept v CROSS JOIN c{i} c)) WHERE place = 1)")
+        if i < rounds:
+            steps.append(f"""s{i} AS (SELECT k, j, sum(q[j])::BIGINT AS s, count(*) AS n FROM a{i}, (SELECT unnest(range(1, 65)) AS j) GROUP BY k, j)
+, c{i + 1} AS MATERIALIZED (SELECT c.k, COALESCE(m.q, c.q) AS q FROM c{i} c LEFT JOIN (SELECT k, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY j) AS q FROM s{i} GROUP BY k) m ON m.k = c.k)""")
+    return f"""WITH kept AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS q FROM embeddings
+ WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64)
+, c0 AS MATERIALIZED (SELECT (row_number() OVER (ORDER BY h) - 1)::INT AS k, q FROM (SELECT sha256('3:' || vec_id::VARCHAR) AS h, q FROM kept ORDER BY h LIMIT {k}))
+, {', '.join(steps)}
+SELECT a.vec_id, a.k AS cluster, a.d AS distance, (sum(a.d) OVER (PARTITION BY a.k))::BIGINT AS cluster_inertia, (sum(a.d) OVER ())::BIGINT AS inertia, sha256(array_to_string(c.q, ',')) AS centroid_sha256 FROM a{rounds} a JOIN c{rounds} c ON c.k = a.k"""
+
+
+@query("op11_dimension_sharded_lloyd", lloyd_sql())
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lloyd.cluster(read(spark, sf_dir, "embeddings"))

@@ -108,12 +108,21 @@ def listed(values: np.ndarray, heads: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.r_[heads, len(values)].astype(np.int32)), pa.array(values))
 
 
+def cut_out(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
+    """The strings data[start:end], as a large_string array."""
+    sizes = end - start
+    offsets = np.zeros(len(start) + 1, np.int64)
+    np.cumsum(sizes, out=offsets[1:])
+    taken = data[np.repeat(start - offsets[:-1], sizes) + np.arange(offsets[-1])]
+    return pa.Array.from_buffers(pa.large_string(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(taken)])
+
+
 class Words:
-    """Start and end byte of each word, and `at`: text i holds words at[i]..at[i + 1]."""
+    """Start and end byte of each word, and `at`: text i holds words at[i]..at[i + 1]. `inside` tells the bytes of words where they are other than the usual ones."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, inside: np.ndarray | None = None):
         self.data, self.offsets = data, offsets
-        inside = ~((data == 32) | ((data - np.uint8(9)) <= 4))
+        inside = ~((data == 32) | ((data - np.uint8(9)) <= 4)) if inside is None else inside
         self.inside = inside
         before = np.zeros(len(data), bool)
         before[1:] = inside[:-1]
