@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wiresift.llm import lattice, lloyd, neardup, packing, passages, quality, separators, sharding, spelling, suffixes, vptree, warc
+from wiresift.llm import lattice, lloyd, maxent, neardup, packing, passages, quality, separators, sharding, spelling, suffixes, vptree, warc
 from wiresift.llm.common import read, stored
 
 QUERIES, ORACLES = {}, {}
@@ -162,3 +162,9 @@ SELECT a.vec_id, a.k AS cluster, a.d AS distance, (sum(a.d) OVER (PARTITION BY a
 @query("op11_dimension_sharded_lloyd", lloyd_sql())
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lloyd.cluster(read(spark, sf_dir, "embeddings"))
+
+
+@query("op12_maxent_scoring")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents by the model trained on nine tenths of them; learned weights and CRC-32 have no SQL twin, so the query is tested against a plain Python version."""
+    return maxent.score(read(spark, sf_dir, "documents"))
