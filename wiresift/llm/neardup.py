@@ -27,8 +27,6 @@ from wiresift.llm.common import components, release, small_batches, stored
 
 WORDS, SKETCH, SIMILAR, MISS = 5, 64, 75, 1e-10
 SMALL, PACK = 6, 64
-#: The estimate on a union sketch may fall this far below the threshold (six standard deviations) before a pair is given up.
-FLOOR = SIMILAR / 100 - 6 * (SIMILAR / 100 * (1 - SIMILAR / 100) / SKETCH) ** 0.5
 
 
 def needed(n: int, k: int = SKETCH, similar: int = SIMILAR, miss: float = MISS) -> int:
@@ -44,6 +42,8 @@ def needed(n: int, k: int = SKETCH, similar: int = SIMILAR, miss: float = MISS)
 
 
 NEEDED = [needed(max(n, 1)) for n in range(SKETCH + 1)]
+#: A pair is given up where fewer of its union sketch's values are shared than a link has but for a chance of `MISS`; a union that fits in its sketch is exact.
+FLOOR = NEEDED[SKETCH] / SKETCH
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int = WORDS):

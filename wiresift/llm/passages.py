@@ -14,9 +14,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wiresift.llm import scan
-from wiresift.llm.common import release, small_batches, stored
+from wiresift.llm.common import quoted, release, small_batches, stored
 
 WINDOW, KMER = 50, 20
 #: A coordinate is a tag of the text (so that rows sharing a doc_id stay apart) above 40 bits of word position.
@@ -155,13 +156,13 @@ def remove_repeats(docs: DataFrame, carry: list[str] | None = None, as_is: bool
 
     A word goes if a window of `WINDOW` words around it also starts in a document with a smaller doc_id, judged on the input. `removed` lists word
     ranges, `kept_text` the other words joined by one space
-    (with `as_is`, texts that lose nothing keep their own layout). A null text has no words; texts shorter than a window stay whole. Rows that share a
+    (with `as_is`, texts that lose nothing keep their own layout). A carried column that is named like one of the operator's own comes back beside it, under its own name. A null text has no words; texts shorter than a window stay whole. Rows that share a
     doc_id never remove from each other; rows without a doc_id neither lose words nor cost others any. Empty tables give empty results.
     """
     spark = docs.sparkSession
     small_batches(spark)
     names = [f"carried_{i}" for i in range(len(carry or []))]
-    more = [F.col(f"`{c}`").alias(n) for c, n in zip(carry or [], names)]
+    more = [F.col(quoted(c)).alias(n) for c, n in zip(carry or [], names)]
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").bitwiseAND(F.lit((1 << 23) - 1)).alias("tag"), *more)
     edges = texts.select("doc_id", "text", "tag").where("doc_id is not null").mapInArrow(_edges, "edge long, doc_id long, place long, prev long, next long")
     repeated = edges.groupBy("edge").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), *(f(c).alias(f"{f.__name__}_{c}") for c in ("prev", "next") for f in (F.min, F.max))).where("first < last")
@@ -178,6 +179,6 @@ def remove_repeats(docs: DataFrame, carry: list[str] | None = None, as_is: bool
     common = windows.groupBy("f1", "f2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
     later = windows.join(common, ["f1", "f2"]).where("doc_id > first").groupBy("doc_id").agg(F.flatten(F.collect_list("places")).alias("later"))
     full = held.join(later, "doc_id", "left").select("doc_id", "text", "tag", "entries", "later", *names)
-    types = "".join(f", {n} {full.schema[n].dataType.simpleString()}" for n in names)
-    cut = full.mapInArrow(_cut(names, as_is), f"doc_id long, n_words long, n_removed long, removed array<struct<start:long,end:long>>, kept_text string{types}")
+    own = T.StructType.fromDDL("doc_id long, n_words long, n_removed long, removed array<struct<start:long,end:long>>, kept_text string")
+    cut = full.mapInArrow(_cut(names, as_is), T.StructType([*own, *(full.schema[n] for n in names)]))
     return cut.select("doc_id", "n_words", "n_removed", "removed", "kept_text", *(F.col(n).alias(c) for c, n in zip(carry or [], names)))

@@ -61,7 +61,7 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     end = np.r_[begin[1:], len(data)]
     end = end - ((end > begin) & (data[np.maximum(end, 1) - 1] == 10)) if len(begin) else end
     has = np.searchsorted(words.start, end) > np.searchsorted(words.start, begin)
-    lines = scan.spans(scan.prefix(scan.byte_values(data), scan.BASE), scan.BASE, begin[has], end[has])
+    lines = scan.byte_prints(data, begin[has], end[has])
     again, _ = _seen_before(lines, text[has])
     dup_lines = np.bincount(text[has], again, rows).astype(np.int64) if rows else np.zeros(0, np.int64)
     n_lines = np.bincount(text[has], minlength=rows)

@@ -1,7 +1,8 @@
 """Words, lines and rolling fingerprints of a whole Arrow batch of texts at once, in numpy.
 
 A word is a run of bytes outside 0x20 and 0x09-0x0D. All functions take the joined UTF-8 bytes of a batch and the offsets of its texts, so no
-Python object is made per word. Fingerprints are 64 bits: a polynomial over random byte values modulo 2**64, then mixed.
+Python object is made per word. Fingerprints are 64 bits: a polynomial over random byte values modulo 2**64, then mixed. Strings of bytes of any length (words, lines) add
+a polynomial modulo the prime 2**31 - 1: modulo a power of two alone, some long strings of two letters are equal whatever the byte values.
 """
 from __future__ import annotations
 
@@ -57,6 +58,42 @@ def spans(p: np.ndarray, base: int, start: np.ndarray, end: np.ndarray) -> np.nd
     return mix((p[end] - p[start]) * back[start] + (end - start).astype(U))
 
 
+PRIME, OTHER = U((1 << 31) - 1), 1_103_515_245
+_SMALL = _BYTES >> U(33)
+_RESIDUES: dict[int, np.ndarray] = {}
+
+
+def _folded(x: np.ndarray) -> np.ndarray:
+    """The residue modulo `PRIME` of numbers below 2**62, as a number of at most 2**31."""
+    x = (x & PRIME) + (x >> U(31))
+    return (x & PRIME) + (x >> U(31))
+
+
+def residues(base: int, n: int) -> np.ndarray:
+    """base**0 .. base**(n-1) modulo `PRIME`, kept between calls."""
+    have = _RESIDUES.get(base)
+    if have is None or len(have) < n:
+        size = max(1 << 16, 1 << (max(n, 1) - 1).bit_length())
+        have = np.ones(size, U)
+        done = 1
+        while done < size:
+            have[done:2 * done] = _folded(have[:done] * U(pow(base, done, int(PRIME))))
+            done *= 2
+        _RESIDUES[base] = have
+    return have[:n]
+
+
+def byte_prints(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Fingerprints of the strings data[start:end]: both polynomials, mixed."""
+    one = spans(prefix(_BYTES[data], BASE), BASE, start, end)
+    sums = np.zeros(len(data) + 1, U)
+    np.cumsum(_folded(_SMALL[data] * residues(OTHER, len(data))), out=sums[1:])
+    back = residues(pow(OTHER, -1, int(PRIME)), len(data) + 1)
+    two = _folded(_folded(sums[end] - sums[start]) * back[start])
+    two = np.where(two >= PRIME, two - PRIME, two)
+    return mix(one ^ mix(two + U(1)))
+
+
 def rolling(values: np.ndarray, width: int, base: int = CHAIN) -> np.ndarray:
     """Fingerprint of every `width` consecutive values."""
     n = len(values) - width + 1
@@ -138,7 +175,7 @@ class Words:
 
     def prints(self) -> np.ndarray:
         """A fingerprint of each word."""
-        return spans(prefix(_BYTES[self.data], BASE), BASE, self.start, self.end)
+        return byte_prints(self.data, self.start, self.end)
 
     def row(self) -> np.ndarray:
         """The text of each word."""

@@ -86,6 +86,11 @@ def _matrix(blob: bytes, n: int) -> np.ndarray:
     return np.frombuffer(blob, np.float64).reshape(n, -1)
 
 
+def _near_one(x: np.ndarray) -> np.ndarray:
+    """Rows times a power of two each, so that their largest component is near 1: squares neither overflow nor vanish, and cosines stay what they are to the last bit."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1))[1][:, None])
+
+
 def _packs(batches):
     """Vectors of one (dim, part) in one row: ids and the float64 matrix. Rows of a part stand together and in order."""
     key, ids, rows, size = None, [], [], 0
@@ -111,7 +116,7 @@ def _search(k: int, factor: float):
             out = {"query_id": [], "vec_id": [], "score": []}
             for part, ids, blob, query_ids, query_blob in zip(*(batch.column(i) for i in range(5))):
                 ids, query_ids = ids.values.to_numpy(), query_ids.values.to_numpy()
-                vectors, queries = _matrix(blob.as_py(), len(ids)), _matrix(query_blob.as_py(), len(query_ids))
+                vectors, queries = _near_one(_matrix(blob.as_py(), len(ids))), _near_one(_matrix(query_blob.as_py(), len(query_ids)))
                 norms, query_norms = np.sqrt((vectors * vectors).sum(1)), np.sqrt((queries * queries).sum(1))
                 if known != part.as_py():
                     tree, known = Tree(vectors / norms[:, None]), part.as_py()
