@@ -69,6 +69,28 @@ def test_words_and_windows():
     assert p[0] == p[3] and len(set(p.tolist())) == 4
 
 
+def thue_morse(n, a="a", b="b"):
+    return "".join(b if bin(i).count("1") % 2 else a for i in range(n))
+
+
+def test_words_that_a_power_of_two_confuses(spark):
+    """Long words of two letters that every polynomial modulo 2**64 takes for equal: as words, as lines, in shingles and in packed ids."""
+    one, two = thue_morse(2048), thue_morse(2048, "b", "a")
+    raw = f"{one} {two} {one}".encode()
+    prints = scan.Words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)])).prints()
+    assert prints[0] != prints[1] and prints[0] == prints[2]
+    docs = spark.createDataFrame([(1, one), (2, two), (3, f"{one}\n{two}"), (4, f"{two} w x y z {one}"), (5, f"{one} w x y z {two}")], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in neardup.near_duplicates(docs).collect()} == {i: i for i in range(1, 6)}
+    counts = {r.doc_id: r.n_dup_lines for r in quality.judge(docs, quality.fit(np.zeros((0, len(quality.FEATURES))), np.zeros(0), list(quality.FEATURES.values()))).collect()}
+    assert counts[3] == 0
+    import tokenizers
+    bpe = tokenizers.Tokenizer.from_file(queries.word_bpe())
+    for r in packing.pack(docs, queries.word_bpe()).collect():
+        text = {1: one, 2: two, 3: f"{one}\n{two}", 4: f"{two} w x y z {one}", 5: f"{one} w x y z {two}"}[r.doc_id]
+        ids = [*bpe.encode(text, add_special_tokens=False).ids, 2][r.start:r.start + r.length]
+        assert r.ids_crc32 == zlib.crc32(np.array(ids, "<u4").tobytes())
+
+
 # ---------------------------------------------------------------- 1
 
 
@@ -406,6 +428,15 @@ def test_op9_odd(spark):
     assert vptree.nearest(df.limit(0), F.lit(True)).count() == 0
 
 
+def test_op9_extreme_vectors(spark):
+    """Squares of these components overflow or vanish; their cosines do not."""
+    rows = [(0, [1e200, 0.0]), (1, [1e200, 1e200]), (2, [3e200, 0.0]), (3, [0.0, 1e-200]), (4, [1e-300, 1e-310])]
+    got = vptree.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0).collect()
+    assert [(r["rank"], r.vec_id) for r in sorted(got, key=lambda r: r["rank"])][0] == (1, 2)
+    scores = {r.vec_id: r.score for r in got}
+    assert scores == {1: pytest.approx(0.5**0.5), 2: 1.0, 3: 0.0, 4: pytest.approx(1.0)}
+
+
 def test_op9_relaxed():
     g = np.random.default_rng(7)
     unit = g.normal(size=(4000, 8))

@@ -62,3 +62,23 @@ def test_empty(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, SMALL)
         assert docs.count() == 0
+
+
+def test_other_columns_of_any_name_and_type(spark):
+    """Columns named like the operators' own, with dots, quotes and maps, pass through every filtering stage, also where doc_ids repeat."""
+    from pyspark.sql import functions as F
+    names = ["n_words", "n_removed", "removed", "kept_text", "kept", "entries", "tag", "word", "row", "a.b", "a b", "row_tag", "row_id", "__tag", "__n", "__id", "other_0", "N_REMOVED"]
+    odd = spark.read.parquet(f"{SMALL}/documents.parquet").withColumns({c: F.lit(i) for i, c in enumerate(names[:-1])})
+    odd = odd.withColumn("a map", F.create_map(F.lit("k"), F.col("doc_id"))).withColumn("nested", F.struct(F.lit(1).alias("x.y"), F.col("doc_id")))
+    twice = odd.union(odd.where("doc_id < 5"))
+    plain = spark.read.parquet(f"{SMALL}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        want = sorted(tuple(r) for r in stage(spark, plain, SMALL).collect())
+        for docs in (odd, twice):
+            got = stage(spark, docs, SMALL)
+            assert got.columns == odd.columns and got.schema["a map"].dataType == odd.schema["a map"].dataType
+            rows = got.collect()
+            assert all(r["a map"] == {"k": r.doc_id} and r.nested[1] == r.doc_id and r["a.b"] == 9 for r in rows)
+            if docs is odd or name == "near_dedup":
+                assert sorted(tuple(r)[:5] for r in rows) == want
+    assert corpus_pipeline.packed(spark, odd, SMALL).count() > 0

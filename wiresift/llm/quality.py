@@ -194,13 +194,15 @@ def judge(docs: DataFrame, trees: Trees, cut: float = CUT) -> DataFrame:
 
 
 def kept_rows(docs: DataFrame, trees: Trees, cut: float = CUT) -> DataFrame:
-    """The rows of `docs` that pass, with all their columns; the text is read once and nothing is shuffled."""
+    """The rows of `docs` that pass, with all their columns, whatever their names; the text is read once and nothing is shuffled."""
+    at = docs.columns.index("text")
+
     def passing(batches):
         for batch in batches:
-            at = batch.schema.get_field_index("text")
             flags = []
             for _, _, data, offsets in scan.text_batches(batch.column(at)):
                 base, x = statistics(data, offsets)
                 flags.append((base[:, 0] >= 10) & (100 * base[:, 4] <= 20 * base[:, 0]) & (trees.score(x) >= cut))
             yield batch.filter(pa.array(np.concatenate(flags) if flags else np.zeros(0, bool)))
-    return docs.mapInArrow(passing, docs.schema)
+    numbered = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+    return numbered.mapInArrow(passing, numbered.schema).toDF(*docs.columns)
