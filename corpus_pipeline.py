@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wiresift.llm import neardup, packing, passages, quality
-from wiresift.llm.common import read, stored
+from wiresift.llm.common import quoted, read, stored, unused
 from wiresift.llm.queries import word_bpe
 from wiresift.plans.ordering import dense_id
 
@@ -18,33 +18,38 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near-duplicates stays, the one with the smallest doc_id.
 
-    Where rows share a doc_id, or have none, rows are told apart by doc_id and text: of rows that repeat both one stays, and the others are numbered in
-    order of doc_id (rows without one last) and text hash, so that each text is judged on its own and not with all of its doc_id.
+    Where rows share a doc_id, or have none, rows are told apart by doc_id and text: of rows that repeat both one stays (the first by its other columns as JSON), and the others are numbered in
+    order of doc_id (rows without one last) and text hash, so that each text is judged on its own and not with all of its doc_id. Other columns may have any name and type.
     """
     if docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or doc_id is null").limit(1).count():
         return _distinct_rows(docs)
     gone = neardup.near_duplicates(docs).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    return docs.join(gone, "doc_id", "left_anti").select(*map(quoted, docs.columns))
 
 
 def _distinct_rows(docs: DataFrame) -> DataFrame:
-    tag = F.sha2(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.coalesce(F.concat(F.lit("t"), F.col("text")), F.lit(""))), 256)
-    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-    first = Window.partitionBy("__tag").orderBy("__tag", *rest)
-    once = stored(docs.withColumn("__tag", tag).withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__n"), "once")
-    places = dense_id(once.select(F.col("doc_id").isNull().alias("__none"), "doc_id", "__tag"), ["__none", "doc_id", "__tag"], "__id").select("__tag", "__id")
-    numbered = stored(once.join(places, "__tag"), "numbered")
-    kept = neardup.near_duplicates(numbered.select(F.col("__id").alias("doc_id"), "text")).where("kept").select(F.col("doc_id").alias("__id"))
-    return numbered.join(kept, "__id", "left_semi").select(docs.columns)
+    tag, n, none, id_ = (unused(docs.columns, x) for x in ("row_tag", "row_copy", "row_without_id", "row_id"))
+    named = F.sha2(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.coalesce(F.concat(F.lit("t"), F.col("text")), F.lit(""))), 256)
+    rest = [F.col(quoted(c)) for c in docs.columns if c not in ("doc_id", "text")]
+    first = Window.partitionBy(tag).orderBy(F.to_json(F.struct(*rest)) if rest else F.lit(0))
+    once = stored(docs.withColumn(tag, named).withColumn(n, F.row_number().over(first)).where(F.col(n) == 1).drop(n), "once")
+    places = dense_id(once.select(F.col("doc_id").isNull().alias(none), "doc_id", tag), [none, "doc_id", tag], id_).select(tag, id_)
+    numbered = stored(once.join(places, tag), "numbered")
+    kept = neardup.near_duplicates(numbered.select(F.col(id_).alias("doc_id"), "text")).where("kept").select(F.col("doc_id").alias(id_))
+    return numbered.join(kept, id_, "left_semi").select(*map(quoted, docs.columns))
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the passages that an earlier document holds too; a text that lost words is its other words joined by one space."""
-    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-    cut = passages.remove_repeats(docs, carry=rest, as_is=True).withColumnRenamed("kept_text", "text")
+    """Texts without the passages that an earlier document holds too; a text that lost words is its other words joined by one space.
+
+    Other columns pass through under any name and of any type (they are carried by number); only `n_chars` follows the text.
+    """
+    rest = {c: f"other_{i}" for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")}
+    cut = passages.remove_repeats(docs.select("doc_id", "text", *(F.col(quoted(c)).alias(n) for c, n in rest.items())), carry=list(rest.values()), as_is=True)
+    now = {c: F.col(n) for c, n in rest.items()} | {"doc_id": F.col("doc_id"), "text": F.col("kept_text")}
     if "n_chars" in rest:
-        cut = cut.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return cut.select(docs.columns)
+        now["n_chars"] = F.when(F.col("n_removed") > 0, F.length("kept_text").cast("long")).otherwise(now["n_chars"])
+    return cut.select(*(now[c].alias(c) for c in docs.columns))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
