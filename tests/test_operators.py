@@ -2,6 +2,7 @@
 import ipaddress
 import random
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ from wiresift.operators import graph as gr
 from wiresift.operators import incidents as inc
 from wiresift.operators import labelling as la
 from wiresift.operators import mapping as mp
+from wiresift.operators import segments
 from wiresift.operators import splits as sp
 from wiresift.operators import telemetry as te
 from wiresift.sources import tables as tb
@@ -124,11 +126,54 @@ def test_segments_equal_a_plain_fold(spark, chunk):
         rows.append((i, us, "a", 1, "b", 2, 6, "F" if r.random() < 0.3 else "A"))
     got = {}
     for x in fl.segment_packets(packets(spark, rows), rows_per_chunk=chunk).collect():
-        got.setdefault((x.session, x.segment), []).append(x.frame_no)
+        got.setdefault(x.segment, []).append(x.frame_no)
     want = segments_of([(f, u, fl_ == "F") for f, u, *_, fl_ in rows], 120 * US)
     assert sorted(sorted(v) for v in got.values()) == sorted(want)
 
 
+@pytest.mark.parametrize("fins,span", [(0.0, 3), (0.05, 30)])
+def test_one_conversation_with_a_third_of_all_packets(spark, fins, span):
+    """Chunks of a conversation that never pauses, with clocks that step back; the others are too small to be cut. Sixteen-fold composition goes over three levels."""
+    r = random.Random(int(span + 100 * fins))
+    us, rows = 0, []
+    for i in range(3000):
+        us += r.randrange(span * US)
+        at = us - r.choice([0, 0, 0, 90 * US])
+        who = ("a", 1, "b", 2) if i % 3 == 0 else (f"h{r.randrange(400)}", 1, "b", 2)
+        rows.append((i, at, *(who if r.random() < 0.5 else who[2:] + who[:2]), 6, "F" if r.random() < fins else "A"))
+    want = set()
+    for key in {frozenset((x[2], x[4])) for x in rows}:
+        want |= {tuple(s) for s in segments_of([(x[0], x[1], x[7] == "F") for x in rows if {x[2], x[4]} == key], 120 * US)}
+    for chunk in (10, 200):
+        got = {}
+        for x in fl.segment_packets(packets(spark, rows), rows_per_chunk=chunk).collect():
+            got.setdefault(x.segment, []).append(x.frame_no)
+            assert (x.segment == x.frame_no) == (x.opens == 1)
+        assert {tuple(sorted(v)) for v in got.values()} == want
+
+
+def test_step_functions_compose():
+    """Composed functions of chunks equal the fold over their rows, from any start."""
+    r = np.random.default_rng(3)
+    for _ in range(60):
+        us = np.cumsum(r.integers(0, 30, 40)) - r.integers(0, 20, 40)
+        fin = r.random(40) < r.choice([0, 0.1])
+        heads = np.array([0, 10, 13, 30])
+        parts = list(segments.Block(us, fin, np.arange(40), heads, 60).steps())
+        step = parts[0]
+        for p in parts[1:]:
+            step = segments.composed(step, p)
+        for start in range(-150, 300, 7):
+            now = (start, -7)
+            for i in range(40):
+                if us[i] - now[0] > 60:
+                    now = (us[i], i)
+                elif fin[i]:
+                    now = (segments.NONE, -1)
+            got = segments.after(step, np.array([start]), np.array([-7]))
+            assert (got[0][0], got[1][0]) == now
+
+
 def test_segment_orientation_survives_a_timeout_but_not_a_fin(spark):
     rows = [(0, 0, "a", 1, "b", 2, 6, "S"), (1, US, "b", 2, "a", 1, 6, "A"), (2, 200 * US, "b", 2, "a", 1, 6, "A"), (3, 201 * US, "a", 1, "b", 2, 6, "F"), (4, 202 * US, "b", 2, "a", 1, 6, "A"), (5, 203 * US, "a", 1, "b", 2, 6, "A")]
     got = [(x.first_frame, x.src_ip, x.closed_by_fin) for x in fl.segment_flows(packets(spark, rows), rows_per_chunk=2).orderBy("first_frame").collect()]

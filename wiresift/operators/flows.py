@@ -1,15 +1,11 @@
 """Flow meters: per-flow statistics, TCP state and start-anchored segmentation."""
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from wiresift.functions.scalars import half_away
+from wiresift.operators import segments
 from wiresift.plans.ordering import ROWS_PER_CHUNK, keyed_scan, per_key
 from wiresift.session import pinned
 from wiresift.sources.schemas import FLOW_STATISTICS
@@ -164,76 +160,29 @@ def active_flow_snapshot(state: DataFrame, window_start_us: int, window_end_us:
             .orderBy(F.col("last_us").desc(), state.columns[0]).limit(n))
 
 
-def segment_packets(packets: DataFrame, timeout_us: int = TIMEOUT_US, rows_per_chunk: int = ROWS_PER_CHUNK) -> DataFrame:
-    """Assign every IPv4 TCP/UDP packet to a flow segment: `segment_key`, `session`, `segment`, `opens`.
+def segment_packets(packets: DataFrame, timeout_us: int = TIMEOUT_US, rows_per_chunk: int = segments.ROWS) -> DataFrame:
+    """Assign every IPv4 TCP/UDP packet to a flow segment: `segment_key`, `segment` (its first frame), `opens`.
 
     A segment ends with a FIN (unless the FIN opened it) or when a packet comes more than `timeout_us` after the
-    segment's start; that packet opens the next one. A silence longer than the timeout always starts afresh, so the
-    stream of a key is first cut there by a chunked scan and the pieces are spread over tasks. Inside a piece the
-    segments form a chain: it is walked segment by segment over sorted Arrow batches with one open start as state.
+    segment's start; that packet opens the next one. Conversations of more than `rows_per_chunk` packets are cut into chunks.
     """
-    v4 = packets.where(F.col("protocol").isin(6, 17) & ~F.col("src_ip").contains(":"))
-    p = _sided(v4)
+    p = _sided(packets.where(F.col("protocol").isin(6, 17) & ~F.col("src_ip").contains(":")))
     lo, hi = F.concat_ws(":", "src_ip", "src_port"), F.concat_ws(":", "dst_ip", "dst_port")
-    p = p.withColumn("segment_key", F.concat_ws("|", F.least(lo, hi), F.greatest(lo, hi), F.col("protocol").cast("string")))
-
-    def sessions(x: DataFrame, cut) -> DataFrame:
-        x = keyed_scan(x, ["segment_key"], "frame_no", lags={"_prev": F.col("us")}, rows_per_chunk=cut)
-        fresh = F.coalesce((F.col("us") - F.col("_prev") > timeout_us).cast("int"), F.lit(0))
-        return keyed_scan(x.withColumn("_fresh", fresh), ["segment_key"], "frame_no", sums={"session": F.col("_fresh")}, rows_per_chunk=cut)
-    p = per_key(p, ["segment_key"], rows_per_chunk, sessions)
-    slim = p.select("segment_key", "session", "frame_no", "us", F.when(F.col("protocol") == 6, F.col("tcp_flag_fin")).otherwise(0).cast("int").alias("fin"),
-                    "side", "length", "src_ip", "dst_ip", "src_port", "dst_port", "protocol")
-    laid = slim.repartition("segment_key", "session").sortWithinPartitions("segment_key", "session", "frame_no")
-    schema = T.StructType(slim.schema.fields + [T.StructField("segment", T.LongType()), T.StructField("opens", T.IntegerType())])
-
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        piece, start, number = None, None, 0
-        for b in batches:
-            n = len(b)
-            if not n:
-                continue
-            us, fin = b["us"].to_numpy(), b["fin"].to_numpy() == 1
-            keys = list(zip(b["segment_key"], b["session"]))
-            segment, opens = np.zeros(n, np.int64), np.zeros(n, np.int32)
-            edges = [0] + [i for i in range(1, n) if keys[i] != keys[i - 1]] + [n]
-            for a, z in zip(edges, edges[1:]):
-                if keys[a] != piece:
-                    piece, start, number = keys[a], None, 0
-                fins = np.flatnonzero(fin[a:z]) + a
-                at = a
-                while at < z:
-                    if start is None:
-                        start, number = us[at], number + 1
-                        opens[at] = 1
-                        body = at + 1
-                    else:
-                        body = at
-                    late = np.flatnonzero(us[body:z] - start > timeout_us)
-                    stop = body + late[0] if len(late) else z
-                    k = np.searchsorted(fins, body)
-                    if k < len(fins) and fins[k] < stop:
-                        stop = fins[k] + 1
-                        segment[at:stop], start = number, None
-                    else:
-                        segment[at:stop] = number
-                        if stop < z:
-                            start = None
-                    at = stop
-            yield b.assign(segment=segment, opens=opens)
-    return laid.mapInPandas(walk, schema)
-
-
-def segment_flows(packets: DataFrame, timeout_us: int = TIMEOUT_US, forget_us: int = 3_600_000_000, rows_per_chunk: int = ROWS_PER_CHUNK) -> DataFrame:
+    key = F.concat_ws("|", F.least(lo, hi), F.greatest(lo, hi), F.col("protocol").cast("string")).alias("segment_key")
+    fin = F.when(F.col("protocol") == 6, F.col("tcp_flag_fin")).otherwise(0).cast("int").alias("fin")
+    return segments.assign(p.select(key, "frame_no", "us", fin, "side", "length", "src_ip", "dst_ip", "src_port", "dst_port", "protocol"), timeout_us, rows_per_chunk)
+
+
+def segment_flows(packets: DataFrame, timeout_us: int = TIMEOUT_US, forget_us: int = 3_600_000_000, rows_per_chunk: int = segments.ROWS) -> DataFrame:
     """One row per segment of at least two packets, with its orientation.
 
     A segment that follows a timeout keeps the orientation before it, as long as it comes within `forget_us`; one that
     follows a FIN, or a longer silence, is oriented by its own first packet.
     """
     s = segment_packets(packets, timeout_us, rows_per_chunk)
-    g = s.groupBy("segment_key", "session", "segment").agg(
+    g = s.groupBy("segment_key", "segment").agg(
         F.count(F.lit(1)).alias("packets"), F.sum("length").alias("bytes"), F.min_by("us", "frame_no").alias("start_us"), F.max("us").alias("end_us"),
-        F.min("frame_no").alias("first_frame"), F.max(F.when(F.col("opens") == 0, F.col("fin")).otherwise(0)).alias("closed_by_fin"),
+        F.first("segment").alias("first_frame"), F.max(F.when(F.col("opens") == 0, F.col("fin")).otherwise(0)).alias("closed_by_fin"),
         F.min_by(F.struct("src_ip", "src_port", "dst_ip", "dst_port", "protocol"), "frame_no").alias("ends"))
 
     def chains(x: DataFrame, cut) -> DataFrame:
@@ -243,4 +192,4 @@ def segment_flows(packets: DataFrame, timeout_us: int = TIMEOUT_US, forget_us: i
     g = per_key(pinned(g), ["segment_key"], rows_per_chunk, chains)  # one row per segment, read twice below
     lead = g.groupBy("segment_key", "_chain").agg(F.min_by("ends", "first_frame").alias("o"))
     return g.where("packets > 1").join(lead, ["segment_key", "_chain"]).select(
-        "segment_key", "session", "segment", "packets", "bytes", "start_us", "end_us", "first_frame", "closed_by_fin", "o.*")
+        "segment_key", "segment", "packets", "bytes", "start_us", "end_us", "first_frame", "closed_by_fin", "o.*")
