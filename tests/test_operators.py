@@ -495,24 +495,52 @@ def test_nearest_hosts_against_brute_force(spark):
         assert [got.get(forecast, {})[k] for k in sorted(got.get(forecast, {}))] == want
 
 
-def test_every_host_is_ranked_by_distance(spark):
-    """Without a cap no host seen is left out: the 128th and later ones keep their place, those without an address come last."""
+@pytest.mark.parametrize("rows", [16, 1 << 16])
+def test_places_in_whole_lists_against_brute_force(spark, rows):
+    """The place of any host, by distance and by popularity, counted without listing the others: also without an address, at equal distances, and not contacted of late."""
     from wiresift.operators import forecast as fo
     r = random.Random(13)
-    hosts = [(h, r.randrange(0, 3000) if h < 4 or h > 8 and r.random() < 0.9 else None, r.randrange(0, 400)) for h in range(700)]
+    hosts = [(h, r.choice([r.randrange(0, 300), r.randrange(0, 5), 2**32 - 1, 0]) if h < 4 or h > 8 and r.random() < 0.9 else None, 0 if h < 12 or h == 99 else r.randrange(0, 400)) for h in range(300)]
     events = [(p, r.randrange(12), r.choice([*range(12), 5, 6, 7, 8])) for p in range(400)] + [(400 + k, 99, 5) for k in range(20)]
     asked = [(p // 20, p, events[p][1]) for p in range(19, 420, 20)]
     e = spark.createDataFrame(events, "position long, sender long, receiver long")
+    f = spark.createDataFrame(asked, "forecast long, position long, sender long")
     h = spark.createDataFrame(hosts, "host long, ip_number long, first_position long")
-    got = {}
-    for x in fo.proximity_ranking(e, spark.createDataFrame(asked, "forecast long, position long, sender long"), h, None).collect():
-        got.setdefault(x.forecast, {})[x.rank] = (x.distance, x.host)
-    ip = {h: i for h, i, _ in hosts}
+    pairs = [(k, x) for k in range(21) for x in r.sample(range(300), 60)] + [(k, k % 12) for k in range(21)]
+    p = spark.createDataFrame(pairs, "forecast long, host long")
+    near = {(x.forecast, x.host): (x["rank"], x.distance) for x in fo.proximity_places(p, e, f, h, rows=rows).collect()}
+    popular = {(x.forecast, x.host): (x["rank"], x.popularity) for x in fo.popularity_places(p, e, f, h, 100, 20, rows=rows).collect()}
+    seen = {x.forecast: x.n for x in fo.hosts_seen(f, h, rows=rows).collect()}
+    first = {n: {} for n in ("near", "popular")}
+    for name, rows_ in (("near", fo.proximity_first(e, f, h, 13)), ("popular", fo.popularity_first(e, f, h, 13, 100, 20))):
+        for x in rows_.collect():
+            first[name].setdefault(x.forecast, {})[x["rank"]] = (x.host, x[2])
+    ip = {host: i for host, i, _ in hosts}
     for forecast, at, attacker in asked:
-        near = [ip[b] for b in [b for p, a, b in events if a == attacker and p <= at][-3:] if ip[b] is not None]
-        far = [(None if i is None or not near else min(abs(i - t) for t in near), h) for h, i, first in hosts if first <= at and h != attacker]
-        assert [got[forecast][k] for k in range(len(got[forecast]))] == sorted(far, key=lambda x: (x[0] is None, x[0] or 0, x[1]))
-    assert max(map(len, got.values())) > 600
+        own = [x for x, _, begun in hosts if begun <= at and x != attacker]
+        targets = [ip[b] for b in [b for _, a, b in events[:at + 1] if a == attacker][-3:] if ip[b] is not None]
+        far = {x: None if ip[x] is None or not targets else min(abs(ip[x] - t) for t in targets) for x in own}
+        block = at // 20
+        count = {x: sum(1 for q, _, b in events if b == x and block - 5 <= q // 20 < block) for x in own}
+        lists = sorted(own, key=lambda x: (far[x] is None, far[x] or 0, x)), sorted(own, key=lambda x: (-count[x], x))
+        assert seen[forecast] == len(own)
+        for got, value, order in ((near, far, lists[0]), (popular, count, lists[1])):
+            mine = {x: got[forecast, x] for k, x in pairs if k == forecast and (k, x) in got}
+            assert mine == {x: (order.index(x), value[x]) for k, x in pairs if k == forecast and x in value}
+        assert first["near"][forecast] == {i: (x, far[x]) for i, x in enumerate(lists[0][:13])}
+        assert first["popular"][forecast] == {i: (x, count[x]) for i, x in enumerate(lists[1][:13])}
+
+
+def test_dominance_counts(spark):
+    from wiresift.plans import dominance
+    r = np.random.default_rng(1)
+    a, b, x, y = (r.integers(0, 50, n) for n in (400, 400, 300, 300))
+    assert (dominance.dominated(a, b, x, y) == [((a < i) & (b < j)).sum() for i, j in zip(x, y)]).all()
+    points = spark.createDataFrame(pd.DataFrame({"x": a, "y": b}))
+    corners = spark.createDataFrame(pd.DataFrame({"k": np.arange(300), "sign": r.choice([1, -2], 300), "x": x - 1, "y": y + 1}))
+    got = {row.k: row.n for row in dominance.counts(points, corners, ["k"], rows=20, per_task=7).collect()}
+    assert got == {row.k: row.sign * int(((a < row.x) & (b < row.y)).sum()) for row in corners.collect()}
+    assert [row.n for row in dominance.counts(points.limit(0), corners.limit(1), ["k"]).collect()] == [0]
 
 
 def test_whole_list_queries_have_no_cut():

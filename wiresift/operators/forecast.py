@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from wiresift.functions.scalars import portable_hash
 from wiresift.operators.metrics import quantiles
+from wiresift.plans import dominance
 from wiresift.plans.ordering import ROWS_PER_CHUNK, dense_id, grouped_median, keyed_scan, per_key
 from wiresift.session import pinned
 
@@ -84,21 +85,23 @@ def popularity_ranking(events: DataFrame, forecasts: DataFrame, history: int = 2
     return _ranked(j, [F.col("popularity").desc()], cap)
 
 
-def proximity_ranking(events: DataFrame, forecasts: DataFrame, hosts: DataFrame, cap: int | None, position: str = "position", sender: str = "sender", receiver: str = "receiver",
+def _targets(events: DataFrame, forecasts: DataFrame, position: str, sender: str, receiver: str, rows_per_chunk: int) -> DataFrame:
+    """(forecast, position, _attacker, _target): the attacker's last three targets at each forecast."""
+    e = per_key(events.select(position, sender, receiver), [sender], rows_per_chunk, lambda x, cut: keyed_scan(
+        keyed_scan(x, [sender], position, lags={"_r1": F.col(receiver)}, rows_per_chunk=cut), [sender], position, lags={"_r2": F.col("_r1")}, rows_per_chunk=cut))
+    return e.join(forecasts.select("forecast", position), position).select(
+        "forecast", position, F.col(sender).alias("_attacker"), F.explode(F.filter(F.array(receiver, "_r1", "_r2"), lambda x: x.isNotNull())).alias("_target"))
+
+
+def proximity_ranking(events: DataFrame, forecasts: DataFrame, hosts: DataFrame, cap: int, position: str = "position", sender: str = "sender", receiver: str = "receiver",
                       rows_per_chunk: int = ROWS_PER_CHUNK) -> DataFrame:
-    """The hosts seen before each forecast by IPv4 distance to the nearest of the attacker's last three targets: all with no `cap`, or the first so many.
+    """The first `cap` of the hosts seen before each forecast by IPv4 distance to the nearest of the attacker's last three targets.
 
-    hosts: host, ip_number, first_position. Without a cap, hosts without a number, or all where no target has one, come last with no distance;
-    with one, they are not near any and not listed.  Under a cap, hosts are put in address order once, and a target meets
+    hosts: host, ip_number, first_position. Hosts without a number are not near any and not listed. Hosts are put in address order once, and a target meets
     only those within `reach` places of its own.  A forecast is settled when `cap` of them are nearer than anything outside could be; the
-    others look eight times as far, so no forecast meets all hosts unless its own answer needs them.
+    others look eight times as far, so no forecast meets all hosts unless its own answer needs them. `proximity_places` has the place of any host in the whole list.
     """
-    e = per_key(events.select(position, sender, receiver), [sender], rows_per_chunk, lambda x, cut: keyed_scan(
-        keyed_scan(x, [sender], position, lags={"_r1": F.col(receiver)}, rows_per_chunk=cut), [sender], position, lags={"_r2": F.col("_r1")}, rows_per_chunk=cut))
-    targets = e.join(forecasts.select("forecast", position), position).select(
-        "forecast", position, F.col(sender).alias("_attacker"), F.explode(F.filter(F.array(receiver, "_r1", "_r2"), lambda x: x.isNotNull())).alias("_target"))
-    if cap is None:
-        return _all_by_distance(targets.withColumnRenamed(position, "_at"), hosts)
+    targets = _targets(events, forecasts, position, sender, receiver, rows_per_chunk)
     placed = pinned(dense_id(hosts.where("ip_number IS NOT NULL").select("host", "ip_number", "first_position"), ["ip_number", "host"], "_i"))
     total = placed.count()
     left = pinned(targets.join(placed.select(F.col("host").alias("_target"), F.col("ip_number").alias("_ip"), F.col("_i").alias("_at_i")), "_target")
@@ -130,16 +133,126 @@ def proximity_ranking(events: DataFrame, forecasts: DataFrame, hosts: DataFrame,
     return reduce(DataFrame.unionByName, done)
 
 
-def _all_by_distance(targets: DataFrame, hosts: DataFrame, per_part: int = 4096) -> DataFrame:
-    """Every host seen by each forecast (forecast, _at, _attacker, _target), nearest first; a forecast meets the hosts in parts of about `per_part`."""
-    numbers = hosts.where("ip_number IS NOT NULL").select(F.col("host").alias("_target"), F.col("ip_number").alias("_ip"))
-    asked = targets.join(numbers, "_target", "left").groupBy("forecast", "_at", "_attacker").agg(F.collect_set("_ip").alias("_ips"))
+#: Host ids are below 2**31 (they are dense), addresses below 2**32: (address, host) is one long in order.
+_HOST_BITS, _ADDRESSES = 31, 1 << 32
+
+
+def _address_order(ip: Column, host: Column) -> Column:
+    return F.when(ip >= _ADDRESSES, F.lit((1 << 63) - 1)).otherwise(F.shiftleft(F.greatest(ip, F.lit(0).cast("long")), _HOST_BITS) + host)
+
+
+def _by_id(hosts: DataFrame) -> DataFrame:
+    """Points (x = host id, y = first position), and those without an address once more, moved by `_ADDRESSES`."""
+    every = hosts.select(F.col("host").cast("long").alias("x"), F.col("first_position").cast("long").alias("y"))
+    return every.union(hosts.where("ip_number IS NULL").select((F.col("host") + _ADDRESSES).cast("long"), F.col("first_position").cast("long")))
+
+
+def hosts_seen(forecasts: DataFrame, hosts: DataFrame, position: str = "position", rows: int = dominance.ROWS) -> DataFrame:
+    """(forecast, n): how many hosts a whole list of each forecast has: those seen by then, but for the attacker."""
+    corners = forecasts.select("forecast", F.lit(1).alias("sign"), F.lit(_ADDRESSES).alias("x"), (F.col(position) + 1).cast("long").alias("y"))
+    return dominance.counts(_by_id(hosts), corners, ["forecast"], rows).select("forecast", (F.col("n") - 1).alias("n"))
+
+
+def proximity_places(pairs: DataFrame, events: DataFrame, forecasts: DataFrame, hosts: DataFrame, position: str = "position", sender: str = "sender", receiver: str = "receiver",
+                     rows_per_chunk: int = ROWS_PER_CHUNK, rows: int = dominance.ROWS) -> DataFrame:
+    """(forecast, host, distance, rank): the place of each pair's host in the forecast's whole list by distance; hosts not seen by then, and the attacker, are not listed.
+
+    Hosts without an address, or all where no target has one, come last with no distance, in order of their ids. A place is a count of hosts in ranges of (address, host) that
+    were seen by the forecast: the open stretches around the targets, and of equally far addresses the smaller ids. The ranges' ends are counted all at once.
+    """
+    number = hosts.select("host", "ip_number", "first_position")
+    targets = _targets(events, forecasts, position, sender, receiver, rows_per_chunk)
+    near = targets.join(number.select(F.col("host").alias("_target"), F.col("ip_number").alias("_ip")), "_target", "left").groupBy("forecast", position, "_attacker").agg(F.array_sort(F.collect_set("_ip")).alias("t"))
+    near = near.join(number.select(F.col("host").alias("_attacker"), F.col("ip_number").alias("_own")), "_attacker", "left")
+    away = lambda ip: F.array_min(F.transform("t", lambda x: F.abs(ip - x)))
+    asked = pairs.select("forecast", "host").distinct().join(number, "host").join(near, "forecast").where((F.col("first_position") <= F.col(position)) & (F.col("host") != F.col("_attacker")))
+    asked = pinned(asked.withColumns({"distance": away(F.col("ip_number")), "_attacker_distance": away(F.col("_own"))}))
+
+    d, t, y = F.col("distance"), F.col("t"), (F.col(position) + 1).cast("long").alias("y")
+    keyed = ["forecast", "host"]
+    # stretches of addresses nearer than d, one behind the other, and the addresses at distance d outside them
+    nth = lambda i: F.get(t, i)
+    inside = F.transform(t, lambda x, i: F.struct(F.when(i > 0, F.greatest(x - d + 1, nth(i - 1) + d)).otherwise(x - d + 1).alias("low"), (x + d).alias("high")))
+    inside = F.filter(inside, lambda r: r["low"] < r["high"])
+    ties = F.array_distinct(F.flatten(F.transform(t, lambda x, i: F.filter(F.array(
+        F.when((i == 0) | (x - nth(i - 1) >= 2 * d), x - d), F.when((i == F.size(t) - 1) | (nth(i + 1) - x >= 2 * d), x + d)), lambda v: v.isNotNull() & (v >= 0) & (v < _ADDRESSES)))))
+    ends = F.concat(
+        F.flatten(F.transform(inside, lambda r: F.array(F.struct(F.lit(1).alias("sign"), _address_order(r["high"], F.lit(0)).alias("x")), F.struct(F.lit(-1).alias("sign"), _address_order(r["low"], F.lit(0)).alias("x"))))),
+        F.flatten(F.transform(ties, lambda v: F.array(F.struct(F.lit(1).alias("sign"), _address_order(v, F.col("host")).alias("x")), F.struct(F.lit(-1).alias("sign"), _address_order(v, F.lit(0)).alias("x"))))))
+    numbered = hosts.where("ip_number IS NOT NULL").select(_address_order(F.col("ip_number"), F.col("host")).cast("long").alias("x"), F.col("first_position").cast("long").alias("y"))
+    corners = asked.where("distance IS NOT NULL").select(*keyed, F.explode(ends).alias("e"), y).select(*keyed, "e.sign", F.col("e.x").cast("long").alias("x"), "y")
+    nearer = dominance.counts(numbered, corners, keyed, rows)
+    # without a distance: behind all hosts that have one, in order of ids
+    last = asked.where("distance IS NULL")
+    ids = lambda sign, x: F.struct(F.lit(sign).alias("sign"), x.cast("long").alias("x"))
+    some = F.size("t") > 0  # all hosts seen, less those without an address and no smaller id
+    behind = F.when(some, F.array(ids(1, F.lit(_ADDRESSES)), ids(-1, F.lit(2 * _ADDRESSES)), ids(1, F.lit(_ADDRESSES)), ids(1, F.col("host") + _ADDRESSES), ids(-1, F.lit(_ADDRESSES)))).otherwise(F.array(ids(1, F.col("host"))))
+    counted = dominance.counts(_by_id(hosts), last.select(*keyed, F.explode(behind).alias("e"), y).select(*keyed, "e.sign", "e.x", "y"), keyed, rows)
+    mine = F.struct(F.col("distance").isNull(), F.col("distance"), F.col("host"))
+    before = F.struct(F.col("_attacker_distance").isNull(), F.col("_attacker_distance"), F.col("_attacker")) < mine
+    return asked.join(nearer.union(counted), keyed).select(*keyed, "distance", (F.col("n") - before.cast("int")).cast("long").alias("rank"))
+
+
+def popularity_places(pairs: DataFrame, events: DataFrame, forecasts: DataFrame, hosts: DataFrame, history: int = 20_000, every: int = 500, position: str = "position", sender: str = "sender",
+                      receiver: str = "receiver", rows: int = dominance.ROWS) -> DataFrame:
+    """(forecast, host, popularity, rank): the place of each pair's host in the whole list by popularity, where hosts seen but not contacted of late have 0; others are not listed.
+
+    A forecast's contacted hosts are listed; behind them a place is the number of hosts seen with a smaller id, less the contacted ones among them.
+    """
+    list_ = pinned(popularity_ranking(events, forecasts, history, every, position, sender, receiver))
+    at = forecasts.select("forecast", position, F.col(sender).alias("_attacker"))
+    asked = pairs.select("forecast", "host").distinct().join(hosts.select("host", "first_position"), "host").join(at, "forecast").where((F.col("first_position") <= F.col(position)) & (F.col("host") != F.col("_attacker")))
+    asked = asked.join(list_, ["forecast", "host"], "left")
+    quiet = pinned(asked.where("rank IS NULL").select("forecast", "host", position, "_attacker"))
+    corners = quiet.select("forecast", "host", F.lit(1).alias("sign"), F.col("host").cast("long").alias("x"), (F.col(position) + 1).cast("long").alias("y"))
+    seen = dominance.counts(_by_id(hosts), corners, ["forecast", "host"], rows)
+    ordered = Window.partitionBy("forecast").orderBy("host").rowsBetween(Window.unboundedPreceding, 0)
+    contacted = list_.select("forecast", "host", F.lit(1).alias("one")).union(quiet.select("forecast", "host", F.lit(0)))
+    contacted = contacted.withColumns({"smaller": F.sum("one").over(ordered), "all": F.sum("one").over(Window.partitionBy("forecast"))}).where("one = 0")
+    place = F.col("all") + F.col("n") - F.col("smaller") - (F.col("_attacker") < F.col("host")).cast("int")
+    behind = quiet.join(seen, ["forecast", "host"]).join(contacted, ["forecast", "host"]).select("forecast", "host", F.lit(0).cast("long").alias("popularity"), place.cast("long").alias("rank"))
+    return asked.where("rank IS NOT NULL").select("forecast", "host", "popularity", F.col("rank").cast("long").alias("rank")).union(behind)
+
+
+def _filled(few: DataFrame, value: Column, forecasts: DataFrame, hosts: DataFrame, cap: int, position: str, sender: str) -> DataFrame:
+    """Lists of at most `cap` rows, filled up with hosts seen that they lack, in order of ids: ids are tried from the smallest on, further only for forecasts that still lack some."""
+    columns = few.columns
+    have = few.groupBy("forecast").agg(F.count(F.lit(1)).alias("have"))
+    left = pinned(forecasts.select("forecast", position, F.col(sender).alias("_attacker")).join(have, "forecast", "left").fillna(0, ["have"]).where(F.col("have") < cap))
+    top = hosts.agg(F.max("host")).first()[0]
+    reach, parts = 4 * cap, [few]
+    while top is not None and left.limit(1).count():
+        ids = left.withColumn("host", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(min(reach, top)).cast("long")))).where("host <> _attacker")
+        seen = ids.join(hosts.select(F.col("host").cast("long").alias("host"), "first_position"), "host").where(F.col("first_position") <= F.col(position))
+        more = pinned(_ranked(seen.join(few.select("forecast", "host"), ["forecast", "host"], "left_anti"), []).where(F.col("rank") < F.lit(cap) - F.col("have")))
+        enough = more.groupBy("forecast", "have").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") + F.col("have") >= cap).select("forecast")
+        done = more if reach >= top else more.join(enough, "forecast", "left_semi")
+        parts.append(done.select("forecast", "host", value.alias(columns[2]), (F.col("have") + F.col("rank")).cast("int").alias("rank")))
+        if reach >= top:
+            break
+        left = pinned(left.join(enough, "forecast", "left_anti"))
+        reach *= 8
+    return reduce(DataFrame.union, parts)
+
+
+def popularity_first(events: DataFrame, forecasts: DataFrame, hosts: DataFrame, cap: int, history: int = 20_000, every: int = 500, position: str = "position", sender: str = "sender", receiver: str = "receiver") -> DataFrame:
+    """(forecast, host, popularity, rank): the first `cap` of each whole list by popularity; hosts seen but not contacted of late have 0."""
+    few = pinned(popularity_ranking(events, forecasts, history, every, position, sender, receiver, cap).select("forecast", "host", "popularity", "rank"))
+    return _filled(few, F.lit(0).cast("long"), forecasts, hosts, cap, position, sender)
+
+
+def proximity_first(events: DataFrame, forecasts: DataFrame, hosts: DataFrame, cap: int, position: str = "position", sender: str = "sender", receiver: str = "receiver") -> DataFrame:
+    """(forecast, host, distance, rank): the first `cap` of each whole list by distance; hosts without one come behind, in order of ids."""
+    few = pinned(proximity_ranking(events, forecasts, hosts, cap, position, sender, receiver).select("forecast", "host", "distance", "rank"))
+    return _filled(few, F.lit(None).cast("long"), forecasts, hosts, cap, position, sender)
+
+
+def every_host(forecasts: DataFrame, hosts: DataFrame, position: str = "position", sender: str = "sender", per_part: int = 4096) -> DataFrame:
+    """(forecast, host) of all hosts seen by each forecast, the attacker left out: for callers who ask for whole lists; the result is as large as that."""
     parts = -(-hosts.count() // per_part) or 1
-    asked = asked.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    dealt = hosts.select("host", "ip_number", "first_position", F.pmod(F.xxhash64("host"), F.lit(parts)).cast("int").alias("_part"))
-    met = dealt.join(asked, "_part").where((F.col("first_position") <= F.col("_at")) & (F.col("host") != F.col("_attacker")))
-    near = met.select("forecast", "host", F.array_min(F.transform("_ips", lambda x: F.abs(F.col("ip_number") - x))).alias("distance"))
-    return _ranked(near, [F.col("distance").asc_nulls_last()]).select("forecast", "host", "distance", "rank")
+    asked = forecasts.select("forecast", F.col(position).alias("_at"), F.col(sender).alias("_attacker"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("_part"))
+    dealt = hosts.select("host", "first_position", F.pmod(F.xxhash64("host"), F.lit(parts)).cast("int").alias("_part"))
+    return dealt.join(asked, "_part").where((F.col("first_position") <= F.col("_at")) & (F.col("host") != F.col("_attacker"))).select("forecast", "host")
 
 
 def rrf_fuse(lists: Sequence[DataFrame], k: float = 60.0) -> DataFrame:
@@ -151,9 +264,12 @@ def rrf_fuse(lists: Sequence[DataFrame], k: float = 60.0) -> DataFrame:
     return _ranked(s, [F.round("score", 12).desc()])
 
 
-def prior_fuse(scored: DataFrame, proximity: DataFrame, alpha: float) -> DataFrame:
-    """alpha ln p + (1 - alpha) ln q with q normalised from 1 / (1 + proximity rank); hosts without a rank come last."""
-    n = proximity.groupBy("forecast").agg(F.count(F.lit(1)).alias("_len"))
+def prior_fuse(scored: DataFrame, proximity: DataFrame, alpha: float, lengths: DataFrame | None = None) -> DataFrame:
+    """alpha ln p + (1 - alpha) ln q with q normalised from 1 / (1 + proximity rank); hosts without a rank come behind the list.
+
+    `proximity` needs the places of the scored hosts only; `lengths` (forecast, n) then tells how long each whole list is.
+    """
+    n = proximity.groupBy("forecast").agg(F.count(F.lit(1)).alias("_len")) if lengths is None else lengths.select("forecast", F.col("n").alias("_len"))
     j = scored.join(proximity.select("forecast", "host", F.col("rank").alias("_prox")), ["forecast", "host"], "left").join(n, "forecast", "left")
     j = j.withColumn("_q", 1.0 / (1 + F.coalesce("_prox", "_len", F.lit(0))))
     total = j.groupBy("forecast").agg(F.sum("_q").alias("_total"))
@@ -192,8 +308,11 @@ def first_ranks(rankings: DataFrame, truth: DataFrame) -> DataFrame:
 
 
 def hit_report(rankings: DataFrame, truth: DataFrame, sizes: Sequence[int] = (1, 3, 5, 10, 20), recall_at: Sequence[int] = (5, 10, 20), precision_at: Sequence[int] = (3, 10)) -> DataFrame:
-    """hit@N and MRR of the next new host, recall@N over all new hosts, precision@N over the horizon's contacts, per method."""
-    rankings, truth = pinned(rankings), pinned(truth)  # short lists per forecast, each read several times
+    """hit@N and MRR of the next new host, recall@N over all new hosts, precision@N over the horizon's contacts, per method.
+
+    `rankings` (method, forecast, host, rank) need hold only the first of each list, up to the largest of `precision_at`, and the places of the true hosts in it.
+    """
+    rankings, truth = pinned(rankings), pinned(truth)  # read several times
     r = pinned(first_ranks(rankings, truth))
     first = r.where("`order` = 1").groupBy("method").agg(
         F.count(F.lit(1)).alias("forecasts"), *[F.avg(F.coalesce((F.col("rank") < n).cast("double"), F.lit(0.0))).alias(f"hit_{n}") for n in sizes],
