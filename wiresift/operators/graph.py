@@ -4,13 +4,8 @@ Every operator reads only earlier positions of the stream, so its result on a pr
 """
 from __future__ import annotations
 
-from collections import OrderedDict
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from wiresift.plans.ordering import ROWS_PER_CHUNK, dense_id, grouped_median, keyed_scan, per_key
 from wiresift.session import pinned
@@ -18,63 +13,59 @@ from wiresift.session import pinned
 SIZE = 20
 
 
-def _latest_peers(size: int):
-    """Recency map of one endpoint: its most recent `size + 1` distinct peers (one of them may be the queried link)."""
-    def push(state: OrderedDict, peer, position) -> None:
-        state.pop(peer, None)
-        state[peer] = position
-        if len(state) > size + 1:
-            state.popitem(last=False)
-    return push
+#: Rows of an endpoint, or summaries of such stretches, under one summary.
+FAN = 16
+
+
+def _newest(items: Column, since: Column | int, most: int) -> Column:
+    """Of items, newest first, the first `most` whose peer is not met again before place `since`."""
+    return F.slice(F.filter(items, lambda x: x["again"] >= since), 1, most)
+
+
+def _peers_before(summaries: DataFrame, width: int, places: int, most: int) -> DataFrame:
+    """(role, endpoint, block, carry): the newest distinct peers before each block of `width` places, from each block's own (items).
+
+    Summaries merge: what is newest in a stretch of blocks is what is newest in its blocks and not met again in it. A block's carry is the merge of its elder siblings' and of the carry of their common stretch.
+    """
+    if places <= width:
+        return summaries.select("role", "endpoint", "block", F.array().cast(summaries.schema["items"].dataType).alias("carry"))
+    own = ["role", "endpoint", "above"]
+    s = summaries.withColumn("above", F.floor(F.col("block") / FAN).cast("bigint"))
+    flat = lambda lists: F.sort_array(F.flatten(lists), asc=False)
+    up = s.groupBy(*own).agg(F.collect_list("items").alias("l")).select(
+        "role", "endpoint", F.col("above").alias("block"), _newest(flat(F.col("l")), (F.col("above") + 1) * (width * FAN), most).alias("items"))
+    over = _peers_before(up, width * FAN, places, most).withColumnsRenamed({"block": "above", "carry": "_over"})
+    elder = F.collect_list("items").over(Window.partitionBy(*own).orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    joined = s.withColumn("_elder", elder).join(over, own)
+    return joined.select("role", "endpoint", "block", _newest(F.concat(flat(F.col("_elder")), "_over"), F.col("block") * width, most).alias("carry"))
 
 
 def distinct_peer_neighbours(events: DataFrame, position: str = "position", sender: str = "sender", receiver: str = "receiver", size: int = SIZE,
                              rows_per_chunk: int = ROWS_PER_CHUNK) -> DataFrame:
     """For every event the latest earlier event per distinct other peer of its sender and of its receiver, newest first.
 
-    Endpoint histories are cut into chunks of positions. A chunk's newest peers (at most size + 1) are folded along the
-    chunks of an endpoint into the state each chunk starts from; then every (endpoint, chunk) is folded on its own, over
-    sorted Arrow batches, with a map of size + 1 peers as the only state. No group is ever held whole.
+    The rows of an endpoint are numbered; each knows the place at which its peer is met again, so that it is a peer's latest one for all rows up to there. Stretches of `FAN` rows are summed up by
+    their newest `size` + 1 peers (one of them may be the queried link), summaries merge into those of longer stretches, and a row sees the rows of its own stretch and the carry into it. All
+    of it is built-in expressions over at most `FAN` lists of `size` + 1; no task holds an endpoint.
     """
-    side = lambda role, a, b: F.struct(F.lit(role).alias("role"), F.col(a).alias("endpoint"), F.col(b).alias("peer"), F.col(position).alias("position"))
+    side = lambda role, a, b: F.struct(F.lit(role).alias("role"), F.col(a).alias("endpoint"), F.col(b).alias("peer"), F.col(position).cast("bigint").alias("position"))
     rows = events.select(F.inline(F.array(side(0, sender, receiver), side(1, receiver, sender))))
-    rows = rows.withColumn("chunk", F.floor(F.col("position") / rows_per_chunk).cast("bigint"))
-    last = rows.groupBy("role", "endpoint", "chunk", "peer").agg(F.max("position").alias("position"))
-    w = Window.partitionBy("role", "endpoint", "chunk").orderBy(F.col("position").desc())
-    last = last.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= size + 1).drop("_rn")
-    push = _latest_peers(size)
-
-    def carry(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        owner, chunk, state = None, None, OrderedDict()
-        for b in batches:
-            out = []
-            for role, endpoint, c, peer, p in zip(b["role"], b["endpoint"], b["chunk"], b["peer"], b["position"]):
-                if (role, endpoint) != owner:
-                    owner, chunk, state = (role, endpoint), None, OrderedDict()
-                if c != chunk:
-                    out += [(role, endpoint, c, q, at) for q, at in state.items()]
-                    chunk = c
-                push(state, peer, p)
-            yield pd.DataFrame(out, columns=["role", "endpoint", "chunk", "peer", "position"])
-    slim = last.select("role", "endpoint", "chunk", "peer", "position")
-    seeds = slim.repartition("role", "endpoint").sortWithinPartitions("role", "endpoint", "chunk", "position").mapInPandas(carry, slim.schema)
-    both = rows.select(*slim.columns, F.lit(1).alias("live")).unionByName(seeds.withColumn("live", F.lit(0)))
-    schema = T.StructType([T.StructField("position", T.LongType()), T.StructField("neighbours", T.ArrayType(T.LongType()))])
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        owner, state = None, OrderedDict()
-        for b in batches:
-            at, found = [], []
-            for role, endpoint, c, peer, p, live in zip(b["role"], b["endpoint"], b["chunk"], b["peer"], b["position"], b["live"]):
-                if (role, endpoint, c) != owner:
-                    owner, state = (role, endpoint, c), OrderedDict()
-                if live:
-                    at.append(p)
-                    found.append([v for q, v in reversed(state.items()) if q != peer][:size])
-                push(state, peer, p)
-            yield pd.DataFrame({"position": pd.Series(at, dtype="int64"), "neighbours": found})
-    laid = both.repartition("role", "endpoint", "chunk").sortWithinPartitions("role", "endpoint", "chunk", "position")
-    halves = laid.mapInPandas(fold, schema)
+    key, most, never = ["role", "endpoint"], size + 1, (1 << 62)
+    numbered = per_key(rows, key, rows_per_chunk, lambda x, cut: keyed_scan(
+        keyed_scan(x, key, "position", sums={"_place": F.lit(1)}, rows_per_chunk=cut), [*key, "peer"], "position", lags={"_again": F.col("_place")}, reverse=True, rows_per_chunk=cut))
+    item = F.struct(F.col("_place").alias("place"), "position", "peer", F.coalesce("_again", F.lit(never)).alias("again"))
+    numbered = pinned(numbered.select(*key, F.floor(F.col("_place") / FAN).cast("bigint").alias("block"), item.alias("item")))
+    places = (numbered.agg(F.max("item.place")).first()[0] or 0) + 1
+    w = Window.partitionBy(*key, "block").orderBy(F.col("item.place").desc())
+    last = numbered.where(F.col("item.again") >= (F.col("block") + 1) * FAN).withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= most)
+    last = last.groupBy(*key, "block").agg(F.sort_array(F.collect_list("item"), asc=False).alias("items"))
+    every = numbered.select(*key, "block").distinct().join(last, [*key, "block"], "left")
+    summaries = pinned(every.withColumn("items", F.coalesce("items", F.array().cast(last.schema["items"].dataType))))
+    carry = _peers_before(summaries, FAN, places, most)
+    before = Window.partitionBy(*key, "block").orderBy("item.place").rowsBetween(Window.unboundedPreceding, -1)
+    met = numbered.withColumn("_before", F.collect_list("item").over(before)).join(carry, [*key, "block"])
+    seen = F.filter(F.concat(F.reverse("_before"), "carry"), lambda x: (x["again"] >= F.col("item.place")) & (x["peer"] != F.col("item.peer")))
+    halves = met.select(F.col("item.position").alias("position"), F.transform(F.slice(seen, 1, size), lambda x: x["position"]).alias("neighbours"))
     return halves.groupBy("position").agg(F.slice(F.sort_array(F.flatten(F.collect_list("neighbours")), asc=False), 1, size).alias("neighbours"))
 
 
