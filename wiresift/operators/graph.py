@@ -50,22 +50,20 @@ def distinct_peer_neighbours(events: DataFrame, position: str = "position", send
     """
     side = lambda role, a, b: F.struct(F.lit(role).alias("role"), F.col(a).alias("endpoint"), F.col(b).alias("peer"), F.col(position).cast("bigint").alias("position"))
     rows = events.select(F.inline(F.array(side(0, sender, receiver), side(1, receiver, sender))))
-    key, most, never = ["role", "endpoint"], size + 1, (1 << 62)
+    key, never = ["role", "endpoint"], F.lit(1 << 62)
     numbered = per_key(rows, key, rows_per_chunk, lambda x, cut: keyed_scan(
         keyed_scan(x, key, "position", sums={"_place": F.lit(1)}, rows_per_chunk=cut), [*key, "peer"], "position", lags={"_again": F.col("_place")}, reverse=True, rows_per_chunk=cut))
-    item = F.struct(F.col("_place").alias("place"), "position", "peer", F.coalesce("_again", F.lit(never)).alias("again"))
-    numbered = pinned(numbered.select(*key, F.floor(F.col("_place") / FAN).cast("bigint").alias("block"), item.alias("item")))
-    places = (numbered.agg(F.max("item.place")).first()[0] or 0) + 1
-    w = Window.partitionBy(*key, "block").orderBy(F.col("item.place").desc())
-    last = numbered.where(F.col("item.again") >= (F.col("block") + 1) * FAN).withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= most)
-    last = last.groupBy(*key, "block").agg(F.sort_array(F.collect_list("item"), asc=False).alias("items"))
-    every = numbered.select(*key, "block").distinct().join(last, [*key, "block"], "left")
-    summaries = pinned(every.withColumn("items", F.coalesce("items", F.array().cast(last.schema["items"].dataType))))
-    carry = _peers_before(summaries, FAN, places, most)
-    before = Window.partitionBy(*key, "block").orderBy("item.place").rowsBetween(Window.unboundedPreceding, -1)
-    met = numbered.withColumn("_before", F.collect_list("item").over(before)).join(carry, [*key, "block"])
-    seen = F.filter(F.concat(F.reverse("_before"), "carry"), lambda x: (x["again"] >= F.col("item.place")) & (x["peer"] != F.col("item.peer")))
-    halves = met.select(F.col("item.position").alias("position"), F.transform(F.slice(seen, 1, size), lambda x: x["position"]).alias("neighbours"))
+    numbered = pinned(numbered.select(*key, F.floor(F.col("_place") / FAN).cast("bigint").alias("block"), "_place", "position", F.coalesce("_again", never).alias("again")))
+    item = F.struct("position", "again")
+    kept = F.collect_list(F.when(F.col("again") >= (F.col("block") + 1) * FAN, item))
+    summaries = pinned(numbered.groupBy(*key, "block").agg(F.sort_array(kept, asc=False).alias("items")))
+    last = summaries.agg(F.max("block")).first()[0]
+    carry = _peers_before(summaries, FAN, ((last or 0) + 1) * FAN, size + 1)
+    before = Window.partitionBy(*key, "block").orderBy("_place").rowsBetween(Window.unboundedPreceding, -1)
+    met = numbered.withColumn("_before", F.collect_list(item).over(before)).join(carry, [*key, "block"])
+    # the queried peer was met last at the row whose `again` is this very place
+    seen = F.filter(F.concat(F.reverse("_before"), "carry"), lambda x: x["again"] > F.col("_place"))
+    halves = met.select("position", F.slice(seen, 1, size)["position"].alias("neighbours"))
     return halves.groupBy("position").agg(F.slice(F.sort_array(F.flatten(F.collect_list("neighbours")), asc=False), 1, size).alias("neighbours"))
 
 
