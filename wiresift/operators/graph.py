@@ -31,13 +31,13 @@ def _peers_before(summaries: DataFrame, width: int, places: int, most: int) -> D
         return summaries.select("role", "endpoint", "block", F.array().cast(summaries.schema["items"].dataType).alias("carry"))
     own = ["role", "endpoint", "above"]
     s = summaries.withColumn("above", F.floor(F.col("block") / FAN).cast("bigint"))
-    flat = lambda lists: F.sort_array(F.flatten(lists), asc=False)
-    up = s.groupBy(*own).agg(F.collect_list("items").alias("l")).select(
-        "role", "endpoint", F.col("above").alias("block"), _newest(flat(F.col("l")), (F.col("above") + 1) * (width * FAN), most).alias("items"))
+    newest_first = F.flatten(F.sort_array(F.collect_list(F.struct("block", "items")), asc=False)["items"])
+    up = s.groupBy(*own).agg(newest_first.alias("l")).select(
+        "role", "endpoint", F.col("above").alias("block"), _newest(F.col("l"), (F.col("above") + 1) * (width * FAN), most).alias("items"))
     over = _peers_before(up, width * FAN, places, most).withColumnsRenamed({"block": "above", "carry": "_over"})
     elder = F.collect_list("items").over(Window.partitionBy(*own).orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
     joined = s.withColumn("_elder", elder).join(over, own)
-    return joined.select("role", "endpoint", "block", _newest(F.concat(flat(F.col("_elder")), "_over"), F.col("block") * width, most).alias("carry"))
+    return joined.select("role", "endpoint", "block", _newest(F.concat(F.flatten(F.reverse("_elder")), "_over"), F.col("block") * width, most).alias("carry"))
 
 
 def distinct_peer_neighbours(events: DataFrame, position: str = "position", sender: str = "sender", receiver: str = "receiver", size: int = SIZE,
