@@ -1,5 +1,6 @@
 """Hand-made edge cases and brute-force comparisons."""
 import ipaddress
+import math
 import random
 
 import numpy as np
@@ -345,41 +346,44 @@ def test_flooded_window_survives_chunks(spark):
 
 
 def test_ledger_is_idempotent_and_keeps_the_larger_flag(spark):
-    t = tb.VersionedTable(spark, rp.scratch(spark, "ledger"))
+    t = tb.BatchTable(spark, rp.scratch(spark, "ledger"))
     step = sk.incident_ledger(t, ["k"], "at", merged="incident", retention_us=100)
     rows = lambda *r: spark.createDataFrame(list(r), "k string, at bigint, incident int, note string")
     step(rows(("a", 10, 1, "first"), ("b", 20, 0, "b")), 0)
     step(rows(("a", 10, 0, "again"), ("c", 115, 0, "c")), 1)
     step(rows(("a", 10, 0, "again"), ("c", 115, 0, "c")), 1)
-    got = {r.k: (r.incident, r.note) for r in t.read_current("k string, at bigint, incident int, note string").collect()}
+    got = {r.k: (r.incident, r.note) for r in t.before(2, "k string, at bigint, incident int, note string").collect()}
     assert got == {"b": (0, "b"), "c": (0, "c")}
 
 
 def test_calibration_log_clears_after_a_long_silence(spark):
-    t = tb.VersionedTable(spark, rp.scratch(spark, "log"))
+    t = tb.BatchTable(spark, rp.scratch(spark, "log"))
     step = sk.score_log(t, duration_s=1000, max_gap_s=50)
     rows = lambda *r: spark.createDataFrame([("n", f, s * US, float(x)) for f, s, x in r], "name string, flow string, t_us bigint, score double")
     schema = "name string, flow string, t_us bigint, score double, start_us bigint"
     step(rows(("a", 0, 1), ("b", 40, 2)), 0)
     step(rows(("b", 60, 9), ("c", 80, 3)), 1)
-    got = {(r.flow, r.score, r.start_us // US) for r in t.read_current(schema).collect()}
+    got = {(r.flow, r.score, r.start_us // US) for r in t.before(2, schema).collect()}
     assert got == {("a", 1.0, 0), ("b", 2.0, 0), ("c", 3.0, 0)}
     step(rows(("d", 200, 4)), 2)
-    assert {(r.flow, r.start_us // US) for r in t.read_current(schema).collect()} == {("d", 200)}
+    assert {(r.flow, r.start_us // US) for r in t.before(3, schema).collect()} == {("d", 200)}
 
 
 def test_adaptive_threshold_never_drops_below_the_baseline(spark):
-    t = tb.VersionedTable(spark, rp.scratch(spark, "adaptive"))
-    step = sk.adaptive_threshold(t, baseline=0.5, budget=0.1, span=50, recent=20, warmup=30)
-    rows = lambda a, b, x: spark.createDataFrame([(i, x) for i in range(a, b)], "event_id bigint, score double")
-    schema = "event_id bigint, score double, hash bigint, spanning boolean, recent boolean, seen bigint, threshold double"
-    step(rows(0, 20, 0.9), 0)
-    assert t.read_current(schema).first().threshold == 0.5
-    step(rows(20, 60, 0.8), 1)
-    r = t.read_current(schema)
-    assert r.first().threshold == 0.9 and r.first().seen == 60 and r.where("spanning").count() == 50 and r.where("recent").count() == 20
-    step(rows(60, 400, 0.1), 2)
-    assert t.read_current(schema).first().threshold >= 0.5
+    """Against the plain quantile of all scores and the newest ones, batch after batch; a batch that runs again changes nothing."""
+    t = tb.BatchTable(spark, rp.scratch(spark, "adaptive"))
+    step = sk.adaptive_threshold(t, baseline=0.5, budget=0.1, recent=20, warmup=30)
+    r, everything = random.Random(2), []
+    for batch, (n, high) in enumerate([(20, 1.0), (40, 0.9), (0, 1.0), (100, 0.7), (300, 0.2)]):
+        new = [(len(everything) + i, round(r.random() * high, 2)) for i in range(n)]
+        everything += new
+        for _ in range(2 if batch == 3 else 1):
+            step(spark.createDataFrame(new, "event_id bigint, score double"), batch)
+        state = t.before(batch + 1, sk.ADAPTIVE).collect()
+        pool = sorted([x for _, x in everything] + [x for _, x in everything[-20:]])
+        quantile = pool[math.ceil((len(pool) - 1) * (1 - max(0.1, 4 / len(everything))))]
+        assert {(x.seen, x.threshold) for x in state} == {(len(everything), max(0.5, quantile) if len(everything) >= 30 else 0.5)}
+        assert sum(x.n for x in state if x.event_id is None) == len(everything) and sorted(x.event_id for x in state if x.event_id is not None) == [i for i, _ in everything[-20:]]
 
 
 def test_day_names_sort_by_date(spark):
@@ -569,20 +573,20 @@ def test_calibration_log_starts_afresh_under_another_policy(spark):
     rows = lambda *r: spark.createDataFrame([("n", f, s * US, float(x)) for f, s, x in r], "name string, flow string, t_us bigint, score double")
     schema = "name string, flow string, t_us bigint, score double, start_us bigint"
     for other in ({"duration_s": 900}, {"max_gap_s": 60}, {"signature": "model-2"}):
-        t = tb.VersionedTable(spark, rp.scratch(spark, "log"))
+        t = tb.BatchTable(spark, rp.scratch(spark, "log"))
         same = {"duration_s": 1000, "max_gap_s": 50, "signature": "model-1"}
         sk.score_log(t, **same)(rows(("a", 0, 1)), 0)
         sk.score_log(t, **same)(rows(("b", 10, 2)), 1)
-        assert {r.flow for r in t.read_current(schema).collect()} == {"a", "b"}
+        assert {r.flow for r in t.before(2, schema).collect()} == {"a", "b"}
         sk.score_log(t, **(same | other))(rows(("c", 20, 3)), 2)
-        assert {(r.flow, r.start_us // US) for r in t.read_current(schema).collect()} == {("c", 20)}
+        assert {(r.flow, r.start_us // US) for r in t.before(3, schema).collect()} == {("c", 20)}
 
 
 def test_silence_is_found_across_stretches(spark):
-    t = tb.VersionedTable(spark, rp.scratch(spark, "log"))
+    t = tb.BatchTable(spark, rp.scratch(spark, "log"))
     times = [0, 49, 99, 149, 200, 249]  # only 149 -> 200 is longer than 50
     sk.score_log(t, 1000, 50)(spark.createDataFrame([("n", str(s), s * US, 1.0) for s in times], "name string, flow string, t_us bigint, score double"), 0)
-    assert {r.flow for r in t.read_current("name string, flow string").collect()} == {"200", "249"}
+    assert {r.flow for r in t.before(1, "name string, flow string").collect()} == {"200", "249"}
 
 
 def test_realised_rates_that_leave_their_budget():

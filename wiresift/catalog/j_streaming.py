@@ -11,7 +11,7 @@ from wiresift.catalog.registry import ORACLES, query
 from wiresift.operators import graph as gr
 from wiresift.operators import rules as ru
 from wiresift.sources import fixtures as fx
-from wiresift.sources.tables import VersionedTable
+from wiresift.sources.tables import BatchTable
 from wiresift.streaming import replay as rp
 from wiresift.streaming import sinks as sk
 from wiresift.streaming import stateful as st
@@ -90,10 +90,10 @@ def _t02(spark, d):
 @query("t03_reorder_by_availability", P + "SELECT frame_no AS event_id, us + k * 1000 AS t_obs_us, row_number() OVER (ORDER BY us + k * 1000, frame_no) - 1 AS position FROM packets")
 def _t03(spark, d):
     e = fx.packets(spark, d).select(F.col("frame_no").alias("event_id"), (F.col("us") + F.col("k") * 1000).alias("t_obs_us"), F.col("us").alias("now_us"))
-    held, released = VersionedTable(spark, rp.scratch(spark, "held")), VersionedTable(spark, rp.scratch(spark, "released"))
-    rp.run_batches(rp.staged(e, "event_id"), sk.reorder_by_availability(held, released, 200_000))
-    sk.drain(held, released, 1_000_000, e.schema)
-    return released.read_all("event_id bigint, t_obs_us bigint, now_us bigint, position bigint").drop("now_us")
+    held, released = BatchTable(spark, rp.scratch(spark, "held")), BatchTable(spark, rp.scratch(spark, "released"))
+    end = rp.run_batches(rp.staged(e, "event_id"), sk.reorder_by_availability(held, released, 200_000))
+    sk.drain(held, released, end, e.schema)
+    return released.all_before(end + 1, "event_id bigint, t_obs_us bigint, position bigint")
 
 
 @query("t04_stream_history", P + """, e AS (SELECT frame_no AS position, us, src_ip AS src, dst_ip AS dst, src_port, dst_port, CASE WHEN frame_no % 4 = 0 THEN 1 ELSE 0 END AS rev FROM packets)
@@ -119,10 +119,10 @@ def _t05(spark, d):
        "SELECT ip, row_number() OVER (ORDER BY p, ip) - 1 AS node_id FROM f")
 def _t06(spark, d):
     e = fx.packets(spark, d).select(F.col("frame_no").alias("position"), "src_ip", "dst_ip")
-    ids = VersionedTable(spark, rp.scratch(spark, "ids"))
+    ids = BatchTable(spark, rp.scratch(spark, "ids"))
     step = sk.stable_ids(ids)
-    rp.run_batches(rp.staged(e, "position"), lambda b, i: step(b.select("position", F.explode(F.array("src_ip", "dst_ip")).alias("ip")), i))
-    return ids.read_all("ip string, node_id bigint")
+    end = rp.run_batches(rp.staged(e, "position"), lambda b, i: step(b.select("position", F.explode(F.array("src_ip", "dst_ip")).alias("ip")), i))
+    return ids.all_before(end, "ip string, node_id bigint")
 
 
 @query("t07_stream_alerts", gs.RUNS + "SELECT family, sender, opened_position, opened_us, opening_score FROM inc")
@@ -131,13 +131,14 @@ def _t07(spark, d):
     return rp.run_to_table(st.stream_alerts(rp.staged(s, "position"), 2, 40.0))
 
 
-@query("t08_adaptive_threshold")
+@query("t08_adaptive_threshold", gs.P + """, s AS (SELECT position, score FROM sc WHERE family = 'Flood' AND NOT attack), nw AS (SELECT score FROM s ORDER BY position DESC LIMIT 50000), b AS (SELECT count(*) AS seen, greatest(0.01::DOUBLE, 4.0::DOUBLE / count(*)) AS budget FROM s)
+, r AS (SELECT score, row_number() OVER (ORDER BY score) - 1 AS rk, count(*) OVER () AS n FROM (SELECT score FROM s UNION ALL SELECT score FROM nw))
+SELECT seen, (SELECT count(*) FROM nw) AS recent, greatest(30.0::DOUBLE, score) AS threshold FROM b JOIN r ON rk = CAST(ceil((n - 1) * (1.0::DOUBLE - budget)) AS BIGINT)""")
 def _t08(spark, d):
     s = gs.scores(spark, d).where("family = 'Flood' AND NOT attack").select(F.col("position").alias("event_id"), "score")
-    t = VersionedTable(spark, rp.scratch(spark, "adaptive"))
-    rp.run_batches(rp.staged(s, "event_id"), sk.adaptive_threshold(t, 30.0, 0.01, span=4000, recent=1000))
-    return t.read_current("event_id bigint, score double, spanning boolean, recent boolean, seen bigint, threshold double").groupBy("seen", "threshold").agg(
-        F.count(F.when(F.col("spanning"), 1)).alias("spanning"), F.count(F.when(F.col("recent"), 1)).alias("recent"))
+    t = BatchTable(spark, rp.scratch(spark, "adaptive"))
+    end = rp.run_batches(rp.staged(s, "event_id"), sk.adaptive_threshold(t, 30.0, 0.01))
+    return t.before(end, sk.ADAPTIVE).groupBy("seen", "threshold").agg(F.count("event_id").alias("recent"))
 
 
 @query("t09_live_score_calibration", gs.P + """, l AS (SELECT * FROM sc WHERE t_us >= (SELECT max(t_us) FROM sc) - 300000000), c AS (SELECT family AS name, count(*) AS samples FROM l GROUP BY 1), b AS (SELECT *, greatest(0.01::DOUBLE, 4.0::DOUBLE / samples) AS effective_budget FROM c)
@@ -145,9 +146,9 @@ def _t08(spark, d):
 SELECT b.name, samples, true AS ready, round(effective_budget, 9) AS effective_budget, greatest(CASE b.name WHEN 'Flood' THEN 30.0::DOUBLE ELSE 500.0::DOUBLE END, score) AS threshold FROM b JOIN r ON r.name = b.name AND r.rk = least(samples - 1, CAST(ceil((1 - effective_budget) * (samples - 1)) AS BIGINT))""")
 def _t09(spark, d):
     s = gs.scores(spark, d).select("position", F.col("family").alias("name"), F.col("position").cast("string").alias("flow"), "t_us", "score")
-    log = VersionedTable(spark, rp.scratch(spark, "scores"))
-    rp.run_batches(rp.staged(s, "position"), sk.score_log(log, 300.0))
-    t = sk.live_thresholds(log.read_current("name string, flow string, t_us bigint, score double, start_us bigint"), {"Flood": 30.0, "Bot": 500.0}, {"Flood": 0.01, "Bot": 0.01}, 300.0)
+    log = BatchTable(spark, rp.scratch(spark, "scores"))
+    end = rp.run_batches(rp.staged(s, "position"), sk.score_log(log, 300.0))
+    t = sk.live_thresholds(log.before(end, "name string, flow string, t_us bigint, score double, start_us bigint"), {"Flood": 30.0, "Bot": 500.0}, {"Flood": 0.01, "Bot": 0.01}, 300.0)
     return t.withColumn("effective_budget", F.round("effective_budget", 9))
 
 
@@ -155,10 +156,10 @@ def _t09(spark, d):
 def _t10(spark, d):
     s = gs.scores(spark, d).select("family", "sender", "position", "t_us", "score", F.lit(gs.CUT).alias("threshold"))
     opened = rp.run_to_table(st.stream_alerts(rp.staged(s, "position"), 2, 40.0)).select("opened_position", "family", "sender", "opened_us", "opening_score")
-    ledger = VersionedTable(spark, rp.scratch(spark, "ledger"))
+    ledger = BatchTable(spark, rp.scratch(spark, "ledger"))
     step = sk.incident_ledger(ledger, ["family", "sender", "opened_us"], retention_us=300_000_000)
-    rp.run_batches(rp.staged(opened, "opened_position"), lambda b, i: step(b.drop("opened_position"), i))
-    return ledger.read_current("family string, sender bigint, opened_us bigint, opening_score double")
+    end = rp.run_batches(rp.staged(opened, "opened_position"), lambda b, i: step(b.drop("opened_position"), i))
+    return ledger.before(end, "family string, sender bigint, opened_us bigint, opening_score double")
 
 
 @query("t11_alarm_feed", gs.P + "SELECT DISTINCT family, sender FROM sc WHERE score >= 60 EXCEPT SELECT family, sender FROM sc WHERE score >= 60 AND position < 60")
@@ -167,15 +168,15 @@ def _t11(spark, d):
     return rp.run_to_table(wi.alarm_feed(rp.staged(s, "position"), ["family", "sender"], s.where("position < 60"))).select("family", "sender")
 
 
-@query("t12_rolling_window_rebuild", P + ", w AS (SELECT * FROM packets WHERE us >= (SELECT max(us) FROM packets) - 200000000 ORDER BY frame_no DESC LIMIT 2000) SELECT src_ip, count(*) AS packets, min(frame_no) AS first_frame FROM w GROUP BY 1")
+@query("t12_rolling_window_rebuild", P + ", w AS (SELECT * FROM packets WHERE us >= (SELECT max(us) FROM packets) - 200000000) SELECT src_ip, count(*) AS packets, min(frame_no) AS first_frame FROM w GROUP BY 1")
 def _t12(spark, d):
     e = fx.packets(spark, d).select(F.col("frame_no").alias("position"), F.col("us").alias("t_us"), "src_ip")
-    window, report = VersionedTable(spark, rp.scratch(spark, "window")), VersionedTable(spark, rp.scratch(spark, "report"))
+    window, report = BatchTable(spark, rp.scratch(spark, "window")), BatchTable(spark, rp.scratch(spark, "report"))
 
     def rebuild(w, batch_id):
         report.write(w.groupBy("src_ip").agg(F.count(F.lit(1)).alias("packets"), F.min("position").alias("first_frame")), batch_id)
-    rp.run_batches(rp.staged(e, "position"), sk.rolling_window(window, rebuild, 200.0, 2000))
-    return report.read_current("src_ip string, packets bigint, first_frame bigint")
+    end = rp.run_batches(rp.staged(e, "position"), sk.rolling_window(window, rebuild, 200.0))
+    return report.before(end, "src_ip string, packets bigint, first_frame bigint")
 
 
 @query("t13_packet_rate_evidence", ORACLES["w25_source_rate_peak"])

@@ -1,10 +1,9 @@
-"""Day tables, versioned tables and exports."""
+"""Day tables, tables kept by streams, and exports."""
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _fs(spark: SparkSession, path: str):
@@ -39,61 +38,41 @@ def read_small(spark: SparkSession, path: str) -> str | None:
         stream.close()
 
 
-class VersionedTable:
-    """A Parquet table with one folder per micro-batch and a pointer written last."""
+class BatchTable:
+    """What a stream keeps from micro-batch to micro-batch, as Parquet partitions that Spark overwrites dynamically.
+
+    A state table holds the rows as of the batch before and as of this one, in two partitions that take turns; a log has one partition for each batch. Either way a batch that runs again
+    reads what the first run read and replaces what it wrote, so every batch counts once. Batch ids are those of one query: 0, 1, 2, ...
+    """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
+        _, folder, fs = _fs(spark, path)
+        fs.mkdirs(folder)
 
-    def _version(self) -> int | None:
-        text = read_small(self.spark, f"{self.path}/_CURRENT")
-        return int(text) if text else None
-
-    def _history(self) -> list[int]:
-        text = read_small(self.spark, f"{self.path}/_HISTORY")
-        return json.loads(text) if text else []
-
-    def _empty(self, schema) -> DataFrame:
-        return self.spark.createDataFrame([], schema)
+    def _save(self, df: DataFrame, batch_id: int, slot: int) -> None:
+        named = df.withColumns({"batch_id": F.lit(batch_id).cast("bigint"), "slot": F.lit(slot).cast("bigint")})
+        named.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("slot").parquet(self.path)
 
-    def _load(self, versions: list[int], schema) -> DataFrame:
-        if not versions:
-            return self._empty(schema)
-        return self.spark.read.schema(schema).parquet(*[f"{self.path}/v={v}" for v in versions])
+    def _load(self, schema) -> DataFrame:
+        whole = self.spark.createDataFrame([], schema).schema
+        return self.spark.read.schema(T.StructType([*whole, T.StructField("batch_id", T.LongType()), T.StructField("slot", T.LongType())])).parquet(self.path)
 
-    def read_before(self, batch_id: int, schema) -> DataFrame:
-        """The newest version older than `batch_id`."""
-        older = [v for v in self._history() if v < batch_id]
-        return self._load(older[-1:], schema)
-
-    def read_all_before(self, batch_id: int, schema) -> DataFrame:
-        return self._load([v for v in self._history() if v < batch_id], schema)
-
-    def read_current(self, schema) -> DataFrame:
-        return self._load(self._history()[-1:], schema)
+    def write(self, df: DataFrame, batch_id: int) -> None:
+        """`df` is the state from this batch on."""
+        self._save(df, batch_id, batch_id % 2)
 
-    def read_all(self, schema) -> DataFrame:
-        return self._load(self._history(), schema)
+    def before(self, batch_id: int, schema) -> DataFrame:
+        """The state before a batch: what the one before it wrote, nothing if that was no row."""
+        return self._load(schema).where((F.col("slot") == (batch_id - 1) % 2) & (F.col("batch_id") == batch_id - 1)).drop("batch_id", "slot")
 
-    def _commit(self, batch_id: int) -> None:
-        history = [v for v in self._history() if v < batch_id] + [batch_id]
-        write_small(self.spark, f"{self.path}/_HISTORY", json.dumps(history))
-        write_small(self.spark, f"{self.path}/_CURRENT", str(batch_id))
+    def append(self, df: DataFrame, batch_id: int) -> None:
+        """`df` is what this batch adds to a log."""
+        self._save(df, batch_id, batch_id)
 
-    def write(self, df: DataFrame, batch_id: int) -> None:
-        """Version `batch_id` replaces the table."""
-        df.write.mode("overwrite").parquet(f"{self.path}/v={batch_id}")
-        self._commit(batch_id)
-
-    append = write  # a reader of `read_all` sees every version
-
-    def next_number(self, column: str, batch_id: int) -> int:
-        """One more than the largest value of `column` in all versions before `batch_id` (0 when there are none)."""
-        older = [v for v in self._history() if v < batch_id]
-        if not older:
-            return 0
-        top = self.spark.read.parquet(*[f"{self.path}/v={v}" for v in older]).agg(F.max(column)).first()[0]
-        return 0 if top is None else int(top) + 1
+    def all_before(self, batch_id: int, schema) -> DataFrame:
+        """A log's rows of all earlier batches."""
+        return self._load(schema).where(F.col("slot") < batch_id).drop("batch_id", "slot")
 
 
 def write_day_table(df: DataFrame, path: str, day: str, fingerprint: str) -> bool:

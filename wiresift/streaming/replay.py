@@ -51,6 +51,13 @@ def run_to_table(stream: DataFrame) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(out)
 
 
-def run_batches(stream: DataFrame, step: Callable[[DataFrame, int], None]) -> None:
-    q = stream.writeStream.foreachBatch(step).option("checkpointLocation", scratch(stream.sparkSession, "state")).trigger(availableNow=True).start()
+def run_batches(stream: DataFrame, step: Callable[[DataFrame, int], None]) -> int:
+    """Run everything available through `step`; returns the id that the next batch would have."""
+    done = [-1]
+
+    def counted(batch: DataFrame, batch_id: int) -> None:
+        step(batch, batch_id)
+        done.append(batch_id)
+    q = stream.writeStream.foreachBatch(counted).option("checkpointLocation", scratch(stream.sparkSession, "state")).trigger(availableNow=True).start()
     q.awaitTermination()
+    return done[-1] + 1

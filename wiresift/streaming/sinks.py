@@ -1,7 +1,6 @@
-"""`foreachBatch` operators over versioned Parquet tables.
+"""`foreachBatch` operators over Parquet partitions of their own batch (`sources.tables.BatchTable`).
 
-A table is a folder of `v=<batch>` versions; `_CURRENT`, written last, names the one in force. A batch that is run again
-after a failure rebuilds the same version from the version before it, so every operator here is exactly-once.
+A batch that is run again after a failure reads the state of the batch before it and replaces its own partition, so every operator here is exactly-once.
 """
 from __future__ import annotations
 
@@ -11,18 +10,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from wiresift.operators.metrics import budget_threshold
-from wiresift.plans.ordering import dense_id, smallest
-from wiresift.sources.tables import VersionedTable
+from wiresift.plans.ordering import dense_id, prefix_sums, smallest
+from wiresift.session import pinned
+from wiresift.sources.tables import BatchTable
 
 
-def reorder_by_availability(table: VersionedTable, released: VersionedTable, delay_us: int, clock: str = "now_us") -> Callable[[DataFrame, int], None]:
+def reorder_by_availability(table: BatchTable, released: BatchTable, delay_us: int, clock: str = "now_us") -> Callable[[DataFrame, int], None]:
     """Hold events until `t_obs` is `delay_us` behind the newest clock; release them in (t_obs, id) order, each batch after the last.
 
-    `released` gains one version per batch with a dense `position`; `drain` empties what is still held.
+    `released` is a log with a dense `position`; `drain` empties what is still held.
     """
     def step(batch: DataFrame, batch_id: int) -> None:
-        held = table.read_before(batch_id, batch.schema)
+        held = table.before(batch_id, batch.schema)
         pool = held.unionByName(batch)
         newest = pool.agg(F.max(clock).alias("_now"))
         tagged = pool.join(F.broadcast(newest), F.lit(True)).withColumn("_ready", F.col("t_obs_us") <= F.col("_now") - delay_us).drop("_now")
@@ -31,55 +30,58 @@ def reorder_by_availability(table: VersionedTable, released: VersionedTable, del
     return step
 
 
-def _release(ready: DataFrame, released: VersionedTable, batch_id: int) -> None:
-    start = released.next_number("position", batch_id)
+RELEASED = "position bigint"
+
+
+def _release(ready: DataFrame, released: BatchTable, batch_id: int) -> None:
+    start = released.all_before(batch_id, RELEASED).count()  # positions are gapless from 0
     released.append(dense_id(ready, ["t_obs_us", "event_id"], "position", start), batch_id)
 
 
-def drain(table: VersionedTable, released: VersionedTable, batch_id: int, schema) -> None:
-    _release(table.read_before(batch_id, schema), released, batch_id)
-    table.write(table.read_before(batch_id, schema).limit(0), batch_id)
+def drain(table: BatchTable, released: BatchTable, batch_id: int, schema) -> None:
+    """The end of the stream, as the batch after the last one: everything still held is released."""
+    _release(table.before(batch_id, schema), released, batch_id)
 
 
-def stable_ids(table: VersionedTable, ip: str = "ip") -> Callable[[DataFrame, int], None]:
+def stable_ids(table: BatchTable, ip: str = "ip") -> Callable[[DataFrame, int], None]:
     """A persistent address to id map: unknown addresses get the next ids in order of first appearance; ids are never reused.
 
     Only the batch's new addresses are numbered; the map grows by appending.
     """
     def step(batch: DataFrame, batch_id: int) -> None:
         seen = batch.groupBy(ip).agg(F.min("position").alias("_first"))
-        known = table.read_all_before(batch_id, "ip string, node_id bigint")
+        known = table.all_before(batch_id, "ip string, node_id bigint")
         fresh = seen.join(known.select(F.col("ip").alias(ip)), ip, "left_anti")
-        ids = dense_id(fresh, ["_first", ip], "node_id", table.next_number("node_id", batch_id))
+        ids = dense_id(fresh, ["_first", ip], "node_id", known.count())
         table.append(ids.select(F.col(ip).alias("ip"), "node_id"), batch_id)
     return step
 
 
-def adaptive_threshold(table: VersionedTable, baseline: float, budget: float, span: int = 200_000, recent: int = 50_000, warmup: int = 128, tail: int = 4) -> Callable[[DataFrame, int], None]:
+ADAPTIVE = "event_id bigint, score double, n bigint, seen bigint, threshold double"
+
+
+def adaptive_threshold(table: BatchTable, baseline: float, budget: float, recent: int = 50_000, warmup: int = 128, tail: int = 4) -> Callable[[DataFrame, int], None]:
     """A live threshold that can only rise above the committed one.
 
-    Kept scores: a uniform sample over everything seen (the `span` smallest hashes of event ids, the same whatever the
-    batching) and the `recent` newest. The quantile is taken at max(budget, tail / seen) once `warmup` were seen.
+    The quantile is that of all scores seen and, once more, of the `recent` newest, at max(budget, tail / seen), once `warmup` were seen. All scores are kept as counts of distinct
+    scores (rows without event_id), so none is sampled away; the newest are kept as they are.
     """
     def step(batch: DataFrame, batch_id: int) -> None:
-        schema = "event_id bigint, score double, hash bigint, spanning boolean, recent boolean, seen bigint, threshold double"
-        old = table.read_before(batch_id, schema)
-        new = batch.select("event_id", "score", F.xxhash64("event_id").alias("hash"))
-        seen = old.agg(F.coalesce(F.max("seen"), F.lit(0)).alias("_s")).join(F.broadcast(new.agg(F.count(F.lit(1)).alias("_n"))), F.lit(True)).select((F.col("_s") + F.col("_n")).alias("seen"))
-        pool = old.select("event_id", "score", "hash", F.col("spanning").alias("_old_span"), F.col("recent").alias("_old_recent")).unionByName(
-            new.withColumns({"_old_span": F.lit(True), "_old_recent": F.lit(True)}))
-        spanning = smallest(pool.where("_old_span"), "hash", "event_id", span, 1 << 44).select("event_id", F.lit(True).alias("spanning"))
-        aged = pool.where("_old_recent").withColumn("_age", -F.col("event_id"))
-        newest = smallest(aged, "_age", "event_id", recent, 1 << 10).select("event_id", F.lit(True).alias("recent"))
-        kept = pool.select("event_id", "score", "hash").join(spanning, "event_id", "left").join(newest, "event_id", "left").fillna(False, ["spanning", "recent"]).where("spanning OR recent")
-        # A row in both samples counts twice, as the union of the two samples does.
-        sample = kept.select(F.lit("live").alias("family"), "score", F.explode(F.array_compact(F.array(F.when(F.col("spanning"), 1), F.when(F.col("recent"), 1)))).alias("_c"))
-        count = seen.first()["seen"]
+        old, new = table.before(batch_id, ADAPTIVE), batch.select("event_id", "score")
+        counts = old.where("event_id IS NULL").select("score", "n").unionByName(new.groupBy("score").agg(F.count(F.lit(1)).alias("n")))
+        counts = pinned(counts.groupBy("score").agg(F.sum("n").alias("n")))
+        aged = old.where("event_id IS NOT NULL").select("event_id", "score").unionByName(new).withColumn("_age", -F.col("event_id"))
+        newest = pinned(smallest(aged, "_age", "event_id", recent, 1 << 10).select("event_id", "score"))
+        seen = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
         cut = baseline
-        if count >= warmup:
-            got = budget_threshold(sample, ["family"], [max(budget, tail / count)]).first()
-            cut = max(baseline, got["threshold"]) if got else baseline
-        table.write(kept.select("event_id", "score", "hash", "spanning", "recent", F.lit(count).cast("bigint").alias("seen"), F.lit(float(cut)).alias("threshold")), batch_id)
+        if seen >= warmup:
+            sample = counts.unionByName(newest.groupBy("score").agg(F.count(F.lit(1)).alias("n"))).groupBy(F.lit("live").alias("family"), "score").agg(F.sum("n").alias("n"))
+            at = sample.agg(F.ceil((F.sum("n") - 1) * (1.0 - max(budget, tail / seen))).alias("_at"))
+            upto = prefix_sums(sample, ["family"], "score", {"_upto": F.col("n")}).join(F.broadcast(at), F.lit(True))
+            got = upto.where((F.col("_at") < F.col("_upto")) & (F.col("_at") >= F.col("_upto") - F.col("n"))).first()
+            cut = max(baseline, got["score"]) if got else baseline
+        both = counts.select(F.lit(None).cast("bigint").alias("event_id"), "score", "n").unionByName(newest.withColumn("n", F.lit(1).cast("bigint")))
+        table.write(both.withColumns({"seen": F.lit(seen).cast("bigint"), "threshold": F.lit(float(cut))}), batch_id)
     return step
 
 
@@ -88,7 +90,7 @@ def drifted(realised: float, budget: float, tolerance: float = 3.0) -> bool:
     return realised > 0 and budget > 0 and not (1.0 / tolerance <= realised / budget <= tolerance)
 
 
-def score_log(table: VersionedTable, duration_s: float = 7200.0, max_gap_s: float = 600.0, signature: str = "") -> Callable[[DataFrame, int], None]:
+def score_log(table: BatchTable, duration_s: float = 7200.0, max_gap_s: float = 600.0, signature: str = "") -> Callable[[DataFrame, int], None]:
     """The calibration log: one row per (name, flow), the last `duration_s` seconds, cleared by a silence of `max_gap_s`.
 
     `start_us` is the first time the log has held since the last clearing. Rows carry the policy they were kept under: a log resumed with another
@@ -99,7 +101,7 @@ def score_log(table: VersionedTable, duration_s: float = 7200.0, max_gap_s: floa
     gap = int(max_gap_s * 1e6)
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        old = table.read_before(batch_id, schema).where(F.col("policy") == policy).drop("policy")
+        old = table.before(batch_id, schema).where(F.col("policy") == policy).drop("policy")
         rows = old.select("name", "flow", "t_us", "score", F.lit(0).alias("_new"), "start_us").unionByName(
             batch.where(~F.isnan("score") & (F.abs("score") < float("inf"))).select("name", "flow", "t_us", "score", F.lit(1).alias("_new"), F.lit(None).cast("bigint").alias("start_us")))
         # A longer silence than the gap leaves a stretch of that length, so the first and last time of each stretch tell all of them: a row a stretch.
@@ -129,10 +131,10 @@ def live_thresholds(log: DataFrame, baselines: dict[str, float], budgets: dict[s
     return b.join(got, "name", "left").select("name", "samples", "ready", "effective_budget", F.greatest("baseline", F.coalesce("_q", "baseline")).alias("threshold"))
 
 
-def incident_ledger(table: VersionedTable, key: list[str], time: str = "opened_us", merged: str | None = None, retention_us: int = 10_800_000_000) -> Callable[[DataFrame, int], None]:
+def incident_ledger(table: BatchTable, key: list[str], time: str = "opened_us", merged: str | None = None, retention_us: int = 10_800_000_000) -> Callable[[DataFrame, int], None]:
     """Idempotent insert by key with a retention window; `merged` names a flag that keeps the larger of old and new."""
     def step(batch: DataFrame, batch_id: int) -> None:
-        old = table.read_before(batch_id, batch.schema)
+        old = table.before(batch_id, batch.schema)
         rows = old.withColumn("_new", F.lit(0)).unionByName(batch.withColumn("_new", F.lit(1)))
         rest = [c for c in batch.columns if c not in key]
         # An insert keeps the stored row; an upsert takes the newer one, with the larger flag.
@@ -146,14 +148,14 @@ def incident_ledger(table: VersionedTable, key: list[str], time: str = "opened_u
     return step
 
 
-def rolling_window(table: VersionedTable, rebuild: Callable[[DataFrame, int], None], seconds: float = 300.0, events: int | None = None, t: str = "t_us", order: str = "position") -> Callable[[DataFrame, int], None]:
+def rolling_window(table: BatchTable, rebuild: Callable[[DataFrame, int], None], seconds: float = 300.0, events: int | None = None, t: str = "t_us", order: str = "position") -> Callable[[DataFrame, int], None]:
     """Keep the trailing window (by time, and by number of events where one is given) and hand it to `rebuild` after every batch."""
     def step(batch: DataFrame, batch_id: int) -> None:
-        pool = table.read_before(batch_id, batch.schema).unionByName(batch)
+        pool = table.before(batch_id, batch.schema).unionByName(batch)
         newest = pool.agg((F.max(t) - int(seconds * 1e6)).alias("_from"))
         window = pool.join(F.broadcast(newest), F.lit(True)).where(F.col(t) >= F.col("_from")).drop("_from")
         if events is not None:
             window = window.orderBy(F.col(order).desc()).limit(events)
         table.write(window, batch_id)
-        rebuild(table.read_current(batch.schema), batch_id)
+        rebuild(table.before(batch_id + 1, batch.schema), batch_id)
     return step
