@@ -83,8 +83,9 @@ def _t01f(spark, d):
 
 @query("t02_stream_flows", ORACLES["a12_segment_flows"])
 def _t02(spark, d):
-    s = st.stream_flows(packet_stream(spark, d, True), 30_000_000)
-    return rp.run_to_table(s).select("segment_key", "packets", "bytes", "start_us", "end_us", "first_frame", "closed_by_fin")
+    state = rp.scratch(spark, "flow-state")
+    closed = rp.run_to_table(st.stream_flows(rp.staged(fx.conversations(spark, d).select(*SLIM), "frame_no"), 30_000_000), state)
+    return closed.unionByName(st.open_flows(rp.state_of(spark, state))).select("segment_key", "packets", "bytes", "start_us", "end_us", "first_frame", "closed_by_fin")
 
 
 @query("t03_reorder_by_availability", P + "SELECT frame_no AS event_id, us + k * 1000 AS t_obs_us, row_number() OVER (ORDER BY us + k * 1000, frame_no) - 1 AS position FROM packets")

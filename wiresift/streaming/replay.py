@@ -41,16 +41,21 @@ def with_last_tick(df: DataFrame, position: str, us: str, ahead_s: int = 14_400)
     return df.unionByName(last.withColumns({position: F.col(position) + 1, us: F.col(us) + ahead_s * 1_000_000}))
 
 
-def run_to_table(stream: DataFrame) -> DataFrame:
-    """Run everything available through the query into Parquet and read the result."""
+def run_to_table(stream: DataFrame, checkpoint: str | None = None) -> DataFrame:
+    """Run everything available through the query into Parquet and read the result; `checkpoint` names the folder of its state where that is read afterwards."""
     spark = stream.sparkSession
     out = scratch(spark, "out")
-    q = (stream.writeStream.format("parquet").outputMode("append").option("path", out).option("checkpointLocation", scratch(spark, "state"))
+    q = (stream.writeStream.format("parquet").outputMode("append").option("path", out).option("checkpointLocation", checkpoint or scratch(spark, "state"))
          .trigger(availableNow=True).start())
     q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)
 
 
+def state_of(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """(key, state) of every group that a stopped query with one keyed stage still holds, read by Spark's state reader as of its last batch."""
+    return spark.read.format("statestore").load(checkpoint).select("key", F.col("value.groupState").alias("state"))
+
+
 def run_batches(stream: DataFrame, step: Callable[[DataFrame, int], None]) -> int:
     """Run everything available through `step`; returns the id that the next batch would have."""
     done = [-1]

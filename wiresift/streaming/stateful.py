@@ -160,3 +160,12 @@ def stream_flows(packets: DataFrame, timeout_us: int = TIMEOUT_US, delay: str =
     return p.groupBy("segment_key").applyInPandasWithState(
         step, "segment_key string, source string, packets long, bytes long, start_us long, end_us long, first_frame long, closed_by_fin int",
         "live int, source string, packets long, bytes long, start_us long, end_us long, first_frame long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def open_flows(state: DataFrame) -> DataFrame:
+    """The end of a packet stream: the segments of at least two packets that `stream_flows` still holds open, as closed by neither FIN nor timeout.
+
+    state: (key, state), as `replay.state_of` reads them from the stopped query.
+    """
+    s = state.where("state.live = 1 AND state.packets > 1").select("key.segment_key", "state.*")
+    return s.select("segment_key", "source", "packets", "bytes", "start_us", "end_us", "first_frame", F.lit(0).alias("closed_by_fin"))
