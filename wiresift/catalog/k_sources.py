@@ -6,9 +6,11 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wiresift.catalog import d_events as de
 from wiresift.catalog import g_scores as gs
 from wiresift.catalog.registry import ORACLES, query
 from wiresift.operators import features as ft
+from wiresift.operators import flows as fl
 from wiresift.operators import rules as ru
 from wiresift.operators import telemetry as te
 from wiresift.sources import fixtures as fx
@@ -106,6 +108,22 @@ def _s09(spark, d):
     return back.select("schema_version", "window_index", F.col("features.total_packets").alias("packets"), F.coalesce(F.size("graph"), F.lit(0)).cast("bigint").alias("edges"), F.coalesce(F.size("alerts"), F.lit(0)).cast("bigint").alias("alerts"), "ground_truth")
 
 
+@query("s09_active_flows", de.SHORT + de.STATE_SQL + """
+, x AS (SELECT p.*, CAST(FLOOR((us - (SELECT min(us) FROM p)) / 10000000.0) AS BIGINT) AS window_index, sum(length) OVER (PARTITION BY flow_key ORDER BY frame_no) AS bytes, first_value(us) OVER (PARTITION BY flow_key ORDER BY frame_no) AS start_us FROM p)
+, l AS (SELECT *, row_number() OVER (PARTITION BY window_index, flow_key ORDER BY frame_no DESC) AS back FROM x)
+, c AS (SELECT l.*, st.state, row_number() OVER (PARTITION BY window_index ORDER BY us DESC, flow_key) AS place FROM l JOIN st USING (flow_key, rn) WHERE back = 1)
+SELECT window_index, flow_key, state, rn AS total_packets, bytes::BIGINT AS total_bytes, start_us, us AS last_us FROM c WHERE place <= 25""")
+def _s09f(spark, d):
+    """The flows of every window's record, read back from the exported records."""
+    root = scratch(spark, "windows-flows")
+    p = de._short(spark, d)
+    none = p.select(F.lit(0).cast("bigint").alias("window_index"), F.lit("").alias("type")).limit(0)
+    tb.export_window_records(te.window_telemetry(p), te.host_graph_edges(p), none, root, flows=fl.active_flows(p, n=25))
+    flow = "flow_key string, state string, total_packets bigint, total_bytes bigint, start_us bigint, last_us bigint"
+    back = spark.read.schema(f"window_index bigint, active_flows array<struct<{', '.join(x.replace(' ', ':') for x in flow.split(', '))}>>").json(root)
+    return back.select("window_index", F.inline("active_flows"))
+
+
 @query("s10_append_flow_features", P + "SELECT capture, count(*) AS rows FROM packets GROUP BY 1")
 def _s10(spark, d):
     root = scratch(spark, "features")

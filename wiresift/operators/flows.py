@@ -1,11 +1,12 @@
 """Flow meters: per-flow statistics, TCP state and start-anchored segmentation."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wiresift.functions.scalars import half_away
 from wiresift.operators import segments
+from wiresift.operators.telemetry import with_window
 from wiresift.plans.ordering import ROWS_PER_CHUNK, keyed_scan, per_key
 from wiresift.session import pinned
 from wiresift.sources.schemas import FLOW_STATISTICS
@@ -113,6 +114,12 @@ def _progress(p: DataFrame, key: str, cut) -> DataFrame:
     return p.withColumn("fins_before", F.col("_fins") - F.col("_open_fin"))
 
 
+def _state(protocol: Column, resets: Column, established: Column, fins: Column, syns: Column) -> Column:
+    return (F.when(protocol == 17, "UDP_ACTIVE").when(protocol.isin(1, 58), "ICMP_ACTIVE").when(protocol != 6, "INIT").when(resets > 0, "RESET")
+            .when((established == 1) & (fins >= 2), "CLOSED").when((established == 1) & (fins == 1), "FIN_WAIT").when(established == 1, "ESTABLISHED")
+            .when(syns > 0, "SYN_SENT").otherwise("INIT"))
+
+
 def flow_state(packets: DataFrame, key: str = "flow_key", rows_per_chunk: int = ROWS_PER_CHUNK) -> DataFrame:
     """Per flow: final state, per-direction volumes and gaps. Forward is the first packet's orientation."""
     p = per_key(_sided(packets), [key], rows_per_chunk, lambda x, cut: keyed_scan(
@@ -131,10 +138,7 @@ def flow_state(packets: DataFrame, key: str = "flow_key", rows_per_chunk: int =
                  F.coalesce(F.max(own(F.col("_gap"))), F.lit(0.0)).alias(f"s{s}_iat_max_us"),
                  F.coalesce(half_away(F.avg(own(F.col("length").cast("double"))), 1), F.lit(0.0)).alias(f"s{s}_pkt_len_mean")]
     g = p.groupBy(key).agg(*aggs)
-    state = (F.when(F.col("protocol") == 17, "UDP_ACTIVE").when(F.col("protocol").isin(1, 58), "ICMP_ACTIVE")
-             .when((F.col("protocol") != 6), "INIT").when(F.col("rst_count") > 0, "RESET")
-             .when((F.col("_est") == 1) & (F.col("_open_fins") >= 2), "CLOSED").when((F.col("_est") == 1) & (F.col("_open_fins") == 1), "FIN_WAIT")
-             .when(F.col("_est") == 1, "ESTABLISHED").when(F.col("syn_count") > 0, "SYN_SENT").otherwise("INIT"))
+    state = _state(F.col("protocol"), F.col("rst_count"), F.col("_est"), F.col("_open_fins"), F.col("syn_count"))
     parts = ("packets", "bytes", "payload_bytes", "iat_mean_us", "iat_max_us", "pkt_len_mean")
     pick = lambda n, a, b: F.when(F.col("_first_side") == 0, F.col(f"s{a}_{n}")).otherwise(F.col(f"s{b}_{n}"))
     return g.select(
@@ -160,6 +164,22 @@ def active_flow_snapshot(state: DataFrame, window_start_us: int, window_end_us:
             .orderBy(F.col("last_us").desc(), state.columns[0]).limit(n))
 
 
+def active_flows(packets: DataFrame, seconds: int = 10, n: int = 500, key: str = "flow_key", t0: int | None = None, rows_per_chunk: int = ROWS_PER_CHUNK) -> DataFrame:
+    """Per window the flows that had a packet in it, each as its record stood at the window's end; the `n` latest (ties by key).
+
+    A flow meets only the windows it was active in: running facts are read off its last packet of each, and the limit per window works in each task before the shuffle.
+    """
+    first = F.struct((-F.col("frame_no")).alias("order"), F.col("us").alias("us"))
+    p = per_key(_sided(with_window(packets, seconds, t0)), [key], rows_per_chunk, lambda x, cut: keyed_scan(
+        _progress(x, key, cut), [key], "frame_no", maxes={"_first": first}, sums={"total_packets": F.lit(1), "total_bytes": F.col("length")}, rows_per_chunk=cut))
+    so_far = lambda now, seen: F.greatest(F.col(now), F.coalesce(F.col(seen), F.lit(0)))
+    record = F.struct("protocol", _state(F.col("protocol"), so_far("_rst", "_rst_seen"), so_far("_est", "_est_seen"), F.col("_fins"), so_far("_syn", "_syn_seen")).alias("state"),
+                      F.coalesce(F.col("_first.us"), F.col("us")).alias("start_us"), F.col("us").alias("last_us"), "total_packets", "total_bytes")
+    last = p.groupBy("window_index", key).agg(F.max_by(record, "frame_no").alias("r")).select("window_index", key, "r.*")
+    newest = Window.partitionBy("window_index").orderBy(F.col("last_us").desc(), key)
+    return last.withColumn("_place", F.row_number().over(newest)).where(F.col("_place") <= n).drop("_place")
+
+
 def segment_packets(packets: DataFrame, timeout_us: int = TIMEOUT_US, rows_per_chunk: int = segments.ROWS) -> DataFrame:
     """Assign every IPv4 TCP/UDP packet to a flow segment: `segment_key`, `segment` (its first frame), `opens`.
 

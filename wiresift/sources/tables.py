@@ -123,8 +123,8 @@ def inventory(spark: SparkSession, path: str) -> DataFrame:
     return files.groupBy("set", "portion").agg(F.countDistinct("day").alias("days"), F.sum("file_size").alias("bytes"))
 
 
-def export_window_records(windows: DataFrame, edges: DataFrame, alerts: DataFrame, path: str, label: str | None = None, max_edges: int | None = None) -> None:
-    """One JSON record per window: its features, its graph and its alerts.
+def export_window_records(windows: DataFrame, edges: DataFrame, alerts: DataFrame, path: str, label: str | None = None, max_edges: int | None = None, flows: DataFrame | None = None) -> None:
+    """One JSON record per window: its features, its graph, its alerts and, where given, its active flows (`operators.flows.active_flows`, already limited per window).
 
     A record's graph holds all edges of its window, or for a bounded record the `max_edges` that appeared first; that limit
     is applied per task before edges are gathered.
@@ -136,6 +136,8 @@ def export_window_records(windows: DataFrame, edges: DataFrame, alerts: DataFram
     pack = lambda d, name: d.groupBy("window_index").agg(F.collect_list(F.struct(*[c for c in d.columns if c != "window_index"])).alias(name))
     rec = windows.select("window_index", F.struct(*[c for c in windows.columns if c != "window_index"]).alias("features"))
     out = rec.join(pack(edges, "graph"), "window_index", "left").join(pack(alerts, "alerts"), "window_index", "left")
+    if flows is not None:
+        out = out.join(pack(flows, "active_flows"), "window_index", "left")
     out.select(F.lit("2.0").alias("schema_version"), "*", F.lit(label).alias("ground_truth")).write.mode("overwrite").json(path)
 
 
