@@ -591,3 +591,17 @@ def test_silence_is_found_across_stretches(spark):
 
 def test_realised_rates_that_leave_their_budget():
     assert sk.drifted(0.04, 0.01) and sk.drifted(0.003, 0.01) and not sk.drifted(0.02, 0.01) and not sk.drifted(0.0, 0.01)
+
+
+def test_day_tables_are_written_in_one_pass_and_rebuilt_after_an_interruption(spark):
+    root = rp.scratch(spark, "day-tables")
+    df = spark.createDataFrame([(d, i) for d in "abc" for i in range(5)], "day string, x long")
+    days = lambda: {r.day: r.n for r in spark.read.schema("x long, day string").parquet(root).groupBy("day").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert tb.write_day_tables(df, root, {"a": "1", "b": "1"}) == ["a", "b"] and days() == {"a": 5, "b": 5}
+    assert tb.write_day_tables(df, root, {"a": "1", "b": "2", "c": "1"}) == ["b", "c"] and days() == {"a": 5, "b": 5, "c": 5}
+    # rows of a day replaced, its marker not yet written: the day is rebuilt, and only that one
+    df.where("day = 'c' and x < 2").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(root)
+    assert not tb.is_current(spark, root, "c", "1") and days()["c"] == 2
+    assert tb.write_day_tables(df, root, {"a": "1", "b": "2", "c": "1"}) == ["c"] and days()["c"] == 5
+    # a day that has lost all rows
+    assert tb.write_day_tables(df.where("day <> 'a'"), root, {"a": "3"}) == ["a"] and "a" not in days() and tb.is_current(spark, root, "a", "3")

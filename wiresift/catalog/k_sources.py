@@ -87,13 +87,9 @@ def _s05(spark, d):
 def _s08(spark, d):
     root = scratch(spark, "days")
     p = fx.packets(spark, d).select((1 + F.col("user_id") % 3).cast("string").alias("day"), "frame_no")
-    out = []
-    for day in ("1", "2", "3"):
-        part = p.where(F.col("day") == day)
-        marks = [tb.write_day_table(part, root, day, f) for f in ("rules-a", "rules-a", "rules-b")]
-        got = spark.read.parquet(f"{root}/day={day}").agg(F.count(F.lit(1)).alias("rows"))
-        out.append(got.select(F.lit(day).alias("day"), "rows", *[F.lit(m).alias(n) for m, n in zip(marks, ("first_write", "same_again", "other_rules"))]))
-    return reduce(DataFrame.unionByName, out)
+    marks = [tb.write_day_tables(p, root, dict.fromkeys(("1", "2", "3"), f)) for f in ("rules-a", "rules-a", "rules-b")]
+    rows = spark.read.schema("frame_no bigint, day string").parquet(root).groupBy("day").agg(F.count(F.lit(1)).alias("rows"))
+    return rows.select("day", "rows", *[F.col("day").isin(m).alias(n) if m else F.lit(False).alias(n) for m, n in zip(marks, ("first_write", "same_again", "other_rules"))])
 
 
 @query("s09_export_window_records", f"""WITH t AS ({ORACLES['a07_window_telemetry']}), e AS (SELECT window_index, count(*) AS n FROM ({ORACLES['a09_host_graph_edges']}) GROUP BY 1), a AS (SELECT window_index, count(*) AS n FROM ({ORACLES['r14_suspicious_flags']}) GROUP BY 1)

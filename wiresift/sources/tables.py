@@ -75,18 +75,33 @@ class BatchTable:
         return self._load(schema).where(F.col("slot") < batch_id).drop("batch_id", "slot")
 
 
-def write_day_table(df: DataFrame, path: str, day: str, fingerprint: str) -> bool:
-    """Write one day as zstd Parquet under `day=<day>` unless it is already there with this fingerprint; True when written.
+def _drop_folder(spark: SparkSession, path: str) -> None:
+    _, p, fs = _fs(spark, path)
+    if fs.exists(p):
+        fs.delete(p, True)
+
+
+def write_day_tables(df: DataFrame, path: str, fingerprints: dict[str, str]) -> list[str]:
+    """Write the days named in `fingerprints` as zstd Parquet under `day=<day>`, in one pass over `df` (with a column `day`); returns the days written.
 
-    The marker with the fingerprint is written last: a day without it, or with another one, is rebuilt.
+    Days that are there with their fingerprint are left alone, and their rows are not read where `df` prunes by day. The others replace their partitions, which takes the old marker away with the old rows; the markers
+    are written last, so a day of an interrupted run has none, or the old one, and is rebuilt. A day without rows is an empty folder with a marker.
     """
     spark = df.sparkSession
-    target = f"{path}/day={day}"
-    if read_small(spark, f"{target}/_FINGERPRINT") == fingerprint:
-        return False
-    df.drop("day").write.mode("overwrite").option("compression", "zstd").parquet(target)
-    write_small(spark, f"{target}/_FINGERPRINT", fingerprint)
-    return True
+    stale = [d for d, f in fingerprints.items() if read_small(spark, f"{path}/day={d}/_FINGERPRINT") != f]
+    if stale:
+        rows = df.where(F.col("day").isin(stale))
+        rows.write.mode("overwrite").option("compression", "zstd").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path)
+    for d in stale:
+        if read_small(spark, f"{path}/day={d}/_FINGERPRINT") is not None:  # the old partition still stands: no row replaced it
+            _drop_folder(spark, f"{path}/day={d}")
+        write_small(spark, f"{path}/day={d}/_FINGERPRINT", fingerprints[d])
+    return stale
+
+
+def write_day_table(df: DataFrame, path: str, day: str, fingerprint: str) -> bool:
+    """One day of `write_day_tables`; True when written."""
+    return bool(write_day_tables(df.withColumn("day", F.lit(day)), path, {day: fingerprint}))
 
 
 def is_current(spark: SparkSession, path: str, day: str, fingerprint: str) -> bool:
