@@ -358,6 +358,18 @@ def _a30(spark, d):
     return rnd(me.bootstrap_ci(s, "position", (F.col("score") >= CUT).cast("double"), samples=50, seed=3), "low", "high")
 
 
+@query("a30_bootstrap_ranking_ci", P + f""", s AS (SELECT position, family, score, positive FROM sc WHERE positive OR NOT attack)
+, u AS (SELECT family, score, positive, r, (((((position * 2654435761 + (r * 1000003 + 5) * 40503) % 4294967296) * 69069 + 1) % 4294967296) + 0.5::DOUBLE) / 4294967296.0::DOUBLE AS u FROM s CROSS JOIN range(20) g(r))
+, w AS (SELECT family, score, positive, r, len(list_filter({_poisson_cuts()!r}::DOUBLE[], lambda c: u >= c)) AS w FROM u)
+, b AS (SELECT family, r, score, COALESCE(sum(w) FILTER (positive), 0) AS pos, COALESCE(sum(w) FILTER (NOT positive), 0) AS neg FROM w WHERE w > 0 GROUP BY 1, 2, 3)
+, c AS (SELECT *, COALESCE(sum(neg) OVER (PARTITION BY family, r ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below, sum(pos) OVER (PARTITION BY family, r ORDER BY score DESC) AS tp, sum(pos + neg) OVER (PARTITION BY family, r ORDER BY score DESC) AS seen,
+   sum(pos) OVER (PARTITION BY family, r) AS total_pos FROM b)
+, v AS (SELECT family, 'auroc' AS metric, sum(pos * (below + neg / 2.0::DOUBLE)) / (sum(pos)::DOUBLE * sum(neg)::DOUBLE) AS v FROM c GROUP BY family, r UNION ALL SELECT family, 'pr_auc', sum(pos / total_pos::DOUBLE * (tp / seen::DOUBLE)) FROM c GROUP BY family, r)
+SELECT family, metric, round(quantile_cont(v, 0.025), 9) AS low, round(quantile_cont(v, 0.975), 9) AS high FROM v GROUP BY 1, 2""")
+def _a30r(spark, d):
+    return rnd(me.bootstrap_ranking_ci(scores(spark, d).where("positive OR NOT attack"), "position", ["family"], samples=20, seed=5), "low", "high")
+
+
 VALUE = P + ", v AS (SELECT position, t_us, sender % 8 AS sender, receiver % 4 AS receiver, -score AS value, src_ip, dst_ip, k FROM sc WHERE family = 'Flood')"
 
 

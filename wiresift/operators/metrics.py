@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from wiresift.functions.scalars import portable_hash
 from wiresift.plans.ordering import order_statistic, prefix_sums
+from wiresift.session import pinned
 
 # The false-alarm budgets of a sweep.
 BUDGETS = (0.01, 0.003, 0.001, 3e-4, 1e-4, 6e-5, 3e-5, 2e-5, 1e-5, 3e-6)
@@ -91,28 +92,33 @@ def pick_operating_point(table: DataFrame, floor: float, groups: Sequence[str] =
     return best.select(*groups, "_r.*")
 
 
-def pr_curve(df: DataFrame, groups: Sequence[str], score: str = "score", positive: str = "positive") -> DataFrame:
-    """One precision/recall point per distinct score, best score first: cumulative `tp` and `seen`, totals alongside."""
+def _times(condition: Column, weight: str | None) -> Column:
+    """How many rows hold, each counted `weight` times."""
+    return F.count(F.when(condition, 1)) if weight is None else F.coalesce(F.sum(F.when(condition, F.col(weight))), F.lit(0))
+
+
+def pr_curve(df: DataFrame, groups: Sequence[str], score: str = "score", positive: str = "positive", weight: str | None = None) -> DataFrame:
+    """One precision/recall point per distinct score, best score first: cumulative `tp` and `seen`, totals alongside. A row with a `weight`, an integer, stands for so many."""
     groups = list(groups)
-    by = df.groupBy(*groups, score).agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col(positive), 1)).alias("pos"))
+    by = df.groupBy(*groups, score).agg(_times(F.lit(True), weight).alias("n"), _times(F.col(positive), weight).alias("pos"))
     cum = prefix_sums(by, groups, score, {"seen": F.col("n"), "tp": F.col("pos")}, descending=True)
     total = by.groupBy(*groups).agg(F.sum("n").alias("total"), F.sum("pos").alias("total_pos"))
     j = cum.join(total, groups) if groups else cum.join(F.broadcast(total), F.lit(True))
     return j.withColumns({"precision": F.col("tp") / F.col("seen"), "recall": F.col("tp") / F.greatest("total_pos", F.lit(1))})
 
 
-def average_precision(df: DataFrame, groups: Sequence[str], score: str = "score", positive: str = "positive") -> DataFrame:
+def average_precision(df: DataFrame, groups: Sequence[str], score: str = "score", positive: str = "positive", weight: str | None = None) -> DataFrame:
     """Tied average precision per group; null where a class is absent."""
-    c = pr_curve(df, groups, score, positive)
+    c = pr_curve(df, groups, score, positive, weight)
     ap = F.sum(F.col("pos") / F.col("total_pos") * F.col("precision"))
     both = (F.max("total_pos") > 0) & (F.max("total_pos") < F.max("total"))
     return c.groupBy(*groups).agg(F.max("total_pos").alias("positives"), F.when(both, ap).alias("pr_auc"))
 
 
-def auroc(df: DataFrame, groups: Sequence[str], score: str = "score", positive: str = "positive") -> DataFrame:
+def auroc(df: DataFrame, groups: Sequence[str], score: str = "score", positive: str = "positive", weight: str | None = None) -> DataFrame:
     """Area under the ROC curve with average ranks for ties; null where a class is absent."""
     groups = list(groups)
-    by = df.groupBy(*groups, score).agg(F.count(F.when(F.col(positive), 1)).alias("pos"), F.count(F.when(~F.col(positive), 1)).alias("neg"))
+    by = df.groupBy(*groups, score).agg(_times(F.col(positive), weight).alias("pos"), _times(~F.col(positive), weight).alias("neg"))
     cum = prefix_sums(by, groups, score, {"below": F.col("neg")})
     wins = F.sum(F.col("pos").cast("double") * (F.col("below") - F.col("neg") + F.col("neg") / 2))
     pairs = F.sum(F.col("pos").cast("double")) * F.sum(F.col("neg").cast("double"))
@@ -219,25 +225,45 @@ def reconstruction_quality(df: DataFrame, error: str = "error", attack: str = "a
                   ((F.avg(a) - F.avg(b)) / spread).alias("separation"))
 
 
+def _poisson_weight(key: str, replicate: Column | int, seed: int) -> Column:
+    """How often a resample draws a row: the inverse Poisson(1) distribution function of a hash of (row, replicate), to where its tail is below the step of the hash."""
+    r = replicate if isinstance(replicate, Column) else F.lit(replicate)
+    u = (portable_hash(F.col(key), r * 1_000_003 + seed) + 0.5) / float(1 << 32)
+    p, total, out = 0.36787944117144233, 0.36787944117144233, F.lit(0)
+    for k in range(1, 19):
+        out = out + F.when(u >= total, 1).otherwise(0)
+        p /= k
+        total += p
+    return out
+
+
 def bootstrap_ci(df: DataFrame, key: str, metric: Column, samples: int = 100, seed: int = 0, level: float = 0.95) -> DataFrame:
     """Percentile interval of a weighted-mean metric: Poisson(1) weights from a hash of (row, replicate).
 
     Weights add up inside one aggregate, so no resample is ever materialised or moved.
     """
-    u = lambda r: (portable_hash(F.col(key), F.lit(r * 1_000_003 + seed)) + 0.5) / float(1 << 32)
-
-    def weight(r):  # inverse Poisson(1) distribution function, to where its tail is below the step of the hash
-        x, p, total, out = u(r), 0.36787944117144233, 0.36787944117144233, F.lit(0)
-        for k in range(1, 19):
-            out = out + F.when(x >= total, 1).otherwise(0)
-            p /= k
-            total += p
-        return out.cast("double")
+    weight = lambda r: _poisson_weight(key, r, seed).cast("double")
     sums = df.agg(*[F.struct(F.sum(weight(r) * metric).alias("s"), F.sum(weight(r)).alias("w")).alias(f"r{r}") for r in range(samples)])
     vals = sums.select(F.explode(F.array(*[F.struct((F.col(f"r{r}.s") / F.col(f"r{r}.w")).alias("v")) for r in range(samples)])).alias("x")).select("x.v")
     return vals.agg(F.percentile("v", (1 - level) / 2).alias("low"), F.percentile("v", (1 + level) / 2).alias("high"))
 
 
+def bootstrap_ranking_ci(df: DataFrame, key: str, groups: Sequence[str] = (), score: str = "score", positive: str = "positive", samples: int = 100, seed: int = 0, level: float = 0.95) -> DataFrame:
+    """(*groups, metric, low, high): percentile intervals of `auroc` and `pr_auc`, by the same weights as `bootstrap_ci`.
+
+    A row is written out for each resample that draws it and at once added to its distinct score there, before any shuffle; all resamples then share the value buckets of one set of prefix sums. A
+    resample without both classes has no value and counts for nothing.
+    """
+    groups = list(groups)
+    drawn = df.select(*groups, score, positive, key, F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("_replicate"))
+    drawn = drawn.withColumn("_weight", _poisson_weight(key, F.col("_replicate").cast("bigint"), seed)).where("_weight > 0")
+    counts = pinned(drawn.groupBy(*groups, "_replicate", score, positive).agg(F.sum("_weight").alias("_weight")))
+    own = [*groups, "_replicate"]
+    area = auroc(counts, own, score, positive, "_weight").select(*groups, F.lit("auroc").alias("metric"), F.col("auroc").alias("v"))
+    precision = average_precision(counts, own, score, positive, "_weight").select(*groups, F.lit("pr_auc").alias("metric"), F.col("pr_auc").alias("v"))
+    return area.unionByName(precision).groupBy(*groups, "metric").agg(F.percentile("v", (1 - level) / 2).alias("low"), F.percentile("v", (1 + level) / 2).alias("high"))
+
+
 def drift_report(live: DataFrame, training: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Per feature: mean shift in training deviations, deviation ratio, both means; the largest shift first."""
     from wiresift.functions.scalars import signed_log
