@@ -605,3 +605,15 @@ def test_day_tables_are_written_in_one_pass_and_rebuilt_after_an_interruption(sp
     assert tb.write_day_tables(df, root, {"a": "1", "b": "2", "c": "1"}) == ["c"] and days()["c"] == 5
     # a day that has lost all rows
     assert tb.write_day_tables(df.where("day <> 'a'"), root, {"a": "3"}) == ["a"] and "a" not in days() and tb.is_current(spark, root, "a", "3")
+
+
+def test_prefix_check_finds_an_operator_that_looks_ahead(spark):
+    from pyspark.sql import Window
+
+    from wiresift.operators import invariance as iv
+    _, df = history(spark, 60)
+    w = Window.partitionBy("sender").orderBy("position")
+    check = lambda op: tuple(iv.prefix_differences(lambda d: d.withColumn("x", op), df, 40, ["position", "x"]).first())
+    assert check(F.lag("position").over(w)) == (40, 0, 0)
+    compared, missing, added = check(F.lead("position").over(w))
+    assert compared == 40 and missing == added > 0
