@@ -78,14 +78,15 @@ RANKS = P + f"""
 """
 
 
-def host_table(spark, d):
-    ends = stream(spark, d).select(F.col("position"), F.explode(F.array("sender", "receiver")).alias("host"))
+def host_table(e):
+    ends = e.select(F.col("position"), F.explode(F.array("sender", "receiver")).alias("host"))
     return ends.groupBy("host").agg(F.min("position").alias("first_position")).withColumn("ip_number", 167772160 + F.col("host") * 37 % 1000)
 
 
 def inputs(spark, d):
-    """The events, the forecasts and the hosts, as the rankings take them."""
-    return stream(spark, d), points(spark, d), pinned(host_table(spark, d))
+    """The events, the forecasts and the hosts, as the rankings take them, written once."""
+    e = pinned(stream(spark, d))
+    return e, pinned(fo.forecast_points(e, EVERY)), pinned(host_table(e))
 
 
 def pool(e, f, hosts):
@@ -94,9 +95,9 @@ def pool(e, f, hosts):
     return reduce(DataFrame.union, [l.select("forecast", "host", F.lit(i).alias("source"), F.col("rank").cast("int").alias("rank")) for i, l in enumerate(parts)])
 
 
-def places(pairs, e, f, hosts):
+def places(pairs, e, f, hosts, targets=None):
     """Where the whole lists by popularity and by distance put given hosts."""
-    return fo.popularity_places(pairs, e, f, hosts, HISTORY, EVERY).select("forecast", "host", "rank"), fo.proximity_places(pairs, e, f, hosts).select("forecast", "host", "rank")
+    return fo.popularity_places(pairs, e, f, hosts, HISTORY, EVERY).select("forecast", "host", "rank"), fo.proximity_places(pairs, e, f, hosts, targets=targets).select("forecast", "host", "rank")
 
 
 @query("m13_recency_ranking", RANKS + "SELECT forecast, host, rank::INT AS rank FROM rec")
@@ -164,13 +165,14 @@ ALL = RANKS + ", lst AS (SELECT 'recent' AS method, forecast, host, rank FROM re
     "fr AS (SELECT m.method, t.forecast, t.host, t.ord, l.rank FROM truth t CROSS JOIN (SELECT DISTINCT method FROM lst) m LEFT JOIN lst l ON l.method = m.method AND l.forecast = t.forecast AND l.host = t.host WHERE ord IS NOT NULL)"
 
 
-def rankings(spark, d, true, shown=10):
-    """Of each list the first `shown` and the places of the true hosts."""
+def judged(spark, d, shown=10):
+    """Of each list the first `shown` and the places of the true hosts, and what was true."""
     e, f, hosts = inputs(spark, d)
-    popular, near = places(true.where("`order` IS NOT NULL"), e, f, hosts)
-    first = fo.popularity_first(e, f, hosts, shown, HISTORY, EVERY), fo.proximity_first(e, f, hosts, shown)
+    true, targets = pinned(fo.new_contacts(e, f, HORIZON)), pinned(fo.last_targets(e, f))
+    popular, near = places(true.where("`order` IS NOT NULL"), e, f, hosts, targets)
+    first = fo.popularity_first(e, f, hosts, shown, HISTORY, EVERY), fo.proximity_first(e, f, hosts, shown, targets=targets)
     both = [("recent", fo.recency_ranking(e, f, WINDOW)), ("popular", popular), ("popular", first[0]), ("near", near), ("near", first[1])]
-    return pinned(reduce(DataFrame.union, [l.select(F.lit(n).alias("method"), "forecast", "host", F.col("rank").cast("long").alias("rank")) for n, l in both]).distinct())
+    return pinned(reduce(DataFrame.union, [l.select(F.lit(n).alias("method"), "forecast", "host", F.col("rank").cast("long").alias("rank")) for n, l in both]).distinct()), true
 
 
 @query("m15_hit_report", ALL + """
@@ -179,8 +181,7 @@ def rankings(spark, d, true, shown=10):
 , c0 AS (SELECT l.method, l.forecast, """ + ", ".join(f"avg(CASE WHEN l.rank < {n} THEN CASE WHEN t.host IS NULL THEN 0.0::DOUBLE ELSE 1.0 END END) AS p{n}" for n in (3, 10)) + """ FROM lst l LEFT JOIN truth t ON t.forecast = l.forecast AND t.host = l.host WHERE l.rank < 10 AND l.forecast IN (SELECT forecast FROM truth WHERE ord = 1) GROUP BY 1, 2)
 , c AS (SELECT method, """ + ", ".join(f"round(avg(p{n}), 6) AS precision_{n}" for n in (3, 10)) + """ FROM c0 GROUP BY 1) SELECT * FROM a JOIN b USING (method) JOIN c USING (method)""")
 def _m15(spark, d):
-    true = pinned(truth(spark, d))
-    r = fo.hit_report(rankings(spark, d, true), true)
+    r = fo.hit_report(*judged(spark, d))
     return r.select("method", "forecasts", *[F.round(c, 6).alias(c) for c in r.columns if c not in ("method", "forecasts")])
 
 
@@ -190,8 +191,7 @@ def _m15(spark, d):
 , q AS (SELECT method, level, rank + 1 AS size FROM s CROSS JOIN (VALUES (0.5::DOUBLE), (0.8::DOUBLE)) v(level) WHERE rk = CAST(ceil((m - 1) * level) AS BIGINT))
 SELECT method, level, size, round(avg(CASE WHEN rank < size THEN 1.0 ELSE 0.0 END), 6) AS held FROM h JOIN q USING (method) WHERE NOT half GROUP BY 1, 2, 3""")
 def _m16(spark, d):
-    true = pinned(truth(spark, d))
-    r = fo.first_ranks(rankings(spark, d, true), true).where("`order` = 1").select("method", "forecast", "rank")
+    r = fo.first_ranks(*judged(spark, d)).where("`order` = 1").select("method", "forecast", "rank")
     return fo.conformal_list_size(r, (0.5, 0.8)).withColumn("held", F.round("held", 6))
 
 

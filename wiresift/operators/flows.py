@@ -37,7 +37,10 @@ def flow_statistics(packets: DataFrame, key: str = "flow_uid", idle_us: int = ID
             "_break": F.coalesce((raw >= idle_us).cast("int"), F.lit(0)), "_idle": F.when(raw >= idle_us, raw.cast("double")),
             "_len": F.col("length").cast("double"), "_hdr": F.col("header_len").cast("double")})
         return keyed_scan(p, [key], "frame_no", sums={"_island": F.col("_break")}, rows_per_chunk=cut)
-    p = per_key(_sided(packets), [key], rows_per_chunk, chain)
+    flags = [c for c in packets.columns if c.startswith("tcp_flag_")]
+    used = [key, "frame_no", "us", "length", "header_len", "payload_len", "tcp_window", *flags]
+    # read twice below: the scans are done once
+    p = pinned(per_key(_sided(packets).select(*dict.fromkeys(used), "side"), [key], rows_per_chunk, chain).drop("_prev", "_prev_side"))
     spans = p.groupBy(key, "_island").agg((F.max_by("us", "frame_no") - F.min_by("us", "frame_no")).cast("double").alias("_active"))
     active = F.when(F.col("_active") > 0, F.col("_active"))
     spans = spans.groupBy(key).agg(F.avg(active).alias("_a_mean"), F.stddev_samp(active).alias("_a_sd"), F.max(active).alias("_a_max"), F.min(active).alias("_a_min"))

@@ -85,8 +85,8 @@ def popularity_ranking(events: DataFrame, forecasts: DataFrame, history: int = 2
     return _ranked(j, [F.col("popularity").desc()], cap)
 
 
-def _targets(events: DataFrame, forecasts: DataFrame, position: str, sender: str, receiver: str, rows_per_chunk: int) -> DataFrame:
-    """(forecast, position, _attacker, _target): the attacker's last three targets at each forecast."""
+def last_targets(events: DataFrame, forecasts: DataFrame, position: str = "position", sender: str = "sender", receiver: str = "receiver", rows_per_chunk: int = ROWS_PER_CHUNK) -> DataFrame:
+    """(forecast, position, _attacker, _target): the attacker's last three targets at each forecast, as the operators by distance take them."""
     e = per_key(events.select(position, sender, receiver), [sender], rows_per_chunk, lambda x, cut: keyed_scan(
         keyed_scan(x, [sender], position, lags={"_r1": F.col(receiver)}, rows_per_chunk=cut), [sender], position, lags={"_r2": F.col("_r1")}, rows_per_chunk=cut))
     return e.join(forecasts.select("forecast", position), position).select(
@@ -94,14 +94,14 @@ def _targets(events: DataFrame, forecasts: DataFrame, position: str, sender: str
 
 
 def proximity_ranking(events: DataFrame, forecasts: DataFrame, hosts: DataFrame, cap: int, position: str = "position", sender: str = "sender", receiver: str = "receiver",
-                      rows_per_chunk: int = ROWS_PER_CHUNK) -> DataFrame:
+                      rows_per_chunk: int = ROWS_PER_CHUNK, targets: DataFrame | None = None) -> DataFrame:
     """The first `cap` of the hosts seen before each forecast by IPv4 distance to the nearest of the attacker's last three targets.
 
     hosts: host, ip_number, first_position. Hosts without a number are not near any and not listed. Hosts are put in address order once, and a target meets
     only those within `reach` places of its own.  A forecast is settled when `cap` of them are nearer than anything outside could be; the
     others look eight times as far, so no forecast meets all hosts unless its own answer needs them. `proximity_places` has the place of any host in the whole list.
     """
-    targets = _targets(events, forecasts, position, sender, receiver, rows_per_chunk)
+    targets = last_targets(events, forecasts, position, sender, receiver, rows_per_chunk) if targets is None else targets
     placed = pinned(dense_id(hosts.where("ip_number IS NOT NULL").select("host", "ip_number", "first_position"), ["ip_number", "host"], "_i"))
     total = placed.count()
     left = pinned(targets.join(placed.select(F.col("host").alias("_target"), F.col("ip_number").alias("_ip"), F.col("_i").alias("_at_i")), "_target")
@@ -154,14 +154,14 @@ def hosts_seen(forecasts: DataFrame, hosts: DataFrame, position: str = "position
 
 
 def proximity_places(pairs: DataFrame, events: DataFrame, forecasts: DataFrame, hosts: DataFrame, position: str = "position", sender: str = "sender", receiver: str = "receiver",
-                     rows_per_chunk: int = ROWS_PER_CHUNK, rows: int = dominance.ROWS) -> DataFrame:
+                     rows_per_chunk: int = ROWS_PER_CHUNK, rows: int = dominance.ROWS, targets: DataFrame | None = None) -> DataFrame:
     """(forecast, host, distance, rank): the place of each pair's host in the forecast's whole list by distance; hosts not seen by then, and the attacker, are not listed.
 
     Hosts without an address, or all where no target has one, come last with no distance, in order of their ids. A place is a count of hosts in ranges of (address, host) that
     were seen by the forecast: the open stretches around the targets, and of equally far addresses the smaller ids. The ranges' ends are counted all at once.
     """
     number = hosts.select("host", "ip_number", "first_position")
-    targets = _targets(events, forecasts, position, sender, receiver, rows_per_chunk)
+    targets = last_targets(events, forecasts, position, sender, receiver, rows_per_chunk) if targets is None else targets
     near = targets.join(number.select(F.col("host").alias("_target"), F.col("ip_number").alias("_ip")), "_target", "left").groupBy("forecast", position, "_attacker").agg(F.array_sort(F.collect_set("_ip")).alias("t"))
     near = near.join(number.select(F.col("host").alias("_attacker"), F.col("ip_number").alias("_own")), "_attacker", "left")
     away = lambda ip: F.array_min(F.transform("t", lambda x: F.abs(ip - x)))
@@ -241,9 +241,9 @@ def popularity_first(events: DataFrame, forecasts: DataFrame, hosts: DataFrame,
     return _filled(few, F.lit(0).cast("long"), forecasts, hosts, cap, position, sender)
 
 
-def proximity_first(events: DataFrame, forecasts: DataFrame, hosts: DataFrame, cap: int, position: str = "position", sender: str = "sender", receiver: str = "receiver") -> DataFrame:
+def proximity_first(events: DataFrame, forecasts: DataFrame, hosts: DataFrame, cap: int, position: str = "position", sender: str = "sender", receiver: str = "receiver", targets: DataFrame | None = None) -> DataFrame:
     """(forecast, host, distance, rank): the first `cap` of each whole list by distance; hosts without one come behind, in order of ids."""
-    few = pinned(proximity_ranking(events, forecasts, hosts, cap, position, sender, receiver).select("forecast", "host", "distance", "rank"))
+    few = pinned(proximity_ranking(events, forecasts, hosts, cap, position, sender, receiver, targets=targets).select("forecast", "host", "distance", "rank"))
     return _filled(few, F.lit(None).cast("long"), forecasts, hosts, cap, position, sender)
 
 

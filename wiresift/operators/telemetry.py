@@ -154,9 +154,9 @@ def window_telemetry(packets: DataFrame, seconds: int = 10, rows_per_chunk: int
     return w.select(*[c.alias(n) for n, c in out.items()])
 
 
-def host_graph_edges(packets: DataFrame, seconds: int = 10) -> DataFrame:
+def host_graph_edges(packets: DataFrame, seconds: int = 10, t0: int | None = None) -> DataFrame:
     """Directed host pairs per window with their counts, protocol set and flag counts."""
-    p = packet_windows(packets, seconds)
+    p = packet_windows(packets, seconds, t0)
     return p.groupBy("window_index", "src_ip", "dst_ip").agg(
         F.count(F.lit(1)).alias("packet_count"), F.sum("length").alias("byte_count"),
         F.array_sort(F.collect_set("proto")).alias("protocols"),
@@ -169,7 +169,8 @@ def host_graph_edges(packets: DataFrame, seconds: int = 10) -> DataFrame:
 
 def host_graph_nodes(packets: DataFrame, seconds: int = 10) -> DataFrame:
     """Per window and host: degrees, volumes, distinct ports contacted, handshakes begun. Built from the edge table."""
-    e = host_graph_edges(packets, seconds)
+    t0 = time_range(packets)[0]
+    e = host_graph_edges(packets, seconds, t0)
     zero = F.lit(0).cast("bigint")
     role = lambda ip, out: F.struct(
         ip.alias("ip"), F.lit(int(out)).alias("out"), F.lit(int(not out)).alias("inn"),
@@ -181,7 +182,7 @@ def host_graph_nodes(packets: DataFrame, seconds: int = 10) -> DataFrame:
         F.sum("out").alias("out_degree"), F.sum("inn").alias("in_degree"), F.sum("ps").alias("packets_sent"),
         F.sum("pr").alias("packets_received"), F.sum("bs").alias("bytes_sent"), F.sum("br").alias("bytes_received"),
         F.sum("inc").alias("incomplete_conns_initiated"), F.min("first_frame").alias("first_frame"))
-    ports = with_window(packets, seconds).where("dst_port > 0").groupBy("window_index", F.col("src_ip").alias("ip")).agg(
+    ports = with_window(packets, seconds, t0).where("dst_port > 0").groupBy("window_index", F.col("src_ip").alias("ip")).agg(
         F.countDistinct("dst_port").alias("distinct_ports_contacted"))
     return nodes.join(ports, ["window_index", "ip"], "left").withColumn(
         "distinct_ports_contacted", F.coalesce("distinct_ports_contacted", F.lit(0)).cast("bigint"))

@@ -1,7 +1,7 @@
 """How many points lie below and left of each of many corners, offline, without a point meeting a corner in a row.
 
 Points are cut into blocks of about `rows` by x and by y. A corner's count is that of the whole cells below and left of it (a prefix sum over the grid of cell counts), of
-its own column of blocks and of its own row of blocks. Inside one column or row the corners are answered together by a bitwise sort of the block's points; many corners of one block are dealt to several tasks.
+its own column of blocks and of its own row of blocks. Inside one column or row the corners are answered, a batch at a time, by a bitwise sort of the block's points; many corners of one block are dealt to several tasks.
 """
 from __future__ import annotations
 
@@ -11,6 +11,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wiresift.plans.ordering import dense_id
 from wiresift.plans.sizes import broadcast_if_small
@@ -38,10 +39,8 @@ def dominated(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.
     return out
 
 
-def _bounds(points: DataFrame, c: str, rows: int, n: int) -> np.ndarray:
+def _bounds(points: DataFrame, c: str, rows: int) -> np.ndarray:
     """The value that begins each block of `rows` points: one number for so many rows."""
-    if n <= rows:
-        return np.array([points.agg(F.min(c)).first()[0]], np.int64)
     first = dense_id(points.select(c), [c], "_i").where(F.col("_i") % rows == 0).select(c).collect()
     return np.unique(np.array([r[0] for r in first], np.int64))
 
@@ -60,11 +59,17 @@ def counts(points: DataFrame, corners: DataFrame, keys: Sequence[str], rows: int
     A key whose corners have no point below them gets 0.
     """
     keys = list(keys)
-    points = pinned(points.select("x", "y"))
+    points = points.select("x", "y")
     none, size = corners.select(*keys, F.lit(0).cast("long").alias("n")), points.count()
     if not size:
         return none.distinct()
-    bx, by = _bounds(points, "x", rows, size), _bounds(points, "y", rows, size)
+    if size <= rows:  # one block, which every task can hold
+        deals = points.sparkSession.sparkContext.defaultParallelism
+        asked = corners.select(F.lit(0).alias("axis"), F.lit(0).cast("long").alias("block"), F.col("x").alias("a"), F.col("y").alias("b"), "sign", *keys)
+        given = points.select(F.lit(0).alias("axis"), F.lit(0).cast("long").alias("block"), F.col("x").alias("a"), F.col("y").alias("b"))
+        return _summed(none, [_answered(asked.withColumn("deals", F.lit(deals)), given.withColumn("deals", F.lit(deals)), keys)], keys)
+    points = pinned(points)
+    bx, by = _bounds(points, "x", rows), _bounds(points, "y", rows)
     p = points.withColumns({"i": _place(bx, "right")("x"), "j": _place(by, "right")("y")})
     q = pinned(corners.select(*keys, "sign", "x", "y", _place(bx, "left")("x").alias("i"), _place(by, "left")("y").alias("j")))
     met = q.where("i >= 0 and j >= 0")
@@ -82,18 +87,41 @@ def counts(points: DataFrame, corners: DataFrame, keys: Sequence[str], rows: int
             cells = cells.withColumn("n", before("i", "j")).withColumn("n", before("j", "i"))
             parts.append(met.join(cells, ["i", "j"]).select(*keys, (F.col("sign") * F.col("n")).alias("n")))
     deals = broadcast_if_small(pinned(asked.groupBy("axis", "block").agg(F.ceil(F.count(F.lit(1)) / per_task).alias("deals"))), 100_000)
-    own = asked.join(deals, ["axis", "block"]).withColumn("deal", F.pmod(F.xxhash64(*keys, "a", "b"), "deals")).withColumn("point", F.lit(False))
-    far = given.join(deals, ["axis", "block"]).withColumn("deal", F.explode(F.sequence(F.lit(0).cast("long"), F.col("deals") - 1))).withColumn("point", F.lit(True))
+    parts.append(_answered(asked.join(deals, ["axis", "block"]), given.join(deals, ["axis", "block"]), keys))
+    return _summed(none, parts, keys)
+
+
+def _answered(asked: DataFrame, given: DataFrame, keys: list[str]) -> DataFrame:
+    """(*keys, n) of corners, each dealt to one of the `deals` tasks of its block that all hold the block's points."""
+    own = asked.withColumn("deal", F.pmod(F.xxhash64(*keys, "a", "b"), F.col("deals")).cast("long")).withColumn("point", F.lit(False))
+    far = given.withColumn("deal", F.explode(F.sequence(F.lit(0).cast("long"), F.col("deals").cast("long") - 1))).withColumn("point", F.lit(True))
     kinds = own.select(*keys).schema
     names = ["axis", "block", "deal", "point", "a", "b", "sign", *keys]
     both = own.select(*names).union(far.select(*names[:6], F.lit(None).cast("int").alias("sign"), *(F.lit(None).cast(f.dataType).alias(f.name) for f in kinds)))
 
-    def answer(group: pd.DataFrame) -> pd.DataFrame:
-        at = group["point"].to_numpy()
-        point, corner = group[at], group[~at]
-        n = dominated(point["a"].to_numpy(np.int64), point["b"].to_numpy(np.int64), corner["a"].to_numpy(np.int64), corner["b"].to_numpy(np.int64))
-        return corner[keys].assign(n=n * corner["sign"].to_numpy(np.int64))
-    parts.append(both.groupBy("axis", "block", "deal").applyInPandas(answer, kinds.add("n", "long")))
+    def answer(batches):
+        held, points, now = [], None, None
+        for batch in batches:  # a block's points come before its corners
+            place = batch[["axis", "block", "deal"]].to_numpy()
+            cuts = np.r_[0, np.flatnonzero((place[1:] != place[:-1]).any(axis=1)) + 1, len(batch)] if len(batch) else np.zeros(1, np.int64)
+            for start, end in zip(cuts[:-1], cuts[1:], strict=True):
+                group = batch.iloc[start:end]
+                if now != tuple(place[start]):
+                    now, held, points = tuple(place[start]), [], None
+                at = group["point"].to_numpy()
+                point, corner = group[at], group[~at]
+                if len(point):
+                    held.append((point["a"].to_numpy(np.int64), point["b"].to_numpy(np.int64)))
+                if len(corner):
+                    if points is None:
+                        points = tuple(np.concatenate([h[i] for h in held]) if held else np.zeros(0, np.int64) for i in (0, 1))
+                    n = dominated(*points, corner["a"].to_numpy(np.int64), corner["b"].to_numpy(np.int64))
+                    yield corner[keys].assign(n=n * corner["sign"].to_numpy(np.int64))
+    laid = both.repartition("axis", "block", "deal").sortWithinPartitions("axis", "block", "deal", F.col("point").desc())
+    return laid.mapInPandas(answer, T.StructType([*kinds, T.StructField("n", T.LongType())]))
+
+
+def _summed(none: DataFrame, parts: list[DataFrame], keys: list[str]) -> DataFrame:
     for part in parts:
         none = none.union(part)
     return none.groupBy(*keys).agg(F.sum("n").alias("n"))
