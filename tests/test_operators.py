@@ -548,10 +548,15 @@ def test_dominance_counts(spark):
 
 
 def test_whole_list_queries_have_no_cut():
-    from wiresift.catalog import load
+    """Places come from the whole lists by popularity and distance; the cut ones serve the retrieval pool alone."""
+    import re
+
+    from wiresift.catalog import h_forecast, load
     sql = load().ORACLES
     for name in ("m14_rrf_fuse", "m14_prior_fuse", "m15_hit_report", "m16_conformal_list_size"):
-        assert "rank < 128" in sql[name] and "rank < 128" not in sql[f"{name}_whole"]
+        own = sql[name].replace(h_forecast.RANKS.strip(), "")
+        assert len(own) < len(sql[name]) and "proxw" in own and not re.search(r"\b(prox|pop|px0|pc)\b", own)
+        assert name == "m14_rrf_fuse" or sql[f"{name}_whole"] == sql[name]
 
 
 def test_contacts_answer_any_number_of_forecasts(spark):
