@@ -65,6 +65,20 @@ def _t01m(spark, d):
     return rp.run_to_table(t.select("window_index", *[f"{n}_{x}" for n in ("ttl", "tcp_window", "payload") for x in ("mean", "stddev", "min", "max")]))
 
 
+@query("t01_stream_window_gaps", W + """, g AS (SELECT window_index, (us - lag(us) OVER (PARTITION BY window_index ORDER BY frame_no))::DOUBLE AS gap FROM w)
+, m AS (SELECT window_index, CASE WHEN gap >= 0 THEN gap END AS gap FROM g), v AS (SELECT window_index, sum(gap) / count(gap) AS mean, sum(gap * gap) / count(gap) - (sum(gap) / count(gap)) * (sum(gap) / count(gap)) AS var, min(gap) AS lo, max(gap) AS hi FROM m GROUP BY 1)
+SELECT window_index, COALESCE(round(mean, 2), 0) AS iat_mean_us, CASE WHEN var > 0 THEN round(sqrt(var), 2) ELSE 0 END AS iat_stddev_us, COALESCE(lo, 0) AS iat_min_us, COALESCE(hi, 0) AS iat_max_us FROM v""")
+def _t01g(spark, d):
+    return rp.run_to_table(wi.stream_window_gaps(packet_stream(spark, d)))
+
+
+@query("t01_stream_window_retransmissions", W + """, r AS (SELECT window_index, us - first_value(us) OVER (PARTITION BY window_index, src_ip, src_port, dst_ip, dst_port, tcp_seq, payload_len ORDER BY frame_no) AS late
+ FROM w WHERE protocol = 6 AND (payload_len > 0 OR tcp_flag_syn = 1 OR tcp_flag_fin = 1)) SELECT window_index, count(CASE WHEN late > 2000 THEN 1 END) AS tcp_retransmissions_count FROM r GROUP BY 1""")
+def _t01x(spark, d):
+    p = fx.packets(spark, d).select(*SLIM, "tcp_seq")
+    return rp.run_to_table(wi.stream_window_retransmissions(rp.staged(rp.with_last_tick(p, "frame_no", "us"), "frame_no")))
+
+
 @query("t01_stream_host_scan", W + " SELECT window_index, src_ip, count(DISTINCT dst_ip) AS n FROM w GROUP BY 1, 2 HAVING count(DISTINCT dst_ip) >= 3")
 def _t01h(spark, d):
     return rp.run_to_table(wi.stream_host_scan(packet_stream(spark, d), 3))

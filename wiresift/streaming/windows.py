@@ -69,6 +69,57 @@ def stream_window_telemetry(packets: DataFrame, seconds: int = 10, delay: str =
     return out.drop("w", *[f"_{name}_{x}" for _, name, _ in spread for x in ("n", "s", "ss", "lo", "hi")])
 
 
+def _window_index(seconds: int):
+    return F.floor(F.unix_micros("w.start") / (seconds * 1_000_000)).cast("bigint").alias("window_index")
+
+
+def stream_window_gaps(packets: DataFrame, seconds: int = 10, delay: str = "10 seconds", stretch: int = 4096) -> DataFrame:
+    """Inter-arrival gaps per window in arrival order (`frame_no`); a backward step yields no gap but still moves the clock.
+
+    Two chained aggregations. The first holds the times of at most `stretch` consecutive packets a key and turns them into sums and the two end times;
+    the second adds the sums of a window's stretches and the gaps between one's end and the next one's begin. A window without a gap has zeros.
+    """
+    def gaps(pairs, before, after):
+        steps = F.zip_with(F.slice(pairs, 2, F.greatest(F.size(pairs) - 1, F.lit(0))), F.slice(pairs, 1, F.greatest(F.size(pairs) - 1, F.lit(0))), lambda b, a: (b[after] - a[before]).cast("double"))
+        return F.filter(steps, lambda x: x >= 0)
+
+    def sums(g):
+        add = lambda f: F.aggregate(g, F.lit(0.0), lambda acc, x: acc + f(x))
+        return [F.size(g).cast("bigint").alias("n"), add(lambda x: x).alias("s"), add(lambda x: x * x).alias("ss"), F.array_min(g).alias("lo"), F.array_max(g).alias("hi")]
+    p = _timed(packets, seconds, delay).withColumn("stretch", F.floor(F.col("frame_no") / stretch).cast("bigint"))
+    held = p.groupBy("w", "stretch").agg(F.array_sort(F.collect_list(F.struct("frame_no", "us"))).alias("x"))
+    ends = F.struct("stretch", F.col("x")[0]["us"].alias("begin"), F.element_at("x", -1)["us"].alias("end")).alias("ends")
+    inside = held.select("w", ends, *sums(gaps(F.col("x"), "us", "us")))
+    whole = inside.groupBy("w").agg(F.array_sort(F.collect_list("ends")).alias("x"), *[F.sum(c).alias(f"_{c}") for c in ("n", "s", "ss")], F.min("lo").alias("_lo"), F.max("hi").alias("_hi"))
+    both = whole.select("w", "_n", "_s", "_ss", "_lo", "_hi", *sums(gaps(F.col("x"), "end", "begin")))
+    n, s, ss = F.col("n") + F.col("_n"), F.col("s") + F.col("_s"), F.col("ss") + F.col("_ss")
+    var = F.when(n > 0, ss / n - (s / n) * (s / n))
+    return both.select(_window_index(seconds), F.when(n > 0, half_away(s / n, 2)).otherwise(0.0).alias("iat_mean_us"), F.when(var > 0, half_away(F.sqrt(var), 2)).otherwise(0.0).alias("iat_stddev_us"),
+                       F.coalesce(F.least("lo", "_lo"), F.lit(0.0)).alias("iat_min_us"), F.coalesce(F.greatest("hi", "_hi"), F.lit(0.0)).alias("iat_max_us"))
+
+
+def stream_window_retransmissions(packets: DataFrame, seconds: int = 10, delay: str = "10 seconds", late_us: int = 2000, salts: int = 16) -> DataFrame:
+    """Per window: TCP packets seen more than `late_us` after the first packet with the same endpoints, sequence and length.
+
+    Three chained stateful steps: the first sighting of a key, a stream-stream join of the packets with it, and a count per window. Equal packets are
+    counted before the join and spread over `salts` parts of a key, so that a key with any share of all packets is no one task. A window that has such
+    packets and no late one is listed with 0.
+    """
+    key = ["w", "src_ip", "src_port", "dst_ip", "dst_port", "tcp_seq", "payload_len"]
+    data = (F.col("protocol") == 6) & ((F.col("payload_len") > 0) | (F.col("tcp_flag_syn") == 1) | (F.col("tcp_flag_fin") == 1))
+    # all packets move the watermark; those without data are left out behind it
+    q = _timed(packets, seconds, delay).where(data)
+    seen = q.groupBy(*key, "us").agg(F.count(F.lit(1)).alias("n"))
+    first = q.groupBy(*key).agg(F.min_by("us", "frame_no").alias("first"))
+    parts = first.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).select(*[F.col(c).alias(f"_{c}") for c in key], "first", F.col("part").alias("_part"))
+    part = F.pmod(F.xxhash64("us"), F.lit(salts)).cast("int")
+    met = seen.withColumn("part", part)
+    # keys may hold nulls (packets without ports), which group as equal
+    on = [met[c].eqNullSafe(parts[f"_{c}"]) if c != "w" else met["w"] == parts["_w"] for c in key] + [met["part"] == parts["_part"]]
+    both = met.join(parts, on)
+    return both.groupBy("w").agg(F.coalesce(F.sum(F.when(F.col("us") - F.col("first") > late_us, F.col("n"))), F.lit(0)).alias("tcp_retransmissions_count")).select(_window_index(seconds), "tcp_retransmissions_count")
+
+
 def stream_suspicious_flags(packets: DataFrame, seconds: int = 10, delay: str = "10 seconds") -> DataFrame:
     """Packets per window and illegal TCP flag combination. All packets are counted over, so that any of them moves the watermark."""
     on = lambda f: F.col(f"tcp_flag_{f}")
