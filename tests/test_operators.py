@@ -622,3 +622,72 @@ def test_prefix_check_finds_an_operator_that_looks_ahead(spark):
     assert check(F.lag("position").over(w)) == (40, 0, 0)
     compared, missing, added = check(F.lead("position").over(w))
     assert compared == 40 and missing == added > 0
+
+
+def test_flow_files_are_read_by_header_and_skipped_ones_reported(spark, tmp_path):
+    from wiresift.sources import readers as rd
+    from wiresift.sources.schemas import FLOW_REQUIRED
+    cells = {"Flow ID": "a", "Src IP": "10.0.0.1", "Src Port": "80", "Dst IP": "10.0.0.2", "Dst Port": "5000", "Protocol": "6", "Timestamp": "t", "Flow Duration": "1.5"}
+
+    def put(name, header, rows):
+        (tmp_path / name).write_text("\n".join([",".join(header)] + [",".join(cells.get(c.strip('"'), "NaN") for c in header)] * rows) + "\n")
+    for i in range(12):
+        put(f"many {i}.csv", FLOW_REQUIRED, i)
+    put("quoted.csv", [f'"{c}"' for c in FLOW_REQUIRED] + ["Flow Byts/s", "Twice", "Twice"], 3)
+    put("marked.csv", ["﻿Flow ID", *FLOW_REQUIRED[1:]], 0)
+    put("short.csv", [c for c in FLOW_REQUIRED if c not in ("Timestamp", "Dst IP")], 4)
+    (tmp_path / "blank.csv").write_text("\n\n")
+    (tmp_path / "empty.csv").write_text("")
+    before = len(spark.sparkContext.statusTracker().getJobIdsForGroup())
+    flows, skipped = rd.read_flow_csv(spark, sorted(str(p) for p in tmp_path.iterdir()), "d")
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup()) - before < 17
+    got = {r.file: r.reason for r in skipped.select(F.regexp_extract("file", "([a-z]+).csv$", 1).alias("file"), "reason").collect()}
+    assert got == {"short": "missing Dst IP, Timestamp", "blank": "missing " + ", ".join(FLOW_REQUIRED)}
+    rows = flows.select("`Flow ID`", "`Flow Duration`", "`Flow Byts/s`", "flow_key").collect()
+    assert len(rows) == sum(range(12)) + 3 and {(r[0], r[1]) for r in rows} == {("a", 1.5)}
+    assert sum(r[2] is not None and math.isnan(r[2]) for r in rows) == 3 and len({r[3] for r in rows}) == 1
+    with pytest.raises(ValueError):
+        rd.read_flow_csv(spark, [str(tmp_path / "short.csv")], "d")
+
+
+def test_packet_events_from_topic_values(spark):
+    from wiresift.sources.schemas import PACKET_JSON
+    from wiresift.streaming import windows as wi
+    line = '{"id": "7", "timestamp": "2024-01-01T00:00:01.5Z", "unknown": [1]}'
+    raw = spark.createDataFrame([(bytearray(x.encode()),) for x in (line, "", "not json", "{}", '{"id": null}', line[:20])], "value binary")
+    got = wi.packet_events(raw)
+    rows = got.collect()
+    assert len(rows) == 1 and str(rows[0]["id"]) == "7" and rows[0]["us"] == 1_704_067_201_500_000
+    assert set(PACKET_JSON.names) < set(got.columns)
+    assert wi.packet_events(raw.where("false")).count() == 0
+
+
+def test_stream_gaps_and_retransmissions_across_stretches_and_batches(spark):
+    from wiresift.streaming import windows as wi
+    r = random.Random(5)
+    rows, us = [], 1_700_000_000_000_000
+    for i in range(400):
+        us += r.choice([0, 1, 900, 1500, 2500, 40_000, 90_000, -700])
+        hot = i % 3 == 0
+        rows.append((i, us, "h" if hot else f"s{r.randrange(4)}", None if hot else r.randrange(3), "d", 80, 6 if r.random() < 0.9 else 17, 10 if hot else r.choice([0, 10]), r.randrange(2), 0, 1 if hot else r.randrange(3)))
+    names = ["frame_no", "us", "src_ip", "src_port", "dst_ip", "dst_port", "protocol", "payload_len", "tcp_flag_syn", "tcp_flag_fin", "tcp_seq"]
+    df = spark.createDataFrame(rows, "frame_no long, us long, src_ip string, src_port int, dst_ip string, dst_port int, protocol int, payload_len int, tcp_flag_syn int, tcp_flag_fin int, tcp_seq long")
+    stream = lambda: rp.staged(rp.with_last_tick(df, "frame_no", "us"), "frame_no", 4)
+    windows = {}
+    for row in (dict(zip(names, x)) for x in rows):
+        windows.setdefault(row["us"] // 10_000_000, []).append(row)
+    got = {x.window_index: x for x in rp.run_to_table(wi.stream_window_gaps(stream(), stretch=7)).collect()}
+    assert set(got) == set(windows)
+    for w, x in windows.items():
+        gaps = [b["us"] - a["us"] for a, b in zip(x, x[1:]) if b["us"] >= a["us"]]
+        assert (got[w].iat_min_us, got[w].iat_max_us) == (min(gaps, default=0), max(gaps, default=0))
+        assert abs(got[w].iat_mean_us - np.mean(gaps)) < 0.006 and abs(got[w].iat_stddev_us - np.std(gaps)) < 0.006
+    late = {x.window_index: x.tcp_retransmissions_count for x in rp.run_to_table(wi.stream_window_retransmissions(stream(), salts=3)).collect()}
+    want = {}
+    for w, x in windows.items():
+        first = {}
+        for p in x:
+            if p["protocol"] == 6 and (p["payload_len"] or p["tcp_flag_syn"] or p["tcp_flag_fin"]):
+                key = tuple(p[c] for c in names if c in ("src_ip", "src_port", "dst_ip", "dst_port", "tcp_seq", "payload_len"))
+                want[w] = want.get(w, 0) + (p["us"] - first.setdefault(key, p["us"]) > 2000)
+    assert late == want and sum(want.values()) > 50

@@ -3,10 +3,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from wiresift.catalog import d_events as de
 from wiresift.catalog import g_scores as gs
 from wiresift.catalog.registry import query
+from wiresift.operators import features as ft
 from wiresift.operators import learn as le
 from wiresift.sources import fixtures as fx
+from wiresift.sources.schemas import RECORD_STATISTICS
 
 FEATURES = ["length", "ttl", "tcp_window", "payload_len", "flags", "amount"]
 
@@ -18,8 +21,24 @@ def rows(spark, d):
         *[F.col(c).cast("double").alias(c) for c in FEATURES[:-1]], (F.col("value") + F.when(F.col("family") == "Flood", 60).otherwise(0)).alias("amount"))
 
 
+def records(spark, d):
+    """Flow records (68 statistics and the reversed flag) with the family of the flow, first attack first, and thirds of the frame blocks as splits."""
+    m = de.mapped(spark, d)
+    attack = F.when(F.col("family") != le.BENIGN, F.col("frame_no"))
+    labels = m.groupBy("flow_uid").agg(F.coalesce(F.min_by("family", attack), F.lit(le.BENIGN)).alias("label"), F.min("frame_no").alias("position"))
+    block = F.floor(F.col("position") / 200) % 5
+    flows = de.metered(spark, d).join(labels, "flow_uid").withColumn("split", F.when(block < 2, 0).when(block == 2, 1).otherwise(2))
+    # the larger side counts as the sender's
+    return ft.orient_record(flows.withColumn("flipped", F.col("Tot Fwd Pkts") < F.col("Tot Bwd Pkts")), "flipped").drop("flipped")
+
+
 @query("l01_logistic_baseline")
 def _l01(spark, d):
+    return le.logistic_baseline(records(spark, d), [*RECORD_STATISTICS, "record_reversed"], "Flood")
+
+
+@query("l01_packet_baseline")
+def _l01p(spark, d):
     return le.logistic_baseline(rows(spark, d), FEATURES, "Flood", budgets=(0.1, 0.01))
 
 

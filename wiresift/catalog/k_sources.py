@@ -31,9 +31,7 @@ def _s01(spark, d):
     return r.select("frame_no", "timestamp", "src_ip", "dst_port", "length", "payload_len", ((F.col("protocol") == 6) & (F.col("tcp_flag_syn") == 1)).alias("syn"))
 
 
-@query("s02_read_flow_csv", P + """SELECT frame_no AS row, src_ip AS src, CASE WHEN frame_no % 7 = 0 THEN NULL WHEN frame_no % 7 = 1 THEN 'inf'::DOUBLE ELSE length::DOUBLE END AS rate, (length * 10)::DOUBLE AS duration
-FROM packets WHERE capture <> 'cap2'""")
-def _s02(spark, d):
+def _flow_files(spark, d):
     root = scratch(spark, "flowcsv")
     p = fx.packets(spark, d)
     rate = F.when(F.col("frame_no") % 7 == 0, "bad").when(F.col("frame_no") % 7 == 1, "Infinity").otherwise(F.col("length").cast("string"))
@@ -44,10 +42,22 @@ def _s02(spark, d):
         part = rows.where(F.col("capture") == c).drop("capture")
         (part if c != "cap2" else part.drop("Timestamp")).write.option("header", True).csv(f"{root}/{c}")
         paths.append(f"{root}/{c}")
-    flows, skipped = rd.read_flow_csv(spark, paths, "Monday-01-01-2024")
+    return rd.read_flow_csv(spark, paths, "Monday-01-01-2024")
+
+
+@query("s02_read_flow_csv", P + """SELECT frame_no AS row, src_ip AS src, CASE WHEN frame_no % 7 = 0 THEN NULL WHEN frame_no % 7 = 1 THEN 'inf'::DOUBLE ELSE length::DOUBLE END AS rate, (length * 10)::DOUBLE AS duration
+FROM packets WHERE capture <> 'cap2'""")
+def _s02(spark, d):
+    flows, _ = _flow_files(spark, d)
     return flows.select(F.col("`Flow ID`").cast("bigint").alias("row"), F.col("`Src IP`").alias("src"), F.col("`Flow Byts/s`").alias("rate"), F.col("`Flow Duration`").alias("duration"))
 
 
+@query("s02_skipped_files", P + "SELECT DISTINCT capture, 'missing Timestamp' AS reason FROM packets WHERE capture = 'cap2'")
+def _s02k(spark, d):
+    _, skipped = _flow_files(spark, d)
+    return skipped.select(F.regexp_extract("file", "/(cap[0-9]+)/", 1).alias("capture"), "reason").distinct()
+
+
 @query("s03_assign_flow_uid", P + "SELECT frame_no, capture || '#' || (row_number() OVER (PARTITION BY capture ORDER BY k, frame_no) - 1) AS flow_uid FROM packets")
 def _s03(spark, d):
     p = fx.packets(spark, d).select("frame_no", "capture", F.col("k").alias("file"), F.col("frame_no").alias("row"))

@@ -9,17 +9,19 @@ from collections.abc import Sequence
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.ml.stat import Correlation, Summarizer
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wiresift.operators import metrics as me
 from wiresift.operators.features import check_features
+from wiresift.session import pinned
 
 BENIGN = "Benign"
 
@@ -57,8 +59,10 @@ def binary_score(model, df: DataFrame, out: str = "score") -> DataFrame:
 def logistic_baseline(df: DataFrame, columns: Sequence[str], family: str, label: str = "label", split: str = "split", budgets: Sequence[float] = (1e-3, 1e-4, 3e-5)) -> DataFrame:
     """A family against the rest: test PR-AUC and the confusion at each calibration budget and at the best F1."""
     d = assemble(df, columns).withColumns({"y": (F.col(label) == family).cast("double"), "positive": F.col(label) == family, "attack": F.col(label) != BENIGN})
+    # read by the weights, the scaler, the fit and the scores
+    d = pinned(d.select("features", "y", "positive", "attack", split))
     model = fit_binary(d.where(F.col(split) == 0))
-    s = binary_score(model, d).withColumn("family", F.lit(family)).select("family", split, "score", "positive", "attack").persist()
+    s = pinned(binary_score(model, d).withColumn("family", F.lit(family)).select("family", split, "score", "positive", "attack"))
     th = me.budget_threshold(s.where((F.col(split) == 1) & ~F.col("attack")), ["family"], budgets).select("family", F.concat(F.lit("budget "), F.col("budget").cast("string")).alias("point"), "threshold")
     f1 = me.pr_threshold(s.where(F.col(split) == 1), ["family"]).select("family", F.lit("best f1").alias("point"), "threshold")
     test = s.where(F.col(split) == 2)
@@ -153,30 +157,68 @@ def linear_attribution(model, df: DataFrame, flow_width: int, key: str) -> DataF
                     (F.abs("from_context") / (F.abs("from_context") + F.abs("from_flow") + 1e-12)).alias("context_share"))
 
 
+def _triangles(width: int, mean: Sequence[float] | None):
+    """Rows of vectors to the rows of their triangular QR factor, a bounded block at a time; `mean` is taken off first where it is given."""
+    def factor(batches):
+        held, rows, r = [], 0, None
+        fold = lambda parts: np.linalg.qr(np.vstack(parts), mode="r")
+        for batch in batches:
+            column = batch.column(0)
+            x = column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), width)
+            held.append(x if mean is None else x - np.asarray(mean))
+            rows += len(x)
+            if rows > 2 * width:
+                r, held, rows = fold([*([] if r is None else [r]), *held]), [], 0
+        if held or r is not None:
+            r = fold([*([] if r is None else [r]), *held])
+            for low in range(0, len(r), 256):
+                part = np.ascontiguousarray(r[low:low + 256])
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(np.arange(0, part.size + 1, width, dtype=np.int32), pa.array(part.ravel()))], names=["x"])
+    return factor
+
+
+def singular_values(df: DataFrame, array: str, width: int, mean: Sequence[float] | None = None) -> np.ndarray:
+    """Singular values of the matrix whose rows are `array` (less `mean`), by a tree of QR factors.
+
+    Each task folds its rows into one triangle of at most width x width numbers; triangles are dealt to a quarter of the tasks until one is left.
+    A triangle has the singular values of the rows below it, so nothing is squared, sampled or cut at some width; one triangle reaches the driver.
+    """
+    rows = pinned(df.select(F.col(array).cast("array<double>").alias("x")).mapInArrow(_triangles(width, mean), "x array<double>"))
+    n = rows.count()
+    while n > width:
+        rows = pinned(rows.repartition(max(1, n // (4 * width))).mapInArrow(_triangles(width, None), "x array<double>"))
+        n = rows.count()
+    r = np.array([x[0] for x in rows.collect()], float).reshape(-1, width)
+    return np.linalg.svd(r, compute_uv=False)
+
+
 def representation_quality(df: DataFrame, array: str, attack: str) -> DataFrame:
-    """Effective rank of the centred matrix and separability along the mean difference.
+    """Effective rank of the centred matrix (exp of the entropy of its normalised singular values) and separability along the mean difference.
 
-    Only the width x width covariance reaches the driver; all rows are read, none sampled.
+    All rows with a vector are read, none sampled; any width will do, at width x width numbers a task. Rows without a vector take no part; vectors of
+    different lengths are an error. With one class only, or no rows, separability is null; without rows the width is 0 and the ranks are null.
     """
-    d = assemble(df, array=array).select("features", attack)
-    width = d.first()[0].size
-    if width > 1024:
-        raise ValueError(f"a {width}-wide covariance is not a driver-side matrix")
-    corr = Correlation.corr(d, "features").first()[0].toArray()
-    n, sd = d.agg(F.count(F.lit(1)), Summarizer.std(F.col("features"))).first()
-    cov = np.nan_to_num(corr) * np.outer(sd.toArray(), sd.toArray())
-    sv = np.sqrt(np.clip(np.linalg.eigvalsh(cov) * (n - 1), 0, None))
+    spark, schema = df.sparkSession, "width int, effective_rank double, rank_fraction double, separability double"
+    d = df.where(F.col(array).isNotNull()).select(F.col(array).cast("array<double>").alias("x"), F.col(attack).alias("a"))
+    least, width = d.agg(F.min(F.size("x")), F.max(F.size("x"))).first()
+    if not width:
+        return spark.createDataFrame([(0, None, None, None)], schema)
+    if least != width:
+        raise ValueError(f"vectors of {least} to {width} components")
+    v = d.select(array_to_vector("x").alias("v"), "a")
+    by_class = {r[0]: (r[1], r[2].toArray()) for r in v.groupBy("a").agg(F.count(F.lit(1)), Summarizer.mean(F.col("v"))).collect()}
+    n = sum(c for c, _ in by_class.values())
+    mean = sum(c / n * m for c, m in by_class.values())
+    sv = singular_values(d, "x", width, mean.tolist())
     share = np.clip(sv / max(sv.sum(), 1e-12), 1e-12, None)
     rank = float(np.exp(-(share * np.log(share)).sum()))
-    means = {bool(r[0]): r[1].toArray() for r in d.groupBy(attack).agg(Summarizer.mean(F.col("features"))).collect()}
-    spark = df.sparkSession
-    if len(means) < 2:
-        return spark.createDataFrame([(width, rank, rank / width, None)], "width int, effective_rank double, rank_fraction double, separability double")
-    direction = means[True] - means[False]
-    direction = direction / max(np.linalg.norm(direction), 1e-12)
-    proj = reduce(lambda a, b: a + b, [F.col(array)[i].cast("double") * float(direction[i]) for i in range(width)])
-    p = df.select(F.col(attack).alias("a"), proj.alias("x"))
-    a, b = F.when(F.col("a"), F.col("x")), F.when(~F.col("a"), F.col("x"))
+    if True not in by_class or False not in by_class:
+        return spark.createDataFrame([(width, rank, rank / width, None)], schema)
+    direction = by_class[True][1] - by_class[False][1]
+    direction = (direction / max(np.linalg.norm(direction), 1e-12)).tolist()
+    along = F.aggregate(F.zip_with("x", F.lit(direction), lambda p, q: p * q), F.lit(0.0), lambda s, p: s + p)
+    p = d.select("a", along.alias("along"))
+    a, b = F.when(F.col("a"), F.col("along")), F.when(~F.col("a"), F.col("along"))
     spread = F.greatest(F.sqrt(0.5 * (F.var_samp(a) + F.var_samp(b))), F.lit(1e-12))
     return p.agg((F.abs(F.avg(a) - F.avg(b)) / spread).alias("separability")).select(
         F.lit(width).alias("width"), F.lit(rank).alias("effective_rank"), F.lit(rank / width).alias("rank_fraction"), "separability")

@@ -2,12 +2,15 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wiresift.functions.scalars import canonical_flow_key, payload_len, payload_prefix
 from wiresift.plans.ordering import dense_id
+from wiresift.session import pinned
 from wiresift.sources.schemas import FLOW_REQUIRED, FLOW_STATISTICS, PACKETS
 
 # Dissector fields, in the order a line carries them.
@@ -75,26 +78,35 @@ def clean_flow_numbers(df: DataFrame, columns: Sequence[str] = FLOW_STATISTICS)
     return out.where(F.coalesce(*[F.nullif(F.trim(F.col(f"`{c}`").cast("string")), F.lit("")) for c in df.columns if c != "file"]).isNotNull())
 
 
+def flow_headers(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """(file, header, missing): the first line that is not blank of every file under `paths`, and the required columns it lacks; an empty file has no header.
+
+    One pass for all files. Where a line stands inside a scan task is its place in the task's files, so the first line of a file is the least place among
+    the lines of its first split; each task sends one row a file.
+    """
+    lines = spark.read.text(list(paths)).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("begin"), "value").withColumn("place", F.monotonically_increasing_id())
+    first = lines.groupBy("file").agg(F.min_by("value", F.when((F.col("begin") == 0) & (F.trim("value") != ""), F.col("place"))).alias("line"))
+    names = F.transform(F.split(F.regexp_replace("line", "[\uFEFF\r]", ""), ","), lambda x: F.regexp_replace(x, '^"|"$', ""))
+    return first.select("file", names.alias("header")).withColumn("missing", F.array_except(F.array(*[F.lit(c) for c in FLOW_REQUIRED]), F.coalesce("header", F.array().cast("array<string>"))))
+
+
 def read_flow_csv(spark: SparkSession, paths: Sequence[str], day: str) -> tuple[DataFrame, DataFrame]:
     """(flows, skipped files). A file whose header lacks a required column is reported, not fatal; no usable file is.
 
-    Only headers are looked at on the driver, one line per file; data is read in one distributed pass per header.
+    `paths` are files or folders. All headers come from one pass (`flow_headers`), the rows from one scan for each distinct header; no job runs for a
+    single file. Files without a line hold no flow and are neither read nor reported.
     """
-    by_header: dict[tuple, list[str]] = {}
-    skipped = []
-    for p in paths:
-        header = tuple(spark.read.option("header", True).csv(p).columns)
-        missing = [c for c in FLOW_REQUIRED if c not in header]
-        if missing:
-            skipped.append((p, "missing " + ", ".join(missing)))
-        else:
-            by_header.setdefault(header, []).append(p)
+    headers = pinned(flow_headers(spark, paths))
+    by_header = headers.where(F.size("missing") == 0).groupBy("header").agg(F.sort_array(F.collect_list("file")).alias("files")).orderBy("header").collect()
     if not by_header:
         raise ValueError("no flow file has the required columns")
     frames = []
-    for header, files in by_header.items():
-        schema = ", ".join(f"`{c}` STRING" for c in header)
-        raw = spark.read.option("header", True).schema(schema).csv(files)
+    for header, files in by_header:
+        names = [c.lower() for c in header]
+        # as Spark's own reader names them: a name that comes twice gets its place, an empty one is called by its place
+        schema = T.StructType([T.StructField(f"_c{i}" if not c else f"{c}{i}" if names.count(c.lower()) > 1 else c, T.StringType()) for i, c in enumerate(header)])
+        # Spark reports file names as URIs and takes them as plain paths
+        raw = spark.read.option("header", True).schema(schema).csv([unquote(f) for f in files])
         wide = [c for c in FLOW_STATISTICS if c not in header]
         frames.append(clean_flow_numbers(raw.withColumn("file", F.col("_metadata.file_path"))).withColumns({c: F.lit(None).cast("double") for c in wide}))
     out = frames[0]
@@ -103,4 +115,4 @@ def read_flow_csv(spark: SparkSession, paths: Sequence[str], day: str) -> tuple[
     num = lambda c: F.col(f"`{c}`").try_cast("double")
     out = out.withColumns({c: num(c) for c in ("Src Port", "Dst Port", "Protocol")}).withColumns({
         "day": F.lit(day), "flow_key": canonical_flow_key(F.col("`Src IP`"), num("Src Port"), F.col("`Dst IP`"), num("Dst Port"), num("Protocol"))})
-    return out, spark.createDataFrame(skipped, "file string, reason string")
+    return out, headers.where(F.size("missing") > 0).select("file", F.concat(F.lit("missing "), F.concat_ws(", ", "missing")).alias("reason"))
