@@ -564,3 +564,45 @@ def test_op10_round_trip_of_odd_rows(spark, odd, empty):
     rows = lattice.round_trip(odd, vocabulary).collect()
     assert Counter((r.doc_id, tuple(r.ids), r.decoded, r.same) for r in rows) == Counter((i, plain(t or ""), (t or "").replace("▁", " "), "▁" not in (t or "")) for i, t, *_ in odd_rows())
     assert lattice.round_trip(empty, vocabulary).count() == 0
+
+
+# ---------------------------------------------------------------- files bounded by bytes
+
+
+def test_bundles():
+    from wiresift.llm.common import bundles
+    assert list(bundles([], b"|", 3, 10)) == []
+    assert list(bundles([b"", b"", b"a", b"b"], b"|", 3, 10)) == [b"||a", b"b"]
+    assert list(bundles([b"abc", b"def", b"x" * 30, b"", b"gh"], b"|", 9, 8)) == [b"abc|def", b"x" * 30, b"|gh"]
+
+
+def test_op2_op5_files_follow_bytes(spark, tmp_path):
+    """Texts of tens of MB: every file holds one long text, or short ones up to the bound."""
+    import gzip
+
+    import sentencepiece
+    m = sentencepiece.SentencePieceProcessor(model_file=queries.piece_bpe())
+    long = "lorem ipsum dolor " * 1_200_000
+    texts = ["a b c", long, None, "short one", "", long[:-7], "x y"] * 2
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(2)
+    separators.write_flat(df, queries.piece_bpe(), f"file://{tmp_path}/flat", file_bytes=1 << 20)
+    got = separators.scan_flat(spark, f"file://{tmp_path}/flat").collect()
+    known = {t: len(m.encode(t or "")) for t in set(texts)}
+    assert sorted(r.n_tokens for r in got) == sorted(known[t] for t in texts)
+    held = defaultdict(list)
+    for r in got:
+        held[r.file].append(r.n_tokens + 1)
+    assert all(2 * sum(n) <= 1 << 20 or len(n) == 1 for n in held.values()) and sum(2 * sum(n) > 1 << 20 for n in held.values()) == 4
+    pages = [(i, f"http://h{i % 3}.com/{i}", t) for i, t in enumerate(texts)]
+    path = f"{tmp_path}/w"
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(2)
+    warc.write_archives(df, f"file://{path}", archive_bytes=1 << 20)
+    sizes = [gzip.decompress(x.read_bytes()) for x in Path(path).glob("*.gz")]
+    # a text that comes twice is written once
+    assert sum(len(x) > 1 << 20 for x in sizes) == 2 and all(x.count(b"WARC/1.1\r\n") == 1 for x in sizes if len(x) > 1 << 20) and all(x.endswith(b"\r\n\r\n") for x in sizes)
+    out = warc.archive_and_index(df, f"file://{tmp_path}/v").collect()
+    check_index(out, pages)
+    by = {x.name: gzip.decompress(x.read_bytes()) for x in Path(f"{tmp_path}/v").glob("*.gz")}
+    for r in out:
+        record = by[r.archive][r.start:r.start + r.size]
+        assert record.startswith(b"WARC/1.1\r\n") and f"<urn:page:{r.page_id}>".encode() in record and record.endswith(b"\r\n\r\n")

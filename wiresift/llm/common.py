@@ -48,6 +48,19 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, f"{BATCH}b")
 
 
+def bundles(parts, end: bytes, rows: int, size: int):
+    """`parts` (bytes) joined by `end`, at most `rows` of them and about `size` bytes a piece; a longer part is a piece of its own."""
+    held, n = [], 0
+    for part in parts:
+        if held and (len(held) >= rows or n + len(part) + len(end) > size):
+            yield end.join(held)
+            held, n = [], 0
+        held.append(part)
+        n += len(part) + len(end)
+    if held:
+        yield end.join(held)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """`df` written as a table in the shared folder and read back: lineage ends here, and lost executors cost nothing of it."""
     path = shared_path(df.sparkSession, name)

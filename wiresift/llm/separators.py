@@ -12,28 +12,49 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wiresift.llm.common import shared_path, small_batches, stored
+from wiresift.llm.common import bundles, shared_path, small_batches, stored
 
-#: Tokens of a block; documents in a file at most; the end-of-document id (a control piece that no text is encoded to).
-BLOCK, PER_FILE, END = 1 << 16, 5000, 2
+#: Tokens of a block; documents and bytes in a file at most (one longer document is a file of its own); characters encoded in one call, about; the
+#: end-of-document id (a control piece that no text is encoded to).
+BLOCK, PER_FILE, FILE_BYTES, CHARS, END = 1 << 16, 5000, 32 << 20, 1 << 20, 2
 
 
-def write_flat(docs: DataFrame, model: str, path: str, per_file: int = PER_FILE) -> None:
-    """Write the ids of all texts of `docs` (text; other columns are not read) as flat files under `path`; a null text is an empty one."""
-    def encode(batches):
+def _calls(texts: list[str]):
+    """Consecutive `texts` in lists of about `CHARS` characters."""
+    held, n = [], 0
+    for text in texts:
+        held.append(text)
+        n += len(text) + 1
+        if n >= CHARS:
+            yield held
+            held, n = [], 0
+    if held:
+        yield held
+
+
+def write_flat(docs: DataFrame, model: str, path: str, per_file: int = PER_FILE, file_bytes: int = FILE_BYTES) -> None:
+    """Write the ids of all texts of `docs` (text; other columns are not read) as flat files under `path`; a null text is an empty one.
+
+    A file holds documents up to `per_file` and `file_bytes`, or a single longer one; each task of Spark begins a new file.
+    """
+    separator = END.to_bytes(2, "little")
+
+    def encoded(batches):
         import sentencepiece
         m = sentencepiece.SentencePieceProcessor(model_file=model)
         if m.vocab_size() > 1 << 16 or not m.is_control(END):
             raise ValueError("16-bit files need a vocabulary of at most 65,536 ids with a control piece as separator")
         for batch in batches:
-            texts = [x or "" for x in batch.column(0).to_pylist()]
-            out = []
-            for i in range(0, len(texts), 256):
-                out += [np.array(ids, "<u2").tobytes() for ids in m.encode(texts[i:i + 256], num_threads=1)]
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["ids"])
-    flat = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(encode, "ids binary")
-    end = END.to_bytes(2, "little").decode()
-    flat.select(F.col("ids").cast("string").alias("value")).write.option("lineSep", end).option("maxRecordsPerFile", per_file).text(path)
+            for texts in _calls([x or "" for x in batch.column(0).to_pylist()]):
+                for ids in m.encode(texts, num_threads=1):
+                    yield np.array(ids, "<u2").tobytes()
+
+    def files(batches):
+        for file in bundles(encoded(batches), separator, per_file, file_bytes):
+            yield pa.RecordBatch.from_arrays([pa.array([file], pa.binary())], names=["ids"])
+    flat = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(files, "ids binary")
+    # one row is one file, and the line separator ends its last document
+    flat.select(F.col("ids").cast("string").alias("value")).write.option("lineSep", separator.decode()).option("maxRecordsPerFile", 1).text(path)
 
 
 def _blocks(size: int):

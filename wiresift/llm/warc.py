@@ -1,7 +1,7 @@
 """WARC archives and a globally ordered capture index by external merge (operator 5).
 
 Records are written by Spark's text writer with the line separator CR LF CR LF, which is exactly how a WARC record ends, so archives land in any
-store that Spark writes to. Reading parses each archive (of bounded size) by its Content-Length fields and sorts its captures by URL key, timestamp
+store that Spark writes to; a task joins its records to archives of bounded size. Reading parses each archive (of bounded size) by its Content-Length fields and sorts its captures by URL key, timestamp
 and record id: one run. Runs are cut at sampled keys, a range's pieces of all runs meet in one task, and a loser tree merges them.
 """
 from __future__ import annotations
@@ -15,10 +15,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wiresift.llm.common import shared_path, small_batches, stored
+from wiresift.llm.common import bundles, shared_path, small_batches, stored
 
-#: Records in one archive at most, so that a task can read one whole.
-PER_ARCHIVE = 4000
+#: Records in one archive at most, and bytes of it before compression (one longer record is an archive of its own), so that a task can read one whole.
+PER_ARCHIVE, ARCHIVE_BYTES = 4000, 32 << 20
+#: Captures of a key range of the index, about.
+PER_RANGE = 50_000
 EPOCH = 1_700_000_000
 END = "\r\n\r\n"
 ENTRY = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, url_key string, timestamp string, archive string, start long, size long"
@@ -47,36 +49,42 @@ def _digests(batches):
 
 
 def _records(batches):
-    """One string a record, without the CR LF CR LF that ends it."""
+    """The bytes of each record, without the CR LF CR LF that ends it."""
     for batch in batches:
-        out = []
-        for page_id, url, html, digest, size, original, at in zip(*(c.to_pylist() for c in batch.columns)):
-            name = "none" if page_id is None else page_id
-            again = original is not None
+        for page_id, url, html, digest, size, original, at in zip(*batch.columns):
+            name, again, url = page_id.as_py() if page_id.is_valid else "none", original.is_valid, url.as_py()
             head = ["WARC/1.1", f"WARC-Type: {'revisit' if again else 'response'}", f"WARC-Record-ID: <urn:page:{name}>", f"WARC-Date: {at}", f"WARC-Payload-Digest: sha1:{digest}"]
             if url is not None:
                 head.append(f"WARC-Target-URI: {quote(url, safe=''.join(map(chr, range(33, 127))).replace('%', ''))}")
             if again:
                 head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{original}>"]
-            body = "" if again else html or ""
-            out.append("\r\n".join([*head, "Content-Type: text/html; charset=utf-8", f"Content-Length: {0 if again else size}"]) + END + body)
-        yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
+            body = "" if again else html.as_py() or ""
+            yield ("\r\n".join([*head, "Content-Type: text/html; charset=utf-8", f"Content-Length: {0 if again else size}"]) + END + body).encode()
 
 
-def write_archives(pages: DataFrame, path: str, per_archive: int = PER_ARCHIVE) -> None:
+def _archives(per_archive: int, archive_bytes: int):
+    def pack(batches):
+        for archive in bundles(_records(batches), END.encode(), per_archive, archive_bytes):
+            yield pa.RecordBatch.from_arrays([pa.array([archive], pa.binary())], names=["value"])
+    return pack
+
+
+def write_archives(pages: DataFrame, path: str, per_archive: int = PER_ARCHIVE, archive_bytes: int = ARCHIVE_BYTES) -> None:
     """Write a record for every row of `pages` (page_id, url, html) as gzip archives under `path`.
 
     Of records with equal payloads (a null html is an empty payload) the one with the largest page_id is the response, the others revisit it. Rows
     that repeat that page_id are responses too; a row without a page_id is always a response and never referred to. Capture times are page_id
-    seconds after `EPOCH`.
+    seconds after `EPOCH`. An archive holds records up to `per_archive` and `archive_bytes`, or a single longer one, in one gzip member.
     """
     slim = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     made = slim.mapInArrow(_digests, "page_id long, url string, html string, digest string, bytes long")
-    largest = made.select("digest", "page_id").groupBy("digest").agg(F.max("page_id").alias("original"))
+    # only payloads that come again need their largest page_id
+    largest = made.select("digest", "page_id").groupBy("digest").agg(F.max("page_id").alias("original"), F.count("page_id").alias("n")).where("n > 1").drop("n")
     at = F.date_format(F.timestamp_seconds(F.lit(EPOCH) + F.coalesce("page_id", F.lit(0)) % 1_000_000_000), "yyyy-MM-dd'T'HH:mm:ss'Z'")
-    known = made.join(largest, "digest").select("page_id", "url", "html", "digest", "bytes", F.when(F.col("page_id") < F.col("original"), F.col("original")).alias("original"), at.alias("at"))
-    records = known.mapInArrow(_records, "value string")
-    records.write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", per_archive).text(path)
+    known = made.join(largest, "digest", "left").select("page_id", "url", "html", "digest", "bytes", F.when(F.col("page_id") < F.col("original"), F.col("original")).alias("original"), at.alias("at"))
+    archives = known.mapInArrow(_archives(per_archive, archive_bytes), "value binary").select(F.col("value").cast("string").alias("value"))
+    # one row is one archive, and the line separator ends its last record
+    archives.write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", 1).text(path)
 
 
 def _entries(batches):
@@ -107,7 +115,10 @@ def _entries(batches):
 
 
 def read_archives(spark, path: str) -> DataFrame:
-    """The capture entries of all archives under `path`, each archive's in order. A digest that does not fit its payload is an error."""
+    """The capture entries of all archives under `path`, each archive's in order. A digest that does not fit its payload is an error.
+
+    `start` and `size` are a record's place in the decompressed archive.
+    """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("path", "content")
     return files.mapInArrow(_entries, ENTRY)
 
@@ -160,7 +171,8 @@ def capture_index(entries: DataFrame) -> DataFrame:
     Ranges are cut at sampled keys that include the timestamp and the id, so a URL with any share of all captures spreads over ranges.
     """
     runs = entries.withColumn("place", F.monotonically_increasing_id())
-    cut = runs.repartitionByRange("url_key", "timestamp", "page_id", "archive", "place")
+    ranges = max(int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-entries.count() // PER_RANGE))
+    cut = runs.repartitionByRange(ranges, "url_key", "timestamp", "page_id", "archive", "place")
     merged = stored(cut.mapInArrow(_merge, f"{ENTRY}, range_pos long").withColumn("range_id", F.spark_partition_id()), "index")
     before = Window.orderBy("range_id").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
     sizes = merged.groupBy("range_id").agg(F.count(F.lit(1)).alias("n")).select("range_id", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("begin"))
