@@ -606,3 +606,15 @@ def test_op2_op5_files_follow_bytes(spark, tmp_path):
     for r in out:
         record = by[r.archive][r.start:r.start + r.size]
         assert record.startswith(b"WARC/1.1\r\n") and f"<urn:page:{r.page_id}>".encode() in record and record.endswith(b"\r\n\r\n")
+
+
+def test_op4_shards_follow_bytes(spark):
+    """Shards and parts of contexts are cut by their bytes, not by the session's setting, and change no row."""
+    r = random.Random(12)
+    parts = [" ".join(r.choice("abc") for _ in range(60)) for _ in range(6)]
+    rows = [(i, " ".join(r.choice(parts)[r.randrange(4) * 2:] for _ in range(r.randrange(0, 4)))) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    whole = sum(len(t) for _, t in rows)
+    assert suffixes._pieces(df, "text", 500) == max(least, -(-whole // 500)) > least and suffixes._pieces(df, "text", 1 << 30) == least and suffixes._pieces(df.limit(0), "text", 1) == least
+    assert {x.doc_id: (x.n_bytes, x.n_removed, len(x.removed), hashlib.sha256(x.kept).hexdigest()) for x in suffixes.remove_repeats(df, shard_bytes=500).collect()} == brute.repeats(rows, 50, False)

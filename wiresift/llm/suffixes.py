@@ -22,6 +22,8 @@ from wiresift.llm import scan
 from wiresift.llm.common import release, small_batches, stored
 
 WINDOW, GRAM, HOT = 50, 20, 20_000
+#: Bytes of text in a shard, and of contexts that one task judges, about.
+SHARD_BYTES = 64 << 20
 SPAN = WINDOW - GRAM + 1
 #: Fingerprints in one sorted run, about; contexts (bytes) in one suffix array, about.
 RUN, BLOCK = 4_000_000, 1 << 20
@@ -344,18 +346,25 @@ def _cut(batches):
         ], names=["doc_id", "n_bytes", "n_removed", "removed", "kept"])
 
 
-def remove_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
+def _pieces(df: DataFrame, column: str, size: int) -> int:
+    """Into how many parts `df` is dealt, so that a part has about `size` bytes of `column`; the session's setting is the least."""
+    whole = df.agg(F.sum(F.octet_length(column))).first()[0] or 0
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-whole // size))
+
+
+def remove_repeats(docs: DataFrame, hot: int = HOT, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """(doc_id, n_bytes, n_removed, removed, kept) for every row of `docs` (doc_id, text; other columns are not read).
 
     A byte goes if a string of `WINDOW` bytes around it also starts in a document with a smaller doc_id, judged on the input. `removed` are maximal
     byte ranges, `kept` the other bytes (a character may be cut). A null text is empty; shorter texts stay whole. Rows that share a doc_id never
     remove from each other; rows without a doc_id neither lose bytes nor cost others any. An empty table gives an empty result.
+    A shard has about `shard_bytes` of text, and a task judges about as many bytes of contexts, whatever the table's size.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
     tag = F.xxhash64("text").bitwiseAND(F.lit((1 << 23) - 1))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), tag.alias("tag"))
+    shards = _pieces(texts, "text", shard_bytes)
     shard = F.pmod(F.hash("doc_id"), F.lit(shards)).alias("shard")
     own = texts.where("doc_id is not null")
     # copies of a whole text
@@ -371,7 +380,7 @@ def remove_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
     row = "anchor long, second int, doc_id long, places array<long>, windows int, context binary"
     contexts = stored(own.select(shard, "doc_id", "tag", "text").groupBy("shard").cogroup(right.groupBy("shard")).applyInArrow(lambda a, b: _contexts(a, b, bits), row), "contexts")
     release(spark)
-    plain = contexts.where("context is not null").repartition("anchor").mapInArrow(_judged, "doc_id long, places array<long>, windows int")
+    plain = contexts.where("context is not null").repartition(_pieces(contexts, "context", shard_bytes), "anchor").mapInArrow(_judged, "doc_id long, places array<long>, windows int")
     rows = contexts.where("context is null").select("anchor", "second", "doc_id", "places", "windows")
     common = rows.groupBy("anchor", "second").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
     later = plain.union(rows.join(common, ["anchor", "second"]).where("doc_id > first").select("doc_id", "places", "windows"))
