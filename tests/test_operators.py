@@ -691,3 +691,38 @@ def test_stream_gaps_and_retransmissions_across_stretches_and_batches(spark):
                 key = tuple(p[c] for c in names if c in ("src_ip", "src_port", "dst_ip", "dst_port", "tcp_seq", "payload_len"))
                 want[w] = want.get(w, 0) + (p["us"] - first.setdefault(key, p["us"]) > 2000)
     assert late == want and sum(want.values()) > 50
+
+
+def test_bootstrap_ranking_moves_a_row_a_distinct_score(spark, monkeypatch):
+    """Resamples are columns: what is written before the prefix sums is a row a score, and the interval is that of the resamples drawn one by one."""
+    from wiresift.operators import metrics as me
+    from wiresift.functions.scalars import portable_hash
+    pinned, sizes = me.pinned, []
+
+    def looked(df):
+        sizes.append(df.count())
+        return pinned(df)
+    monkeypatch.setattr(me, "pinned", looked)
+    r = random.Random(15)
+    rows = [(i, g, r.choice([None, -1.5, 0.0, 2.0, 3.0, 7.5, 9.0]), r.random() < 0.3) for i in range(600) for g in "ab"] + [(900, "c", 1.0, True)]
+    df = spark.createDataFrame(rows, "position long, family string, score double, positive boolean")
+    got = {(x.family, x.metric): (x.low, x.high) for x in me.bootstrap_ranking_ci(df, "position", ["family"], samples=8, seed=3).collect()}
+    assert sizes and max(sizes) <= 15
+    one = [F.struct(portable_hash(F.col("position"), F.lit(i * 1_000_003 + 3)).alias("h"), me._poisson_weight("position", i, 3).alias("w")) for i in range(8)]
+    weights = {(x.position, x.family): [y.w for y in x.w] for x in df.select("position", "family", F.array(*one).alias("w")).collect()}
+    same = {(x.position, x.family): x.w for x in df.select("position", "family", me._poisson_weights("position", 8, 3).alias("w")).collect()}
+    assert same == weights
+    for family in "ab":
+        values = {"auroc": [], "pr_auc": []}
+        for i in range(8):
+            mine = [(-math.inf if s is None else s, p, weights[k, g][i]) for k, g, s, p in rows if g == family and weights[k, g][i]]
+            # a null score shares its bucket with zero, before it
+            mine = [(-1e-9 if s == -math.inf else s, p, w) for s, p, w in mine]
+            pos, neg = sum(w for _, p, w in mine if p), sum(w for _, p, w in mine if not p)
+            wins = sum(w * v * ((s > t) + (s == t) / 2) for s, p, w in mine if p for t, q, v in mine if not q)
+            values["auroc"].append(wins / (pos * neg))
+            at = {s: [sum(w for t, q, w in mine if t >= s and (q or not only)) for only in (False, True)] for s in {s for s, _, _ in mine}}
+            values["pr_auc"].append(sum(w / pos * at[s][1] / at[s][0] for s, p, w in mine if p))
+        for metric, v in values.items():
+            assert got[family, metric] == pytest.approx(tuple(np.quantile(v, [0.025, 0.975])), abs=1e-9)
+    assert got.get(("c", "auroc"), (None, None)) == (None, None)
