@@ -726,3 +726,31 @@ def test_bootstrap_ranking_moves_a_row_a_distinct_score(spark, monkeypatch):
         for metric, v in values.items():
             assert got[family, metric] == pytest.approx(tuple(np.quantile(v, [0.025, 0.975])), abs=1e-9)
     assert got.get(("c", "auroc"), (None, None)) == (None, None)
+
+
+def _task_rows(df):
+    return [len(p) for p in df.rdd.glom().collect()]
+
+
+@pytest.mark.parametrize("few_hosts", [True, False])
+def test_proximity_ranking_deals_forecasts_by_the_hosts_they_meet(spark, monkeypatch, few_hosts):
+    """The tasks that compare and rank follow the number of pairs, not the size of the forecasts."""
+    from wiresift.operators import forecast as fo
+    ranked, tasks = fo._ranked, []
+
+    def looked(df, order, cap=None):
+        tasks.append(_task_rows(df))
+        return ranked(df, order, cap)
+    monkeypatch.setattr(fo, "_ranked", looked)
+    monkeypatch.setattr(fo, "MET_ROWS", 1000)
+    monkeypatch.setattr(fo, "HOSTS", 1_000_000 if few_hosts else 0)
+    e = spark.createDataFrame([(p, p % 7, (p * 5) % 11) for p in range(600)], "position long, sender long, receiver long")
+    f = spark.createDataFrame([(p // 10, p, p % 7) for p in range(9, 600, 10)], "forecast long, position long, sender long")
+    h = spark.createDataFrame([(x, 1000 + x * x, 0) for x in range(100)], "host long, ip_number long, first_position long")
+    got = {(x.forecast, x.rank): x.host for x in fo.proximity_ranking(e, f, h, cap=3).collect()}
+    assert len(got) == 180 and all(max(t) <= 1000 and sum(1 for n in t if n) > 5 for t in tasks)
+    events = {p: (p % 7, (p * 5) % 11) for p in range(600)}
+    for p in range(9, 600, 10):
+        last = [events[q][1] for q in range(p + 1) if q % 7 == p % 7][-3:]
+        want = sorted((min(abs(x * x - t * t) for t in last), x) for x in range(100) if x != p % 7)[:3]
+        assert [got[p // 10, k] for k in range(3)] == [x for _, x in want]
