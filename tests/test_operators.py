@@ -754,3 +754,23 @@ def test_proximity_ranking_deals_forecasts_by_the_hosts_they_meet(spark, monkeyp
         last = [events[q][1] for q in range(p + 1) if q % 7 == p % 7][-3:]
         want = sorted((min(abs(x * x - t * t) for t in last), x) for x in range(100) if x != p % 7)[:3]
         assert [got[p // 10, k] for k in range(3)] == [x for _, x in want]
+
+
+def test_whole_lists_are_ranked_where_most_places_are_asked(spark, monkeypatch):
+    """Counted and ranked places agree, and pairs that are most of the lists need no counting."""
+    from wiresift.operators import forecast as fo
+    from wiresift.plans import dominance
+    r = random.Random(14)
+    hosts = [(h, None if h % 9 == 8 else r.choice([r.randrange(0, 200), 2**32 - 1, 0]), 0 if h < 12 else r.randrange(0, 300)) for h in range(80)]
+    events = [(p, r.randrange(12), r.randrange(12)) for p in range(300)] + [(300 + k, 11, 8) for k in range(20)]
+    e = spark.createDataFrame(events, "position long, sender long, receiver long")
+    f = spark.createDataFrame([(p // 20, p, events[p][1]) for p in range(19, 320, 20)], "forecast long, position long, sender long")
+    h = spark.createDataFrame(hosts, "host long, ip_number long, first_position long")
+    pairs = spark.createDataFrame([(k, x) for k in range(16) for x in range(80) if r.random() < 0.6], "forecast long, host long")
+    both = lambda: [sorted(map(tuple, x.collect())) for x in (fo.proximity_places(pairs, e, f, h), fo.popularity_places(pairs, e, f, h, 100, 20))]
+    monkeypatch.setattr(fo, "WHOLE_SHARE", 0)
+    counted = both()
+    monkeypatch.undo()
+    monkeypatch.setattr(dominance, "counts", None)
+    monkeypatch.setattr(fo, "MET_ROWS", 100)
+    assert both() == counted and all(counted)
