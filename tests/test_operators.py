@@ -774,3 +774,17 @@ def test_whole_lists_are_ranked_where_most_places_are_asked(spark, monkeypatch):
     monkeypatch.setattr(dominance, "counts", None)
     monkeypatch.setattr(fo, "MET_ROWS", 100)
     assert both() == counted and all(counted)
+
+
+def test_replay_batches_take_several_files(spark, monkeypatch):
+    """A micro-batch grows with the table up to a bound, so that a large table is not replayed in as many micro-batches as files."""
+    monkeypatch.setattr(rp, "ROWS_PER_SLICE", 100)
+    df = spark.range(2000).select((F.col("id") * 7919 % 2000).alias("position")).repartition(6)
+    seen = []
+    rp.run_batches(rp.staged(df, "position"), lambda b, i: seen.append([r.position for r in b.collect()]))
+    assert len(seen) == 4 and sorted(x for b in seen for x in b) == list(range(2000))
+    assert all(max(a) < min(b) for a, b in zip(seen, seen[1:]))
+    monkeypatch.setattr(rp, "FILES_PER_BATCH", 2)
+    seen.clear()
+    rp.run_batches(rp.staged(df, "position"), lambda b, i: seen.append(b.count()))
+    assert len(seen) == 10 and sum(seen) == 2000

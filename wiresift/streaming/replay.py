@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wiresift.session import ensure_checkpoint_dir
+from wiresift.session import ensure_checkpoint_dir, pinned
 
-ROWS_PER_SLICE = 500_000
+#: A file's rows, and how many files, read side by side, a micro-batch takes at most.
+ROWS_PER_SLICE, FILES_PER_BATCH = 250_000, 16
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -20,24 +21,25 @@ def scratch(spark: SparkSession, name: str) -> str:
 def staged(df: DataFrame, position: str, slices: int = 3) -> DataFrame:
     """The table as a streaming DataFrame whose micro-batches are consecutive ranges of `position`.
 
-    One pass over the source sorts it into ranges of about ROWS_PER_SLICE rows, one file each. The stream takes files by age, so their times are
-    set to their order; nothing but those times is done one by one.
+    One pass over the source sorts it into ranges of about ROWS_PER_SLICE rows, one file each. A micro-batch takes up to FILES_PER_BATCH files that follow each other, so that its
+    fixed costs are shared by as many rows as one task a file can read, but never so many that there would be fewer than `slices` micro-batches. The stream takes files by age, so
+    their times are set to their order; nothing but those times is done one by one.
     """
     spark = df.sparkSession
     path = scratch(spark, "replay")
-    slices = max(slices, -(-df.count() // ROWS_PER_SLICE))
-    df.repartitionByRange(slices, position).sortWithinPartitions(position).write.parquet(path)
+    files = max(slices, -(-df.count() // ROWS_PER_SLICE))
+    df.repartitionByRange(files, position).sortWithinPartitions(position).write.parquet(path)
     root = spark._jvm.org.apache.hadoop.fs.Path(path)
     store = root.getFileSystem(spark._jsc.hadoopConfiguration())
     parts = sorted(str(x.getPath()) for x in store.listStatus(root) if x.getPath().getName().startswith("part-"))
     for i, part in enumerate(parts):
         store.setTimes(spark._jvm.org.apache.hadoop.fs.Path(part), 1_000_000_000_000 + i * 10_000, -1)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", max(1, min(FILES_PER_BATCH, files // slices))).parquet(path)
 
 
 def with_last_tick(df: DataFrame, position: str, us: str, ahead_s: int = 14_400) -> DataFrame:
     """Append a copy of the last row far in the future: it closes windows and timers, and stays open itself."""
-    last = df.orderBy(F.col(position).desc()).limit(1)
+    last = pinned(df.orderBy(F.col(position).desc()).limit(1))  # found once, not in every pass over the rows
     return df.unionByName(last.withColumns({position: F.col(position) + 1, us: F.col(us) + ahead_s * 1_000_000}))
 
 
