@@ -767,7 +767,10 @@ def test_whole_lists_are_ranked_where_most_places_are_asked(spark, monkeypatch):
     f = spark.createDataFrame([(p // 20, p, events[p][1]) for p in range(19, 320, 20)], "forecast long, position long, sender long")
     h = spark.createDataFrame(hosts, "host long, ip_number long, first_position long")
     pairs = spark.createDataFrame([(k, x) for k in range(16) for x in range(80) if r.random() < 0.6], "forecast long, host long")
-    both = lambda: [sorted(map(tuple, x.collect())) for x in (fo.proximity_places(pairs, e, f, h), fo.popularity_places(pairs, e, f, h, 100, 20))]
+    unseen = h.unionByName(spark.createDataFrame([(80, 7, None)], h.schema))
+    nameless = unseen.unionByName(spark.createDataFrame([(None, None, 5)], h.schema))
+    both = lambda: [sorted(map(tuple, x.collect())) for x in (
+        fo.proximity_places(pairs, e, f, h), fo.popularity_places(pairs, e, f, h, 100, 20), fo.proximity_places(pairs, e, f, unseen), fo.popularity_places(pairs, e, f, nameless, 100, 20))]
     monkeypatch.setattr(fo, "WHOLE_SHARE", 0)
     counted = both()
     monkeypatch.undo()
