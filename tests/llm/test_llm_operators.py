@@ -566,6 +566,61 @@ def test_op10_round_trip_of_odd_rows(spark, odd, empty):
     assert lattice.round_trip(empty, vocabulary).count() == 0
 
 
+def test_op10_lattices_of_a_batch_agree():
+    """Words of many lengths folded at once have the ids that the plain program gives them one at a time."""
+    import pyarrow as pa
+    r, vocabulary = random.Random(4), lattice.Vocabulary(queries.piece_bpe())
+    words = ["▁" * r.randrange(3) + "".join(r.choice("abenstthe漢é\U0001f600\U0010fffd12.,") for _ in range(r.randrange(1, 60))) for _ in range(400)] + ["▁" * 40, "x" * 300, "the", ""]
+    ids, n = lattice._folded(pa.array(words), vocabulary.lattice(), vocabulary)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [*lattice._plain_ids(words, vocabulary)]
+    assert [len(x) for x in lattice._folded(pa.array([], pa.string()), vocabulary.lattice(), vocabulary)] == [0, 0]
+
+
+def test_op10_moves_blocks_and_writes_no_tables(spark, odd):
+    """A task holds arrays of a block: no row a word is written, grouped, sorted or joined, and what is moved is less than the text."""
+    from wiresift.session import ensure_checkpoint_dir
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    folder = hadoop.Path(ensure_checkpoint_dir(spark))
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    before = {str(x.getPath()) for x in files.listStatus(folder)}
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    moved = lattice._joined(docs, lattice.Vocabulary(queries.piece_bpe()))
+    plan = moved._jdf.queryExecution().executedPlan().toString()
+    assert not [x for x in ("Join", "Aggregate", "Generate") if x in plan]
+    rows = moved.collect()
+    size = sum(len(t.encode()) for _, t in documents(spark) if t)
+    assert {str(x.getPath()) for x in files.listStatus(folder)} == before
+    blocks = sum(r.bucket < 0 for r in rows)
+    assert len(rows) <= (1 + lattice.BUCKETS) * blocks and sum(len(x) for r in rows for x in (r.n_words, r.sizes, r.packed) if x) < 0.7 * size
+
+
+def test_op10_small_blocks(monkeypatch):
+    """Blocks, batches and slices of any size give the same ids; parts of a block whose rows came in another order are refused."""
+    import pyarrow as pa
+    import pyspark
+    vocabulary = lattice.Vocabulary(queries.piece_bpe())
+    monkeypatch.setattr(pyspark, "TaskContext", type("Context", (), {"get": classmethod(lambda c: c), "partitionId": staticmethod(lambda: 7)}))
+    docs = [*odd_rows()[:12], *odd_rows()[19:], (77, "ab12" * 900, "en", "s", 1), (78, "   ", "en", "s", 1), (79, "  a  b ", "en", "s", 1), (80, "a  ", "en", "s", 1), (81, "▁ x ▁", "en", "s", 1)]
+
+    def split(rows, n=9):
+        table = pa.table([pa.array([x[0] for x in rows], pa.int64()), pa.array([k for k, _ in enumerate(rows)], pa.int64()), pa.array([x[1] or "" for x in rows])], names=["doc_id", "text_hash", "text"])
+        return [*lattice._split(vocabulary.pattern)(iter(table.to_batches(max_chunksize=n)))]
+
+    def place(parts):
+        return sorted((i, tuple(x)) for out in lattice._placed(iter(sorted(parts, key=lambda x: (x.column(1)[0].as_py(), x.column(2)[0].as_py())))) for i, x in zip(out.column(1).to_pylist(), out.column(2).to_pylist()))
+    want = [(k, tuple(next(lattice._plain_ids(["▁" + t.replace(" ", "▁")], vocabulary))) if t else ()) for k, (_, t, *_) in enumerate(docs)]
+    whole = split(docs)
+    assert sum(x.column(2)[0].as_py() < 0 for x in whole) == 1 and place([*lattice._looked_up(vocabulary)(iter(whole))]) == want
+    for name, value in (("BLOCK", 300), ("ROWS", 4), ("WORDS", 20), ("WORD_BYTES", 200), ("FOLDED", 30), ("IDS", 10), ("STRETCH", 50), ("TOKENS", 7)):
+        monkeypatch.setattr(lattice, name, value)
+    parts = split(docs, 5)
+    assert sum(x.column(2)[0].as_py() < 0 for x in parts) > 4 and place([*lattice._looked_up(vocabulary)(iter(parts))]) == want
+    other = [x for x in split(docs[1:] + docs[:1], 5) if x.column(2)[0].as_py() >= 0]
+    with pytest.raises(ValueError, match="another order"):
+        place([*lattice._looked_up(vocabulary)(iter([x for x in parts if x.column(2)[0].as_py() < 0] + other))])
+    assert split([]) == [] and place([*lattice._looked_up(vocabulary)(iter(split([(1, None), (2, "")])))]) == [(0, ()), (1, ())]
+
+
 # ---------------------------------------------------------------- files bounded by bytes
 
 
